@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import pii, token_shards
+from psephos.llm import pii, sentencepiece_codec, token_shards
 from psephos.llm.common import documents
 from psephos.llm.oracles import SQL
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.codec_report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -21,6 +25,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op7_token_shards": op7_token_shards,
     "op10_pii": op10_pii,
 }
