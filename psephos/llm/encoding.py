@@ -13,12 +13,23 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: White space with the letters after it, or with everything up to the next white space. Letters are cut off only where an
+#: ASCII character that is no letter follows, as the pre-tokenizer ends a token there too.
+PIECE = re.compile(r"[ \t-\r]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\x00-@\[-`{-\x7f])|[^ \t-\r]+)|[ \t-\r]+")
+#: Pieces that are a single pre-token.
+LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 UNSAFE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Entries of a generation of the cache; two generations are held, so that frequent pieces outlive rare ones.
 CACHE = 400_000
 
 
+def byte_characters() -> dict[int, str]:
+    """How byte-level BPE writes each byte: printable Latin-1 characters stand for themselves, the rest follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
 class Generations:
     """A bounded map from pieces to values: what was used lately moves on to the next generation, the rest is let go."""
 
@@ -54,6 +65,16 @@ class WordBpe:
         added = [] if specials_are_text else [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.cache = Generations()
+        self.bytes = byte_characters()
+        self.tokenize = self.model.model.tokenize if self.plain() else None
+
+    def plain(self) -> bool:
+        """Whether a run of letters is one pre-token that goes to the model as its bytes."""
+        import json
+
+        spec = json.loads(self.model.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        return spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -64,7 +85,16 @@ class WordBpe:
             whole = UNSAFE.search(t) or (self.special and self.special.search(t))
             cut.append(None if whole else PIECE.findall(t))
         new = self.cache.missing(set().union(*(c for c in cut if c is not None)))
-        now = self.cache.now
+        now, tokenize = self.cache.now, self.tokenize
+        if tokenize:
+            rest = []
+            for p in new:
+                if LETTERS.fullmatch(p):
+                    raw = p.encode().decode("latin-1").translate(self.bytes)
+                    now[p] = np.array([t.id for t in tokenize(raw)], dtype="<u4").tobytes()
+                else:
+                    rest.append(p)
+            new = rest
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             for p, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
