@@ -84,6 +84,14 @@ def stable_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+def stable_text_hash(text: str) -> int:
+    """64 signed bits of a text, the same in every process."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """Stable 64-bit hashes of the words in order."""
     return np.fromiter(map(stable_hash, words), np.uint64, len(words))

@@ -2,4 +2,84 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+LOWER = "'abcdefghijklmnopqrstuvwxyz'"
+PLAIN_WORD = r"'[^\x20\x09-\x0D]+'"
+
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), {PLAIN_WORD}) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 5 THEN range(1, len(ws) - 3) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both >= 85 * (nx.n + ny.n - both)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id
+"""
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, {PLAIN_WORD}) AS ws FROM d),
+g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(CASE WHEN len(ws) >= 8 THEN range(1, len(ws) - 6) ELSE [] END) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, unnest(range(0, 8)) AS k FROM twice) GROUP BY r),
+raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (
+  SELECT r, line, trim(regexp_replace(translate(line, {UPPER}, {LOWER}), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal FROM raw),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE normal <> '' GROUP BY r),
+common AS (SELECT host, normal FROM lines JOIN d USING (r) WHERE normal <> '' GROUP BY host, normal HAVING count(DISTINCT text) > 20),
+lost AS (
+  SELECT r, sum(len(string_split(l.normal, ' '))) AS n FROM lines l JOIN d USING (r) JOIN common c ON c.host = d.host AND c.normal = l.normal GROUP BY r),
+m AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boilerplate_words
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (2 * (n_words - n_boilerplate_words) < n_words) AS kept, n_boilerplate_words
+FROM b
+"""
+
+OP3 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, m, array_to_string(ws[i:i + m - 1], ' ') AS g
+  FROM (SELECT item, ws, least(len(ws), 10) AS m, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(1, len(ws) - least(len(ws), 10) + 2) END) AS i FROM b)),
+dw AS (
+  SELECT r, i, m, array_to_string(ws[i:i + m - 1], ' ') AS g
+  FROM (SELECT r, ws, m, unnest(CASE WHEN len(ws) >= m THEN range(1, len(ws) - m + 2) ELSE [] END) AS i FROM d, (SELECT DISTINCT m FROM bw))),
+h AS (SELECT r, i, dw.m, item FROM dw JOIN bw ON bw.m = dw.m AND bw.g = dw.g),
+n AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(0, m)) AS k FROM h) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
+OP6 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {PLAIN_WORD}) AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 20 THEN range(1, len(ws) - 18) ELSE [] END) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM later)),
+kept AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.i) AS kept
+  FROM (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)) w
+  LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i WHERE gone.i IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op2_line_quality": OP2,
+    "op3_contamination": OP3,
+}

@@ -7,11 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import pii, sentencepiece_codec, token_shards
+from psephos.llm import contamination, line_quality, pii, sentencepiece_codec, token_shards
 from psephos.llm.common import documents
 from psephos.llm.oracles import SQL
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(documents(spark, sf_dir))
+
+
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.codec_report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -25,6 +33,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_quality": op2_line_quality,
+    "op3_contamination": op3_contamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_token_shards": op7_token_shards,
     "op10_pii": op10_pii,
