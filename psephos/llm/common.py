@@ -129,3 +129,55 @@ def held_out(doc_id: int) -> bool:
 
 def held_out_column(name: str = "doc_id"):
     return F.crc32(F.col(name).cast("string").cast("binary")) % 5 == 0
+
+
+#: White space of the word contracts, by byte.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Random values of the bytes, for polynomial word hashes.
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes hashed at once.
+_SLICE = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SLICE, _BASE, dtype=np.uint64)]), dtype=np.uint64)
+        down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SLICE, _INVERSE, dtype=np.uint64)]), dtype=np.uint64)
+    return up, down
+
+
+def hashed_words(data: bytes) -> np.ndarray:
+    """Stable 64-bit hashes of the words (runs of other than ASCII white space) of UTF-8 bytes, without a Python step a word.
+
+    Each word's hash is a polynomial in its bytes modulo 2**64, read off a running sum and mixed.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    up, down = _powers()
+    out, at = [], 0
+    while at < len(raw):
+        part = raw[at : at + _SLICE]
+        blank = _BLANK[part]
+        if at + _SLICE < len(raw):
+            ends = np.flatnonzero(blank)
+            if not len(ends):  # a word longer than a slice
+                stop = at + _SLICE
+                while stop < len(raw) and not _BLANK[raw[stop]]:
+                    stop += 1
+                import xxhash
+
+                begin = at
+                out.append(np.array([xxhash.xxh3_64_intdigest(data[begin:stop])], dtype=np.uint64))
+                at = stop
+                continue
+            part, blank = part[: ends[-1] + 1], blank[: ends[-1] + 1]
+        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)], dtype=np.uint64)])
+            out.append(mix((total[end] - total[start]) * down[start]))
+        at += len(part)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)

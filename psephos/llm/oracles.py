@@ -12,9 +12,9 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
   FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 5 THEN range(1, len(ws) - 3) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (
-  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both >= 85 * (nx.n + ny.n - both)),
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 85 * (nx.n + ny.n - common)),
 u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x),
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
@@ -80,6 +80,7 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 SQL: dict[str, str] = {
+    "op1_near_duplicates": OP1,
     "op2_line_quality": OP2,
     "op3_contamination": OP3,
 }

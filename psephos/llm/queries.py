@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import contamination, line_quality, pii, sentencepiece_codec, token_shards
+from psephos.llm import contamination, line_quality, near_duplicates, pii, sentencepiece_codec, token_shards
 from psephos.llm.common import documents
 from psephos.llm.oracles import SQL
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(documents(spark, sf_dir))
 
@@ -33,6 +37,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_line_quality": op2_line_quality,
     "op3_contamination": op3_contamination,
     "op4_sentencepiece": op4_sentencepiece,
