@@ -83,4 +83,5 @@ SQL: dict[str, str] = {
     "op1_near_duplicates": OP1,
     "op2_line_quality": OP2,
     "op3_contamination": OP3,
+    "op6_substrings": OP6,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import contamination, line_quality, near_duplicates, pii, sentencepiece_codec, token_shards
+from psephos.llm import contamination, line_quality, near_duplicates, pii, sentencepiece_codec, substrings, token_shards
 from psephos.llm.common import documents
 from psephos.llm.oracles import SQL
 
@@ -28,6 +28,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.codec_report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(documents(spark, sf_dir))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": op2_line_quality,
     "op3_contamination": op3_contamination,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_substrings": op6_substrings,
     "op7_token_shards": op7_token_shards,
     "op10_pii": op10_pii,
 }
