@@ -79,9 +79,22 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kep
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(23 + length(role) + length(text) + len(regexp_extract_all(text,
+    '<\\*(\|turn\||\|text\||\|end\||s|/s|<SYS>|</SYS>|\|im_start\||\|im_end\||\|endoftext\||\|system\||\|user\||\|assistant\|)>|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 SQL: dict[str, str] = {
     "op1_near_duplicates": OP1,
     "op2_line_quality": OP2,
     "op3_contamination": OP3,
     "op6_substrings": OP6,
+    "op8_chat": OP8,
 }
