@@ -4,13 +4,15 @@ Documents are sets of distinct five-word shingles; two are linked if 100 * |both
 
 1. One pass over the texts leaves a sketch of each document: size and digest of its set and a MinHash signature. Documents
    with one and the same set form a class, and only its smallest id goes on (exact copies never become pairs).
-2. Signatures are cut into bands; classes that share a band are candidates. In each band bucket every class is paired with the
-   bucket's smallest id alone, so a bucket of any size gives as many pairs as it has members.
+2. Signatures are cut into bands; classes that share a band are candidates. In each band bucket every class is paired with one
+   hub alone (first the smallest id, in later rounds one drawn by hash), so a bucket of any size gives as many pairs as it has
+   members; what is connected already is left out of later rounds.
 3. Candidates are compared batch by batch of signature positions. After each batch the posterior of the similarity (uniform
    prior) tells the probability that the pair still reaches the threshold; below ``MISS`` it is dropped. Survivors are
    verified exactly on the full sets.
 4. Buckets that still hold different components after that are searched on: every member outside the component of the
-   bucket's smallest id is compared with all members of other components. No pair of different components is left untested.
+   bucket's smallest id is compared, chunk by chunk, with all members of other components, so that no pair of different
+   components is left untested.
 5. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 With 24 bands of 5 positions a pair at the threshold shares no band with probability below 1e-6.
@@ -45,6 +47,10 @@ BATCH = 24
 MISS = 1e-7
 #: Members of a hub that are verified by one group of rows.
 GROUP = 64
+#: Rounds of star pairs before the rest of each bucket is compared in full.
+TURNS = 3
+#: Members of a bucket that are compared at once with four times as many others.
+CHUNK = 128
 
 _SEED = np.random.default_rng(977).integers(0, 1 << 63, (2, POSITIONS), dtype=np.uint64)
 _A, _B = _SEED[0] * np.uint64(2) + np.uint64(1), _SEED[1]
@@ -135,15 +141,48 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("id", "sig"), fn, "key bigint, id bigint")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) that the sequential comparison of their signatures lets through."""
-    sigs = classes.select("id", "sig")
-    rows = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    rows = pairs.join(sigs.toDF("a", "sa").hint("merge"), "a").join(sigs.toDF("b", "sb").hint("merge"), "b").select("a", "b", "sa", "sb")
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u4").reshape(-1, POSITIONS) for k in ("sa", "sb"))
         return b.select(["a", "b"]).take(pa.array(survivors(left, right)))
 
+    return arrow_map(rows, fn, "a bigint, b bigint")
+
+
+def plausible_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs of members ``outside`` (key, id, comp) with members ``placed`` of the same bucket and another component that
+    the sequential comparison lets through.
+
+    Both sides are packed into chunks of a bounded number of members, and chunks meet, so that what is shuffled and emitted
+    is chunks and survivors, never pairs.
+    """
+
+    def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+        parts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+        dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        return dealt.join(sigs.hint("merge"), "id").groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "sig")).alias(name)).drop("part")
+
+    touched = placed.join(outside.select("key").distinct(), "key", "left_semi")
+    rows = packed(outside, CHUNK, "own").join(packed(touched, 4 * CHUNK, "other"), "key").select("own", "other")
+    types = {"a": pa.int64(), "b": pa.int64()}
+
+    def unpacked(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = c.values
+        return v.field("id").to_numpy(), v.field("comp").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), dtype="<u4").reshape(-1, POSITIONS)
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        found: set[tuple[int, int]] = set()
+        for k in range(b.num_rows):
+            (xi, xc, xs), (yi, yc, ys) = unpacked(b.column("own")[k]), unpacked(b.column("other")[k])
+            for i in range(len(xi)):
+                at = np.flatnonzero(yc != xc[i])
+                at = at[survivors(np.broadcast_to(xs[i], (len(at), POSITIONS)), ys[at])]
+                found |= {(min(int(xi[i]), y), max(int(xi[i]), y)) for y in yi[at].tolist()}
+        return batch_of({"a": [x for x, _ in found], "b": [y for _, y in found]}, types)
+
     return arrow_map(rows, fn, "a bigint, b bigint").distinct()
 
 
@@ -157,7 +196,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     members = pairs.join(hubs, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"))
     heads = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
     wanted = members.withColumn("member", F.lit(1)).unionByName(heads.withColumn("member", F.lit(0)))
-    rows = wanted.join(docs, "doc_id").select("hub", "part", "member", "doc_id", "text")
+    rows = wanted.join(docs.hint("merge"), "doc_id").select("hub", "part", "member", "doc_id", "text")
     types = {"a": pa.int64(), "b": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,24 +241,43 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, component) of the linked classes."""
     keys = saved(band_keys(classes), "bands")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = saved(keys.join(buckets, "key").select("key", "a", F.col("id").alias("b")), "buckets")
-    stars = shared.where("a <> b").select("a", "b").distinct()
-    first = saved(verified(saved(plausible(stars, classes), "plausible"), docs), "links")
-    found = components(first)
-
-    # what the stars left apart: members outside the component of their bucket's smallest id
-    named = found.select(F.col("id"), F.col("component"))
-    placed = shared.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left")
-    placed = placed.select("key", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    outside = saved(placed.where("ca <> cb").select("key", F.col("b").alias("x"), F.col("cb").alias("cx")).distinct(), "outside")
+    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = saved(keys.join(full, "key"), "buckets")
+    members = buckets.select("id").distinct()
+    sigs = saved(classes.select("id", "sig").join(members.hint("merge"), "id", "left_semi"), "signatures")
+    texts = saved(docs.join(members.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
+
+    found = None  # (id, component) so far
+    for turn in range(TURNS):
+        # star pairs with one hub a bucket: first its smallest id, then by chance, leaving out what is connected already
+        placed = _placed(buckets, found)
+        order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
+        hubs = placed.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        hubs = hubs.where("c0 <> c1").select("key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc"))
+        stars = placed.join(hubs, "key").where("comp <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+        found = _joined(found, verified(saved(plausible(stars, sigs), "plausible"), texts))
+
+    placed = _placed(buckets, found)
+    hubs = placed.groupBy("key").agg(F.min_by("comp", "id").alias("hc"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    outside = saved(placed.join(hubs.select("key", "hc"), "key").where("comp <> hc").drop("hc"), "outside")
     if outside.isEmpty():
         return found
-    others = placed.select("key", F.col("b").alias("y"), F.col("cb").alias("cy"))
-    pairs = outside.join(others, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    second = verified(saved(plausible(pairs, classes), "plausible"), docs)
-    return components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(second))
+    rest = saved(plausible_across(placed, outside, sigs), "plausible")
+    return found if rest.isEmpty() else _joined(found, verified(rest, texts))
+
+
+def _placed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(key, id, comp): the members of the buckets with their components so far."""
+    if found is None:
+        return buckets.select("key", "id", F.col("id").alias("comp"))
+    return buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+
+
+def _joined(found: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """The components when ``pairs`` (a, b) are linked too."""
+    if found is None:
+        return components(pairs)
+    return components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(pairs))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
