@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import arrow_map, batch_of, held_out_column, small_batches
+from psephos.llm.common import arrow_map, batch_of, held_out_column, multipliers, small_batches
+from psephos.llm.near_duplicates import shingles
 from psephos.llm.quality_classifier import training_rows
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -35,9 +36,11 @@ SAMPLE = 10_000
 TERMS = 4_000
 NEIGHBOURS = 15
 BLOCK = 64
-#: A term needs this many toxic examples, and this many times their expected share.
+#: A term needs so many toxic examples, such a share of them, and so many times the share of toxic among its examples that
+#: chance would give.
 LEAST_EXAMPLES = 3
-LEAST_LIFT = 3.0
+LEAST_SHARE = 0.008
+LEAST_LIFT = 4.0
 HEAD = 5
 
 
@@ -158,10 +161,27 @@ class Index:
         return float(np.interp(vote, *self.curve)), self.ids[places].tolist()
 
 
+def without_copies(rows: list[tuple[int, int, str | None]]) -> list[tuple[int, int, str | None]]:
+    """The rows but those that share one of four minima over shingle hashes with an earlier one: a word of one text that was
+    copied often is no sign of toxicity."""
+    seen: set[int] = set()
+    out = []
+    for r in rows:
+        own = shingles(r[2])
+        with np.errstate(over="ignore"):
+            marks = {int((own * m).min()) ^ k for k, m in enumerate(multipliers(4) | np.uint64(1))} if len(own) else set()
+        if not marks & seen:
+            out.append(r)
+        seen |= marks
+    return out
+
+
 def fitted(rows: list[tuple[int, int, str | None]]) -> Index:
     """The index of labelled (doc_id, label, text) rows."""
+    rows = without_copies(rows)
     toxic_rows = Counter(w for _, y, t in rows if y for w in term_counts(t).keys())
-    toxic = {w: n for w, n in toxic_rows.items() if n >= LEAST_EXAMPLES}  # bounded by the toxic examples
+    least = max(LEAST_EXAMPLES, LEAST_SHARE * sum(1 for _, y, _ in rows if y))
+    toxic = {w: n for w, n in toxic_rows.items() if n >= least}  # bounded by the toxic examples
     del toxic_rows
     clean: Counter[str] = Counter()
     examples = []
