@@ -1,25 +1,53 @@
-"""The training-data pipeline: each stage works on all that its predecessor kept (stages are added as they are built)."""
+"""The training-data pipeline: toxicity, near-duplicates, decontamination, personal data, encoding, each on what is left.
+
+Part of the subpackage ``psephos.llm`` (removed together with it).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import pii
+from psephos.llm import contamination, near_duplicates, pii, sentencepiece_codec, toxicity
 from psephos.llm.common import workspace
 
 
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.keep_clean(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return near_duplicates.one_of_each_group(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item go."""
+    return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked in the text; every document stays."""
     return pii.redact(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document's text and the digest of what they decode to."""
+    return sentencepiece_codec.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("pii", redact_personal_data),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("sentencepiece", encode),
 ]
 
-#: The stages go through learned scores and signatures, which SQL cannot express; tests hold each against brute force.
+#: The first and last stage are learned scores and a tokenizer, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -292,3 +292,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their own columns, but those of documents that are not the smallest of their component."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")

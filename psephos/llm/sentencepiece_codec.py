@@ -221,3 +221,18 @@ def codec_report(docs: DataFrame, model: str) -> DataFrame:
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes_covered bigint"
     return arrow_map(docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text"), fn, schema)
+
+
+def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
+    """Per row: doc_id, n_tokens, the ids, and the digest of what they decode to."""
+    small_batches(docs.sparkSession)
+    types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded_sha256": pa.string()}
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        c = codec(model)
+        got = [c.encode(t).ids for t in texts_of(b)]
+        decoded = [hashlib.sha256(c.decode(g.tolist()).encode()).hexdigest() for g in got]
+        return batch_of({"doc_id": b.column("doc_id"), "n_tokens": [len(g) for g in got], "ids": [g.astype(np.int32) for g in got], "decoded_sha256": decoded}, types)
+
+    rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")
+    return arrow_map(rows, fn, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
