@@ -11,8 +11,8 @@ Documents are sets of distinct five-word shingles; two are linked if 100 * |both
    prior) tells the probability that the pair still reaches the threshold; below ``MISS`` it is dropped. Survivors are
    verified exactly on the full sets.
 4. Buckets that still hold different components after that are searched on: every member outside the component of the
-   bucket's smallest id is compared, chunk by chunk, with all members of other components, so that no pair of different
-   components is left untested.
+   bucket's smallest id is compared, chunk by chunk, with the members of other components until it is linked to them or all
+   have been tried, so that no link between different components is left out.
 5. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 With 24 bands of 5 positions a pair at the threshold shares no band with probability below 1e-6.
@@ -50,7 +50,7 @@ GROUP = 64
 #: Rounds of star pairs before the rest of each bucket is compared in full.
 TURNS = 3
 #: Members of a bucket that are compared at once with four times as many others.
-CHUNK = 128
+CHUNK = 64
 
 _SEED = np.random.default_rng(977).integers(0, 1 << 63, (2, POSITIONS), dtype=np.uint64)
 _A, _B = _SEED[0] * np.uint64(2) + np.uint64(1), _SEED[1]
@@ -104,7 +104,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test on two sorted distinct sets."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
@@ -152,38 +155,55 @@ def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return arrow_map(rows, fn, "a bigint, b bigint")
 
 
-def plausible_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs of members ``outside`` (key, id, comp) with members ``placed`` of the same bucket and another component that
-    the sequential comparison lets through.
+def linked_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members ``outside`` (key, id, comp) and the other components among the members ``placed`` of the
+    same bucket: at least one for each such member and component that have any.
 
-    Both sides are packed into chunks of a bounded number of members, and chunks meet, so that what is shuffled and emitted
-    is chunks and survivors, never pairs.
+    Both sides are packed into chunks of a bounded number of members, and chunks meet: in a chunk pair, signatures are compared
+    sequentially, and what they let through is verified on the full sets, likeliest first, until a component is reached. What
+    is shuffled and emitted is chunks and links, never pairs.
     """
+    own = texts.select(F.col("doc_id").alias("id"), "text")
 
     def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         parts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
         dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        return dealt.join(sigs.hint("merge"), "id").groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "sig")).alias(name)).drop("part")
+        full = dealt.join(sigs.hint("merge"), "id").join(own.hint("merge"), "id")
+        return full.groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "sig", "text")).alias(name)).drop("part")
 
     touched = placed.join(outside.select("key").distinct(), "key", "left_semi")
     rows = packed(outside, CHUNK, "own").join(packed(touched, 4 * CHUNK, "other"), "key").select("own", "other")
     types = {"a": pa.int64(), "b": pa.int64()}
 
-    def unpacked(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def unpacked(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         v = c.values
-        return v.field("id").to_numpy(), v.field("comp").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), dtype="<u4").reshape(-1, POSITIONS)
+        return v.field("id").to_numpy(), v.field("comp").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), dtype="<u4").reshape(-1, POSITIONS), v.field("text")
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        found: set[tuple[int, int]] = set()
-        for k in range(b.num_rows):
-            (xi, xc, xs), (yi, yc, ys) = unpacked(b.column("own")[k]), unpacked(b.column("other")[k])
-            for i in range(len(xi)):
-                at = np.flatnonzero(yc != xc[i])
-                at = at[survivors(np.broadcast_to(xs[i], (len(at), POSITIONS)), ys[at])]
-                found |= {(min(int(xi[i]), y), max(int(xi[i]), y)) for y in yi[at].tolist()}
-        return batch_of({"a": [x for x, _ in found], "b": [y for _, y in found]}, types)
-
-    return arrow_map(rows, fn, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: set[tuple[int, int]] = set()
+            for k in range(b.num_rows):
+                (xi, xc, xs, xt), (yi, yc, ys, yt) = unpacked(b.column("own")[k]), unpacked(b.column("other")[k])
+                sets: dict[int, np.ndarray] = {}
+                for i in range(len(xi)):
+                    at = np.flatnonzero(yc != xc[i])
+                    at = at[survivors(np.broadcast_to(xs[i], (len(at), POSITIONS)), ys[at])]
+                    if not len(at):
+                        continue
+                    at = at[np.argsort(-(ys[at] == xs[i]).sum(axis=1), kind="stable")]
+                    mine, reached = shingles(xt[i].as_py()), set()
+                    for j in at.tolist():
+                        if yc[j] in reached:
+                            continue
+                        if j not in sets:
+                            sets[j] = shingles(yt[j].as_py())
+                        if linked(mine, sets[j]):
+                            reached.add(yc[j])
+                            found.add((min(int(xi[i]), int(yi[j])), max(int(xi[i]), int(yi[j]))))
+            if found:
+                yield batch_of({"a": [x for x, _ in found], "b": [y for _, y in found]}, types)
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -262,8 +282,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     outside = saved(placed.join(hubs.select("key", "hc"), "key").where("comp <> hc").drop("hc"), "outside")
     if outside.isEmpty():
         return found
-    rest = saved(plausible_across(placed, outside, sigs), "plausible")
-    return found if rest.isEmpty() else _joined(found, verified(rest, texts))
+    rest = saved(linked_across(placed, outside, sigs, texts), "links")
+    return found if rest.isEmpty() else _joined(found, rest)
 
 
 def _placed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
