@@ -61,10 +61,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, as texts may be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch, as texts may be very long."""
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", "") != str(value):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
