@@ -64,7 +64,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
     """Bound the rows and bytes of an Arrow batch, as texts may be very long."""
     for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}", "") != str(value):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") != str(value):
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
