@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "market_party_share"
+#: Modules whose queries are registered.
+MODULES = ("shares", "entities")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,9 +26,16 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"psephos.plans.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
