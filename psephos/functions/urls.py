@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -100,7 +101,7 @@ def source_key(url: Column | str, title: Column | str) -> Column:
 
 def domain_in(domain: Column, names: tuple[str, ...]) -> Column:
     """Whether the domain is one of the names or lies under one."""
-    return domain.isin(*names) | reduce(lambda a, b: a | b, (domain.endswith("." + n) for n in names))
+    return domain.rlike(rf"(?:^|\.)(?:{'|'.join(map(re.escape, names))})$")
 
 
 def publisher_of(domain: Column | str) -> Column:
