@@ -257,7 +257,8 @@ def _singly(slices: DataFrame) -> DataFrame:
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end): word intervals of ``docs`` (doc_id, text) that windows with an earlier occurrence cover."""
     runs = text_runs(docs)
-    shared = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several")).where("n > 1").drop("n")
+    counted = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"))
+    shared = saved(counted.where("n > 1").drop("n"), "grams")  # written, so that the join below may split a hot gram's rows
     again = saved(runs.join(shared, "gram"), "runs")
     classes = saved(again.groupBy("gram", "content").agg(F.min(F.struct("doc_id", "pos", "size")).alias("first"), F.max("several").alias("several"), F.count("*").alias("n")), "classes")
     copied = classes.where("n > 1").select("gram", "content", "first")
