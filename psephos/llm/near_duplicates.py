@@ -259,9 +259,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, component) of the linked classes."""
+    """(id, component) of the linked classes.
+
+    Aggregates over buckets are written before they are joined back, so that the joins may split a large bucket's rows.
+    """
     keys = saved(band_keys(classes), "bands")
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    full = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
     buckets = saved(keys.join(full, "key"), "buckets")
     members = buckets.select("id").distinct()
     sigs = saved(classes.select("id", "sig").join(members.hint("merge"), "id", "left_semi"), "signatures")
@@ -273,7 +276,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         placed = _placed(buckets, found)
         order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
         hubs = placed.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        hubs = hubs.where("c0 <> c1").select("key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc"))
+        hubs = saved(hubs.where("c0 <> c1").select("key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc")), "hubs")
         stars = placed.join(hubs, "key").where("comp <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
         found = _joined(found, verified(saved(plausible(stars, sigs), "plausible"), texts))
 
