@@ -39,10 +39,14 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    ``rows``, where known, is a bound of its rows: it then goes to a file for every 100,000 of them (eight at least), as a small
+    table in very many files costs more in file handling than in work.
+    """
     path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, rows // 100_000))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -239,9 +239,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of all ids in ``edges`` (a, b) other than the components' smallest, by large-star and small-star steps."""
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(id, component) of all ids in ``edges`` (a, b) other than the components' smallest, by large-star and small-star steps.
+
+    ``rows`` is about the number of edges; the steps never have more than these and the nodes together.
+    """
+    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", rows)
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -255,7 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below go to the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = saved(small.where("u <> v").distinct(), "edges")
+        now = saved(small.where("u <> v").distinct(), "edges", state[0])
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -266,6 +269,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     keys = saved(band_keys(classes), "bands")
     full = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
     buckets = saved(keys.join(full, "key"), "buckets")
+    rows = buckets.count()  # what follows has no more rows than this
     members = buckets.select("id").distinct()
     sigs = saved(classes.select("id", "sig").join(members.hint("merge"), "id", "left_semi"), "signatures")
     texts = saved(docs.join(members.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
@@ -276,17 +280,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         placed = _placed(buckets, found)
         order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
         hubs = placed.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        hubs = saved(hubs.where("c0 <> c1").select("key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc")), "hubs")
+        hubs = saved(hubs.where("c0 <> c1").select("key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc")), "hubs", rows)
         stars = placed.join(hubs, "key").where("comp <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
-        found = _joined(found, verified(saved(plausible(stars, sigs), "plausible"), texts))
+        found = _joined(found, verified(saved(plausible(stars, sigs), "plausible", rows), texts), rows)
 
     placed = _placed(buckets, found)
     hubs = placed.groupBy("key").agg(F.min_by("comp", "id").alias("hc"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    outside = saved(placed.join(hubs.select("key", "hc"), "key").where("comp <> hc").drop("hc"), "outside")
+    outside = saved(placed.join(hubs.select("key", "hc"), "key").where("comp <> hc").drop("hc"), "outside", rows)
     if outside.isEmpty():
         return found
-    rest = saved(linked_across(placed, outside, sigs, texts), "links")
-    return found if rest.isEmpty() else _joined(found, rest)
+    rest = saved(linked_across(placed, outside, sigs, texts), "links", rows)
+    return found if rest.isEmpty() else _joined(found, rest, rows)
 
 
 def _placed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -296,11 +300,11 @@ def _placed(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
     return buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
 
 
-def _joined(found: DataFrame | None, pairs: DataFrame) -> DataFrame:
+def _joined(found: DataFrame | None, pairs: DataFrame, rows: int) -> DataFrame:
     """The components when ``pairs`` (a, b) are linked too."""
     if found is None:
-        return components(pairs)
-    return components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(pairs))
+        return components(pairs, rows)
+    return components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(pairs), rows)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
