@@ -65,13 +65,13 @@ def iv_over_identified(spark: SparkSession, d: str) -> DataFrame:
     return _row(spark, n=fit.n, beta=fit["d"], lag=fit["lag"], fam=fit["fam"], first_stage_f=fit.first_stage_f)
 
 
-@query(f"""WITH {P.CHAIN[5:]}, o AS (SELECT *, 1 - sum(share) OVER (PARTITION BY market, year) AS outside FROM products),
+@query(f"""WITH {P.CHAIN[5:]}, o AS (SELECT *, round(1 - sum(share) OVER (PARTITION BY market, year), 9) AS outside FROM products),
 l AS (SELECT ln(share) - ln(outside) AS delta, x1, x1 + x2 AS z FROM o WHERE share > 0 AND outside > 0 AND x1 IS NOT NULL),
 m AS (SELECT delta - avg(delta) OVER () AS y, x1 - avg(x1) OVER () AS x, z - avg(z) OVER () AS z FROM l)
 SELECT count(*) AS n, round(sum(x * y) / sum(x * x), 5) AS ols, round(sum(z * y) / sum(z * x), 4) AS iv FROM m""")
 def logit_delta_iv(spark: SparkSession, d: str) -> DataFrame:
     """The plain logit: log share less log outside share on a characteristic, by least squares and with an instrument."""
-    rows = P.products(spark, d).withColumn("outside", 1 - W.group_total("share", ["market", "year"]))
+    rows = P.products(spark, d).withColumn("outside", F.round(1 - W.group_total("share", ["market", "year"]), 9))
     rows = rows.withColumn("delta", E.logit_delta("share", "outside")).withColumns({"one": F.lit(1.0), "z": F.col("x1") + F.col("x2")}).dropna(subset=["delta", "x1"])
     ols, iv = E.ols(rows, "delta", ["one", "x1"]), E.iv(rows, "delta", "x1", ["one"], ["z"])
     return _row(spark, n=ols.n, ols=round(ols["x1"], 5), iv=round(iv["x1"], 4))

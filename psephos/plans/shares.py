@@ -50,17 +50,17 @@ CHAIN = f"{VOTERS}, {PRODUCTS}"
 
 
 @query(f"""{VOTERS}, {CELLS}, {SHARES}
-SELECT market, year, party, round(w, 4) AS weight, round(share, 6) AS share FROM shares WHERE party IS NOT NULL""")
+SELECT market, year, party, round(w, 4) AS weight, round(share, 10) AS share FROM shares WHERE party IS NOT NULL""")
 def market_party_share(spark: SparkSession, d: str) -> DataFrame:
     """Weighted shares of parties in their markets; voters without a party count in the denominator only."""
     rows = shares(spark, d).dropna(subset=["party"])
-    return rows.select("market", "year", "party", F.round("w", 4).alias("weight"), F.round("share", 6).alias("share"))
+    return rows.select("market", "year", "party", F.round("w", 4).alias("weight"), F.round("share", 10).alias("share"))
 
 
 @query(f"""{VOTERS}, {CELLS}, {SHARES}
-SELECT market, year, round(sum(share), 6) AS known_share, CAST(count(*) FILTER (party IS NULL) AS BIGINT) AS unknown_rows FROM shares GROUP BY 1, 2""")
+SELECT market, year, round(sum(share), 10) AS known_share, CAST(count(*) FILTER (party IS NULL) AS BIGINT) AS unknown_rows FROM shares GROUP BY 1, 2""")
 def share_null_party_denominator(spark: SparkSession, d: str) -> DataFrame:
-    return shares(spark, d).groupBy("market", "year").agg(F.round(F.sum("share"), 6).alias("known_share"), F.count_if(F.col("party").isNull()).alias("unknown_rows"))
+    return shares(spark, d).groupBy("market", "year").agg(F.round(F.sum("share"), 10).alias("known_share"), F.count_if(F.col("party").isNull()).alias("unknown_rows"))
 
 
 @query(f"""{CHAIN} SELECT market, year, party, round(x1, 10) AS x1, round(x2, 10) AS x2, n FROM products""")
@@ -70,11 +70,11 @@ def product_weighted_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{CHAIN}, known AS (SELECT *, share / sum(share) OVER (PARTITION BY market, year) AS s FROM products),
 whole AS (SELECT *, sum(s) OVER (PARTITION BY market, year) AS t FROM known)
-SELECT market, year, party, round(CASE WHEN t >= 1 - 1e-12 THEN s * 0.99 / t ELSE s END, 6) AS share FROM whole""")
+SELECT market, year, party, round(CASE WHEN t >= 1 - 1e-12 THEN s * 0.99 / t ELSE s END, 10) AS share FROM whole""")
 def share_rescale_outside(spark: SparkSession, d: str) -> DataFrame:
     """Shares among known parties sum to one, so they are scaled to leave an outside share."""
     rows = products(spark, d).withColumn("s", F.col("share") / W.group_total("share", ["market", "year"]))
-    return rows.select("market", "year", "party", F.round(W.rescaled("s", ["market", "year"]), 6).alias("share"))
+    return rows.select("market", "year", "party", F.round(W.rescaled("s", ["market", "year"]), 10).alias("share"))
 
 
 @query(f"""{CHAIN}, e AS (SELECT *, market || CAST(year AS VARCHAR) AS election FROM products),
@@ -95,12 +95,12 @@ def market_weight_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{CHAIN}, demo AS (SELECT market, year, avg(x2) AS x2_bar, avg(CASE WHEN segment = 'BUILDING' THEN 1.0 ELSE 0.0 END) AS building_bar FROM respondents GROUP BY 1, 2)
-SELECT market, year, party, round(x2_bar, 6) AS x2_bar, round(building_bar, 6) AS building_bar FROM products LEFT JOIN demo USING (market, year)""")
+SELECT market, year, party, round(x2_bar, 10) AS x2_bar, round(building_bar, 10) AS building_bar FROM products LEFT JOIN demo USING (market, year)""")
 def market_demographic_means(spark: SparkSession, d: str) -> DataFrame:
     people = respondents(spark, d).withColumn("building", (F.col("segment") == "BUILDING").cast("double"))
     means = people.groupBy("market", "year").agg(F.avg("x2").alias("x2_bar"), F.avg("building").alias("building_bar"))
     rows = checked_join(products(spark, d), means, ["market", "year"])
-    return rows.select("market", "year", "party", F.round("x2_bar", 6).alias("x2_bar"), F.round("building_bar", 6).alias("building_bar"))
+    return rows.select("market", "year", "party", F.round("x2_bar", 10).alias("x2_bar"), F.round("building_bar", 10).alias("building_bar"))
 
 
 CODES = (("x1", 1), ("x2", -1), ("x3", 1))
@@ -117,9 +117,9 @@ def indexed(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("idx", F.try_divide(signed, F.nullif(known, F.lit(0))))
 
 
-@query(f"{INDEXED} SELECT market, year, party, round(idx, 6) AS idx FROM indexed")
+@query(f"{INDEXED} SELECT market, year, party, round(idx, 10) AS idx FROM indexed")
 def signed_index(spark: SparkSession, d: str) -> DataFrame:
-    return indexed(spark, d).select("market", "year", "party", F.round("idx", 6).alias("idx"))
+    return indexed(spark, d).select("market", "year", "party", F.round("idx", 10).alias("idx"))
 
 
 @query(f"{INDEXED}, p AS (SELECT avg(idx) AS mu, stddev_pop(idx) AS sd FROM indexed) SELECT market, year, party, round((idx - mu) / sd, 5) AS z FROM indexed, p")
@@ -128,12 +128,12 @@ def zscore_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{INDEXED}, p AS (SELECT avg(idx) AS mu, stddev_pop(idx) AS sd FROM indexed)
-SELECT market, year, party, round((share - mu) / sd, 5) AS share_z, round(pow((share - mu) / sd, 2) / 100, 6) AS share_z2 FROM indexed, p""")
+SELECT market, year, party, round((share - mu) / sd, 5) AS share_z, round(pow((share - mu) / sd, 2) / 100, 10) AS share_z2 FROM indexed, p""")
 def zscore_reuse_params(spark: SparkSession, d: str) -> DataFrame:
     """Another column by the index's mean and deviation, and its scaled square."""
     rows = indexed(spark, d)
     out = W.standardised(rows, "share", "z", W.score_params(rows, "idx"))
-    return out.select("market", "year", "party", F.round("z", 5).alias("share_z"), F.round(F.pow("z", 2) / 100, 6).alias("share_z2"))
+    return out.select("market", "year", "party", F.round("z", 5).alias("share_z"), F.round(F.pow("z", 2) / 100, 10).alias("share_z2"))
 
 
 FAMILY = f"""{INDEXED}, fam AS (
@@ -148,20 +148,20 @@ def leave_out(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("lo", W.leave_one_out("m", ["family", "year"]))
 
 
-@query(f"{FAMILY} SELECT family, year, country, round(m, 6) AS m, round(fw, 6) AS fw, n, round(lo, 6) AS lo, round(lo * lo / 100, 8) AS lo2 FROM loo")
+@query(f"{FAMILY} SELECT family, year, country, round(m, 10) AS m, round(fw, 10) AS fw, n, round(lo, 10) AS lo, round(lo * lo / 100, 12) AS lo2 FROM loo")
 def leaveout_family_mean(spark: SparkSession, d: str) -> DataFrame:
     rows = leave_out(spark, d)
-    return rows.select("family", "year", "country", F.round("m", 6).alias("m"), F.round("fw", 6).alias("fw"), "n", F.round("lo", 6).alias("lo"), F.round(F.col("lo") * F.col("lo") / 100, 8).alias("lo2"))
+    return rows.select("family", "year", "country", F.round("m", 10).alias("m"), F.round("fw", 10).alias("fw"), "n", F.round("lo", 10).alias("lo"), F.round(F.col("lo") * F.col("lo") / 100, 12).alias("lo2"))
 
 
-@query(f"""{FAMILY} SELECT p.market, p.year, p.party, round(loo.lo, 6) AS lo FROM indexed p LEFT JOIN loo USING (country, family, year)
+@query(f"""{FAMILY} SELECT p.market, p.year, p.party, round(loo.lo, 10) AS lo FROM indexed p LEFT JOIN loo USING (country, family, year)
 WHERE (p.country, p.year) IN (SELECT (country, year) FROM indexed WHERE share > 0.2)""")
 def leaveout_semi_scope(spark: SparkSession, d: str) -> DataFrame:
     """Instruments joined to products, in the markets of a restricted sample."""
     rows = indexed(spark, d)
     scope = rows.where("share > 0.2").select("country", "year").distinct()
     out = checked_join(rows, leave_out(spark, d).select("country", "family", "year", "lo"), ["country", "family", "year"])
-    return out.join(scope, ["country", "year"], "left_semi").select("market", "year", "party", F.round("lo", 6).alias("lo"))
+    return out.join(scope, ["country", "year"], "left_semi").select("market", "year", "party", F.round("lo", 10).alias("lo"))
 
 
 PANEL = f"""{FAMILY}, panel AS (
@@ -174,36 +174,36 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("party_key", "year").agg(wmean("idx", "share").alias("x"), F.max("share").alias("share"), F.countDistinct("market").alias("n_markets"))
 
 
-@query(f"{PANEL} SELECT party_key, year, round(x, 6) AS x, round(share, 6) AS share, n_markets FROM panel")
+@query(f"{PANEL} SELECT party_key, year, round(x, 10) AS x, round(share, 10) AS share, n_markets FROM panel")
 def panel_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d).select("party_key", "year", F.round("x", 6).alias("x"), F.round("share", 6).alias("share"), "n_markets")
+    return panel(spark, d).select("party_key", "year", F.round("x", 10).alias("x"), F.round("share", 10).alias("share"), "n_markets")
 
 
-@query(f"{PANEL} SELECT party_key, year, round(lag(x) OVER (PARTITION BY party_key ORDER BY year), 6) AS lagx FROM panel WHERE year <> 1997")
+@query(f"{PANEL} SELECT party_key, year, round(lag(x) OVER (PARTITION BY party_key ORDER BY year), 10) AS lagx FROM panel WHERE year <> 1997")
 def panel_lag(spark: SparkSession, d: str) -> DataFrame:
     """The previous observed row, not the previous year."""
     rows = panel(spark, d).where("year <> 1997")
-    return rows.select("party_key", "year", F.round(W.previous("x", "party_key", ["year"]), 6).alias("lagx"))
+    return rows.select("party_key", "year", F.round(W.previous("x", "party_key", ["year"]), 10).alias("lagx"))
 
 
-@query(f"{PANEL} SELECT party_key, year, round(max(share) OVER (PARTITION BY party_key), 6) AS top, coalesce(max(share) OVER (PARTITION BY party_key) >= 0.2, false) AS keep FROM panel")
+@query(f"{PANEL} SELECT party_key, year, round(max(share) OVER (PARTITION BY party_key), 10) AS top, coalesce(max(share) OVER (PARTITION BY party_key) >= 0.2, false) AS keep FROM panel")
 def party_ever_threshold(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     top = F.max("share").over(Window.partitionBy("party_key"))
-    return panel(spark, d).select("party_key", "year", F.round(top, 6).alias("top"), W.ever_reaches("share", ["party_key"], 0.2).alias("keep"))
+    return panel(spark, d).select("party_key", "year", F.round(top, 10).alias("top"), W.ever_reaches("share", ["party_key"], 0.2).alias("keep"))
 
 
-@query(f"{PANEL} SELECT party_key, year, round(x - avg(x) OVER (PARTITION BY party_key), 6) + 0.0 AS dx FROM panel")
+@query(f"{PANEL} SELECT party_key, year, round(x - avg(x) OVER (PARTITION BY party_key), 10) + 0.0 AS dx FROM panel")
 def within_demean(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d).select("party_key", "year", (F.round(W.demeaned("x", "party_key"), 6) + F.lit(0.0)).alias("dx"))
+    return panel(spark, d).select("party_key", "year", (F.round(W.demeaned("x", "party_key"), 10) + F.lit(0.0)).alias("dx"))
 
 
-@query(f"""{CHAIN} SELECT market, year, party, round(x1 * x2, 8) AS x1_x2, round(x1 * share, 8) AS x1_share, round(x2 * share, 8) AS x2_share, 1.0::DOUBLE AS const FROM products""")
+@query(f"""{CHAIN} SELECT market, year, party, round(x1 * x2, 12) AS x1_x2, round(x1 * share, 12) AS x1_share, round(x2 * share, 12) AS x2_share, 1.0::DOUBLE AS const FROM products""")
 def interaction_terms(spark: SparkSession, d: str) -> DataFrame:
     rows = products(spark, d)
     pairs = (("x1", "x2"), ("x1", "share"), ("x2", "share"))
-    return rows.select("market", "year", "party", *(F.round(F.col(a) * F.col(b), 8).alias(f"{a}_{b}") for a, b in pairs), F.lit(1.0).alias("const"))
+    return rows.select("market", "year", "party", *(F.round(F.col(a) * F.col(b), 12).alias(f"{a}_{b}") for a, b in pairs), F.lit(1.0).alias("const"))
 
 
 @query("SELECT n_name AS name, count(o_orderkey) AS orders FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")

@@ -58,6 +58,7 @@ class _StataReader(DataSourceReader):
         import pandas as pd
 
         with pd.read_stata(self.path, iterator=True, convert_categoricals=False) as r:
+            _ = r.data_label  # reads the header
             n = r._nobs
         return [_Rows(k, min(k + STATA_ROWS, n)) for k in range(0, max(n, 1), STATA_ROWS)]
 
