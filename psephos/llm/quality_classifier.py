@@ -14,6 +14,7 @@ usable label all scores are 0.5; repeated rows get equal scores; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from psephos.llm.common import arrow_map, batch_of, gram_hashes, hashed_words, h
 
 #: Most labelled rows that training looks at.
 SAMPLE = 8_000
+#: Passes over the sample: at least so many, and as many as give so many updates.
 EPOCHS = 3
+UPDATES = 12_000
 BITS = 18
 DIMENSIONS = 1 << BITS
 #: Sizes of the grams of words and of shapes.
@@ -111,7 +114,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndar
                 slots, values = sparse(t)
                 seen.append((slots.astype(np.int32), values.astype(np.float32), y))
                 model.learn(slots, values, y)
-        for _ in range(EPOCHS - 1):
+        for _ in range(max(EPOCHS, ceil(UPDATES / max(1, len(seen)))) - 1):
             for slots, values, y in seen:
                 model.learn(slots, values, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype("<f4").tobytes()], pa.binary())], names=["weights"])

@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and five-letter beginnings of words, in lower case; the vocabulary is chosen on the labelled sample: those
+Terms are words and four- and five-letter beginnings of words, in lower case; the vocabulary is chosen on the labelled sample: those
 found in clearly more toxic examples than their share would let expect. An example's vector is (1 + ln tf) * idf over these,
 of length one. Postings lie in blocks of examples, each block with the largest weight of each of its terms; a query bounds
 each block's best cosine by these, takes blocks from the highest bound down, and stops when no bound beats its k-th neighbour,
@@ -36,12 +36,11 @@ SAMPLE = 10_000
 TERMS = 4_000
 NEIGHBOURS = 15
 BLOCK = 64
-#: A term needs so many toxic examples, such a share of them, and so many times the share of toxic among its examples that
-#: chance would give.
+#: A term needs so many toxic examples, such a share of them, and to be so many times as frequent in them as in others.
 LEAST_EXAMPLES = 3
 LEAST_SHARE = 0.008
-LEAST_LIFT = 4.0
-HEAD = 5
+LEAST_LIFT = 6.0
+HEADS = (4, 5)
 
 
 def term_counts(text: str | None) -> Counter[str]:
@@ -49,8 +48,9 @@ def term_counts(text: str | None) -> Counter[str]:
     words = Counter(WORD.findall(text.lower())) if text else Counter()
     heads: Counter[str] = Counter()
     for w, n in words.items():
-        if len(w) > HEAD:
-            heads[w[:HEAD] + "*"] += n
+        for k in HEADS:
+            if len(w) > k:
+                heads[w[:k] + "*"] += n
     words.update(heads)
     return words
 
@@ -151,8 +151,9 @@ class Index:
             for w in WORD.findall(text.lower()):
                 if (t := get(w)) is not None:
                     counts[t] = counts.get(t, 0) + 1
-                if len(w) > HEAD and (t := get(w[:HEAD] + "*")) is not None:
-                    counts[t] = counts.get(t, 0) + 1
+                for k in HEADS:
+                    if len(w) > k and (t := get(w[:k] + "*")) is not None:
+                        counts[t] = counts.get(t, 0) + 1
         if not counts:
             return float(self.none_rate), []
         vote, places = self.vote(counts)
@@ -190,8 +191,9 @@ def fitted(rows: list[tuple[int, int, str | None]]) -> Index:
         if not y:
             clean.update(c.keys())
         examples.append((d, y, c))
-    base = sum(1 for _, y, _ in rows if y) / max(1, len(rows))
-    terms = [(n / (n + clean[w]) * np.log1p(n), w) for w, n in toxic.items() if n >= LEAST_LIFT * base * (n + clean[w])]
+    n1 = sum(1 for _, y, _ in rows if y)
+    n0 = len(rows) - n1
+    terms = [(n / (n + clean[w]) * np.log1p(n), w) for w, n in toxic.items() if n * n0 >= LEAST_LIFT * clean[w] * n1]
     best = sorted(w for _, w in sorted(terms, key=lambda x: (-x[0], x[1]))[:TERMS])
     index = Index(examples, {w: k for k, w in enumerate(best)}, len(rows))
     index.calibrate()
