@@ -2,7 +2,7 @@
 
 Lines are normalised (ASCII lower case, white space as one space, none at the ends) and hashed; for each host the distinct
 documents of a line are counted, exact copies of a text as one, since copies are another operator's concern. Lines that more
-than ``line_limit`` documents of their host have are removed, and a document that keeps less than ``least_kept`` of its words
+than ``line_limit`` documents of their host have are removed, and a document that keeps less than ``least_kept`` per cent of its words
 is depleted and rejected, as is one that fails a base rule.
 
 One Python pass over the texts leaves a few numbers and the line hashes of each document; everything after that is relational
@@ -32,8 +32,8 @@ MIN_WORDS = 20
 MAX_REPEATED = 30
 #: A line of more distinct documents of one host than this is boilerplate.
 LINE_LIMIT = 20
-#: Share of its words that a document must keep.
-LEAST_KEPT = 0.5
+#: Per cent of its words that a document must keep.
+LEAST_KEPT = 33
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -77,7 +77,7 @@ def measures(text: str) -> dict[str, object]:
     }
 
 
-def line_quality(docs: DataFrame, host_col: str = "source", line_limit: int = LINE_LIMIT, least_kept: float = LEAST_KEPT) -> DataFrame:
+def line_quality(docs: DataFrame, host_col: str = "source", line_limit: int = LINE_LIMIT, least_kept: int = LEAST_KEPT) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_boilerplate_words."""
     small_batches(docs.sparkSession)
     types = {
@@ -112,7 +112,7 @@ def line_quality(docs: DataFrame, host_col: str = "source", line_limit: int = LI
         .groupBy("_row").agg(F.sum("_size").alias("_lost"))
     )
     judged = measured.join(lost, "_row", "left").withColumn("_lost", F.coalesce("_lost", F.lit(0)))
-    depleted = (F.col("n_words") - F.col("_lost")) < F.lit(least_kept) * F.col("n_words")
+    depleted = 100 * (F.col("n_words") - F.col("_lost")) < least_kept * F.col("n_words")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~depleted).alias("kept"), F.col("_lost").alias("n_boilerplate_words"),

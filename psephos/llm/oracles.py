@@ -42,7 +42,7 @@ m AS (
   FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (2 * (n_words - n_boilerplate_words) < n_words) AS kept, n_boilerplate_words
+  NOT base_failed AND NOT (100 * (n_words - n_boilerplate_words) < 33 * n_words) AS kept, n_boilerplate_words
 FROM b
 """
 
