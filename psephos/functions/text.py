@@ -145,3 +145,8 @@ def party_label(short: Column | str, name: Column | str) -> Column:
 def contains_any(x: Column | str, parts: tuple[str, ...]) -> Column:
     """Whether the text holds one of the fixed parts; one expression, however many there are."""
     return truthy(col(x).rlike("|".join(map(re.escape, parts))))
+
+
+def labelled_lines(values: dict[str, Column]) -> Column:
+    """'Label: value' lines for what is not missing, as a request to a provider holds them."""
+    return F.concat_ws("\n", *(F.when(clean_text(v) != "", F.concat(F.lit(f"{label}: "), clean_text(v))) for label, v in values.items()))

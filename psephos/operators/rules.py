@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.functions.nulls import clean_text, first_text, truthy
@@ -201,3 +201,13 @@ def never_overwrite(validated: Column, proposed: Column) -> list[Column]:
     used = validated.isNull() & proposed.isNotNull()
     source = F.when(validated.isNotNull(), "validated").when(used, "ai_match").otherwise("")
     return [F.coalesce(validated, proposed).alias("final_id"), source.alias("match_source"), used.cast("int").alias("ai_match_used")]
+
+
+def with_approvals(review: DataFrame, old: DataFrame | None, key: str) -> DataFrame:
+    """A review with the reviewers' columns of an earlier one; empty where there is none."""
+    names = ("approve_apply", "reviewer_note")
+    if old is None:
+        return review.withColumns({n: F.lit("") for n in names})
+    kept = old.select(key, *(F.col(n) for n in names if n in old.columns)).dropDuplicates([key])
+    out = review.drop(*names).join(kept, key, "left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit("")) if n in out.columns else F.lit("") for n in names})

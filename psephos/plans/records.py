@@ -356,7 +356,7 @@ def age_gender_check(spark: SparkSession, d: str) -> DataFrame:
 y AS (SELECT *, ac IN ('exact_match', 'off_by_one', 'old_missing', 'ai_missing', 'both_missing') AND gc IN ('match', 'old_missing', 'ai_missing', 'both_missing') AS agree, quality = 'clean_old_data' AS clean FROM x)
 SELECT id, CASE WHEN rs AND collective AND NOT has_new THEN 'manual_review_collective_leadership' WHEN rs AND has_new AND multiple THEN 'ai_resolved_multiple_leader_case' WHEN rs AND has_new AND agree AND clean THEN 'ai_confirmed_or_extended_old'
   WHEN rs AND has_new AND agree AND has_old THEN 'ai_resolved_old_problematic_row' WHEN rs AND has_new AND agree THEN 'new_ai_collected' WHEN rs AND has_new THEN 'manual_review_conflict' WHEN has_old AND clean THEN 'keep_old_unverified'
-  WHEN has_old THEN 'keep_old_but_flag_for_review' WHEN has_new THEN 'new_ai_collected' ELSE 'unresolved' END AS final_status, coalesce(new_age, old_age) AS age, coalesce(new_f, old_f) AS female FROM y""")
+  WHEN has_old THEN 'keep_old_but_flag_for_review' WHEN has_new THEN 'new_ai_collected' ELSE 'unresolved' END AS final_status, CAST(coalesce(new_age, old_age) AS DOUBLE) AS age, coalesce(new_f, old_f) AS female FROM y""")
 def final_status(spark: SparkSession, d: str) -> DataFrame:
     rows = cases(spark, d)
     known: dict[str, Column] = {n: F.col(f"{n}_age").isNotNull() | F.col(f"{n}_f").isNotNull() for n in ("old", "new")}
@@ -406,7 +406,7 @@ m AS (SELECT o.id, o.status AS s0, o.resolved AS r0, o.age AS a0, o.male AS m0,
   coalesce(CASE lower(n.resolved) WHEN 'true' THEN true WHEN 'no' THEN false END, CASE lower(o.resolved) WHEN 'true' THEN true WHEN 'no' THEN false END) AS r1, coalesce(n.age, o.age) AS a1, coalesce(n.male, o.male) AS m1,
   CASE WHEN n.name <> '' THEN n.name ELSE o.name END AS n1, coalesce(n.leaders, o.leaders) AS l1, coalesce(n.confidence, o.confidence) AS c1 FROM r o JOIN n USING (id)),
 f AS (SELECT *, coalesce(lower(r0), '') = 'true' AS was, coalesce(r1, false) AS now, n0 <> '' OR l0 > 0 AS k0, n1 <> '' OR l1 > 0 AS k1 FROM m)
-SELECT id, s1 AS status, r1 AS resolved, a1 AS age, m1 AS male, n1 AS name, (s0 <> 'ok' AND s1 = 'ok') OR (NOT was AND now) OR (a0 IS NULL AND a1 IS NOT NULL) OR (m0 IS NULL AND m1 IS NOT NULL) OR (NOT k0 AND k1)
+SELECT id, s1 AS status, r1 AS resolved, CAST(a1 AS DOUBLE) AS age, CAST(m1 AS DOUBLE) AS male, n1 AS name, (s0 <> 'ok' AND s1 = 'ok') OR (NOT was AND now) OR (a0 IS NULL AND a1 IS NOT NULL) OR (m0 IS NULL AND m1 IS NOT NULL) OR (NOT k0 AND k1)
   OR (NOT was AND NOT now AND k1 AND (NOT k0 OR coalesce(c1 > c0 + 0.15, false))) AS improved FROM f""")
 def repair_merge(spark: SparkSession, d: str) -> DataFrame:
     """New values are preferred by type: numbers where known, texts where not empty, flags where readable."""
@@ -492,3 +492,54 @@ def apply_no_overwrite(spark: SparkSession, d: str) -> DataFrame:
     bucket = R.review_bucket(F.col("resolved"), F.lit("no_clear_party_match"), F.col("allowed"), F.col("trust"), x)
     accepted = R.may_apply(F.lit(""), bucket, F.col("trust"), manual=False)
     return rows.select("id", *R.never_overwrite(F.when(F.col("id") % 3 == 0, F.col("id") * 10), F.when(truthy(accepted), F.col("id"))))
+
+
+#: Outcomes in words, so that every reason occurs.
+REASONS = """n AS (SELECT o_orderkey AS id, o_orderkey % 7 = 0 AS resolved, o_orderkey % 11 = 0 AS generic, (['', 'insufficient_evidence', 'no_clear_party_match'])[CAST(o_orderkey % 3 AS INT) + 1] AS status,
+  CASE o_orderkey % 4 WHEN 0 THEN 'The true party is absent.' WHEN 1 THEN 'Unclear' END AS summary, CASE WHEN o_orderkey % 13 = 0 THEN 'given_reason' END AS explicit, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS name FROM orders)"""
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        k.alias("id"), (k % 7 == 0).alias("resolved"), (k % 11 == 0).alias("generic"), F.when(k % 3 == 1, "insufficient_evidence").when(k % 3 == 2, "no_clear_party_match").otherwise("").alias("status"),
+        F.when(k % 4 == 0, "The true party is absent.").when(k % 4 == 1, "Unclear").alias("summary"), F.when(k % 13 == 0, "given_reason").alias("explicit"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("name"),
+    )
+
+
+@query(f"""WITH {REASONS}, r AS (SELECT *, CASE WHEN explicit IS NOT NULL THEN explicit WHEN resolved THEN 'not_applicable' WHEN generic THEN 'generic_nonparty_option' WHEN status = 'insufficient_evidence' THEN status
+  WHEN contains(lower(coalesce(summary, '')), 'true party is absent') THEN 'candidate_absent_from_allowed_list' WHEN status <> '' THEN status ELSE 'no_clear_party_match' END AS reason FROM n)
+SELECT id, reason, CASE WHEN reason = 'candidate_absent_from_allowed_list' THEN coalesce(name, '') ELSE '' END AS absent,
+  CASE WHEN resolved THEN '2 source(s); 1 domain(s); flags: only_one' WHEN reason <> 'candidate_absent_from_allowed_list' THEN 'No positive match; left unmatched.'
+  WHEN name IS NULL THEN 'No positive match; identifiable party/list appears absent from the allowed MPD candidates.' ELSE 'No positive match; identifiable party/list appears absent from the allowed MPD candidates: ' || name || '.' END AS note FROM r""")
+def nonmatch_reason(spark: SparkSession, d: str) -> DataFrame:
+    """Why there is no match, which party was meant, and the note for the reviewer."""
+    rows = outcomes(spark, d)
+    reason = R.nonmatch_reason(F.col("explicit"), F.col("resolved"), F.col("generic"), F.col("status"), [F.col("summary"), F.col("name")])
+    absent = R.absent_party(F.lit(""), reason, [F.col("name")])
+    counts = {k: F.lit(v) for k, v in (("n", 2), ("domains", 1), ("high", 0), ("independent", 0), ("party_official", 0))}
+    note = R.trust_note(F.col("resolved"), reason, absent, counts, F.lit(""), F.lit("only_one"))
+    return rows.select("id", reason.alias("reason"), absent.alias("absent"), note.alias("note"))
+
+
+@query("""WITH old AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'yes' END AS approve_apply, 'checked' AS reviewer_note FROM orders WHERE o_orderkey % 3 = 0)
+SELECT o_orderkey AS id, coalesce(approve_apply, '') AS approve_apply, coalesce(reviewer_note, '') AS reviewer_note, coalesce(approve_apply, '') = 'yes' AS applies FROM orders LEFT JOIN old ON o_orderkey = id""")
+def review_approvals(spark: SparkSession, d: str) -> DataFrame:
+    """A rebuilt review keeps what reviewers entered; only approved rows apply."""
+    k = F.col("o_orderkey")
+    review = table(spark, d, "orders").select(k.alias("id"))
+    old = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(k.alias("id"), F.when(k % 6 == 0, "yes").alias("approve_apply"), F.lit("checked").alias("reviewer_note"))
+    out = R.with_approvals(review, old, "id")
+    return out.withColumn("applies", R.may_apply(F.col("approve_apply"), F.lit(""), F.lit(0), manual=True))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS custom_id, 'Order: ' || CAST(o_orderkey AS VARCHAR) || chr(10) || 'Priority: ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'Status: ' || o_orderstatus ELSE '' END AS prompt,
+  'm' AS model FROM orders WHERE o_orderkey < 200""")
+def request_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as JSON lines: labelled values, without those that are missing."""
+    rows = table(spark, d, "orders").where("o_orderkey < 200")
+    prompt = T.labelled_lines({"Order": F.col("o_orderkey").cast("string"), "Priority": F.col("o_orderpriority"), "Status": F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))})
+    body = F.to_json(F.struct(F.lit("m").alias("model"), prompt.alias("input")))
+    line = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("custom_id"), body.alias("body")))
+    back = rows.select(F.from_json(line, "custom_id string, body string").alias("r")).select("r.*")
+    return back.select("custom_id", F.get_json_object("body", "$.input").alias("prompt"), F.get_json_object("body", "$.model").alias("model"))
