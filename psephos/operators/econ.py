@@ -43,15 +43,29 @@ def usable(df: DataFrame, names: list[str]) -> DataFrame:
     return df.where(cond)
 
 
-def gram(df: DataFrame, names: list[str], weight=None) -> np.ndarray:
-    """Sums of products of the columns, optionally weighted; one pass."""
+@dataclass
+class Sums:
+    """Sums of products of columns, their own sums and the number of rows; one pass over the data."""
+
+    products: np.ndarray
+    sums: np.ndarray
+    n: int
+
+
+def sums(df: DataFrame, names: list[str], weight=None) -> Sums:
     w = F.lit(1.0) if weight is None else weight
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = df.agg(*(F.sum(F.col(names[i]) * F.col(names[j]) * w).alias(f"s{k}") for k, (i, j) in enumerate(pairs))).first()
+    products = [F.sum(F.col(names[i]) * F.col(names[j]) * w).alias(f"s{k}") for k, (i, j) in enumerate(pairs)]
+    row = df.agg(*products, *(F.sum(F.col(n) * w).alias(f"t{k}") for k, n in enumerate(names)), F.count("*").alias("n")).first()
     out = np.zeros((len(names), len(names)))
     for k, (i, j) in enumerate(pairs):
         out[i, j] = out[j, i] = row[k] or 0.0
-    return out
+    return Sums(out, np.array([row[f"t{k}"] or 0.0 for k in range(len(names))]), row.n)
+
+
+def gram(df: DataFrame, names: list[str], weight=None) -> np.ndarray:
+    """Sums of products of the columns, optionally weighted."""
+    return sums(df, names, weight).products
 
 
 def linear(names: list[str], b: np.ndarray):
@@ -64,9 +78,8 @@ def linear(names: list[str], b: np.ndarray):
 def ols(df: DataFrame, y: str, x: list[str]) -> Fit:
     """Least squares without a constant, HC1 covariance."""
     rows = usable(df, [y, *x])
-    n = rows.count()
-    g = gram(rows, [*x, y])
-    k = len(x)
+    total = sums(rows, [*x, y])
+    g, n, k = total.products, total.n, len(x)
     inverse = np.linalg.pinv(g[:k, :k])
     b = inverse @ g[:k, k]
     meat = gram(rows, x, (F.col(y) - linear(x, b)) ** 2)
@@ -77,12 +90,11 @@ def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
     """Two-stage least squares with one endogenous regressor ``d``, controls ``w`` and excluded instruments ``z``; robust
     covariance without a small-sample factor, and the first stage's F of the instruments."""
     rows = usable(df, [y, d, *w, *z])
-    n = rows.count()
-    names = [*w, d]
+    names, q = [*w, d], [*w, *z]
+    total = sums(rows, [*w, *z, d, y])
+    g, n = total.products, total.n
     if n <= len(names) + 2:
         raise ValueError("too few usable observations")
-    q = [*w, *z]
-    g = gram(rows, [*w, *z, d, y])
     at = {c: i for i, c in enumerate([*w, *z, d, y])}
     xi, qi = [at[c] for c in names], [at[c] for c in q]
     qq = np.linalg.pinv(g[np.ix_(qi, qi)])
@@ -96,7 +108,7 @@ def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
         i = [at[c] for c in cols]
         return g[at[d], at[d]] - (g[at[d], i] @ np.linalg.pinv(g[np.ix_(i, i)]) @ g[i, at[d]] if i else 0.0)
 
-    restricted = rss(w) if w else g[at[d], at[d]] - (rows.agg(F.sum(d)).first()[0] ** 2) / n
+    restricted = rss(w) if w else g[at[d], at[d]] - total.sums[at[d]] ** 2 / n
     full = rss(q)
     df2 = max(n - len(q) - (0 if w else 1), 1)
     f = ((restricted - full) / len(z)) / max(full / df2, 1e-18) if z else math.nan

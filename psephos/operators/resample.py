@@ -26,8 +26,8 @@ def weighted_resample(df: DataFrame, market: str, order: str, weight: str, draws
     picks = known.select(market).distinct().select(market, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("agent_ids"))
     uniform = F.pmod(F.xxhash64(F.lit(seed), F.col(market), F.col("agent_ids")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     picks = picks.select(market, uniform.alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "agent_ids")
-    # a draw takes the first row at or after its number
-    later = Window.partitionBy(market).orderBy(F.col("_at"), F.col("agent_ids").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    # a draw takes the first row at or after its number: the last one seen when numbers run down (a growing frame)
+    later = Window.partitionBy(market).orderBy(F.col("_at").desc(), F.col("agent_ids").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     last = Window.partitionBy(market)
-    met = rows.unionByName(picks).withColumn("_hit", F.first("_row", ignorenulls=True).over(later)).withColumn("_end", F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_at"))).over(last))
+    met = rows.unionByName(picks).withColumn("_hit", F.last("_row", ignorenulls=True).over(later)).withColumn("_end", F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_at"))).over(last))
     return met.where("agent_ids IS NOT NULL").select(F.coalesce("_hit", "_end").alias("_r"), "agent_ids").select("_r.*", "agent_ids")
