@@ -7,27 +7,45 @@ from pyspark.sql import functions as F
 
 from psephos.functions.nulls import finite
 
+#: Parts that a market's rows are dealt to, so that a market of any size is spread over many tasks.
+PARTS = 64
 
-def weighted_resample(df: DataFrame, market: str, order: str, weight: str, draws: int = 200, seed: int = 20260307) -> DataFrame:
+
+def _held(rows: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
+    """For each pick (keys, _at, agent_ids) the ``_row`` of the first row (keys, _at, _row) of its group that lies at or after
+    it, else of the last one; one sorted pass over both together, no pair of them is formed."""
+    both = rows.select(*keys, "_at", "_row", F.lit(None).cast("int").alias("agent_ids")).unionByName(picks.select(*keys, "_at", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "agent_ids"))
+    # numbers run down, so that the last row seen is the one wanted and the frame only grows
+    down = Window.partitionBy(*keys).orderBy(F.col("_at").desc(), F.col("agent_ids").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_at"))).over(Window.partitionBy(*keys))
+    met = both.withColumn("_hit", F.coalesce(F.last("_row", ignorenulls=True).over(down), last))
+    return met.where("agent_ids IS NOT NULL").drop("_row").withColumnRenamed("_hit", "_row")
+
+
+def weighted_resample(df: DataFrame, market: str, order: str, weight: str, draws: int = 200, seed: int = 20260307, parts: int = PARTS) -> DataFrame:
     """``draws`` rows of each market, drawn in proportion to their weights, with ``agent_ids`` from 1.
 
     Weights that are missing, infinite or not positive draw nothing; a market without a valid weight draws evenly. Each draw is
     a uniform number made of seed, market and draw, so results do not depend on partitioning; it falls into the row whose
-    interval of cumulated weight holds it. A market's draws find their rows by one sorted pass over rows and draws together
-    (no pair of both is formed).
+    interval of cumulated weight holds it. Rows are cumulated within parts of a market and the parts' sums, few numbers, among
+    each other, so that no task has a market to itself.
     """
+    known = df.where(F.col(market).isNotNull()).withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
     valid = finite(weight) & (F.col(weight) > 0)
+    weighed = known.withColumn("_valid", F.when(valid, F.col(weight)).otherwise(0.0))
+    sums = weighed.groupBy(market, "_part").agg(F.sum("_valid").alias("_sum"), F.count("*").alias("_n"))
     w = Window.partitionBy(market)
-    running = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    known = df.where(F.col(market).isNotNull())
-    p = known.withColumn("_p", F.when(F.max(valid).over(w), F.when(valid, F.col(weight)).otherwise(0.0)).otherwise(1.0))
-    cumulated = p.withColumn("_to", F.sum("_p").over(running)).withColumn("_all", F.sum("_p").over(w)).where("_p > 0")
-    rows = cumulated.withColumn("_at", F.col("_to") / F.col("_all")).select(market, "_at", F.struct(*df.columns).alias("_row"), F.lit(None).cast("int").alias("agent_ids"))
-    picks = known.select(market).distinct().select(market, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("agent_ids"))
+    even = F.max("_sum").over(w) <= 0
+    sums = sums.withColumn("_even", even).withColumn("_sum", F.when(F.col("_even"), F.col("_n").cast("double")).otherwise(F.col("_sum"))).where("_sum > 0")
+    sums = sums.withColumn("_to", F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_sum").over(w))
+
+    places = sums.select(market, F.col("_to").alias("_at"), F.struct("_part", (F.col("_to") - F.col("_sum")).alias("_from")).alias("_row"))
     uniform = F.pmod(F.xxhash64(F.lit(seed), F.col(market), F.col("agent_ids")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    picks = picks.select(market, uniform.alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "agent_ids")
-    # a draw takes the first row at or after its number: the last one seen when numbers run down (a growing frame)
-    later = Window.partitionBy(market).orderBy(F.col("_at").desc(), F.col("agent_ids").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    last = Window.partitionBy(market)
-    met = rows.unionByName(picks).withColumn("_hit", F.last("_row", ignorenulls=True).over(later)).withColumn("_end", F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_at"))).over(last))
-    return met.where("agent_ids IS NOT NULL").select(F.coalesce("_hit", "_end").alias("_r"), "agent_ids").select("_r.*", "agent_ids")
+    picks = sums.select(market, "_all").distinct().select(market, "_all", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("agent_ids"))
+    picks = _held(places, picks.select(market, (uniform * F.col("_all")).alias("_at"), "agent_ids"), [market])
+    picks = picks.select(market, F.col("_row._part").alias("_part"), (F.col("_at") - F.col("_row._from")).alias("_at"), "agent_ids")
+
+    rows = weighed.join(sums.select(market, "_part", "_even"), [market, "_part"]).withColumn("_p", F.when(F.col("_even"), 1.0).otherwise(F.col("_valid"))).where("_p > 0")
+    running = Window.partitionBy(market, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(market, "_part", F.sum("_p").over(running).alias("_at"), F.struct(*df.columns).alias("_row"))
+    return _held(rows, picks, [market, "_part"]).select("_row.*", "agent_ids")
