@@ -14,6 +14,10 @@ from psephos.llm import contamination, near_duplicates, pii, sentencepiece_codec
 from psephos.llm.common import workspace
 
 
+#: Per cent of shingles that two documents share to be near-duplicates here (85 is op1's own rule).
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     return toxicity.keep_clean(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return near_duplicates.one_of_each_group(docs)
+    return near_duplicates.one_of_each_group(docs, NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

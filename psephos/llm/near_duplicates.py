@@ -1,6 +1,7 @@
 """Near-duplicate groups by MinHash with sequential Bayesian verification.
 
-Documents are sets of distinct five-word shingles; two are linked if 100 * |both| >= 85 * |either|. The steps:
+Documents are sets of distinct five-word shingles; two are linked if 100 * |both| >= percent * |either|, where
+``percent`` is 85 unless given. The steps:
 
 1. One pass over the texts leaves a sketch of each document: size and digest of its set and a MinHash signature. Documents
    with one and the same set form a class, and only its smallest id goes on (exact copies never become pairs).
@@ -15,7 +16,7 @@ Documents are sets of distinct five-word shingles; two are linked if 100 * |both
    have been tried, so that no link between different components is left out.
 5. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
-With 24 bands of 5 positions a pair at the threshold shares no band with probability below 1e-6.
+A pair at the threshold shares no band with probability below 1e-6: 24 bands of 5 positions at 85 per cent, 27 of 4 at 80.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text of fewer than five words has its whole
 sequence as its one shingle; rows of one id are one document, linked if any of its texts is; a null id is never linked, has a
@@ -24,6 +25,7 @@ null component and stays; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 from psephos.llm.common import arrow_map, batch_of, gram_hashes, hashed_words, mix, saved, small_batches
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= PERCENT * union, unless another threshold is given.
 PERCENT = 85
-BANDS = 24
-ROWS = 5
-POSITIONS = BANDS * ROWS
+POSITIONS = 120
+#: Probability below which a pair at the threshold may share no band.
+UNSEEN = 1e-6
 #: Signature positions compared at once.
 BATCH = 24
 #: Posterior probability of reaching the threshold below which a pair is dropped.
@@ -73,8 +75,18 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
-@lru_cache(maxsize=1)
-def least_matches() -> list[int]:
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """(bands, rows): the longest bands, and no more of them than it takes to miss a pair at the threshold less often than UNSEEN."""
+    for rows in range(POSITIONS, 0, -1):
+        seen = (percent / 100) ** rows
+        bands = math.ceil(math.log(UNSEEN) / math.log1p(-seen)) if seen < 1 else 1
+        if bands * rows <= POSITIONS:
+            return bands, rows
+    raise ValueError(f"{POSITIONS} positions are too few for {percent} per cent")
+
+
+@lru_cache(maxsize=8)
+def least_matches(percent: int = PERCENT) -> list[int]:
     """For each batch end n the fewest of n matching positions with which a pair may go on: the least m for which the posterior
     Beta(m + 1, n - m + 1) puts at least MISS on similarities of the threshold and above."""
     grid = (np.arange(200_000) + 0.5) / 200_000
@@ -83,32 +95,32 @@ def least_matches() -> list[int]:
         for m in range(n + 1):
             log = m * np.log(grid) + (n - m) * np.log1p(-grid)
             weight = np.exp(log - log.max())
-            if weight[grid >= PERCENT / 100].sum() >= MISS * weight.sum():
+            if weight[grid >= percent / 100].sum() >= MISS * weight.sum():
                 break
         out.append(m)
     return out
 
 
-def survivors(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def survivors(left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which pairs of signature rows the posterior bounds let through, batch by batch."""
     alive = np.arange(len(left))
     matches = np.zeros(len(left), np.int64)
-    for k, least in enumerate(least_matches()):
+    for k, least in enumerate(least_matches(percent)):
         cut = slice(k * BATCH, (k + 1) * BATCH)
         matches[alive] += (left[alive, cut] == right[alive, cut]).sum(axis=1)
         alive = alive[matches[alive] >= least]
     return alive
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """The exact test on two sorted distinct sets."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -128,34 +140,35 @@ def sketches(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, fn, "doc_id bigint, n_shingles bigint, digest binary, sig binary")
 
 
-def band_keys(classes: DataFrame) -> DataFrame:
+def band_keys(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, id) of each band of each class."""
     types = {"key": pa.int64(), "id": pa.int64()}
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    bands, rows = banding(percent)
+    salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u4").reshape(-1, POSITIONS)[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
         key = np.broadcast_to(salt, sig.shape[:2]).copy()
         with np.errstate(over="ignore"):
-            for k in range(ROWS):
+            for k in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-        return batch_of({"key": key.ravel().view(np.int64), "id": np.repeat(b.column("id").to_numpy(), BANDS)}, types)
+        return batch_of({"key": key.ravel().view(np.int64), "id": np.repeat(b.column("id").to_numpy(), bands)}, types)
 
     return arrow_map(classes.select("id", "sig"), fn, "key bigint, id bigint")
 
 
-def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that the sequential comparison of their signatures lets through."""
     rows = pairs.join(sigs.toDF("a", "sa").hint("merge"), "a").join(sigs.toDF("b", "sb").hint("merge"), "b").select("a", "b", "sa", "sb")
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u4").reshape(-1, POSITIONS) for k in ("sa", "sb"))
-        return b.select(["a", "b"]).take(pa.array(survivors(left, right)))
+        return b.select(["a", "b"]).take(pa.array(survivors(left, right, percent)))
 
     return arrow_map(rows, fn, "a bigint, b bigint")
 
 
-def linked_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+def linked_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between members ``outside`` (key, id, comp) and the other components among the members ``placed`` of the
     same bucket: at least one for each such member and component that have any.
 
@@ -187,7 +200,7 @@ def linked_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame, texts:
                 sets: dict[int, np.ndarray] = {}
                 for i in range(len(xi)):
                     at = np.flatnonzero(yc != xc[i])
-                    at = at[survivors(np.broadcast_to(xs[i], (len(at), POSITIONS)), ys[at])]
+                    at = at[survivors(np.broadcast_to(xs[i], (len(at), POSITIONS)), ys[at], percent)]
                     if not len(at):
                         continue
                     at = at[np.argsort(-(ys[at] == xs[i]).sum(axis=1), kind="stable")]
@@ -197,7 +210,7 @@ def linked_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame, texts:
                             continue
                         if j not in sets:
                             sets[j] = shingles(yt[j].as_py())
-                        if linked(mine, sets[j]):
+                        if linked(mine, sets[j], percent):
                             reached.add(yc[j])
                             found.add((min(int(xi[i]), int(yi[j])), max(int(xi[i]), int(yi[j]))))
             if found:
@@ -206,7 +219,7 @@ def linked_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame, texts:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that are linked on their full sets.
 
     Rows of a hub ``a`` are dealt out in groups of about GROUP members, each with a copy of the hub's text, so that a hub of
@@ -230,7 +243,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 own = shingles(text)
                 if not member:
                     heads.append(own)
-                elif any(linked(h, own) for h in heads):
+                elif any(linked(h, own, percent) for h in heads):
                     out.append((hub, doc_id))
             if out:
                 yield batch_of({"a": [x for x, _ in out], "b": [y for _, y in out]}, types)
@@ -261,12 +274,12 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
         now = saved(small.where("u <> v").distinct(), "edges", state[0])
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the linked classes.
 
     Aggregates over buckets are written before they are joined back, so that the joins may split a large bucket's rows.
     """
-    keys = saved(band_keys(classes), "bands")
+    keys = saved(band_keys(classes, percent), "bands")
     full = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
     buckets = saved(keys.join(full, "key"), "buckets")
     rows = buckets.count()  # what follows has no more rows than this
@@ -282,14 +295,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         hubs = placed.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         hubs = saved(hubs.where("c0 <> c1").select("key", F.col("hub.id").alias("h"), F.col("hub.comp").alias("hc")), "hubs", rows)
         stars = placed.join(hubs, "key").where("comp <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
-        found = _joined(found, verified(saved(plausible(stars, sigs), "plausible", rows), texts), rows)
+        found = _joined(found, verified(saved(plausible(stars, sigs, percent), "plausible", rows), texts, percent), rows)
 
     placed = _placed(buckets, found)
     hubs = placed.groupBy("key").agg(F.min_by("comp", "id").alias("hc"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     outside = saved(placed.join(hubs.select("key", "hc"), "key").where("comp <> hc").drop("hc"), "outside", rows)
     if outside.isEmpty():
         return found
-    rest = saved(linked_across(placed, outside, sigs, texts), "links", rows)
+    rest = saved(linked_across(placed, outside, sigs, texts, percent), "links", rows)
     return found if rest.isEmpty() else _joined(found, rest, rows)
 
 
@@ -307,21 +320,21 @@ def _joined(found: DataFrame | None, pairs: DataFrame, rows: int) -> DataFrame:
     return components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(pairs), rows)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketched = saved(sketches(rows), "sketches")
     full = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    found = links(rows.where("doc_id IS NOT NULL"), classes)
+    found = links(rows.where("doc_id IS NOT NULL"), classes, percent)
     label = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with their own columns, but those of documents that are not the smallest of their component."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
