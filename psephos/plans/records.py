@@ -37,8 +37,7 @@ _NORM = "trim(regexp_replace(lower(regexp_replace(trim(coalesce(x, '')), '\\s+',
 FROM documents WHERE lang IN ('fr', 'es')""")
 def norm_name(spark: SparkSession, d: str) -> DataFrame:
     """Names without and with folded accents."""
-    rows = table(spark, d, "documents").where("lang IN ('fr', 'es')").select("doc_id", F.substring("text", 1, 60).alias("x"))
-    return rows.select("doc_id", T.norm_name("x").alias("plain"), T.match_name("x").alias("folded"))
+    return table(spark, d, "documents").select("doc_id", T.norm_name("text").alias("plain"), T.match_name("text").alias("folded"))
 
 
 @query(f"WITH {RESPONDENTS} SELECT DISTINCT market, year, lower(replace(substring(market, 1, 4) || CAST(year AS VARCHAR), ' ', '')) AS election FROM respondents")
