@@ -25,7 +25,7 @@ TEXTS = f"t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 12 THEN NUL
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").where("o_orderkey < 2600").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 13).alias("k"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 13).alias("k"))
     return rows.withColumn("x", F.get(F.array(*(F.lit(s) for s in SAMPLES)), F.col("k").cast("int")))
 
 
@@ -78,8 +78,7 @@ def bool_like(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TEXTS} SELECT id, {_CLEAN} AS cleaned, CASE WHEN {_CLEAN} <> '' THEN {_CLEAN} ELSE 'id ' || CAST(id AS VARCHAR) END AS shown, try_cast(x AS DOUBLE) AS num FROM (SELECT * FROM t WHERE coalesce(x, '') <> 'nan')")
 def clean_and_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    rows = texts(spark, d).where("coalesce(x, '') <> 'nan'")
-    return rows.select("id", clean_text("x").alias("cleaned"), first_text("x", F.concat(F.lit("id "), F.col("id").cast("string"))).alias("shown"), to_num("x").alias("num"))
+    return texts(spark, d).select("id", clean_text("x").alias("cleaned"), first_text("x", F.concat(F.lit("id "), F.col("id").cast("string"))).alias("shown"), to_num("x").alias("num"))
 
 
 _URL = r"regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?', {})"
