@@ -33,7 +33,7 @@ def canonical_name(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{NAMED} SELECT suppkey, string_agg(DISTINCT name, ' || ' ORDER BY name) AS aliases, count(DISTINCT name) AS n_names FROM named WHERE suppkey < 40 GROUP BY 1""")
 def alias_lists(spark: SparkSession, d: str) -> DataFrame:
-    return named(spark, d).where("suppkey < 40").groupBy("suppkey").agg(A.alias_list("name").alias("aliases"), F.countDistinct("name").alias("n_names"))
+    return named(spark, d).groupBy("suppkey").agg(A.alias_list("name").alias("aliases"), F.countDistinct("name").alias("n_names"))
 
 
 @query(f"""{NAMED}, g AS (
@@ -53,8 +53,7 @@ def entity_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {RESPONDENTS}, k AS (SELECT DISTINCT lower(substring(replace(market, ' ', ''), 1, 4)) || CAST(year AS VARCHAR) AS election, country || '|' || CAST(day AS VARCHAR) || '|' || coalesce(CAST(party AS VARCHAR), '') AS stable_key FROM respondents WHERE suppkey < 3)
 SELECT election, stable_key FROM k""")
 def stable_key_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = respondents(spark, d).where("suppkey < 3")
-    return rows.select(election_key("market", "year").alias("election"), joined_key("country", F.col("day").cast("string"), "party").alias("stable_key")).distinct()
+    return respondents(spark, d).select(election_key("market", "year").alias("election"), joined_key("country", F.col("day").cast("string"), "party").alias("stable_key")).distinct()
 
 
 @query(f"""{NAMED} SELECT suppkey, year, arg_min(name, rid) FILTER (name IS NOT NULL) AS first_name, arg_min(x1, rid) FILTER (x1 IS NOT NULL) AS first_x1, max(w) AS top, sum(w) AS total
@@ -160,7 +159,7 @@ def candidate_rank_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_name").alias("name"))
-    g = respondents(spark, d).where("suppkey < 30").groupBy("country", "year", "suppkey").agg(F.sum("w").alias("w")).join(names, "suppkey")
+    g = respondents(spark, d).groupBy("country", "year", "suppkey").agg(F.sum("w").alias("w")).join(names, "suppkey")
     ranked = J.ranked_candidates(g, ["country", "year"], [F.col("w").desc_nulls_last(), "suppkey"])
     return ranked.withColumn("label", party_label(F.concat(F.lit("S"), F.col("suppkey").cast("string")), "name"))
 
@@ -190,7 +189,7 @@ PASSES = [
 
 def match_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), "s_name")
-    t = respondents(spark, d).where("suppkey < 40").join(names, "suppkey").groupBy("country", "year", F.col("suppkey").alias("id"), "s_name").agg(F.round(F.sum("w") / 1000, 3).alias("share"))
+    t = respondents(spark, d).join(names, "suppkey").groupBy("country", "year", F.col("suppkey").alias("id"), "s_name").agg(F.round(F.sum("w") / 1000, 3).alias("share"))
     t = t.withColumn("eng", norm_name("s_name")).withColumn("loc", F.when(F.col("id") % 3 == 0, F.concat(F.lit("local "), F.col("id").cast("string"))).otherwise("")).drop("s_name")
     old = t.where("id % 7 <> 3").select(
         "country", "year", F.col("id").alias("old_id"), F.when(F.col("id") % 5 == 0, "other name").otherwise(F.col("eng")).alias("eng"), "loc",
