@@ -19,7 +19,7 @@ from psephos.plans import shares as P
 from psephos.plans.base import RESPONDENTS, respondents, table
 from psephos.plans.registry import query
 from psephos.sources.sinks import stage_types
-from psephos.streaming.collect import collect, replay
+from psephos.streaming.collect import collect, recorded
 
 Z = ["z1", "z2", "z3"]
 SUPPLY = f"""{P.PANEL}, zs AS (SELECT country, year, avg(balance) / 1000 AS z1, avg(x2) * 10 AS z2, avg(CASE WHEN segment = 'BUILDING' THEN 1.0 ELSE 0.0 END) AS z3 FROM respondents GROUP BY 1, 2),
@@ -152,7 +152,7 @@ def raw_answers(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("Party page").alias("title"), F.format_string("https://party%d.example/?utm_source=a", k % 4).alias("url"), F.lit("").alias("publisher"), F.lit("official website").alias("why_relevant")),
         F.struct(F.lit("").alias("title"), F.format_string("http://en.wikipedia.org/wiki/P%d", k % 2).alias("url"), F.lit("").alias("publisher"), F.lit("context").alias("why_relevant")),
     )
-    return table(spark, d, "events").where("event_id < 500").select("event_id", raw.alias("raw"), model.alias("model"))
+    return table(spark, d, "events").select("event_id", raw.alias("raw"), model.alias("model"))
 
 
 @query("SELECT event_id, event_id AS usage_input_tokens, CAST(5 AS BIGINT) AS usage_output_tokens, CAST(9 AS BIGINT) AS usage_total_tokens, CAST(1 AS INT) AS web_search_calls FROM events WHERE event_id < 500")
@@ -186,10 +186,11 @@ def sources_dedupe(spark: SparkSession, d: str) -> DataFrame:
 WHERE c_custkey < 300 AND c_custkey % 5 <> 0""")
 def enrichment_resume(spark: SparkSession, d: str) -> DataFrame:
     """Recorded answers are replayed for what has no good answer yet."""
-    targets = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").cast("string").alias("target_id"))
-    done = targets.where("CAST(target_id AS INT) % 5 = 0").withColumn("status", F.lit("ok"))
-    known = {str(k): ('{"resolved": true}' if k % 3 == 0 else "{broken}") for k in range(300) if k % 3 != 1}
-    return collect(targets, replay(known), done).select("target_id", "status", "tries")
+    k = F.col("target_id").cast("bigint")
+    targets = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("target_id"))
+    done = targets.where(k % 5 == 0).withColumn("status", F.lit("ok"))
+    known = targets.where(k % 3 != 1).withColumn("answer", F.when(k % 3 == 0, '{"resolved": true}').otherwise("{broken}"))
+    return collect(targets.join(known, "target_id", "left"), recorded, done).select("target_id", "status", "tries")
 
 
 @query("""SELECT CAST(o_orderkey AS DOUBLE) AS orderkey, CAST(o_orderkey % 7 AS DOUBLE) AS code, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderpriority END AS priority FROM orders""")

@@ -243,7 +243,7 @@ ans AS (SELECT *, CASE event_id % 5 WHEN 1 THEN '```json' || chr(10) || body ||
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id < 2000").select("event_id", "user_id", F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     k, n = F.col("k"), F.col("event_id") % 5
     text = F.concat
     lit = F.lit
@@ -535,7 +535,7 @@ def review_approvals(spark: SparkSession, d: str) -> DataFrame:
   'm' AS model FROM orders WHERE o_orderkey < 200""")
 def request_lines(spark: SparkSession, d: str) -> DataFrame:
     """Requests as JSON lines: labelled values, without those that are missing."""
-    rows = table(spark, d, "orders").where("o_orderkey < 200")
+    rows = table(spark, d, "orders")
     prompt = T.labelled_lines({"Order": F.col("o_orderkey").cast("string"), "Priority": F.col("o_orderpriority"), "Status": F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))})
     body = F.to_json(F.struct(F.lit("m").alias("model"), prompt.alias("input")))
     line = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("custom_id"), body.alias("body")))

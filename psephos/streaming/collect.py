@@ -59,6 +59,11 @@ def replay(answers: dict[str, str]) -> Callable[[dict], str]:
     return lambda request: answers.get(request["target_id"], "")
 
 
+def recorded(request: dict) -> str:
+    """A provider whose answers come with the requests, as a column that is NULL where there is none."""
+    return request["answer"] or ""
+
+
 def collect(targets: DataFrame, ask: Callable[[dict], str], done: DataFrame | None = None) -> DataFrame:
     """Answers for the targets that ``done`` has no good answer for; each partition asks for its own."""
     todo = targets if done is None else targets.join(done.where("status = 'ok'").select("target_id"), "target_id", "left_anti")
