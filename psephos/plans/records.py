@@ -88,12 +88,12 @@ PARTS = f"u AS (SELECT page_id, url, lower({_URL.format(1)}) AS scheme, replace(
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    u = F.col("url")
+    u, plain = F.col("url"), F.regexp_extract("url", "^[^#]*", 0)
     changed = (
-        F.when(F.col("page_id") % 4 == 0, F.concat(u, F.when(u.contains("?"), "&").otherwise("?"), F.lit("utm_source=x")))
+        F.when(F.col("page_id") % 4 == 0, F.concat(plain, F.when(plain.contains("?"), "&").otherwise("?"), F.lit("utm_source=x"), F.regexp_extract(u, "#.*$", 0)))
         .when(F.col("page_id") % 4 == 1, F.replace(u, F.lit("://"), F.lit("://www."))).when(F.col("page_id") % 4 == 2, F.replace(u, F.lit("/en/"), F.lit("//en//"))).otherwise(u)
     )
-    return table(spark, d, "pages").where(~u.contains("#")).select("page_id", changed.alias("url"))
+    return table(spark, d, "pages").select("page_id", changed.alias("url"))
 
 
 @query(f"""WITH {PAGES}, {PARTS}, k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: NOT (starts_with(lower(x), 'utm_') OR starts_with(lower(x), 'fbclid=') OR starts_with(lower(x), 'gclid='))), '&') AS kept FROM u)
