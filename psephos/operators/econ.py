@@ -302,7 +302,7 @@ class Demand:
 
     def moments(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """The GMM objective, the concentrated linear parameters and the weight matrix of the next step."""
-        rows = products.join(self.deltas(products, agents, sigma, pi).select("market", "product", "delta"), ["market", "product"])
+        rows = products.join(self.deltas(products, agents, sigma, pi).select("market", "product", "delta"), ["market", "product"]).cache()  # read twice
         names = [*self.linear, *self.instruments]
         g = gram(rows, [*names, "delta"])
         k, m = len(self.linear), len(self.instruments)
@@ -311,6 +311,7 @@ class Demand:
         beta = np.linalg.pinv(zx.T @ w @ zx) @ (zx.T @ w @ zd)
         gap = zd - zx @ beta
         next_weight = np.linalg.pinv(gram(rows, self.instruments, (F.col("delta") - linear(self.linear, beta)) ** 2))
+        rows.unpersist()
         return float(gap @ w @ gap), beta, next_weight
 
     def fit(self, products: DataFrame, agents: DataFrame, start: np.ndarray, steps: int = 2, iterations: int = 25) -> dict[str, object]:

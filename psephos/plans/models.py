@@ -109,15 +109,17 @@ def collinear_prune(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def demand_random_coefficients(spark: SparkSession, d: str) -> DataFrame:
-    """One GMM evaluation of a random-coefficients logit: deltas by contraction in each market's own task."""
-    rows = P.products(spark, d).where("x1 IS NOT NULL AND year < 1997").withColumn("id", F.concat_ws("|", "market", F.col("year").cast("string")))
+    """Two-step GMM of a random-coefficients logit on all markets: deltas by contraction in each market's own task."""
+    rows = P.products(spark, d).where("x1 IS NOT NULL").withColumn("id", F.concat_ws("|", "market", F.col("year").cast("string")))
     shares = W.rescaled("s", ["id"], 0.95)
     rows = rows.withColumn("s", F.col("share")).select(F.col("id").alias("market"), F.col("party").alias("product"), shares.alias("share"), F.lit(1.0).alias("one"), (F.col("x1") * 10).alias("x"), (F.col("x2") * 10).alias("z"))
-    people = respondents(spark, d).where("year < 1997").withColumn("market", F.concat_ws("|", "market", F.col("year").cast("string")))
-    agents = weighted_resample(people.select("market", "rid", "w", (F.col("balance") / 10000).alias("income")), "market", "rid", "w", 50)
-    model = E.Demand(linear=["one", "x"], random=["x"], demographics=["income"], instruments=["one", "x", "z"], nodes=50, tolerance=1e-9)
-    value, beta, _ = model.moments(rows, agents.select("market", F.col("agent_ids").alias("agent"), "income"), np.array([0.5]), np.array([[0.1]]))
-    return _row(spark, objective=round(value, 4), constant=round(float(beta[0]), 4), slope=round(float(beta[1]), 4))
+    rows = rows.withColumns({"zz": F.col("z") ** 2, "xz": F.col("x") * F.col("z")})  # four parameters need as many instruments
+    people = respondents(spark, d).withColumn("market", F.concat_ws("|", "market", F.col("year").cast("string")))
+    agents = weighted_resample(people.select("market", "rid", "w", (F.col("balance") / 10000).alias("income")), "market", "rid", "w", 200).select("market", F.col("agent_ids").alias("agent"), "income")
+    model = E.Demand(linear=["one", "x"], random=["x"], demographics=["income"], instruments=["one", "x", "z", "zz", "xz"], nodes=200, tolerance=1e-9)
+    fit = model.fit(rows.cache(), agents.cache(), np.array([0.5, 0.1]))  # small: some rows and 200 agents a market
+    sigma, pi, beta = (np.ravel(fit[k]).tolist() for k in ("sigma", "pi", "beta"))
+    return _row(spark, sigma=round(sigma[0], 4), pi=round(pi[0], 4), constant=round(beta[0], 4), slope=round(beta[1], 4), objective=round(fit["objective"], 4))
 
 
 @query(f"""WITH {RESPONDENTS}, s AS (SELECT country, year, avg(w) AS m, stddev_pop(w) / sqrt(count(*)) AS se FROM respondents GROUP BY 1, 2)
