@@ -7,7 +7,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
-from psephos.llm import near_duplicates
+from psephos.llm import line_quality, near_duplicates
 
 
 def test_pipeline_takes_near_duplicates_from_80_per_cent(spark, data):
@@ -34,3 +34,19 @@ def test_bands_miss_less_than_one_in_a_million():
     for percent in (80, 85, 90, 95):
         bands, rows = near_duplicates.banding(percent)
         assert bands * rows <= near_duplicates.POSITIONS and (1 - (percent / 100) ** rows) ** bands < 1e-6
+
+
+def test_common_lines_are_taken_out(spark, data):
+    body = " ".join(f"own{k}" for k in range(30))
+    made = [(k, f"Shared  LINE of the host\n\n{body} {k}\nrare line\n shared line OF the host ", "h") for k in range(30)] + [(99, "Shared line of the host\nx", "g"), (98, None, "h")]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in line_quality.without_common_lines(docs, line_limit=20).collect()}
+    assert all(got[k].text == f"\n{body} {k}" and got[k].n_boilerplate_words == 12 and got[k].kept for k in range(30))
+    assert got[99].text == "Shared line of the host\nx" and got[98].text is None
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    judged = {r.doc_id: (r.n_boilerplate_words, r.kept) for r in line_quality.line_quality(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in line_quality.without_common_lines(docs).collect():
+        assert (r.n_boilerplate_words, r.kept) == judged[r.doc_id]
+        words = [sum(len(line_quality.normal_line(x).split()) for x in (t or "").split("\n")) for t in (texts[r.doc_id], r.text)]
+        assert words[0] - words[1] == r.n_boilerplate_words
