@@ -6,11 +6,14 @@ encode to them; role and text are encoded on their own and the marks are spliced
 others, are made harmless by a backslash after their first character (one more if there are some already), which is undone
 by taking one away.
 
-A conversation is written as parts of about ``PART`` ids, whole turns each, in the shared folder, and is only ever streamed,
-in order; no task holds a conversation.
+Turns are dealt out in ranges of (conversation, turn), so a conversation of any length is spread over tasks; each task encodes
+its range in order and writes it as parts of about ``PART`` ids, whole turns each, to the shared folder. A part's number
+ascends with its place. Parts are decoded each by itself, and only the digests of a conversation are made in order, from a
+stream of its decoded parts; no task holds a conversation.
 
 Defined cases: null texts and roles are empty; turns of one number are ordered by role and text; null turns come first; a
-null conv_id is a conversation of its own; an empty table gives no rows; other columns are ignored.
+null conv_id is a conversation of its own; a text of any length is one turn of one part (a part and its mask must fit a row of
+2 GB); repeated rows are turns of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import arrow_map, batch_of, saved, small_batches
+from psephos.llm.common import batch_of, saved, small_batches
 from psephos.llm.encoding import byte_characters, word_bpe
 
 MARKS = ("<|turn|>", "<|text|>", "<|end|>")
@@ -68,57 +72,54 @@ def mask_of(ids: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(conv_id, part, n_turns, ids, mask) of all conversations, written to the shared folder; parts count from 0."""
+    """(conv_id, part, n_turns, ids, mask) of all conversations, written to the shared folder; a conversation's parts ascend."""
     small_batches(rows.sparkSession)
     kind = rows.schema["conv_id"].dataType.simpleString()
 
-    def encode(b: pa.RecordBatch) -> pa.RecordBatch:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_bpe(tokenizer, True)
         base = len(token_bytes(tokenizer))
-        roles = [r or "" for r in b.column("role").to_pylist()]
-        texts = [escape(t or "") for t in b.column("text").to_pylist()]
-        turn, text, end = (np.array([base + k], dtype="<u4").tobytes() for k in range(3))
-        ids, heads = [], []
-        for r, t in zip(model.encode([escape(r) for r in roles]), model.encode(texts), strict=True):
-            ids.append(b"".join((turn, r, text, t, end)))
-            heads.append(len(r) // 4 + 2)
-        return pa.RecordBatch.from_arrays(
-            [b.column("conv_id"), b.column("turn"), pa.array(roles, pa.string()), b.column("text"), pa.array(ids, pa.binary()), pa.array(heads, pa.int32())],
-            names=["conv_id", "turn", "role", "text", "ids", "head"],
-        )
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv: object = b""
-        part, held, spans, size = 0, [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4").astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([conv], id_type), pa.array([part], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([mask_of(ids, spans)], pa.list_(pa.int8()))],
-                names=["conv_id", "part", "n_turns", "ids", "mask"],
-            )
+        turn, text, end = (np.array([base + k], dtype=np.uint32) for k in range(3))
+        number = TaskContext.get().partitionId() << 32
+        done: list[tuple[object, int, int, np.ndarray, np.ndarray]] = []
+        conv, held, turns, spans, size, ready = None, [], 0, [], 0, 0
+
+        def close() -> None:
+            nonlocal number, held, turns, spans, size, ready
+            ids = np.concatenate(held).view(np.int32)
+            done.append((conv, number, turns, ids, mask_of(ids, spans)))
+            number, held, turns, spans, ready, size = number + 1, [], 0, [], ready + size, 0
+
+        def batch(id_type: pa.DataType) -> pa.RecordBatch:
+            types = {"conv_id": id_type, "part": pa.int64(), "n_turns": pa.int64(), "ids": pa.list_(pa.int32()), "mask": pa.list_(pa.int8())}
+            out = batch_of(dict(zip(types, zip(*done, strict=True), strict=True)), types)
+            done.clear()
+            return out
 
-        id_type = pa.int64()
         for b in batches:
             id_type = b.schema.field("conv_id").type
-            for c, role, raw, head in zip(*(b.column(k).to_pylist() for k in ("conv_id", "role", "ids", "head")), strict=True):
+            roles, texts = ([x or "" for x in b.column(k).to_pylist()] for k in ("role", "text"))
+            coded = zip(model.encode([escape(r) for r in roles]), model.encode([escape(t) for t in texts]), strict=True)
+            for c, role, (r, t) in zip(b.column("conv_id").to_pylist(), roles, coded, strict=True):
                 if held and (c != conv or size >= PART):
-                    yield flush()
-                    part, held, spans, size = (part + 1 if c == conv else 0), [], [], 0
-                elif c != conv:
-                    part = 0
-                conv = c
-                n = len(raw) // 4
+                    close()
+                    if ready >= 8 * PART:
+                        yield batch(id_type)
+                        ready = 0
+                conv, turns = c, turns + 1
                 if role == LEARNED:
-                    spans.append((size + head, size + n - 1))
-                held.append(raw)
-                size += n
+                    spans.append((size + len(r) + 2, size + len(r) + 2 + len(t)))
+                held += [turn, r, text, t, end]
+                size += len(r) + len(t) + 3
         if held:
-            yield flush()
+            close()
+            yield batch(id_type)
 
-    encoded = arrow_map(rows.selectExpr("conv_id", "turn", "CAST(role AS string) AS role", "CAST(text AS string) AS text"), encode, f"conv_id {kind}, turn {rows.schema['turn'].dataType.simpleString()}, role string, text string, ids binary, head int")
-    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "ids", "head")
-    return saved(ordered.mapInArrow(assemble, f"conv_id {kind}, part int, n_turns bigint, ids array<int>, mask array<tinyint>"), "chat")
+    ordered = ("conv_id", "turn", "role", "text")
+    plain = rows.selectExpr("conv_id", "turn", "CAST(role AS string) AS role", "CAST(text AS string) AS text")
+    # rows of one turn and role meet only if their texts begin alike; the order within a task is that of whole texts
+    dealt = plain.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions(*ordered)
+    return saved(dealt.mapInArrow(assemble, f"conv_id {kind}, part bigint, n_turns bigint, ids array<int>, mask array<tinyint>"), "chat")
 
 
 def turns_of(ids: np.ndarray, mask: np.ndarray, table: list[bytes]) -> Iterator[tuple[str, str, str]]:
@@ -134,27 +135,34 @@ def turns_of(ids: np.ndarray, mask: np.ndarray, table: list[bytes]) -> Iterator[
 def chat_report(parts: DataFrame, tokenizer: str) -> DataFrame:
     """Per conversation, read back from ids and masks: counts and digests of turns, learned text and formatted text."""
     kind = parts.schema["conv_id"].dataType.simpleString()
+    read = {"n_turns": pa.int64(), "turns": pa.binary(), "learned": pa.binary(), "loss_chars": pa.int64(), "formatted_chars": pa.int64()}
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(tokenizer)
+        marks = sum(map(len, MARKS))
         for b in batches:
             for k in range(b.num_rows):  # one part at a time
-                yield tuple(b.column(c)[k] for c in ("conv_id", "ids", "mask"))
+                n, turns, learned, chars, formatted = 0, [], [], 0, 0
+                for role, text, loss in turns_of(b.column("ids")[k].values.to_numpy(), b.column("mask")[k].values.to_numpy(), table):
+                    n += 1
+                    turns.append(f"{role}\n{text}\n".encode())
+                    learned.append(loss.encode())
+                    chars += len(loss)
+                    formatted += marks + len(escape(role)) + len(escape(text))
+                values = dict(zip(read, ([n], [b"".join(turns)], [b"".join(learned)], [chars], [formatted]), strict=True))
+                at = {"conv_id": b.column("conv_id").slice(k, 1), "part": b.column("part").slice(k, 1)}
+                yield batch_of(at | values, {c: v.type for c, v in at.items()} | read)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(tokenizer)
-        marks = sum(map(len, MARKS))
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         id_type = None
-        for conv, group in groupby(rows(batches), key=lambda r: r[0].as_py()):
-            n, turns, chars, learned, formatted = 0, hashlib.sha256(), 0, hashlib.sha256(), 0
-            for c, ids, mask in group:
+        for conv, group in groupby((r for b in batches for r in zip(*b.columns, strict=True)), key=lambda r: r[0].as_py()):
+            n, turns, learned, chars, formatted = 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+            for c, _, k, text, loss, some, length in group:
                 id_type = c.type
-                for role, text, loss in turns_of(ids.values.to_numpy(), mask.values.to_numpy(), table):
-                    n += 1
-                    turns.update(f"{role}\n{text}\n".encode())
-                    chars += len(loss)
-                    learned.update(loss.encode())
-                    formatted += marks + len(escape(role)) + len(escape(text))
+                n, chars, formatted = n + k.as_py(), chars + some.as_py(), formatted + length.as_py()
+                turns.update(text.as_buffer())
+                learned.update(loss.as_buffer())
             out.append((conv, n, turns.hexdigest(), chars, learned.hexdigest(), formatted))
             if len(out) >= 1024:
                 yield batch(out, id_type)
@@ -166,9 +174,10 @@ def chat_report(parts: DataFrame, tokenizer: str) -> DataFrame:
         types = {"conv_id": id_type, "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
         return batch_of(dict(zip(types, map(list, zip(*out, strict=True)), strict=True)), types)
 
+    small_batches(parts.sparkSession)
+    texts = parts.select("conv_id", "part", "ids", "mask").mapInArrow(decode, f"conv_id {kind}, part bigint, n_turns bigint, turns binary, learned binary, loss_chars bigint, formatted_chars bigint")
     schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    ordered = parts.select("conv_id", "part", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return ordered.mapInArrow(read, schema)
+    return texts.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(digest, schema)
 
 
 def with_probe(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,15 +85,11 @@ def batch_of(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.Re
 @lru_cache(maxsize=1 << 18)
 def stable_hash(word: str) -> int:
     """64 mixed bits of a word, the same in every process."""
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def stable_text_hash(text: str) -> int:
     """64 signed bits of a text, the same in every process."""
-    import xxhash
-
     h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
@@ -139,50 +136,54 @@ def held_out_column(name: str = "doc_id"):
 #: White space of the word contracts, by byte.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Random values of the bytes, for polynomial word hashes.
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Random values of the bytes, for polynomial hashes.
+BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once.
 _SLICE = 1 << 18
 
+_UP = np.ones(1, np.uint64)
+_DOWN = np.ones(1, np.uint64)
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SLICE, _BASE, dtype=np.uint64)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SLICE, _INVERSE, dtype=np.uint64)]), dtype=np.uint64)
-    return up, down
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0 to ``n`` at least and those of its inverse."""
+    global _UP, _DOWN
+    if len(_UP) <= n:
+        size = 1 << (n + 1).bit_length()
+        with np.errstate(over="ignore"):
+            _UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE))
+    return _UP, _DOWN
 
 
 def hashed_words(data: bytes) -> np.ndarray:
     """Stable 64-bit hashes of the words (runs of other than ASCII white space) of UTF-8 bytes, without a Python step a word.
 
-    Each word's hash is a polynomial in its bytes modulo 2**64, read off a running sum and mixed.
+    Each word's hash is a polynomial in its bytes modulo 2**64, read off a running sum and mixed; words longer than a slice
+    are hashed alone. Equal words hash equally wherever they are.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
-    up, down = _powers()
+    up, down = powers(_SLICE)
     out, at = [], 0
     while at < len(raw):
         part = raw[at : at + _SLICE]
         blank = _BLANK[part]
-        if at + _SLICE < len(raw):
+        if at + len(part) < len(raw) and not blank[-1] or len(part) == _SLICE and not blank.any():
             ends = np.flatnonzero(blank)
-            if not len(ends):  # a word longer than a slice
-                stop = at + _SLICE
-                while stop < len(raw) and not _BLANK[raw[stop]]:
-                    stop += 1
-                import xxhash
-
-                begin = at
-                out.append(np.array([xxhash.xxh3_64_intdigest(data[begin:stop])], dtype=np.uint64))
+            if not len(ends):  # a word of a slice or more
+                stop = at + len(part)
+                while stop < len(raw) and not (gap := _BLANK[raw[stop : stop + _SLICE]]).any():
+                    stop += len(gap)
+                stop += int(np.argmax(gap)) if stop < len(raw) else 0
+                out.append(np.array([xxhash.xxh3_64_intdigest(data[at:stop])], dtype=np.uint64))
                 at = stop
                 continue
             part, blank = part[: ends[-1] + 1], blank[: ends[-1] + 1]
         edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)], dtype=np.uint64)])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[part] * up[: len(part)], dtype=np.uint64)])
             out.append(mix((total[end] - total[start]) * down[start]))
         at += len(part)
     return np.concatenate(out) if out else np.empty(0, np.uint64)

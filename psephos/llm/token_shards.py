@@ -1,7 +1,7 @@
 """Token-id shards: independent zstandard frames, one per document, with a trailing seek table.
 
-A shard file is a run of zstandard frames (the ids of one document each), then two skippable frames: an index with the
-document ids and the width of an id, and a seek table in the layout of the public seekable format (for each frame: compressed
+A shard file is a run of zstandard frames (the ids of one document each), then two skippable frames: an index with the width
+of an id, the document ids and a bit for each that is not null, and a seek table in the layout of the public seekable format (for each frame: compressed
 size, size, low 32 bits of the XXH64 of the content; then the number of frames, a descriptor byte and a magic number). Any
 zstandard tool can read the file as a whole; :class:`ShardReader` reads the table from the end and decompresses only the
 documents that are asked for, checking each frame's checksum.
@@ -9,8 +9,11 @@ documents that are asked for, checking each frame's checksum.
 A task writes under a name of its own and renames the file when it is whole; the manifest, written to the shared folder after
 that, names the files that count. So a task that is run again after a lost executor leaves no trace in the result.
 
-Defined cases: a null text is the empty text (its ids are the end id alone); documents of one id are ordered by their text; an
-empty table gives no shard; other columns are ignored.
+The files are read back by as many tasks as there are files.
+
+Defined cases: a null text is the empty text (its ids are the end id alone); documents with a null id come first, and have a
+null id in what is read back; documents of one id are ordered by their text; a text of any length is one frame, encoded slice
+by slice; an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,11 +56,11 @@ class ShardWriter:
         self.out = self.fs.open_output_stream(self.temporary)
         self.width = width
         self.zstd = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        self.doc_ids: list[int] = []
+        self.doc_ids: list[int | None] = []
         self.table: list[tuple[int, int, int]] = []
         self.bytes = self.tokens = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         raw = ids.astype(f"<u{self.width}").tobytes()
         frame = self.zstd.compress(raw)
         self.out.write(frame)
@@ -67,7 +70,8 @@ class ShardWriter:
         self.tokens += len(ids)
 
     def close(self) -> None:
-        index = struct.pack("<B", self.width) + np.array(self.doc_ids, dtype="<i8").tobytes()
+        known = np.packbits(np.array([d is not None for d in self.doc_ids], dtype=bool)).tobytes()
+        index = struct.pack("<B", self.width) + np.array([d or 0 for d in self.doc_ids], dtype="<i8").tobytes() + known
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         table = np.array(self.table, dtype="<u4").tobytes() + struct.pack("<IBI", len(self.table), HAS_CHECKSUMS, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_TABLE, len(table)) + table)
@@ -88,10 +92,11 @@ class ShardReader:
         length = 12 * frames + 9
         at = size - length
         self.table = np.frombuffer(self.file.read_at(12 * frames, at), dtype="<u4").reshape(frames, 3)
-        index = at - 8 - (1 + 8 * frames)
-        raw = self.file.read_at(1 + 8 * frames, index)
+        length = 1 + 8 * frames + -(-frames // 8)
+        raw = self.file.read_at(length, at - 8 - length)
         self.width = raw[0]
-        self.doc_ids = np.frombuffer(raw, dtype="<i8", offset=1)
+        self.doc_ids = np.frombuffer(raw, dtype="<i8", offset=1, count=frames)
+        self.known = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, offset=1 + 8 * frames), count=frames).astype(bool)
         self.starts = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
         self.token_starts = np.concatenate([[0], np.cumsum(self.table[:, 1] // self.width, dtype=np.int64)])
         self.zstd = zstandard.ZstdDecompressor()
@@ -107,10 +112,11 @@ class ShardReader:
             raise ValueError(f"frame {k}: wrong checksum")
         return np.frombuffer(raw, dtype=f"<u{self.width}").astype(np.uint32)
 
-    def document(self, doc_id: int) -> np.ndarray:
+    def document(self, doc_id: int | None) -> np.ndarray:
         """The ids of a document by its id (the first, if there are several)."""
-        k = int(np.searchsorted(self.doc_ids, doc_id))
-        if k == len(self) or self.doc_ids[k] != doc_id:
+        nulls = int(len(self) - self.known.sum())  # they come first
+        k = 0 if doc_id is None else nulls + int(np.searchsorted(self.doc_ids[nulls:], doc_id))
+        if k >= (nulls if doc_id is None else len(self)) or (doc_id is not None and self.doc_ids[k] != doc_id):
             raise KeyError(doc_id)
         return self.frame(k)
 
@@ -132,11 +138,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
             w.close()
             return batch_of({"file": [w.name], "part": [part], "seq": [seq], "n_docs": [len(w.table)], "n_tokens": [w.tokens]}, types)
 
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype=np.uint32)
         for b in batches:
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), model.encode(texts_of(b)), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), model.encode(texts_of(b)), strict=True):
                 shard = shard or ShardWriter(folder, width)
-                shard.add(doc_id, np.concatenate([np.frombuffer(raw, dtype="<u4"), end]))
+                shard.add(doc_id, np.concatenate([ids, end]))
                 if shard.bytes >= shard_bytes:
                     yield row(shard)
                     shard, seq = None, seq + 1
@@ -145,8 +151,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
 
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = saved(rows.mapInArrow(write, "file string, part int, seq int, n_docs bigint, n_tokens bigint"), "token-manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    tasks = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each writing task
+    tasks = tasks.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return manifest.withColumn("start", within).join(tasks, "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -161,9 +169,10 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     to = range(k, min(k + 4096, len(shard)))
                     crc = [zlib.crc32(shard.frame(i).astype("<u4").tobytes()) for i in to]
                     n = np.diff(shard.token_starts[k : to.stop + 1])
-                    yield batch_of({"doc_id": shard.doc_ids[k : to.stop], "start": shard.token_starts[k : to.stop] + start, "n_tokens": n, "ids_crc32": crc}, types)
+                    ids = pa.array(shard.doc_ids[k : to.stop], mask=~shard.known[k : to.stop])
+                    yield batch_of({"doc_id": ids, "start": shard.token_starts[k : to.stop] + start, "n_tokens": n, "ids_crc32": crc}, types)
 
-    spread = manifest.select("file", "start").repartition(F.col("file"))
+    spread = manifest.select("file", "start").repartitionByRange(max(1, manifest.count()), "start")
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

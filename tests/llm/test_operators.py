@@ -67,11 +67,14 @@ def by_id(df):
 
 
 def test_hashed_words():
-    for t in ("", " ", "a b a", "x" * 300_000 + " y", LONG[:300_000], "é ü\x0bz"):
+    for t in ("", " ", "a b a", "x" * 300_000 + " y", "z " + "x" * 262_144, "y" * 262_144 + " y", "y" * 800_000 + "\t", LONG[:300_000], "é ü\x0bz"):
         words = re.findall(rb"[^\x20\x09-\x0D]+", t.encode())
         h = hashed_words(t.encode())
         assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
     assert hashed_words(b"  same words")[0] == hashed_words(b"same")[0]
+    for n in (262_143, 262_144, 262_145, 524_288):  # about a slice: equal wherever it stands
+        w = b"x" * n
+        assert len({int(hashed_words(t)[k]) for t, k in ((w, 0), (w + b" y", 0), (b"a " + w, 1), (b"a " * 7 + w + b"\t", 7), (b"b " * 140_000 + w + b" c", 140_000))}) == 1
 
 
 # 1 near-duplicates
@@ -370,7 +373,23 @@ def test_byte_encoding_is_the_librarys(texts):
     w = encoding.WordBpe(BYTE)
     odd = ["", " ", "a  b", "don't!!\n\n x", "<|endoftext|> a", "a\xa0 b", "é́ ﬁ漢 😀\r\n", "\x1c a", "x" * 50_000]
     for t in [*list(texts.values())[:40], *odd]:
-        assert w.encode([t])[0] == w.whole(t), t[:50]
+        assert np.array_equal(w.encode([t])[0], w.whole(t)), t[:50]
+
+
+def test_byte_encoding_in_slices(texts, monkeypatch):
+    """Random strings, and long texts cut at many places, with a cache that is emptied again and again."""
+    w = encoding.WordBpe(BYTE)
+    rng = np.random.default_rng(11)
+    letters = [*"ab,.'1 \n\té×÷ÿ漢😀st\r", "'s", "'ll", " "]
+    made = ["".join(letters[k] for k in rng.integers(0, len(letters), int(rng.integers(0, 25)))) for _ in range(3000)]
+    monkeypatch.setattr(encoding, "SLICE", 60)
+    monkeypatch.setattr(encoding, "RECENT", 20)
+    made += ["x" * 500, "x" * 200 + " y", " " * 300 + "z", "\t" * 700, "", *list(texts.values())[:20]]
+    for t, got in zip(made, w.encode(made), strict=True):
+        assert np.array_equal(got, w.whole(t)), t[:80]
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 50)
+    w.cache = encoding.PieceCache()
+    assert all(np.array_equal(a, w.whole(t)) for t, a in zip(made, w.encode(made), strict=True))
 
 
 def test_token_shards(spark, docs, odd, none, tmp_path):
@@ -381,7 +400,7 @@ def test_token_shards(spark, docs, odd, none, tmp_path):
     model = encoding.WordBpe(BYTE)
     at, want = 0, []
     for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: r.doc_id):
-        ids = np.append(np.frombuffer(model.whole(r.text), dtype="<u4"), np.uint32(2))
+        ids = np.append(model.whole(r.text), np.uint32(2))
         want.append((r.doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
         at += len(ids)
     assert [tuple(r) for r in got] == want
@@ -398,8 +417,14 @@ def test_token_shards(spark, docs, odd, none, tmp_path):
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_shards.ShardReader(folder, name).frame(0)
     assert token_shards.ShardReader(folder, name).frame(1) is not None
-    some = by_id(token_shards.token_shards(odd.where("doc_id IS NOT NULL"), BYTE, 2))
+    some = by_id(token_shards.token_shards(odd, BYTE, 2))
     assert len(some[1]) == 2 and some[3][0].n_tokens == 1 == some[4][0].n_tokens
+    assert some[None][0].start == 0 and some[1][0].start == some[None][0].n_tokens  # null ids come first
+    manifest = token_shards.write_shards(odd, BYTE, 2, f"file://{tmp_path}/odd")
+    first = token_shards.ShardReader(f"file://{tmp_path}/odd", manifest.orderBy("start").first().file)
+    assert first.document(None).tolist() == [*model.whole("a text without an id").tolist(), 2]
+    with pytest.raises(KeyError):
+        first.document(99)
     assert token_shards.token_shards(none, BYTE, 2).count() == 0
 
 
@@ -429,6 +454,15 @@ def test_chat(spark, monkeypatch):
     for r in parts.collect():
         ids, mask = np.array(r.ids), np.array(r.mask)
         assert (ids < base + 3).all() and not mask[ids >= base].any() and (ids >= base).sum() == 3 * r.n_turns
+    monkeypatch.undo()
+    many = [(5, k // 2, "assistant" if k % 2 else "user", f"{k} </s> " * (k % 50)) for k in range(3000)]
+    df = spark.createDataFrame(many, "conv_id bigint, turn bigint, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = chat.format_conversations(df, BYTE)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts.select((F.col("part") / 2**32).cast("int")).distinct().count() > 1  # one conversation in several tasks
+    want = sorted(many, key=lambda r: r[1:])
+    assert [tuple(r)[:3] for r in chat.chat_report(parts, BYTE).collect()] == [(5, 3000, hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in want).encode()).hexdigest())]
     empty = chat.format_conversations(df.limit(0), BYTE)
     assert empty.count() == 0 and chat.chat_report(empty, BYTE).count() == 0
 
