@@ -4,16 +4,21 @@ A window is 20 consecutive words; a word goes if a window over it has the same w
 or the same document and an earlier start). The corpus is not indexed as one: equal windows hold the same smallest six-word
 gram, so a text is cut into runs of windows around one such gram, and runs with different grams never need to meet.
 
-1. One pass gives each run's gram hash and content hash. Grams that occur once are done with. Runs of equal content are one
-   class; all but its first run are later copies. Both are aggregated before they are shuffled.
-2. The first runs of grams with several contents are dealt by their gram to shards. Each shard's text gets an FM-index: the
-   Burrows-Wheeler transform (suffixes sorted as deep as a window) in a wavelet matrix of packed bits with rank directories.
-   The shard's runs are streamed against it; backward search gives, for each position, the matching statistic up to the
-   window's length, and a window whose interval holds an earlier occurrence is reported.
-3. A gram with more than ``HOT`` contents (a passage in very many surroundings) would make a shard without bound. Its windows
-   are dealt singly by their content instead and the first of each is found by aggregation, which keeps the result the same.
-
-Defined cases: a null or blank text has no words; texts of fewer than 20 words lose nothing; rows of one id are one document
+1. One pass gives each run's gram hash and content hash. Grams that occur once are done with. Runs of equal content have equal
+   matching statistics, so a content is searched once and all its runs take the result over. Grams and contents are
+   aggregated before they are shuffled.
+2. The contents of a gram form a group, and groups are dealt to shards of about ``SHARD_WORDS`` words. Each shard gets a
+   compressed FM-index: the run-length encoded Burrows-Wheeler transform (suffixes sorted as deep as a window), whose run
+   heads lie in a wavelet matrix of packed bits with rank directories. The shard's runs are streamed against it, and backward
+   search gives each place where a window ends its matching statistic: how many words up to it are found at a second place as
+   well, counted up to a window's length. Where that length is reached, all but the earliest place of the interval are reported, and every
+   later run of the same content.
+3. A group of more words than a shard (a passage in very many surroundings) is first divided by longer grams: a window's words
+   beside the gram are halved, and windows go on with the gram and the longer half. Equal windows stay together, every division
+   takes half of the open words, and after five a group is one window, so no group is too large. Runs that have become equal
+   are one content again.
+
+Defined cases: a null or blank text has no words; a very long text is cut into runs like any other; texts of fewer than 20 words lose nothing; rows of one id are one document
 and must agree in their text; rows with a null id lose nothing; other columns are ignored.
 """
 
@@ -21,97 +26,106 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from psephos.llm.common import GOLDEN, arrow_map, batch_of, gram_hashes, hashed_words, mix, saved, small_batches
+from psephos.llm.common import arrow_map, batch_of, gram_hashes, hashed_words, mix, powers, saved, small_batches, stable_text_hash
 
 WINDOW = 20
 GRAM = 6
 SPAN = WINDOW - GRAM + 1
-#: Contents of one gram above which its windows are dealt singly.
-HOT = 200
-#: Words of a shard's text, about.
-SHARD_WORDS = 200_000
-
-_UP = np.zeros(0, np.uint64)
-_DOWN = np.zeros(0, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) <= n:
-        size = 1 << (n + 1).bit_length()
-        inverse = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _UP = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, GOLDEN, dtype=np.uint64)]), dtype=np.uint64)
-            _DOWN = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, inverse, dtype=np.uint64)]), dtype=np.uint64)
-    return _UP, _DOWN
-
-
-def runs_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share the place of their smallest gram: first window, windows, gram hash, content hash."""
+#: Words of a shard's text, about, and the most of a group.
+SHARD_WORDS = 100_000
+
+#: Bits of a place in :func:`last_smallest`.
+PLACE_BITS = 24
+
+
+def last_smallest(values: np.ndarray, span: int) -> np.ndarray:
+    """For each window of ``span`` values where the smallest by its upper bits is, the last of equal ones.
+
+    The place is packed into the lower bits, so that minima of doubling widths settle both; very long inputs go in parts.
+    """
+    most = (1 << PLACE_BITS) - 1
+    if len(values) > most:
+        step = most - span + 1
+        return np.concatenate([k + last_smallest(values[k : k + most], span) for k in range(0, len(values) - span + 1, step)])
+    low = np.uint64(most)
+    packed = values & ~low | (low - np.arange(len(values), dtype=np.uint64))
+    width = 1
+    while 2 * width <= span:
+        packed = np.minimum(packed[:-width], packed[width:])
+        width *= 2
+    if width < span:
+        packed = np.minimum(packed[: len(packed) - span + width], packed[span - width :])
+    return (low - (packed & low)).astype(np.int64)
+
+
+def runs_of(text: str | None) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share the place of their smallest gram: first window, windows, the gram's place after it, gram hash, content hash."""
     h = hashed_words(text.encode("utf-8", "surrogatepass")) if text else np.empty(0, np.uint64)
     n = len(h) - WINDOW + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     grams = gram_hashes(h, GRAM)
-    least = grams[:n].copy()
-    for k in range(1, SPAN):
-        np.minimum(least, grams[k : n + k], out=least)
-    place = np.zeros(n, np.int64)
-    for k in range(SPAN):  # the last of equal ones
-        place[grams[k : n + k] == least] = k
-    place += np.arange(n)
+    place = last_smallest(grams, SPAN)
     start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     size = np.diff(np.concatenate([start, [n]]))
-    up, down = _powers(len(h))
+    up, down = powers(len(h))
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
         content = mix((total[start + size + WINDOW - 1] - total[start]) * down[start] + size.astype(np.uint64))
-    return start, size, least[start].view(np.int64), content.view(np.int64)
+    return start, size, place[start] - start, grams[place[start]].view(np.int64), content.view(np.int64)
+
+
+#: Bits of a symbol that a level of the wavelet matrix settles.
+DIGIT = 3
+#: The bits of a word below each of its bits.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, in packed bits: one plane for each bit of a symbol."""
+    """Ranks of symbols in a sequence: a level for each three bits of a symbol, with a packed bit map for each of the eight digits
+    and the ones before each of its words."""
 
     def __init__(self, symbols: np.ndarray, bits: int) -> None:
-        self.planes: list[tuple[np.ndarray, np.ndarray, int]] = []
-        self.bits = bits
+        self.shifts = range(DIGIT * (-(-bits // DIGIT) - 1), -1, -DIGIT)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words = len(symbols) // 64 + 1
         now = symbols
-        for k in range(bits - 1, -1, -1):
-            bit = ((now >> k) & 1).astype(np.uint8)
-            packed = np.packbits(bit, bitorder="little")
-            packed = np.concatenate([packed, np.zeros(8 + -len(packed) % 8, np.uint8)]).view("<u8")
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.int32)
-            zeros = int(len(bit) - bit.sum())
-            self.planes.append((packed, before, zeros))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+        for shift in self.shifts:
+            digit = (now >> shift) & ((1 << DIGIT) - 1)
+            flags = np.zeros((1 << DIGIT, self.words * 64), bool)
+            flags[digit, np.arange(len(now))] = True
+            packed = np.packbits(flags, axis=1, bitorder="little").view("<u8").ravel()
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]])  # digits one after the other, as the next level has them
+            self.levels.append((packed, before.astype(np.int32)))
+            now = now[np.argsort(digit.astype(np.uint8), kind="stable")]
 
     def follow(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where prefix lengths ``at`` end up in the last plane, on each symbol's path."""
-        at = at.copy()
-        for level, (packed, before, zeros) in enumerate(self.planes):
-            word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            at = np.where((symbol >> (self.bits - 1 - level)) & 1, zeros + ones, at - ones)
+        """Where prefix lengths ``at`` end up behind the last level, on each symbol's path."""
+        for shift, (packed, before) in zip(self.shifts, self.levels, strict=True):
+            word = ((symbol >> shift) & ((1 << DIGIT) - 1)) * self.words + (at >> 6)
+            at = before[word] + np.bitwise_count(packed[word] & BELOW[at & 63])
         return at
 
 
 class FMIndex:
-    """Backward search over a text of symbols 1, 2, ...; 0 separates its parts and matches nothing."""
+    """Backward search over a text of symbols 1, 2, ...; 0 separates its parts and matches nothing.
+
+    Held are the runs of equal symbols in the transform: their heads in a wavelet matrix, where they start, and their summed
+    lengths in the order of their symbols, which is where an interval goes in a step. The text is not held.
+    """
 
     def __init__(self, text: np.ndarray, depth: int) -> None:
-        self.text = text
-        n = len(text)
-        top = int(text.max(initial=0))
+        n, top = len(text), int(text.max(initial=0))
+        self.size, self.depth = n, depth
         rank = text.astype(np.int64)
-        order = np.argsort(rank, kind="stable")
         reach = 1
         while reach < depth:  # prefix doubling, no deeper than patterns are long
             second = np.zeros(n, np.int64)
@@ -123,42 +137,59 @@ class FMIndex:
             rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
             reach *= 2
         transform = text[order - 1]
-        self.matrix = WaveletMatrix(transform.astype(np.int64), max(1, top.bit_length()))
-        counts = np.bincount(text, minlength=top + 1)
-        symbols = np.arange(top + 1)
-        self.shift = np.concatenate([[0], np.cumsum(counts)[:-1]]) - self.matrix.follow(symbols, np.zeros(top + 1, np.int64))
-
-    def shared(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Those of ``starts`` whose next ``length`` symbols occur elsewhere in the text too, and their intervals' ends.
-
-        The search goes backward from each window's end and gives a position up when its interval holds nothing but itself,
-        i.e. when its matching statistic falls short of ``length``.
-        """
-        alive = starts
-        low, high = np.zeros(len(alive), np.int64), np.full(len(alive), len(self.text), np.int64)
-        for k in range(length - 1, -1, -1):
-            c = self.text[alive + k]
-            low = self.matrix.follow(c, low) + self.shift[c]
-            high = self.matrix.follow(c, high) + self.shift[c]
+        self.starts = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]])).astype(np.int32)
+        self.heads = transform[self.starts].astype(np.int32)
+        lengths = np.diff(np.append(self.starts, n))
+        self.before = np.concatenate([[0], np.cumsum(lengths[np.argsort(self.heads, kind="stable")])]).astype(np.int32)
+        self.matrix = WaveletMatrix(self.heads, max(1, top.bit_length()))
+        counts = np.bincount(self.heads, minlength=top + 1)
+        self.first = np.concatenate([[0], np.cumsum(counts)])  # heads of smaller symbols
+        self.shift = self.first[:-1] - self.matrix.follow(np.arange(top + 1), np.zeros(top + 1, np.int64))
+
+    def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the interval ends ``at`` go when ``symbol`` is put in front."""
+        run = np.maximum(np.searchsorted(self.starts, at) - 1, 0)  # the run that the last row before it is in
+        return self.before[self.matrix.follow(symbol, run) + self.shift[symbol]] + np.where(self.heads[run] == symbol, at - self.starts[run], 0)
+
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the places ``ends`` of the stream the length of the longest string that ends there and occurs twice in the
+        text, up to ``depth``, and for those that reach it where their interval begins (-1 for others). Strings don't go
+        across 0."""
+        lengths, begins = np.zeros(len(ends), np.int32), np.full(len(ends), -1, np.int64)
+        alive = np.flatnonzero(stream[ends] > 0)
+        c = stream[ends[alive]]
+        low, high = self.before[self.first[c]], self.before[self.first[c + 1]]
+        for k in range(self.depth):
+            if k:
+                back = ends[alive] - k
+                c = np.where(back >= 0, stream[back], 0)
+                go = c > 0
+                if not go.all():
+                    alive, low, high, c = alive[go], low[go], high[go], c[go]
+                low, high = self.step(c, low), self.step(c, high)
             many = high - low > 1
             if not many.all():
                 alive, low, high = alive[many], low[many], high[many]
-        return alive, low
+            lengths[alive] = k + 1
+        begins[alive] = low
+        return lengths, begins
 
 
 def later_windows(parts: list[list[str]]) -> list[np.ndarray]:
     """For each part (in ascending order of place) the windows that occur earlier, in this or another part."""
     number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(w, len(number) + 1) for w in p] + [0], dtype=np.int64) for p in parts]
-    text = np.concatenate(ids)
-    ends = np.cumsum([len(x) for x in ids])
-    begin = ends - np.array([len(x) for x in ids])
-    starts = np.concatenate([np.arange(b, e - WINDOW) for b, e in zip(begin.tolist(), ends.tolist(), strict=True)])
-    alive, low = FMIndex(text, WINDOW).shared(starts, WINDOW)
-    order = np.lexsort((alive, low))
-    first = np.concatenate([[True], low[order][1:] != low[order][:-1]])[: len(order)]
-    later = np.sort(alive[order][~first])
-    cut = np.searchsorted(later, np.concatenate([begin, ends[-1:]]))
+    ids = [[number.setdefault(w, len(number) + 1) for w in p] for p in parts]
+    sizes = np.array([len(x) + 1 for x in ids])
+    text = np.fromiter((i for x in ids for i in (*x, 0)), np.int32, int(sizes.sum()))
+    begin = np.cumsum(sizes) - sizes
+    windows = sizes - WINDOW
+    ends = np.repeat(begin + WINDOW - 1 - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))  # where a window ends
+    lengths, low = FMIndex(text, WINDOW).matching_statistics(text, ends)  # a shard's runs are its stream
+    full = np.flatnonzero(lengths == WINDOW)
+    order = np.lexsort((full, low[full]))
+    first = np.concatenate([[True], low[full[order]][1:] != low[full[order]][:-1]])[: len(order)]
+    later = np.sort(ends[full[order][~first]]) - (WINDOW - 1)
+    cut = np.searchsorted(later, np.append(begin, len(text)))
     return [later[cut[k] : cut[k + 1]] - begin[k] for k in range(len(parts))]
 
 
@@ -170,107 +201,137 @@ def intervals(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + WINDOW).tolist(), strict=True))
 
 
+#: Columns of a content that is to be searched: its first run, the place and length of the words that its group shares, whether
+#: there are more runs of it, and its words, joined by one space.
+SLICE = {
+    "key": pa.int64(), "content": pa.int64(), "doc_id": pa.int64(), "pos": pa.int32(), "size": pa.int32(), "at": pa.int32(), "span": pa.int32(),
+    "copied": pa.bool_(), "words": pa.string(),
+}
+SLICE_SCHEMA = "key bigint, content bigint, doc_id bigint, pos int, size int, at int, span int, copied boolean, words string"
+
+
 def text_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, size, gram, content) of all runs."""
-    types = {"doc_id": pa.int64(), "pos": pa.int32(), "size": pa.int32(), "gram": pa.int64(), "content": pa.int64()}
+    """(doc_id, pos, size, at, key, content) of all runs; ``key`` is the gram's hash, ``at`` its place in the run."""
+    types = {"doc_id": pa.int64(), "pos": pa.int32(), "size": pa.int32(), "at": pa.int32(), "key": pa.int64(), "content": pa.int64()}
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [runs_of(t) for t in b.column("text").to_pylist()]
         ids = np.repeat(b.column("doc_id").to_numpy(), [len(g[0]) for g in got])
-        columns = [np.concatenate([g[k] for g in got]) for k in range(4)]
-        return batch_of(dict(zip(types, [ids, columns[0].astype(np.int32), columns[1].astype(np.int32), *columns[2:]], strict=True)), types)
+        columns = [np.concatenate([g[k] for g in got]) for k in range(5)]
+        return batch_of(dict(zip(types, [ids, *(c.astype(np.int32) for c in columns[:3]), *columns[3:]], strict=True)), types)
 
-    return arrow_map(docs, fn, "doc_id bigint, pos int, size int, gram bigint, content bigint")
+    return arrow_map(docs, fn, "doc_id bigint, pos int, size int, at int, key bigint, content bigint")
 
 
-def _slices(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The words of first runs: (doc_id, pos, size, gram, hot, words), words joined by one space."""
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size", "gram", "hot")).alias("runs"))
-    types = {"doc_id": pa.int64(), "pos": pa.int32(), "size": pa.int32(), "gram": pa.int64(), "hot": pa.bool_(), "words": pa.string()}
+def _slices(docs: DataFrame, contents: DataFrame) -> DataFrame:
+    """The contents (key, content, doc_id, pos, size, at, copied) with the words of their first runs."""
+    wanted = contents.groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "pos", "size", "at", "copied")).alias("runs"))
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in types}
+        out: dict[str, list] = {k: [] for k in SLICE}
         for doc_id, text, runs in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "runs")), strict=True):
             words = text.encode("utf-8", "surrogatepass").split()
             for r in runs:
-                out["doc_id"].append(doc_id)
-                for k in ("pos", "size", "gram", "hot"):
-                    out[k].append(r[k])
+                for k, v in (r | {"doc_id": doc_id, "span": GRAM}).items():
+                    out[k].append(v)
                 out["words"].append(b" ".join(words[r["pos"] : r["pos"] + r["size"] + WINDOW - 1]).decode("utf-8", "surrogatepass"))
-        return batch_of(out, types)
+        return batch_of(out, SLICE)
+
+    return arrow_map(docs.join(wanted, "doc_id"), fn, SLICE_SCHEMA)
+
 
-    return arrow_map(docs.join(wanted, "doc_id"), fn, "doc_id bigint, pos int, size int, gram bigint, hot boolean, words string")
+def halves(size: int, at: int, span: int) -> list[tuple[str, int, int, int, int]]:
+    """A run's windows by which half of the words beside its shared ones they have: (side, first window, windows, place and
+    length of the words shared then) of each half. A window that shares all its words stays as it is."""
+    rest = WINDOW - span
+    if not rest:
+        return [("all", 0, size, at, span)]
+    take = (rest + 1) // 2
+    left = min(max(at - take + 1, 0), size)
+    out = [("left", 0, left, at - take, span + take)] if left else []
+    return out + ([("right", left, size - left, at - left, span + rest - take + 1)] if left < size else [])
 
 
-def _searched(slices: DataFrame, words: int) -> DataFrame:
-    """(doc_id, start, end) of the windows in ``slices`` that occur earlier in others of the same gram."""
-    shards = max(1, words // SHARD_WORDS)
-    types = {"doc_id": pa.int64(), "start": pa.int32(), "end": pa.int32()}
+def _divided(slices: DataFrame) -> DataFrame:
+    """The runs of ``slices`` divided into halves, under longer grams."""
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {k: [] for k in SLICE}
+        for doc_id, pos, size, at, span, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "pos", "size", "at", "span", "words")), strict=True):
+            words = text.split(" ")
+            for side, first, count, place, length in halves(size, at, span):
+                part = words[first : first + count + WINDOW - 1]
+                key = stable_text_hash(" ".join([side, str(length), *part[place : place + length]]))
+                row = (key, stable_text_hash(" ".join(part)), doc_id, pos + first, count, place, length, False, " ".join(part))
+                for k, v in zip(SLICE, row, strict=True):
+                    out[k].append(v)
+        return batch_of(out, SLICE)
+
+    return arrow_map(slices, fn, SLICE_SCHEMA)
+
+
+def _searched(slices: DataFrame, shards: int) -> DataFrame:
+    """(key, content, doc_id, start, end): for each content the windows that occur earlier in others of its group, and if there
+    are more runs of it one row without an end, as all windows of these do."""
+    types = {"key": pa.int64(), "content": pa.int64(), "doc_id": pa.int64(), "start": pa.int32(), "end": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, list[str]]] = []
+        held: list[tuple[int, int, int, int, bool, list[str]]] = []
         shard = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            later = later_windows([w for _, _, w in held])
-            rows = [(d, p + a, p + e) for (d, p, _), x in zip(held, later, strict=True) for a, e in intervals(x)]
+            later = later_windows([h[-1] for h in held])
+            rows = [(k, c, d, p + a, p + e) for (k, c, d, p, _, _), x in zip(held, later, strict=True) for a, e in intervals(x)]
+            rows += [(k, c, d, p, None) for k, c, d, p, copied, _ in held if copied]
             held.clear()
             if rows:
                 yield batch_of(dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
         for b in batches:
-            for at, doc_id, pos, text in zip(*(b.column(k).to_pylist() for k in ("shard", "doc_id", "pos", "words")), strict=True):
+            for at, *row, text in zip(*(b.column(k).to_pylist() for k in ("shard", "key", "content", "doc_id", "pos", "copied", "words")), strict=True):
                 if at != shard:
                     yield from flush()
                     shard = at
-                held.append((doc_id, pos, text.split(" ")))
+                held.append((*row, text.split(" ")))
         yield from flush()
 
-    dealt = slices.select(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"), "doc_id", "pos", "words")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "pos").mapInArrow(run, "doc_id bigint, start int, end int")
-
-
-def _singly(slices: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of later windows among ``slices``, window by window."""
-    types = {"doc_id": pa.int64(), "at": pa.int32(), "w1": pa.int64(), "w2": pa.int64()}
-
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in types}
-        for doc_id, pos, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "pos", "words")), strict=True):
-            words = text.split(" ")
-            for k in range(len(words) - WINDOW + 1):
-                digest = xxhash.xxh3_128_digest(" ".join(words[k : k + WINDOW]).encode("utf-8", "surrogatepass"))
-                out["doc_id"].append(doc_id)
-                out["at"].append(pos + k)
-                out["w1"].append(int.from_bytes(digest[:8], "little", signed=True))
-                out["w2"].append(int.from_bytes(digest[8:], "little", signed=True))
-        return batch_of(out, types)
-
-    windows = arrow_map(slices, fn, "doc_id bigint, at int, w1 bigint, w2 bigint")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "at") != F.col("first"))
-    return later.select("doc_id", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end"))
+    dealt = slices.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "content", "doc_id", "pos", "copied", "words")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "pos").mapInArrow(run, "key bigint, content bigint, doc_id bigint, start int, end int")
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end): word intervals of ``docs`` (doc_id, text) that windows with an earlier occurrence cover."""
+    length = F.col("size") + (WINDOW - 1)
+    place = F.struct("doc_id", "pos", "size", "at")
     runs = text_runs(docs)
-    counted = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"))
-    shared = saved(counted.where("n > 1").drop("n"), "grams")  # written, so that the join below may split a hot gram's rows
-    again = saved(runs.join(shared, "gram"), "runs")
-    classes = saved(again.groupBy("gram", "content").agg(F.min(F.struct("doc_id", "pos", "size")).alias("first"), F.max("several").alias("several"), F.count("*").alias("n")), "classes")
-    copied = classes.where("n > 1").select("gram", "content", "first")
-    copies = again.drop("several").join(copied, ["gram", "content"]).where("doc_id <> first.doc_id OR pos <> first.pos")
-    marks = copies.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("size") + WINDOW - 1).alias("end"))
-
-    several = classes.where("several")
-    hot = several.groupBy("gram").agg(F.count("*").alias("contents")).where(F.col("contents") > HOT).select("gram", F.lit(True).alias("hot"))
-    firsts = several.select("gram", "first.*").join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    slices = saved(_slices(docs, firsts), "slices")
-    words = slices.where("NOT hot").agg(F.sum(F.col("size") + WINDOW)).first()[0] or 0
-    return marks.unionByName(_searched(slices.where("NOT hot"), words)).unionByName(_singly(slices.where("hot")))
+    recurring = saved(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "grams")  # written, so that the join below may split a hot gram's rows
+    members = saved(runs.join(recurring, "key"), "runs")
+    contents = members.groupBy("key", "content").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("copied"))
+    slices = saved(_slices(docs, contents.select("key", "content", "first.*", "copied")), "slices")
+    marks = []
+    while True:
+        groups = slices.groupBy("key").agg(F.sum(length).alias("words"), F.count("*").alias("n"))
+        total = groups.agg(F.sum("words"), F.max(F.when(F.col("n") > 1, F.col("words")))).first()
+        divide = (total[1] or 0) > SHARD_WORDS
+        calm = slices
+        if divide:
+            large = saved(groups.where((F.col("words") > SHARD_WORDS) & (F.col("n") > 1)).select("key"), "large")
+            calm, rest = slices.join(large, "key", "left_anti"), slices.join(large, "key")
+        found = saved(_searched(calm, max(1, (total[0] or 0) // SHARD_WORDS)), "found")
+        copied = found.where("end IS NULL").select("key", "content", F.col("doc_id").alias("first_id"), F.col("start").alias("first_pos"))
+        if divide:
+            copied = copied.unionByName(rest.where("copied").select("key", "content", F.col("doc_id").alias("first_id"), F.col("pos").alias("first_pos")))
+        again = members.join(copied, ["key", "content"]).where("doc_id <> first_id OR pos <> first_pos")
+        marks += [found.where("end IS NOT NULL").select("doc_id", "start", "end"), again.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + length).alias("end"))]
+        if not divide:
+            return reduce(DataFrame.unionByName, marks)
+        parts = saved(_divided(rest), "divided")
+        shared = saved(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "divided-grams")
+        members = saved(parts.join(shared, "key"), "divided-runs")
+        contents = members.groupBy("key", "content").agg(F.min_by(F.struct("doc_id", "pos", "size", "at", "span", "words"), F.struct("doc_id", "pos")).alias("first"), (F.count("*") > 1).alias("copied"))
+        slices = saved(contents.select("key", "content", "first.*", "copied").select(*SLICE), "slices")
 
 
 def _covered(spans: list[dict], n: int) -> np.ndarray:

@@ -139,10 +139,19 @@ def test_line_quality(spark, odd, none):
     made += [(200 + k, "\n".join([" ".join(f"b{j}" for j in range(25)), f"c{k} d{k} e{k}"]), "i") for k in range(30)]
     got = by_id(line_quality.line_quality(spark.createDataFrame(made, "doc_id bigint, text string, source string")))
     assert all(got[k][0].kept and got[k][0].n_boilerplate_words == 5 for k in range(30))
-    assert all(got[100 + k][0].n_boilerplate_words == 0 for k in range(30))  # exact copies count as one document
+    assert all(got[100 + k][0].n_boilerplate_words == got[100 + k][0].n_words and not got[100 + k][0].kept for k in range(30))  # exact copies are documents too
     assert all(not got[200 + k][0].kept and not got[200 + k][0].base_failed for k in range(30))
 
 
+def test_line_quality_hosts_and_ids(spark):
+    """A null host is not the empty one; rows of one id are one document, rows without an id too."""
+    body = " ".join(f"own{k}" for k in range(30))
+    made = [(k, f"the shared line\n{body}", None if k % 2 else "") for k in range(30)]
+    made += [(500, f"another shared line\n{body} {k}", "x") for k in range(30)] + [(None, f"a third shared line\n{body} {k}", "y") for k in range(30)]
+    got = by_id(line_quality.line_quality(spark.createDataFrame(made, "doc_id bigint, text string, source string")))
+    assert {r.n_boilerplate_words for k in (*range(30), 500, None) for r in got[k]} == {0}
+
+
 # 3 decontamination
 
 
@@ -178,6 +187,34 @@ def test_contamination_against_brute_force():
             assert (len(words), int(hit.sum()), {index.names[k] for k in found}) == brute_hits(text, items)
 
 
+def test_contamination_periodic_and_repeated(spark):
+    """Periodic texts take time in proportion, and repeated or long items fit blocks of a bounded size."""
+    import time
+
+    seconds = []
+    for n in (20_000, 80_000):
+        words = [b"a", b"b"] * n
+        index = contamination.Index([("x", "a b " * n), ("y", "b a " * n)])
+        began = time.perf_counter()
+        hit, found = index.search(words)
+        seconds.append(time.perf_counter() - began)
+        assert hit.all() and {index.names[k] for k in found} == {"x", "y"}
+    assert seconds[1] < 12 * seconds[0] + 0.2
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 300, 3000))
+    assert set().union(*({tuple(p.split()[i : i + 10]) for i in range(len(p.split()) - 9)} for p in contamination.parts_of(long, 400))) == {tuple(long.split()[i : i + 10]) for i in range(2991)}
+    items = [(1, "one and the same item of some more words than ten")] * 500 + [(2, long), (3, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    parts, blocks = contamination.blocks_of(bench, 4000)
+    sizes = {r.block: r.n for r in parts.groupBy("block").agg(F.sum(F.octet_length("text") + 41).alias("n")).collect()}
+    assert blocks > 3 and max(sizes.values()) <= 4000 and parts.where("item_id = 1").count() == 1
+    made = [(k, " ".join([f"x{k}"] * 3 + long.split()[k * 17 : k * 17 + 5 + k] + ["y"] * 12)) for k in range(60)] + [(99, items[0][1])]
+    names = [(str(a), t) for a, t in dict.fromkeys(items)]
+    for r in contamination.contamination_report(spark.createDataFrame(made, "doc_id bigint, text string"), bench, block_bytes=4000).collect():
+        n, hit, found = brute_hits(dict(made)[r.doc_id], names)
+        assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(found))
+
+
 def test_contamination_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (None, "tiny"), (3, ""), (1, "again an item of the same id")], "item_id bigint, text string")
     got = by_id(contamination.contamination_report(odd, bench))
@@ -328,9 +365,10 @@ def brute_removed(texts):
     return {k: len(v) for k, v in gone.items()}
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 2])
-def test_substrings_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize("shard", [substrings.SHARD_WORDS, 600, 60])
+def test_substrings_against_brute_force(spark, monkeypatch, shard):
+    """Small shards make every group that is larger be divided, again and again."""
+    monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     rng = np.random.default_rng(4)
     passage = [f"p{k}" for k in range(60)]
     made = {}
@@ -353,17 +391,51 @@ def test_substrings_odd(odd, none):
     assert substrings.substring_report(none).count() == 0
 
 
+def test_substrings_hot_passage(spark, monkeypatch):
+    """One passage in surroundings that all differ, and in the end of a text: a group far larger than a shard."""
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 400)
+    passage = " ".join(f"p{k}" for k in range(25))
+    made = {k: " ".join([*(f"a{k}x{j}" for j in range(k % 23)), passage, *(f"b{k % 50}x{j}" for j in range(k % 19))]) for k in range(300)}
+    got = substrings.substring_report(spark.createDataFrame(list(made.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == brute_removed(made)
+
+
+def test_halves_keep_windows():
+    for size in range(1, 16):
+        for at in range(size - 1, 15):
+            runs = [(0, size, at, substrings.GRAM)]
+            while any(span < substrings.WINDOW for *_, span in runs):
+                runs = [(first + f, n, p, length) for first, count, a, span in runs for _, f, n, p, length in substrings.halves(count, a, span)]
+                assert sorted(k for first, n, _, _ in runs for k in range(first, first + n)) == list(range(size))
+                assert all(a - k >= 0 and a + span <= k + substrings.WINDOW for _, n, a, span in runs for k in range(n))
+
+
+def test_last_smallest(monkeypatch):
+    rng = np.random.default_rng(9)
+    for bits in (24, 6):
+        monkeypatch.setattr(substrings, "PLACE_BITS", bits)
+        for n in (15, 16, 62, 63, 64, 300):
+            values = rng.integers(0, 5, n).astype(np.uint64) << np.uint64(30)
+            want = [max(range(k, k + 15), key=lambda j: (-int(values[j]), j)) for k in range(n - 14)]
+            assert substrings.last_smallest(values, 15).tolist() == want
+
+
 def test_fm_index():
     rng = np.random.default_rng(6)
     text = np.concatenate([rng.integers(1, 4, 300), [0], rng.integers(1, 4, 200), [0]])
-    starts = np.array([k for k in range(len(text) - 6) if not (text[k : k + 6] == 0).any()])
-    alive, low = substrings.FMIndex(text, 6).shared(starts, 6)
-    words = {int(k): tuple(text[k : k + 6].tolist()) for k in starts}
+    index = substrings.FMIndex(text, 6)
+    lengths, low = index.matching_statistics(text, np.arange(len(text)))
+    own = [tuple(text[a:b].tolist()) for a in range(len(text)) for b in range(a + 1, min(a + 6, len(text)) + 1) if 0 not in text[a:b]]
     counts = defaultdict(int)
-    for w in words.values():
+    for w in own:
         counts[w] += 1
-    assert set(alive.tolist()) == {k for k, w in words.items() if counts[w] > 1}
-    assert len({(words[int(k)], int(x)) for k, x in zip(alive, low, strict=True)}) == len({words[int(k)] for k in alive})
+    for e in range(len(text)):
+        assert lengths[e] == max([0, *(n for n in range(1, 7) if n <= e + 1 and counts[tuple(text[e - n + 1 : e + 1].tolist())] > 1)])
+    full = np.flatnonzero(lengths == 6)
+    assert (low[full] >= 0).all() and (low[lengths < 6] == -1).all()
+    words = {int(e): tuple(text[e - 5 : e + 1].tolist()) for e in full}
+    assert len({(w, int(low[e])) for e, w in words.items()}) == len(set(words.values())) == len(set(low[full].tolist()))
+    assert len(index.heads) < len(text)  # runs, not symbols
 
 
 # 7 token shards
