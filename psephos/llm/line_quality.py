@@ -1,15 +1,17 @@
 """Quality rules: base measures of a document, and lines that too many documents of a host share.
 
 Lines are normalised (ASCII lower case, white space as one space, none at the ends) and hashed; for each host the distinct
-documents of a line are counted, exact copies of a text as one, since copies are another operator's concern. Lines that more
-than ``line_limit`` documents of their host have are removed, and a document that keeps less than ``least_kept`` per cent of its words
-is depleted and rejected, as is one that fails a base rule.
+documents that have a line are counted. Lines that more than ``line_limit`` documents of their host have are removed, and a
+document that keeps less than ``least_kept`` per cent of its words is depleted and rejected, as is one that fails a base rule.
 
-One Python pass over the texts leaves a few numbers and the line hashes of each document; everything after that is relational
-and is aggregated before it is shuffled, so neither a hot host nor a hot line meets in one task.
+One Python pass over the texts leaves a few numbers and the line hashes of each document; everything after that is relational.
+Counts are aggregated before they are shuffled, so a hot host or line sends a row from each task. The join of lines with the
+common ones is on (host, line) and streams; a line of so many rows that its partition exceeds the skew size is split by
+adaptive execution.
 
-Defined cases: a null text has no words and fails the base; a null host is a host of its own; repeated rows are judged alike
-and count as one document; other columns are ignored.
+Defined cases: a null text has no words and fails the base; a null host is a host of its own, apart from the empty one; rows of
+one id are one document, and so are all rows without an id; repeated rows are judged alike; a very long text is measured whole;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def measures(text: str) -> dict[str, object]:
     n = len(words)
     return {
         "n_words": n, "word_chars": sum(map(len, words)), "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": dup, "n_repeat_words": repeats,
-        "base_failed": n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n, "_content": stable_text_hash(text), "_lines": lines, "_sizes": sizes,
+        "base_failed": n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n, "_lines": lines, "_sizes": sizes,
     }
 
 
@@ -92,7 +94,7 @@ def _judged(docs: DataFrame, host_col: str, line_limit: int, least_kept: int, wi
     small_batches(docs.sparkSession)
     types = {
         "doc_id": pa.int64(), "_host": pa.string(), "_row": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(),
-        "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "_content": pa.int64(), "_lines": pa.list_(pa.int64()), "_sizes": pa.list_(pa.int32()),
+        "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "_lines": pa.list_(pa.int64()), "_sizes": pa.list_(pa.int32()),
     }
     if with_text:
         types["text"] = pa.large_string()
@@ -111,15 +113,15 @@ def _judged(docs: DataFrame, host_col: str, line_limit: int, least_kept: int, wi
 
     schema = (
         "doc_id bigint, _host string, _row bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,"
-        " n_repeat_words bigint, base_failed boolean, _content bigint, _lines array<bigint>, _sizes array<int>" + (", text string" if with_text else "")
+        " n_repeat_words bigint, base_failed boolean, _lines array<bigint>, _sizes array<int>" + (", text string" if with_text else "")
     )
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), "text")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"), "text")
     measured = saved(source.mapInArrow(run, schema), "line-measures")
 
-    lines = measured.select("_row", "_host", "_content", F.explode(F.arrays_zip("_lines", "_sizes")).alias("x")).select(
-        "_row", "_host", "_content", F.col("x._lines").alias("_line"), F.col("x._sizes").alias("_size")
+    lines = measured.select("_row", "_host", "doc_id", F.explode(F.arrays_zip("_lines", "_sizes")).alias("x")).select(
+        "_row", "_host", "doc_id", F.col("x._lines").alias("_line"), F.col("x._sizes").alias("_size")
     )
-    common = lines.select("_host", "_line", "_content").distinct().groupBy("_host", "_line").count().where(F.col("count") > line_limit)
+    common = lines.select("_host", "_line", "doc_id").distinct().groupBy("_host", "_line").count().where(F.col("count") > line_limit)
     lost = (
         lines.groupBy("_row", "_host", "_line").agg(F.sum("_size").alias("_size"))
         .join(common.select("_host", "_line"), ["_host", "_line"])

@@ -23,7 +23,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id
 """
 
 OP2 = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, {PLAIN_WORD}) AS ws FROM d),
 g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(CASE WHEN len(ws) >= 8 THEN range(1, len(ws) - 6) ELSE [] END) AS i FROM w)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
@@ -32,7 +32,7 @@ raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (
   SELECT r, line, trim(regexp_replace(translate(line, {UPPER}, {LOWER}), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal FROM raw),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE normal <> '' GROUP BY r),
-common AS (SELECT host, normal FROM lines JOIN d USING (r) WHERE normal <> '' GROUP BY host, normal HAVING count(DISTINCT text) > 20),
+common AS (SELECT host, normal FROM lines JOIN d USING (r) WHERE normal <> '' GROUP BY host, normal HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) > 20),
 lost AS (
   SELECT r, sum(len(string_split(l.normal, ' '))) AS n FROM lines l JOIN d USING (r) JOIN common c ON c.host = d.host AND c.normal = l.normal GROUP BY r),
 m AS (
