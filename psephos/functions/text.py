@@ -26,12 +26,13 @@ NON_PARTY_PATTERNS = (
 #: Roles that say nothing, and words that make a role clear; fixed values.
 UNCLEAR_ROLES = ("?", "many leader", "chamber of deputies", "l")
 CLEAR_ROLE_WORDS = ("leader", "lead candidate", "candidate", "president", "prime minister", "top candidate", "chair")
+#: Words for genders and truth values; fixed values.
 MALE = ("m", "male", "man", "masculine")
 FEMALE = ("f", "female", "woman", "feminine")
 TRUE_WORDS = ("true", "1", "yes", "y")
 FALSE_WORDS = ("false", "0", "no", "n")
 #: Characters that betray UTF-8 read as Latin-1; fixed values.
-MOJIBAKE_MARKS = ("Ã", "Â", "â€", "Ð", "Ñ", "�")
+MOJIBAKE_MARKS = ("Ã", "â", "ð", "Ð", "Å", "Ä")
 
 
 def norm_name(x: Column | str) -> Column:
@@ -45,23 +46,22 @@ def _fold(text: str | None) -> str | None:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def _repair(text: str | None) -> str | None:
-    if not text:
-        return text
+def _marks(text: str) -> int:
+    """How many of the marks occur."""
+    return sum(m in text for m in MOJIBAKE_MARKS)
 
-    def marks(t: str) -> int:
-        return sum(t.count(m) for m in MOJIBAKE_MARKS)
 
-    best = text
-    if marks(text):
-        for codec in ("latin-1", "cp1252"):
-            try:
-                other = text.encode(codec).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-            if marks(other) < marks(best):
-                best = other
-    return best
+def _repair(text: str | None) -> str | None:
+    if not text or not (before := _marks(text)):
+        return text
+    for codec in ("latin-1", "cp1252"):  # the first reading with fewer marks is taken
+        try:
+            other = text.encode(codec).decode("utf-8")
+        except UnicodeError:
+            continue
+        if _marks(other) < before:
+            return other
+    return text
 
 
 @F.pandas_udf(StringType())
@@ -81,6 +81,11 @@ def match_name(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(ascii_fold(clean_text(x))), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
 
 
+def repaired_name(x: Column | str) -> Column:
+    """The name for matching of a text that may have been read in the wrong encoding."""
+    return match_name(repair_mojibake(clean_text(x)))
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, 0 to 1; 0 if either side is empty. The order of the arguments matters slightly."""
@@ -102,6 +107,10 @@ def is_low_value_label(normal: Column | str) -> Column:
     return col(normal).isin(*LOW_VALUE_LABELS)
 
 
+def is_missing_label(x: Column | str) -> Column:
+    return clean_text(x) == ""
+
+
 def several_persons(x: Column | str) -> Column:
     text = F.lower(clean_text(x))
     return text.isin("m/f", "f/m") | text.rlike("[/;]| and | & ")

@@ -51,13 +51,16 @@ PUBLIC_PARTS = (
     ".gov", "gov.", ".gob", "gob.", "europa.eu", "europarl", "interior.gob", "juntaelectoralcentral", "electoralcommission", "electoral-commission",
     "electionresults", "parliament.uk", "senato.it", "camera.it", "kiesraad.nl", "dekamer.be", ".admin.ch",
 )
-PUBLIC_WORDS = (
+PUBLIC_PUBLISHER_WORDS = (
     "electoral commission", "election commission", "official election results", "official results", "junta electoral central", "ministry of interior",
     "ministerio del interior", "central election commission", "boletín oficial del estado", "boletin oficial del estado", "senato della repubblica",
     "camera dei deputati", "kiesraad", "chamber of representatives", "house of representatives", "federal public service interior", "federal public service",
     "federal chancellery", "schweizerische bundeskanzlei", "federal statistical office", "department of foreign affairs",
     "foreign affairs (about switzerland)", "swiss confederation", "république et canton", "republique et canton", "canton de genève", "canton de geneve",
-    "belgian chamber of representatives", "the 24th knesset elections", "members of the twenty-fourth knesset", "how the national council is elected",
+    "belgian chamber of representatives",
+)
+PUBLIC_TITLE_WORDS = (
+    "official election results", "official results", "the 24th knesset elections", "members of the twenty-fourth knesset", "how the national council is elected",
     "nationalratswahlen", "election du conseil national", "elections to the house of representatives", "source : service public fédéral intérieur",
     "source : service public federal interieur",
 )
@@ -117,7 +120,7 @@ def source_quality(domain: Column | str, publisher: Column | str, title: Column
     d = F.replace(F.lower(clean_text(domain)), F.lit("www."), F.lit(""))
     p, t, w = (F.lower(clean_text(x)) for x in (publisher, title, why))
     text = F.concat_ws(" | ", p, t, w)
-    public = domain_in(d, PUBLIC) | domain_in(d, PUBLIC_SUFFIXES) | contains_any(d, PUBLIC_PARTS) | ((d == "") & contains_any(text, PUBLIC_WORDS))
+    public = domain_in(d, PUBLIC) | domain_in(d, PUBLIC_SUFFIXES) | contains_any(d, PUBLIC_PARTS) | ((d == "") & (contains_any(text, PUBLIC_PUBLISHER_WORDS) | contains_any(text, PUBLIC_TITLE_WORDS)))
     party = contains_any(text, PARTY_WORDS) | (text.contains("official") & contains_any(text, PARTY_KINDS))
     classes = (
         ("encyclopedia", domain_in(d, ENCYCLOPEDIA) | ((d == "") & contains_any(p, ENCYCLOPEDIA_WORDS))),

@@ -95,6 +95,13 @@ def is_improvement(old: dict[str, Column], new: dict[str, Column], more_confiden
     return gained | surer
 
 
+def skip_reason(missing: Column, low_value: Column, generic: Column) -> Column:
+    """Why a target is not asked for, the first reason that holds; empty if it is."""
+    return (
+        F.when(truthy(missing), "missing_display_name").when(truthy(low_value), "low_value_ballot_option").when(truthy(generic), "generic_nonparty_option").otherwise("")
+    )
+
+
 def nonmatch_reason(explicit: Column, resolved: Column, generic: Column, status: Column, texts: list[Column]) -> Column:
     text = F.lower(F.concat_ws(" | ", *(F.nullif(clean_text(t), F.lit("")) for t in texts)))
     s = clean_text(status)
@@ -180,7 +187,7 @@ def recommended_action(bucket: Column) -> Column:
 
 
 def trust_note(resolved: Column, reason: Column, absent: Column, x: dict[str, Column], alert: Column, flags: Column) -> Column:
-    """A sentence for the reviewer."""
+    """A sentence for the reviewer; the sentences and words are fixed values."""
     gone = F.when(clean_text(absent) != "", F.concat(F.lit("No positive match; identifiable party/list appears absent from the allowed MPD candidates: "), absent, F.lit(".")))
     gone = gone.otherwise("No positive match; identifiable party/list appears absent from the allowed MPD candidates.")
     counts = (("n", "source(s)"), ("domains", "domain(s)"), ("high", "official/reference source(s)"), ("independent", "independent non-wiki source(s)"), ("party_official", "official party source(s)"))

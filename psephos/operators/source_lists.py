@@ -19,6 +19,7 @@ from psephos.functions.jsonx import tally
 from psephos.functions.nulls import clean_text
 from psephos.functions.urls import HIGH_GRADE, INDEPENDENT, domain_of, normalize_url, publisher_of, source_key, source_quality
 
+#: Fields of a source, in the order of the columns; fixed values.
 FIELDS = ("title", "url", "publisher", "why_relevant")
 MOST = 4
 MISSING = {"", "nan", "none", "<na>"}
