@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from psephos.sources.resolve import exists
 from psephos.sources.sinks import write_report
 
 
@@ -49,13 +50,6 @@ class Step:
     note: str = ""
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a stage table is complete, in whatever store it lies."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    done = hadoop.Path(f"{path}/_SUCCESS")
-    return bool(done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done))
-
-
 class Pipeline:
     """Stages in order; a failing one ends the run with its error in the log, an optional one does not."""
 
@@ -103,14 +97,21 @@ def prefer(spark: SparkSession, settings: Settings, names: Sequence[str]) -> str
 
 
 def survey_stages(tables: str) -> list[Stage]:
-    """The chain from respondents to the supply panel, on the tables under ``tables``."""
-    from psephos.plans import entities, models, shares
+    """The whole chain on the tables under ``tables``: checks, backbone, collected, repaired and patched characteristics, matches
+    with an outside list and their review, products and agents, estimates, report."""
+    from psephos.plans import entities, models, records, shares
 
     return [
-        Stage("entities", ["entity"], lambda spark, s: {"entity": entities.entity_rollup(spark, tables)}),
-        Stage("shares", ["share"], lambda spark, s: {"share": shares.market_party_share(spark, tables)}),
-        Stage("panel", ["panel"], lambda spark, s: {"panel": models.supply(spark, tables)}),
-        Stage("report", ["report"], lambda spark, s: {"report": entities.preflight_report(spark, tables)}, optional=True),
+        Stage("preflight", ["preflight"], lambda spark, s: {"preflight": entities.preflight_report(spark, tables)}, optional=True),
+        Stage("backbone", ["entity", "share"], lambda spark, s: {"entity": entities.entity_rollup(spark, tables), "share": shares.market_party_share(spark, tables)}),
+        Stage("collect", ["answer", "leader"], lambda spark, s: {"answer": models.enrichment_resume(spark, tables), "leader": records.json_array_aggregate(spark, tables)}),
+        Stage("repair", ["repair_queue", "leader_repaired"], lambda spark, s: {"repair_queue": records.repair_queue(spark, tables), "leader_repaired": records.repair_merge(spark, tables)}),
+        Stage("patch", ["leader_patched"], lambda spark, s: {"leader_patched": entities.point_patch(spark, tables)}),
+        Stage("match", ["candidate", "match"], lambda spark, s: {"candidate": entities.candidate_rank_topk(spark, tables), "match": entities.cascade_exact_match(spark, tables)}),
+        Stage("review", ["review"], lambda spark, s: {"review": records.review_approvals(spark, tables)}),
+        Stage("apply", ["applied"], lambda spark, s: {"applied": records.apply_no_overwrite(spark, tables)}),
+        Stage("products", ["product", "agent", "panel"], lambda spark, s: {"product": shares.zscore_index(spark, tables), "agent": models.weighted_resample_rows(spark, tables), "panel": models.supply(spark, tables)}),
+        Stage("estimates", ["estimate"], lambda spark, s: {"estimate": models.spec_sweep(spark, tables)}),
     ]
 
 

@@ -66,9 +66,7 @@ class _StataReader(DataSourceReader):
         import pandas as pd
 
         with pd.read_stata(self.path, iterator=True, columns=self.names, convert_categoricals=False) as r:
-            skipped = 0
-            while skipped < partition.start:
-                skipped += len(r.read(min(STATA_ROWS, partition.start - skipped)))
+            _skip(r, partition.start)
             rows = r.read(partition.stop - partition.start) if partition.stop > partition.start else pd.DataFrame(columns=self.names)
         for row in rows[self.names].itertuples(index=False):
             yield tuple(None if pd.isna(v) else self._plain(v, k) for v, k in zip(row, self.names, strict=True))
@@ -80,6 +78,17 @@ class _StataReader(DataSourceReader):
         return float(v) if isinstance(kind, DoubleType) else int(v) if isinstance(kind, LongType) else str(v)
 
 
+def _skip(reader, rows: int) -> None:
+    """Set a Stata reader to a row: rows are of one size, so it seeks; a reader that counts otherwise reads what it skips."""
+    _ = reader.data_label  # reads the header
+    if hasattr(reader, "_lines_read"):
+        reader._lines_read = rows
+        return
+    skipped = 0
+    while skipped < rows:
+        skipped += len(reader.read(min(STATA_ROWS, rows - skipped)))
+
+
 class WorkbookSource(DataSource):
     """``spark.read.format("workbook").load(path)``: the first sheet of an .xlsx file, header in its first row, all text."""
 

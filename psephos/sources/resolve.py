@@ -6,10 +6,17 @@ import re
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str, marker: str = "/_SUCCESS") -> bool:
+    """Whether a table that Spark writes is there and complete (by its marker), in whatever store it lies."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    done = hadoop.Path(f"{path}{marker}")
+    return bool(done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done))
+
+
 def first_column(df: DataFrame, candidates: Iterable[str], any_case: bool = False) -> str | None:
     """The first candidate that the table has."""
     have = {c: c for c in df.columns}

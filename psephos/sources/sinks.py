@@ -73,12 +73,30 @@ def write_stage(df: DataFrame, path: str, labels: dict[str, str] | None = None,
     return names
 
 
-def write_stata(df: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """A table of known small size as one Stata file; larger ones belong in Parquet."""
+def write_stata(df: DataFrame, path: str, most: int = 1_000_000, labels: dict[str, str] | None = None) -> dict[str, str]:
+    """A table of known small size as one Stata file with labels of its variables; larger ones belong in Parquet. Returns the
+    renamed columns."""
     rows = df.limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows; write a stage table instead")
-    rows.rename(columns=stata_names(rows.columns)).to_stata(path, write_index=False, version=118)
+    names = stata_names(rows.columns)
+    given = {names.get(c, c): x[:LABEL_LENGTH] for c, x in (labels or {}).items() if c in rows.columns}
+    for c in rows.columns[[k == "O" and rows[c].isna().all() for c, k in ((c, rows[c].dtype.kind) for c in rows.columns)]]:
+        rows[c] = ""  # a column without any value has no type of its own
+    rows.rename(columns=names).to_stata(path, write_index=False, version=118, variable_labels=given or None)
+    return names
+
+
+def write_pair(df: DataFrame, base: str, labels: dict[str, str] | None = None) -> str:
+    """The table as CSV (``base``.csv) and as Stata file (``base``.dta), from types that both can hold. The CSV counts: what
+    goes wrong with the Stata file is returned, empty if nothing did."""
+    rows = stage_types(df)
+    write_csv(rows, f"{base}.csv")
+    try:
+        write_stata(rows, f"{base}.dta", labels=labels)
+    except (ValueError, OverflowError, UnicodeError, OSError) as e:
+        return f"{type(e).__name__}: {e}"
+    return ""
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from psephos.sources.resolve import exists
+
 ANSWER = "target_id string, status string, raw string, tries int"
 MOST_TRIES, MOST_WAIT = 5, 20.0
 
@@ -76,11 +78,30 @@ def collect(targets: DataFrame, ask: Callable[[dict], str], done: DataFrame | No
     return todo.mapInPandas(run, ANSWER)
 
 
+def collect_in_rounds(targets: DataFrame, ask: Callable[[dict], str], out: str, rounds: int = 20) -> DataFrame:
+    """Answers kept round by round under ``out``: targets are dealt out by their ids, a round that is there is not asked again,
+    and a lost executor costs the answers of its tasks in the round under way at most. Returns all answers."""
+    spark = targets.sparkSession
+    for k in range(rounds):
+        part = f"{out}/round={k}"
+        if not exists(spark, part):
+            collect(targets.where(F.pmod(F.xxhash64("target_id"), F.lit(rounds)) == k), ask).write.mode("overwrite").json(part)
+    return spark.read.schema(f"{ANSWER}, round int").json(out).drop("round")
+
+
 def watch(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Follow a folder of JSON lines; each target's first good answer is appended to ``out`` once."""
-    rows = spark.readStream.schema(schema).json(folder).where("status = 'ok'").dropDuplicates(["target_id"])
+    """Follow a folder of JSON lines; each target's first good answer is kept in ``out`` once.
+
+    A batch has a folder of its own, which it overwrites if it is run again after a failure. What earlier batches hold is left
+    out by a join with them, so the stream itself keeps no state.
+    """
+    rows = spark.readStream.schema(schema).json(folder).where("status = 'ok'")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        new = batch.dropDuplicates(["target_id"])
+        if number and exists(spark, out, marker=""):
+            earlier = spark.read.schema("target_id string, batch bigint").parquet(out).where(F.col("batch") < number)
+            new = new.join(earlier.select("target_id"), "target_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -65,6 +65,17 @@ def test_resolver(spark):
         resolve.first_path(["/nowhere/a"])
 
 
+def test_stata_in_parts(spark, tmp_path, monkeypatch):
+    """Each partition seeks its own rows."""
+    import pandas as pd
+
+    path = str(tmp_path / "parts.dta")
+    pd.DataFrame({"n": range(1000), "s": [f"v{k}" for k in range(1000)]}).to_stata(path, write_index=False, version=118)
+    reader = formats._StataReader(path, formats.StataSource({"path": path}).schema())
+    got = [r for a in range(0, 1000, 130) for r in reader.read(formats._Rows(a, min(a + 130, 1000)))]
+    assert got == [(k, f"v{k}") for k in range(1000)]
+
+
 def test_stata_names():
     names = sinks.stata_names(["ok", "a b", "a_b", "1x", "int", "x" * 40, "x" * 33])
     assert names == {"a b": "a_b", "a_b": "a_b_1", "1x": "v_1x", "int": "int_", "x" * 40: "x" * 32, "x" * 33: "x" * 30 + "_1"}
@@ -85,16 +96,25 @@ def test_writers(spark, tmp_path):
     assert '"custom_id":1' in spark.read.text(str(tmp_path / "r")).orderBy("value").first().value
     sinks.write_stata(df.select("n", "s"), str(tmp_path / "x.dta"))
     assert formats.load(spark, str(tmp_path / "x.dta")).count() == 2
+    names = sinks.write_stata(df.withColumnRenamed("t", "a b"), str(tmp_path / "y.dta"), labels={"n": "a number", "a b": "x" * 100})
+    import pandas as pd
+
+    with pd.read_stata(tmp_path / "y.dta", iterator=True) as r:
+        assert names == {"a b": "a_b"} and r.variable_labels() == {"n": "a number", "s": "", "a_b": "x" * 80, "b": ""}
+    assert sinks.write_pair(df, str(tmp_path / "pair"), {"s": "numbers"}) == ""
+    assert spark.read.option("header", True).csv(str(tmp_path / "pair.csv")).count() == 2 == formats.load(spark, str(tmp_path / "pair.dta")).count()
+    (tmp_path / "bad.dta").mkdir()
+    assert "IsADirectoryError" in sinks.write_pair(df, str(tmp_path / "bad")) and spark.read.option("header", True).csv(str(tmp_path / "bad.csv")).count() == 2
     assert sinks.patched_path("/a/b.dta").name == "b_patched.dta"
 
 
 def test_pipeline(spark, data, tmp_path):
     s = Settings(str(tmp_path))
     first = Pipeline(survey_stages(data))
-    assert first.run(spark, s) == 0 and [x.status for x in first.steps] == ["done"] * 4
+    assert first.run(spark, s) == 0 and [x.status for x in first.steps] == ["done"] * 10
     second = Pipeline(survey_stages(data))
     second.run(spark, s)
-    assert [x.status for x in second.steps] == ["reused"] * 4
+    assert [x.status for x in second.steps] == ["reused"] * 10
     assert prefer(spark, s, ["none", "share"]).endswith("share.parquet")
 
     def broken(spark, settings):
@@ -103,7 +123,7 @@ def test_pipeline(spark, data, tmp_path):
     bad = Pipeline([Stage("a", ["a"], broken, optional=True), Stage("b", ["b"], broken), Stage("c", ["c"], broken)])
     assert bad.run(spark, s) == 1 and [x.status for x in bad.steps] == ["failed", "failed"]
     plan = Pipeline(survey_stages(data))
-    plan.run(spark, Settings(str(tmp_path / "new"), dry_run=True, skip=["shares"]))
-    assert [x.status for x in plan.steps] == ["planned", "skipped", "planned", "planned"]
+    plan.run(spark, Settings(str(tmp_path / "new"), dry_run=True, skip=["collect"]))
+    assert [x.status for x in plan.steps] == ["planned", "planned", "skipped"] + ["planned"] * 7
     plan.write_log(tmp_path / "log.json")
     assert "planned" in (tmp_path / "log.json").read_text()
