@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.functions.dates import age_on
@@ -71,9 +71,13 @@ def age_method(methods: Column) -> Column:
     return F.when(F.size(known) == 1, F.get(known, F.lit(0))).when(F.size(known) > 1, one)
 
 
-def leader_metrics(record: Column, day: Column | str) -> list[Column]:
+def with_leaders(df: DataFrame, record: str, day: str, name: str = "who") -> DataFrame:
+    """The record's leaders as a column, so that they are worked out once."""
+    return df.withColumn(name, people(F.col(record), day))
+
+
+def leader_metrics(record: Column, who: Column) -> list[Column]:
     """Counts, names and means over a record's leaders."""
-    who = people(record, day)
     names = F.filter(F.transform(who, lambda p: p["name"]), lambda n: n != "")
     primary = F.coalesce(F.nullif(clean_text(record["leader_name"]), F.lit("")), F.get(names, F.lit(0)))
     male = mean_of(F.transform(who, lambda p: p["male"]))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from psephos.functions.nulls import finite
 
+#: Names of costs and of specifications; fixed values.
 KAPPAS = ("kappa_ideal", "kappa_lag", "kappa_family")
 SPECS = ("ideal_only", "lag_only", "family_only", "ideal_lag", "ideal_family", "lag_family", "ideal_lag_family")
 
@@ -77,23 +78,25 @@ def linear(names: list[str], b: np.ndarray):
 
 def ols(df: DataFrame, y: str, x: list[str]) -> Fit:
     """Least squares without a constant, HC1 covariance."""
-    rows = usable(df, [y, *x])
+    rows = usable(df, [y, *x]).persist()  # read twice
     total = sums(rows, [*x, y])
     g, n, k = total.products, total.n, len(x)
     inverse = np.linalg.pinv(g[:k, :k])
     b = inverse @ g[:k, k]
     meat = gram(rows, x, (F.col(y) - linear(x, b)) ** 2)
+    rows.unpersist()
     return Fit(x, b, inverse @ meat @ inverse * n / max(n - k, 1), n)
 
 
 def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
     """Two-stage least squares with one endogenous regressor ``d``, controls ``w`` and excluded instruments ``z``; robust
     covariance without a small-sample factor, and the first stage's F of the instruments."""
-    rows = usable(df, [y, d, *w, *z])
+    rows = usable(df, [y, d, *w, *z]).persist()  # read twice
     names, q = [*w, d], [*w, *z]
     total = sums(rows, [*w, *z, d, y])
     g, n = total.products, total.n
     if n <= len(names) + 2:
+        rows.unpersist()
         raise ValueError("too few usable observations")
     at = {c: i for i, c in enumerate([*w, *z, d, y])}
     xi, qi = [at[c] for c in names], [at[c] for c in q]
@@ -102,6 +105,7 @@ def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
     a = np.linalg.pinv(xq @ qq @ xq.T)
     b = a @ (xq @ qq @ g[qi, at[y]])
     meat = gram(rows, q, (F.col(y) - linear(names, b)) ** 2)
+    rows.unpersist()
     cov = a @ (xq @ qq @ meat @ qq @ xq.T) @ a
 
     def rss(cols: list[str]) -> float:
@@ -110,7 +114,9 @@ def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
 
     restricted = rss(w) if w else g[at[d], at[d]] - total.sums[at[d]] ** 2 / n
     full = rss(q)
-    df2 = max(n - len(q) - (0 if w else 1), 1)
+    at_q = [at[c] for c in q]
+    constant = n - total.sums[at_q] @ qq @ total.sums[at_q] < 1e-9 * n  # one is a combination of the columns
+    df2 = max(n - len(q) - (0 if constant else 1), 1)
     f = ((restricted - full) / len(z)) / max(full / df2, 1e-18) if z else math.nan
     return Fit(names, b, cov, n, f)
 
@@ -128,6 +134,18 @@ def keep_independent(df: DataFrame, names: list[str], atol: float = 1e-10) -> li
     return [names[j] for j in kept]
 
 
+def demand_instruments(df: DataFrame, base: list[str], age: str, gender: str) -> tuple[DataFrame, list[str]]:
+    """The rows with columns ``demand_instruments0``, ... for a constant, the ``base`` instruments and their products with age and
+    gender, without those that are combinations of earlier ones; and what they are. Rows that lack any have none."""
+    made = {"const": F.lit(1.0)} | {z: F.col(z) for z in base} | {f"ageX_{z}": F.col(age) * F.col(z) for z in base} | {f"genderX_{z}": F.col(gender) * F.col(z) for z in base}
+    all_known = usable(df.select(*(c.cast("double").alias(n) for n, c in made.items())), list(made))
+    kept = keep_independent(all_known, list(made))
+    known = F.lit(True)
+    for z in (*base, age, gender):
+        known = known & finite(z)
+    return df.withColumns({f"demand_instruments{k}": F.when(known, made[n].cast("double")) for k, n in enumerate(kept)}), kept
+
+
 def kappas(spec: str, beta: float, lag: float = 0.0, family: float = 0.0) -> dict[str, float]:
     """Costs of moving away from the ideal, the previous and the family's position, from the estimates of a specification."""
     shares = {
@@ -271,10 +289,11 @@ class Demand:
     tolerance: float = 1e-10
 
     def deltas(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray) -> DataFrame:
-        """products (market, product, share, ...) with ``delta``; agents (market, agent, demographics) may be missing."""
+        """products (market, product, share, ...) with ``delta``, and whether its contraction has converged (after 5,000 steps at
+        most); agents (market, agent, demographics) may be missing."""
         draws = normal_quantiles(halton(self.nodes, len(self.random)))
         random, demographics, tolerance = self.random, self.demographics, self.tolerance
-        schema = "market string, product long, delta double, own double"
+        schema = "market string, product long, delta double, own double, solved boolean"
 
         def solve(key, p: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
             x = p[random].to_numpy(float)
@@ -296,46 +315,57 @@ class Demand:
                 if np.abs(step).max() < tolerance:
                     break
             own = (q * (1 - q)).mean(axis=1)
-            return pd.DataFrame({"market": p["market"], "product": p["product"], "delta": delta, "own": own})
+            return pd.DataFrame({"market": p["market"], "product": p["product"], "delta": delta, "own": own, "solved": bool(np.abs(step).max() < tolerance)})
 
         return products.groupBy("market").cogroup(agents.groupBy("market")).applyInPandas(solve, schema)
 
     def moments(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """The GMM objective, the concentrated linear parameters and the weight matrix of the next step."""
-        rows = products.join(self.deltas(products, agents, sigma, pi).select("market", "product", "delta"), ["market", "product"]).cache()  # read twice
-        names = [*self.linear, *self.instruments]
-        g = gram(rows, [*names, "delta"])
+        rows = self._with_deltas(products, agents, sigma, pi).cache()  # read twice
+        value, beta = self._objective(rows, weight)
+        next_weight = np.linalg.pinv(gram(rows, self.instruments, (F.col("delta") - linear(self.linear, beta)) ** 2))
+        rows.unpersist()
+        return value, beta, next_weight
+
+    def _with_deltas(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray) -> DataFrame:
+        return products.join(self.deltas(products, agents, sigma, pi).select("market", "product", "delta", "solved"), ["market", "product"])
+
+    def _objective(self, rows: DataFrame, weight: np.ndarray | None) -> tuple[float, np.ndarray]:
+        g = gram(rows, [*self.linear, *self.instruments, "delta"])
         k, m = len(self.linear), len(self.instruments)
         zx, zd, zz = g[k : k + m, :k], g[k : k + m, -1], g[k : k + m, k : k + m]
         w = np.linalg.pinv(zz) if weight is None else weight
         beta = np.linalg.pinv(zx.T @ w @ zx) @ (zx.T @ w @ zd)
         gap = zd - zx @ beta
-        next_weight = np.linalg.pinv(gram(rows, self.instruments, (F.col("delta") - linear(self.linear, beta)) ** 2))
-        rows.unpersist()
-        return float(gap @ w @ gap), beta, next_weight
+        return float(gap @ w @ gap), beta
 
-    def fit(self, products: DataFrame, agents: DataFrame, start: np.ndarray, steps: int = 2, iterations: int = 25) -> dict[str, object]:
-        """Two-step GMM; the few nonlinear parameters are found by a simplex search on the driver."""
+    def fit(self, products: DataFrame, agents: DataFrame, start: np.ndarray, steps: int = 2, iterations: int = 200, tolerance: float = 1e-4) -> dict[str, object]:
+        """Two-step GMM; the few nonlinear parameters are found by a simplex search on the driver, until they differ by less than
+        ``tolerance`` (``converged``) or the iterations are used up. ``unsolved`` counts products whose contraction has not ended."""
         r, d = len(self.random), len(self.demographics)
-        weight, theta = None, np.asarray(start, float)
+        weight, theta, converged = None, np.asarray(start, float), True
 
         def value(x: np.ndarray) -> float:
-            return self.moments(products, agents, x[:r], x[r:].reshape(r, d), weight)[0]
+            return self._objective(self._with_deltas(products, agents, x[:r], x[r:].reshape(r, d)), weight)[0]
 
         for _ in range(steps):
-            theta = simplex(value, theta, iterations)
+            theta, done = simplex(value, theta, iterations, tolerance=tolerance)
+            converged &= done
             best, beta, weight_next = self.moments(products, agents, theta[:r], theta[r:].reshape(r, d), weight)
             weight = weight_next
-        return {"sigma": theta[:r], "pi": theta[r:].reshape(r, d), "beta": beta, "objective": best}
+        unsolved = self._with_deltas(products, agents, theta[:r], theta[r:].reshape(r, d)).where("NOT solved").count()
+        return {"sigma": theta[:r], "pi": theta[r:].reshape(r, d), "beta": beta, "objective": best, "converged": converged, "unsolved": unsolved}
 
 
-def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, iterations: int, size: float = 0.25) -> np.ndarray:
-    """Nelder-Mead minimisation of few parameters."""
+def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, iterations: int, size: float = 0.25, tolerance: float = 1e-4) -> tuple[np.ndarray, bool]:
+    """Nelder-Mead minimisation of few parameters: the best point, and whether the simplex has become smaller than ``tolerance``."""
     points = [start, *(start + size * e for e in np.eye(len(start)))]
     values = [f(p) for p in points]
     for _ in range(iterations):
         order = np.argsort(values)
         points, values = [points[i] for i in order], [values[i] for i in order]
+        if max(np.abs(p - points[0]).max() for p in points[1:]) < tolerance:
+            return points[0], True
         centre = np.mean(points[:-1], axis=0)
         out = centre + (centre - points[-1])
         v = f(out)
@@ -353,4 +383,4 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, iterations: int
             else:
                 points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
                 values = [values[0], *(f(p) for p in points[1:])]
-    return points[int(np.argmin(values))]
+    return points[int(np.argmin(values))], False

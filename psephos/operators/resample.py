@@ -22,6 +22,11 @@ def _held(rows: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
     return met.where("agent_ids IS NOT NULL").drop("_row").withColumnRenamed("_hit", "_row")
 
 
+def _digits(x, n: int):
+    """The first hexadecimal digits of a text's MD5 digest as a number, which other engines can compute as well."""
+    return F.conv(F.substring(F.md5(x.cast("string").cast("binary")), 1, n), 16, 10).cast("bigint")
+
+
 def weighted_resample(df: DataFrame, market: str, order: str, weight: str, draws: int = 200, seed: int = 20260307, parts: int = PARTS) -> DataFrame:
     """``draws`` rows of each market, drawn in proportion to their weights, with ``agent_ids`` from 1.
 
@@ -30,7 +35,7 @@ def weighted_resample(df: DataFrame, market: str, order: str, weight: str, draws
     interval of cumulated weight holds it. Rows are cumulated within parts of a market and the parts' sums, few numbers, among
     each other, so that no task has a market to itself.
     """
-    known = df.where(F.col(market).isNotNull()).withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
+    known = df.where(F.col(market).isNotNull()).withColumn("_part", (_digits(F.col(order), 4) % parts).cast("int"))
     valid = finite(weight) & (F.col(weight) > 0)
     weighed = known.withColumn("_valid", F.when(valid, F.col(weight)).otherwise(0.0))
     sums = weighed.groupBy(market, "_part").agg(F.sum("_valid").alias("_sum"), F.count("*").alias("_n"))
@@ -40,12 +45,12 @@ def weighted_resample(df: DataFrame, market: str, order: str, weight: str, draws
     sums = sums.withColumn("_to", F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_sum").over(w))
 
     places = sums.select(market, F.col("_to").alias("_at"), F.struct("_part", (F.col("_to") - F.col("_sum")).alias("_from")).alias("_row"))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col(market), F.col("agent_ids")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    uniform = _digits(F.concat_ws("|", F.lit(seed), F.col(market), F.col("agent_ids")), 13) / F.lit(float(1 << 52))
     picks = sums.select(market, "_all").distinct().select(market, "_all", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("agent_ids"))
     picks = _held(places, picks.select(market, (uniform * F.col("_all")).alias("_at"), "agent_ids"), [market])
     picks = picks.select(market, F.col("_row._part").alias("_part"), (F.col("_at") - F.col("_row._from")).alias("_at"), "agent_ids")
 
     rows = weighed.join(sums.select(market, "_part", "_even"), [market, "_part"]).withColumn("_p", F.when(F.col("_even"), 1.0).otherwise(F.col("_valid"))).where("_p > 0")
-    running = Window.partitionBy(market, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(market, "_part").orderBy(order, "_p").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(market, "_part", F.sum("_p").over(running).alias("_at"), F.struct(*df.columns).alias("_row"))
     return _held(rows, picks, [market, "_part"]).select("_row.*", "agent_ids")

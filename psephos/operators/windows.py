@@ -63,19 +63,42 @@ def standardised(df: DataFrame, value: str, name: str, params: DataFrame | None
     return df.crossJoin(F.broadcast(row)).withColumn(name, z).drop("mu", "sd")  # a single row
 
 
+#: Ranges that rows are numbered in, and rows up to which one is enough.
+RANGES, FEW = 256, 100_000
+
+
+def row_numbers(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Consecutive numbers from 1 in the given order, whose first column is a name and ascends.
+
+    A large table is numbered in ranges of that column, so that no task has all rows: the bounds are a bounded sample of its
+    distinct values, and each range begins where the counts of those before it end.
+    """
+    first = order[0]
+    bounds = [] if df.limit(FEW + 1).count() <= FEW else [r[0] for r in df.select(first).dropna().distinct().orderBy(F.xxhash64(first), first).limit(RANGES).collect()]
+    if not bounds:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    kind = df.schema[first].dataType
+    place = F.when(F.col(first).isNotNull(), F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in bounds)), lambda b: b <= F.col(first))) + 1).otherwise(0)
+    rows = df.withColumn("_range", place)
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn(name, own).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+
+
 def with_rank_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     """Dense ids, from 0, of the sorted distinct keys; only the distinct keys are ranked."""
-    ids = df.select(key).dropna().distinct().withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
+    ids = row_numbers(df.select(key).dropna().distinct(), [key], name).withColumn(name, F.col(name) - 1)
     return df.join(ids, key, "left")
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str, pattern: str) -> DataFrame:
-    """Formatted consecutive ids over a small table, in a given order."""
-    return df.withColumn(name, F.format_string(pattern, F.row_number().over(Window.orderBy(*order))))
+    """Formatted consecutive ids in a given order."""
+    return row_numbers(df, order, name).withColumn(name, F.format_string(pattern, name))
 
 
 def first_seen_codes(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """Codes from 0 in order of first appearance; NULL keys have -1."""
     seen = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
-    codes = seen.select(key, (F.row_number().over(Window.orderBy("_first")) - 1).alias(name))
+    codes = row_numbers(seen, ["_first"], name).select(key, (F.col(name) - 1).alias(name))
     return df.join(codes, key, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
