@@ -31,7 +31,7 @@ def canonical_name(spark: SparkSession, d: str) -> DataFrame:
     return named(spark, d).dropna(subset=["party"]).groupBy("party", "year").agg(A.canonical_name("name").alias("name"))
 
 
-@query(f"""{NAMED} SELECT suppkey, string_agg(DISTINCT name, ' || ' ORDER BY name) AS aliases, count(DISTINCT name) AS n_names FROM named WHERE suppkey < 40 GROUP BY 1""")
+@query(f"""{NAMED} SELECT suppkey, string_agg(DISTINCT name, ' || ' ORDER BY name) AS aliases, count(DISTINCT name) AS n_names FROM named GROUP BY 1""")
 def alias_lists(spark: SparkSession, d: str) -> DataFrame:
     return named(spark, d).groupBy("suppkey").agg(A.alias_list("name").alias("aliases"), F.countDistinct("name").alias("n_names"))
 
@@ -50,7 +50,7 @@ def entity_rollup(spark: SparkSession, d: str) -> DataFrame:
     return W.numbered(g, ["country", "year", F.col("party").asc_nulls_last()], "entity_id", "pe%06d")
 
 
-@query(f"""WITH {RESPONDENTS}, k AS (SELECT DISTINCT lower(substring(replace(market, ' ', ''), 1, 4)) || CAST(year AS VARCHAR) AS election, country || '|' || CAST(day AS VARCHAR) || '|' || coalesce(CAST(party AS VARCHAR), '') AS stable_key FROM respondents WHERE suppkey < 3)
+@query(f"""WITH {RESPONDENTS}, k AS (SELECT DISTINCT lower(substring(replace(market, ' ', ''), 1, 4)) || CAST(year AS VARCHAR) AS election, country || '|' || CAST(day AS VARCHAR) || '|' || coalesce(CAST(party AS VARCHAR), '') AS stable_key FROM respondents)
 SELECT election, stable_key FROM k""")
 def stable_key_ids(spark: SparkSession, d: str) -> DataFrame:
     return respondents(spark, d).select(election_key("market", "year").alias("election"), joined_key("country", F.col("day").cast("string"), "party").alias("stable_key")).distinct()
@@ -151,7 +151,7 @@ def set_difference_keys(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@query(f"""{NAMED}, g AS (SELECT country, year, suppkey, sum(w) AS w, any_value(s_name) AS name FROM named JOIN supplier ON suppkey = s_suppkey WHERE suppkey < 30 GROUP BY 1, 2, 3)
+@query(f"""{NAMED}, g AS (SELECT country, year, suppkey, sum(w) AS w, any_value(s_name) AS name FROM named JOIN supplier ON suppkey = s_suppkey GROUP BY 1, 2, 3)
 SELECT country, year, suppkey, row_number() OVER (PARTITION BY country, year ORDER BY w DESC NULLS LAST, suppkey) AS rank_by_share, 'S' || CAST(suppkey AS VARCHAR) || ', ' || name AS label FROM g""")
 def candidate_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("country", "year", "suppkey", F.col("rank_by_share").cast("bigint").alias("rank_by_share"), "label")
@@ -164,7 +164,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return ranked.withColumn("label", party_label(F.concat(F.lit("S"), F.col("suppkey").cast("string")), "name"))
 
 
-@query(f"""WITH {RESPONDENTS}, g AS (SELECT country, year, suppkey, sum(w) AS w FROM respondents WHERE suppkey < 30 GROUP BY 1, 2, 3),
+@query(f"""WITH {RESPONDENTS}, g AS (SELECT country, year, suppkey, sum(w) AS w FROM respondents GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY country, year ORDER BY w DESC NULLS LAST, suppkey) AS k FROM g)
 SELECT country, year, count(*) AS n, string_agg(CAST(suppkey AS VARCHAR), '|' ORDER BY k) FILTER (k <= 5) AS top_ids FROM r GROUP BY 1, 2""")
 def candidate_json(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +176,7 @@ def candidate_json(spark: SparkSession, d: str) -> DataFrame:
 #: Targets and an old list of entities with differing spellings, shares and some repeated keys.
 MATCH = f"""WITH {RESPONDENTS}, t AS (
   SELECT country, year, suppkey AS id, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS eng, CASE WHEN suppkey % 3 = 0 THEN 'local ' || CAST(suppkey AS VARCHAR) ELSE '' END AS loc, round(sum(w) / 1000, 3) AS share
-  FROM respondents JOIN supplier ON suppkey = s_suppkey WHERE suppkey < 40 GROUP BY country, year, suppkey, s_name),
+  FROM respondents JOIN supplier ON suppkey = s_suppkey GROUP BY country, year, suppkey, s_name),
 old AS (
   SELECT country, year, id AS old_id, CASE WHEN id % 5 = 0 THEN 'other name' ELSE eng END AS eng, loc, CASE WHEN id % 4 = 0 THEN share + 1 ELSE share END AS share FROM t WHERE id % 7 <> 3)"""
 PASSES = [

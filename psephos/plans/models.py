@@ -14,7 +14,7 @@ from psephos.functions.numeric import p_value, stars
 from psephos.operators import econ as E
 from psephos.operators import source_lists as S
 from psephos.operators import windows as W
-from psephos.operators.resample import weighted_resample
+from psephos.operators.resample import PARTS, weighted_resample
 from psephos.plans import shares as P
 from psephos.plans.base import RESPONDENTS, respondents, table
 from psephos.plans.registry import query
@@ -27,11 +27,11 @@ supply AS (SELECT party_key AS party, panel.year, split_part(party_key, '|', 1)
 full_panel AS (SELECT s.*, z1, z2, z3, CASE WHEN count(x) OVER f > 1 THEN (sum(x) OVER f - x) / (count(x) OVER f - 1) END AS fam FROM supply s JOIN zs USING (country, year) WINDOW f AS (PARTITION BY country, year))"""
 
 
-def supply(spark: SparkSession, d: str) -> DataFrame:
-    """party, year, x, d, lagx, fam and three market instruments."""
+def supply(spark: SparkSession, d: str, dim: str = "x") -> DataFrame:
+    """party, year, x, d, lagx, fam and three market instruments; x is the position in the dimension ``dim`` ("x" or "x2")."""
     people = respondents(spark, d).withColumn("building", (F.col("segment") == "BUILDING").cast("double"))
     z = people.groupBy("country", "year").agg((F.avg("balance") / 1000).alias("z1"), (F.avg("x2") * 10).alias("z2"), F.avg("building").alias("z3"))
-    rows = P.panel(spark, d).select(F.col("party_key").alias("party"), "year", F.split_part("party_key", F.lit("|"), F.lit(1)).alias("country"), "x", F.col("share").alias("d"))
+    rows = P.panel(spark, d, dim).select(F.col("party_key").alias("party"), "year", F.split_part("party_key", F.lit("|"), F.lit(1)).alias("country"), "x", F.col("share").alias("d"))
     rows = rows.withColumn("lagx", W.previous("x", "party", ["year"])).join(z, ["country", "year"])
     return rows.withColumn("fam", W.leave_one_out("x", ["country", "year"]))
 
@@ -84,12 +84,15 @@ def own_derivatives(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def spec_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Two samples, seven specifications, two methods."""
+    """Two samples, two dimensions, seven specifications, two methods."""
     from psephos.operators.windows import ever_reaches
 
-    panel = supply(spark, d).cache()  # small: a row for each party and election
-    large = panel.withColumn("_keep", ever_reaches("d", ["party"], 0.12)).where("_keep").drop("_keep")
-    return spark.createDataFrame(E.sweep({"all": {"econ": panel}, "ever_large": {"econ": large}}, Z))
+    panels = {name: supply(spark, d, dim).cache() for name, dim in (("econ", "x"), ("cult", "x2"))}  # small: a row for each party and election
+    large = {k: p.withColumn("_keep", ever_reaches("d", ["party"], 0.12)).where("_keep").drop("_keep") for k, p in panels.items()}
+    out = E.sweep({"all": panels, "ever_large": large}, Z)
+    for p in panels.values():
+        p.unpersist()
+    return spark.createDataFrame(out)
 
 
 @query()
@@ -107,6 +110,20 @@ def collinear_prune(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, n) for k, n in enumerate(kept)], "place int, name string")
 
 
+@query(f"""WITH {P.CHAIN[5:]}, z AS (SELECT share * 10 AS age, x2 * 20 AS gender, x1, x2, 3 * x1 AS x3 FROM products WHERE isfinite(x1) AND isfinite(x2) AND isfinite(share))
+SELECT CAST(place AS INT) AS place, name, round(total, 8) AS total FROM (
+  SELECT 0 AS place, 'const' AS name, sum(1.0) AS total FROM z UNION ALL SELECT 1, 'x1', sum(x1) FROM z UNION ALL SELECT 2, 'x2', sum(x2) FROM z
+  UNION ALL SELECT 3, 'ageX_x1', sum(age * x1) FROM z UNION ALL SELECT 4, 'ageX_x2', sum(age * x2) FROM z
+  UNION ALL SELECT 5, 'genderX_x1', sum(gender * x1) FROM z UNION ALL SELECT 6, 'genderX_x2', sum(gender * x2) FROM z)""")
+def demand_instruments(spark: SparkSession, d: str) -> DataFrame:
+    """The instruments of demand that are not combinations of earlier ones, and their sums."""
+    rows = P.products(spark, d).select((F.col("share") * 10).alias("age"), (F.col("x2") * 20).alias("gender"), "x1", "x2", (3 * F.col("x1")).alias("x3"))
+    made, names = E.demand_instruments(rows, ["x1", "x2", "x3"], "age", "gender")
+    sums = made.agg(*(F.sum(f"demand_instruments{k}").alias(str(k)) for k in range(len(names))))
+    pairs = ", ".join(f"{k}, '{n}', `{k}`" for k, n in enumerate(names))
+    return sums.selectExpr(f"stack({len(names)}, {pairs}) AS (place, name, total)").withColumn("total", F.round("total", 8))
+
+
 @query()
 def demand_random_coefficients(spark: SparkSession, d: str) -> DataFrame:
     """Two-step GMM of a random-coefficients logit on all markets: deltas by contraction in each market's own task."""
@@ -117,9 +134,12 @@ def demand_random_coefficients(spark: SparkSession, d: str) -> DataFrame:
     people = respondents(spark, d).withColumn("market", F.concat_ws("|", "market", F.col("year").cast("string")))
     agents = weighted_resample(people.select("market", "rid", "w", (F.col("balance") / 10000).alias("income")), "market", "rid", "w", 200).select("market", F.col("agent_ids").alias("agent"), "income")
     model = E.Demand(linear=["one", "x"], random=["x"], demographics=["income"], instruments=["one", "x", "z", "zz", "xz"], nodes=200, tolerance=1e-9)
-    fit = model.fit(rows.cache(), agents.cache(), np.array([0.5, 0.1]))  # small: some rows and 200 agents a market
+    rows, agents = rows.cache(), agents.cache()  # small: some rows and 200 agents a market
+    fit = model.fit(rows, agents, np.array([0.5, 0.1]))
+    rows.unpersist()
+    agents.unpersist()
     sigma, pi, beta = (np.ravel(fit[k]).tolist() for k in ("sigma", "pi", "beta"))
-    return _row(spark, sigma=round(sigma[0], 4), pi=round(pi[0], 4), constant=round(beta[0], 4), slope=round(beta[1], 4), objective=round(fit["objective"], 4))
+    return _row(spark, sigma=round(sigma[0], 4), pi=round(pi[0], 4), constant=round(beta[0], 4), slope=round(beta[1], 4), objective=round(fit["objective"], 4), converged=fit["converged"], unsolved=fit["unsolved"])
 
 
 @query(f"""WITH {RESPONDENTS}, s AS (SELECT country, year, avg(w) AS m, stddev_pop(w) / sqrt(count(*)) AS se FROM respondents GROUP BY 1, 2)
@@ -129,15 +149,25 @@ def significance_stars(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("country", "year", F.round("t", 4).alias("t"), stars(p_value("t")).alias("stars"))
 
 
-@query(f"WITH {RESPONDENTS} SELECT market, CAST(200 AS BIGINT) AS draws, CAST(1 AS INT) AS first_agent, CAST(200 AS INT) AS last_agent, true AS all_valid FROM respondents GROUP BY market")
+def _draws_sql(weight: str) -> str:
+    """200 draws for each market: the row whose interval of cumulated weight holds the draw's uniform number."""
+    return f"""WITH {RESPONDENTS}, v AS (SELECT market, rid, w, {weight} AS v, CAST('0x' || substr(md5(CAST(rid AS VARCHAR)), 1, 4) AS BIGINT) % {PARTS} AS part FROM respondents),
+c AS (SELECT *, sum(v) OVER (PARTITION BY market ORDER BY part, rid, v ROWS UNBOUNDED PRECEDING) AS upto, sum(v) OVER (PARTITION BY market) AS whole FROM v WHERE v > 0),
+u AS (SELECT market, CAST(k AS INT) AS agent_ids, CAST('0x' || substr(md5('20260307|' || market || '|' || CAST(k AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM (SELECT DISTINCT market FROM c), range(1, 201) AS r(k)),
+drawn AS (SELECT c.*, agent_ids FROM c JOIN u ON c.market = u.market AND u * whole >= upto - v AND u * whole < upto)"""
+
+
+@query(f"""{_draws_sql('CASE WHEN x1 > 0.03 THEN w ELSE 0.0 END')}
+SELECT market, count(*) AS draws, min(agent_ids) AS first_agent, max(agent_ids) AS last_agent, bool_and(v > 0) AS all_valid, count(DISTINCT rid) AS n_rows, sum(w) AS weight FROM drawn GROUP BY market""")
 def weighted_resample_counts(spark: SparkSession, d: str) -> DataFrame:
     """Exactly 200 draws for each market, none of a row without weight."""
     rows = respondents(spark, d).withColumn("v", F.when(F.col("x1") > 0.03, F.col("w")).otherwise(0.0))
-    drawn = weighted_resample(rows.select("market", "rid", "v"), "market", "rid", "v")
-    return drawn.groupBy("market").agg(F.count("*").alias("draws"), F.min("agent_ids").alias("first_agent"), F.max("agent_ids").alias("last_agent"), F.bool_and(F.col("v") > 0).alias("all_valid"))
+    drawn = weighted_resample(rows.select("market", "rid", "w", "v"), "market", "rid", "v")
+    return drawn.groupBy("market").agg(F.count("*").alias("draws"), F.min("agent_ids").alias("first_agent"), F.max("agent_ids").alias("last_agent"), F.bool_and(F.col("v") > 0).alias("all_valid"), F.countDistinct("rid").alias("n_rows"), F.sum("w").alias("weight"))
 
 
-@query()
+@query(f"{_draws_sql('w')} SELECT market, rid, w, agent_ids FROM drawn")
 def weighted_resample_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = respondents(spark, d).select("market", "rid", "w")
     return weighted_resample(rows, "market", "rid", "w")
@@ -157,12 +187,12 @@ def raw_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", raw.alias("raw"), model.alias("model"))
 
 
-@query("SELECT event_id, event_id AS usage_input_tokens, CAST(5 AS BIGINT) AS usage_output_tokens, CAST(9 AS BIGINT) AS usage_total_tokens, CAST(1 AS INT) AS web_search_calls FROM events WHERE event_id < 500")
+@query("SELECT event_id, event_id AS usage_input_tokens, CAST(5 AS BIGINT) AS usage_output_tokens, CAST(9 AS BIGINT) AS usage_total_tokens, CAST(1 AS INT) AS web_search_calls FROM events")
 def usage_flatten(spark: SparkSession, d: str) -> DataFrame:
     return raw_answers(spark, d).select("event_id", *X.usage_columns("raw")).drop("usage_cached_tokens", "usage_reasoning_tokens")
 
 
-@query("""SELECT event_id, CAST(2 AS INT) AS n, 'https://www.osce.org/' || CAST(event_id % 3 AS VARCHAR) || '/' AS first_url FROM events WHERE event_id < 500""")
+@query("""SELECT event_id, CAST(2 AS INT) AS n, 'https://www.osce.org/' || CAST(event_id % 3 AS VARCHAR) || '/' AS first_url FROM events""")
 def sources_walk(spark: SparkSession, d: str) -> DataFrame:
     """Sources anywhere in an answer's tree."""
     found = raw_answers(spark, d).select("event_id", S.sources_in("raw").alias("s"))
@@ -170,7 +200,7 @@ def sources_walk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CAST(4 AS INT) AS source_count, 'https://party' || CAST(event_id % 4 AS VARCHAR) || '.example' AS source_1_url, 'official_party_source' AS source_1_tag, CAST(1 AS INT) AS official_count, CAST(1 AS INT) AS reference_count, CAST(2 AS INT) AS non_wiki_count,
-  'encyclopedia:2; intergovernmental_reference:1; official_party_source:1' AS quality_summary FROM events WHERE event_id < 500""")
+  'encyclopedia:2; intergovernmental_reference:1; official_party_source:1' AS quality_summary FROM events""")
 def sources_merge(spark: SparkSession, d: str) -> DataFrame:
     """A model's sources and those of its searches, merged, graded, the best four as columns."""
     rows = raw_answers(spark, d).select("event_id", S.effective_sources(F.col("model"), S.sources_in("raw")).alias("s"))
@@ -185,7 +215,7 @@ def sources_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS target_id, CASE WHEN c_custkey % 3 = 0 THEN 'ok' WHEN c_custkey % 3 = 1 THEN 'no_output_text' ELSE 'invalid_json' END AS status, CAST(1 AS INT) AS tries FROM customer
-WHERE c_custkey < 300 AND c_custkey % 5 <> 0""")
+WHERE c_custkey % 5 <> 0""")
 def enrichment_resume(spark: SparkSession, d: str) -> DataFrame:
     """Recorded answers are replayed for what has no good answer yet."""
     k = F.col("target_id").cast("bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from psephos.functions import countries as C
 from psephos.functions import dates as D
 from psephos.functions import jsonx as X
 from psephos.functions import numeric as N
@@ -21,7 +22,7 @@ SAMPLES = [
     "Green  Party", "List", "other", "Ana / Bo", "M", "female leader", "male leader", "yes", "0", "Prime Minister", "nan", "Don't know",
 ]
 _SQL_SAMPLES = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SAMPLES) + "]"
-TEXTS = f"t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 12 THEN NULL ELSE ({_SQL_SAMPLES})[CAST(o_orderkey % 13 AS INT) + 1] END AS x, o_orderkey % 13 AS k FROM orders WHERE o_orderkey < 2600)"
+TEXTS = f"t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 12 THEN NULL ELSE ({_SQL_SAMPLES})[CAST(o_orderkey % 13 AS INT) + 1] END AS x, o_orderkey % 13 AS k FROM orders)"
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -33,8 +34,7 @@ _CLEAN = "CASE WHEN lower(trim(coalesce(x, ''))) IN ('', 'nan', 'none', '<na>')
 _NORM = "trim(regexp_replace(lower(regexp_replace(trim(coalesce(x, '')), '\\s+', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS plain, trim(regexp_replace(replace(lower(strip_accents(substring(text, 1, 60))), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS folded
-FROM documents WHERE lang IN ('fr', 'es')""")
+@query("""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS plain, trim(regexp_replace(replace(lower(strip_accents(text)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents""")
 def norm_name(spark: SparkSession, d: str) -> DataFrame:
     """Names without and with folded accents."""
     return table(spark, d, "documents").select("doc_id", T.norm_name("text").alias("plain"), T.match_name("text").alias("folded"))
@@ -76,14 +76,52 @@ def bool_like(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("id", T.bool_like("x").alias("flag"))
 
 
-@query(f"WITH {TEXTS} SELECT id, {_CLEAN} AS cleaned, CASE WHEN {_CLEAN} <> '' THEN {_CLEAN} ELSE 'id ' || CAST(id AS VARCHAR) END AS shown, try_cast(x AS DOUBLE) AS num FROM (SELECT * FROM t WHERE coalesce(x, '') <> 'nan')")
+@query(f"WITH {TEXTS} SELECT id, {_CLEAN} AS cleaned, CASE WHEN {_CLEAN} <> '' THEN {_CLEAN} ELSE 'id ' || CAST(id AS VARCHAR) END AS shown, nullif(try_cast(x AS DOUBLE), 'nan'::DOUBLE) AS num FROM t")
 def clean_and_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("id", clean_text("x").alias("cleaned"), first_text("x", F.concat(F.lit("id "), F.col("id").cast("string"))).alias("shown"), to_num("x").alias("num"))
 
 
+@query(f"""WITH {TEXTS} SELECT id, CASE WHEN {_CLEAN} = '' THEN 'missing_display_name' WHEN {_NORM} IN ('independent', 'mixed vote', 'against all', 'nul') THEN 'low_value_ballot_option'
+  WHEN regexp_matches(lower({_CLEAN}), '{_PATTERN}') THEN 'generic_nonparty_option' ELSE '' END AS reason FROM (SELECT id, CASE WHEN id % 17 = 3 THEN ' Against ALL' ELSE x END AS x FROM t)""")
+def skip_reason(spark: SparkSession, d: str) -> DataFrame:
+    """Why a target is left out of the requests."""
+    rows = texts(spark, d).withColumn("x", F.when(F.col("id") % 17 == 3, " Against ALL").otherwise(F.col("x")))
+    return rows.select("id", R.skip_reason(T.is_missing_label("x"), T.is_low_value_label(T.match_name("x")), T.is_non_party("x")).alias("reason"))
+
+
+#: Texts as read in the wrong encoding, and as they should be; the last are right as they are.
+GARBLED = [
+    ("PaÅ‚ac Å»ycia", "Pałac Życia"), ("Ä\x87iriÄ\x87", "ćirić"), ("Ã©lan & Co", "élan & Co"), ("â‚¬uro Partij", "€uro Partij"), ("Ð\x9cÐ¸Ñ\x80", "Мир"), ("Ã\x85land", "Ã\x85land"), ("Ãngel", "Ãngel"), ("Å and Ä", "Å and Ä"), ("élan", "élan"), ("plain", "plain"),
+]
+_SQL_GARBLED = "(VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(GARBLED)) + ") AS g(k, raw, fixed)"
+
+
+@query(f"""SELECT o_orderkey AS id, fixed, trim(regexp_replace(replace(lower(strip_accents(fixed)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS folded FROM orders JOIN {_SQL_GARBLED} ON o_orderkey % {len(GARBLED)} = k""")
+def mojibake_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Texts read in the wrong encoding repaired, and the names for matching that come of them."""
+    raw = F.get(F.array(*(F.lit(a) for a, _ in GARBLED)), (F.col("o_orderkey") % len(GARBLED)).cast("int"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.repair_mojibake(raw).alias("fixed"), T.repaired_name(raw).alias("folded"))
+
+
+COUNTRIES = [*C.CODES, " Austria ", "austria", "Atlantis", ""]
+
+
+def _sql_lookup(known: dict[str, str], x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in known.items()) + " ELSE '' END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, trim(([{', '.join(repr(c) for c in COUNTRIES)}])[CAST(c_custkey % {len(COUNTRIES)} AS INT) + 1]) AS name FROM customer),
+i AS (SELECT id, {_sql_lookup(C.CODES, 'name')} AS iso2 FROM c)
+SELECT id, iso2, {_sql_lookup(C.ISO3, 'iso2')} AS iso3, {_sql_lookup(C.NAMES, 'iso2')} AS country FROM i""")
+def country_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Country names to two-letter codes, and these to three-letter codes and names."""
+    name = F.get(F.array(*(F.lit(c) for c in COUNTRIES)), (F.col("c_custkey") % len(COUNTRIES)).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), C.iso2_of_country(name).alias("iso2"))
+    return rows.select("id", "iso2", C.iso3_of_iso2("iso2").alias("iso3"), C.country_of_iso2("iso2").alias("country"))
+
+
 _URL = r"regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?', {})"
-PAGES = """p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=x' WHEN 1 THEN replace(url, '://', '://www.') WHEN 2 THEN replace(url, '/en/', '//en//') ELSE url END AS url FROM pages
-  WHERE NOT contains(url, '#'))"""
+PAGES = """p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END || 'utm_source=x' || regexp_extract(url, '#.*$') WHEN 1 THEN replace(url, '://', '://www.') WHEN 2 THEN replace(url, '/en/', '//en//') ELSE url END AS url FROM pages)"""
 PARTS = f"u AS (SELECT page_id, url, lower({_URL.format(1)}) AS scheme, replace(lower({_URL.format(2)}), 'www.', '') AS host, {_URL.format(3)} AS path, {_URL.format(4)} AS q FROM p)"
 
 
@@ -131,7 +169,7 @@ _Q = [
     ("intergovernmental_reference", f"{sql_in('d', U.INTERGOVERNMENTAL)} OR {sql_has('x', U.INTERGOVERNMENTAL_WORDS)}"),
     ("institutional_reference", f"{sql_in('d', U.INSTITUTIONAL)} OR {sql_has('x', U.INSTITUTIONAL_WORDS)}"),
     ("news_media", sql_has("d", U.NEWS_PARTS)),
-    ("official_public_source", f"{sql_in('d', U.PUBLIC)} OR {sql_in('d', U.PUBLIC_SUFFIXES)} OR {sql_has('d', U.PUBLIC_PARTS)} OR (d = '' AND {sql_has('x', U.PUBLIC_WORDS)})"),
+    ("official_public_source", f"{sql_in('d', U.PUBLIC)} OR {sql_in('d', U.PUBLIC_SUFFIXES)} OR {sql_has('d', U.PUBLIC_PARTS)} OR (d = '' AND {sql_has('x', (*U.PUBLIC_PUBLISHER_WORDS, *U.PUBLIC_TITLE_WORDS))})"),
     ("official_party_source", f"{sql_has('x', U.PARTY_WORDS)} OR (contains(x, 'official') AND {sql_has('x', U.PARTY_KINDS)})"),
 ]
 
@@ -237,7 +275,7 @@ def complete_case(spark: SparkSession, d: str) -> DataFrame:
 
 #: A leader record for each event, as a provider would answer: fenced, bare, with a list, without, or broken.
 _PEOPLE = """'[{"full_name": "A ' || user_id || '", "birth_date_iso": "1960-0' || (k % 9 + 1) || '-15", "birth_year": null, "gender_text": "f", "include_in_average": true}, {"full_name": "B", "birth_year": ' || (1950 + k % 30) || ', "gender_text": "m", "include_in_average": ' || CASE WHEN k % 2 = 0 THEN 'false' ELSE 'null' END || '}]'"""
-RAW = f"""e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_id < 2000),
+RAW = f"""e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
 raw AS (SELECT *, CASE event_id % 5 WHEN 4 THEN 'no answer' ELSE '{{"resolved": true, "leader_name": "' || CASE WHEN event_id % 5 = 3 THEN 'C' ELSE '' END || '", "gender_text": ' || CASE WHEN event_id % 5 = 3 THEN '"man"' ELSE 'null' END || ', "leaders": ' || CASE WHEN event_id % 5 = 3 THEN 'null' ELSE {_PEOPLE} END || '}}' END AS body FROM e),
 ans AS (SELECT *, CASE event_id % 5 WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN 'Here: ' || body || ' done' ELSE body END AS answer FROM raw)"""
 
@@ -284,7 +322,7 @@ def json_array_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 def _leaders(spark: SparkSession, d: str) -> DataFrame:
     rows = answers(spark, d).withColumn("r", X.parse_record("answer", X.LEADER_RECORD)).where("r IS NOT NULL")
-    return rows.select("event_id", *X.leader_metrics(F.col("r"), "day"))
+    return X.with_leaders(rows, "r", "day").select("event_id", *X.leader_metrics(F.col("r"), F.col("who")))
 
 
 @query("""WITH l AS (SELECT o_custkey AS custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_orderkey, o_orderpriority AS p FROM orders)
@@ -295,9 +333,10 @@ def json_array_wide(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     rows = table(spark, d, "orders").withColumn("k", F.row_number().over(w))
-    lists = rows.groupBy(F.col("o_custkey").alias("custkey")).agg(F.array_sort(F.collect_list(F.struct("k", "o_orderkey", "o_orderpriority"))).alias("a"))
-    urgent = F.size(F.filter(F.slice("a", 1, 4), lambda x: x["o_orderpriority"] == "1-URGENT")).cast("bigint")
-    return lists.select("custkey", F.get("a", F.lit(0))["o_orderkey"].alias("order_1"), F.get("a", F.lit(1))["o_orderkey"].alias("order_2"), F.size("a").cast("bigint").alias("n"), urgent.alias("urgent"))
+    best = F.when(F.col("k") <= 4, F.struct("k", "o_orderkey", "o_orderpriority"))  # only what becomes a column is gathered
+    lists = rows.groupBy(F.col("o_custkey").alias("custkey")).agg(F.array_sort(F.collect_list(best)).alias("a"), F.count("*").alias("n"))
+    urgent = F.size(F.filter("a", lambda x: x["o_orderpriority"] == "1-URGENT")).cast("bigint")
+    return lists.select("custkey", F.get("a", F.lit(0))["o_orderkey"].alias("order_1"), F.get("a", F.lit(1))["o_orderkey"].alias("order_2"), "n", urgent.alias("urgent"))
 
 
 @query("""WITH c AS (SELECT n_regionkey, n_nationkey, 100.0 - n_nationkey AS share FROM nation)
@@ -532,7 +571,7 @@ def review_approvals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS custom_id, 'Order: ' || CAST(o_orderkey AS VARCHAR) || chr(10) || 'Priority: ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'Status: ' || o_orderstatus ELSE '' END AS prompt,
-  'm' AS model FROM orders WHERE o_orderkey < 200""")
+  'm' AS model FROM orders""")
 def request_lines(spark: SparkSession, d: str) -> DataFrame:
     """Requests as JSON lines: labelled values, without those that are missing."""
     rows = table(spark, d, "orders")

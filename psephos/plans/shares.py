@@ -169,9 +169,10 @@ PANEL = f"""{FAMILY}, panel AS (
     max(share) AS share, count(DISTINCT market) AS n_markets FROM indexed GROUP BY 1, 2)"""
 
 
-def panel(spark: SparkSession, d: str) -> DataFrame:
+def panel(spark: SparkSession, d: str, dim: str = "x") -> DataFrame:
+    """A row for each party and year; x is the mean of the index, or of the second characteristic for the dimension "x2"."""
     rows = indexed(spark, d).withColumn("party_key", F.concat_ws("|", "country", F.col("party").cast("string")))
-    return rows.groupBy("party_key", "year").agg(wmean("idx", "share").alias("x"), F.max("share").alias("share"), F.countDistinct("market").alias("n_markets"))
+    return rows.groupBy("party_key", "year").agg(wmean("idx" if dim == "x" else dim, "share").alias("x"), F.max("share").alias("share"), F.countDistinct("market").alias("n_markets"))
 
 
 @query(f"{PANEL} SELECT party_key, year, round(x, 10) AS x, round(share, 10) AS share, n_markets FROM panel")

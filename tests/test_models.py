@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from psephos.operators import econ as E
 from psephos.operators import source_lists as S
 from psephos.operators.resample import weighted_resample
-from psephos.streaming.collect import attempt, collect, first_that_works, replay, watch
+from psephos.operators import windows as W
+from psephos.streaming.collect import attempt, collect, collect_in_rounds, first_that_works, replay, watch
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +128,77 @@ def test_collect_and_watch(spark, tmp_path):
     q = watch(spark, source, "target_id string, status string, n int", str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert [r.target_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
+    schema = "target_id string, status string, n int"
+    spark.createDataFrame([("a", "ok", 3), ("c", "ok", 1)], schema).write.mode("append").json(source)
+    watch(spark, source, schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    assert sorted(r.target_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "c"]
+    (tmp_path / "check" / "commits" / "1").unlink()  # as if the second batch had failed after writing: it runs again
+    (tmp_path / "check" / "commits" / ".1.crc").unlink(missing_ok=True)
+    watch(spark, source, schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    assert sorted(r.target_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "c"]
+
+
+def test_collect_in_rounds(spark, tmp_path):
+    out = str(tmp_path / "answers")
+    targets = spark.range(50).selectExpr("CAST(id AS string) AS target_id")
+    known = {str(k): "{}" for k in range(50)}
+    first = collect_in_rounds(targets, replay(known), out, rounds=4)
+    assert sorted(int(r.target_id) for r in first.collect()) == list(range(50)) and {r.status for r in first.collect()} == {"ok"}
+    (tmp_path / "answers" / "round=2" / "_SUCCESS").unlink()  # a round that was cut off is asked again, the others are not
+    again = collect_in_rounds(targets, replay({}), out, rounds=4)
+    asked = {r.target_id for r in again.where("status <> 'ok'").collect()}
+    assert again.count() == 50 and 0 < len(asked) < 30
+
+
+def test_row_numbers_in_ranges(spark, monkeypatch):
+    """Numbers over ranges are those of one window, missing values first."""
+    monkeypatch.setattr(W, "FEW", 10)
+    monkeypatch.setattr(W, "RANGES", 7)
+    rng = np.random.default_rng(3)
+    made = [(f"k{rng.integers(30)}" if rng.random() < 0.9 else None, k) for k in range(400)]
+    df = spark.createDataFrame(made, "k string, n int")
+    got = {r.n: r.id for r in W.row_numbers(df, ["k", "n"], "id").collect()}
+    want = sorted(made, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [n for _, n in want] == sorted(got, key=got.get) and sorted(got.values()) == list(range(1, 401))
+    ids = {r.k: r.id for r in W.with_rank_ids(df, "k", "id").collect()}
+    assert ids == {k: i for i, k in enumerate(sorted({k for k, _ in made if k}))} | {None: None}
+
+
+def test_first_stage_f(sample):
+    """With controls and no constant there is one degree of freedom less."""
+    df, m = sample
+    y, d, w, z = m[:, 0], m[:, 1], m[:, 2:3], m[:, 3:]
+
+    def rss(x):
+        return float(((d - x @ np.linalg.lstsq(x, d, rcond=None)[0]) ** 2).sum())
+
+    full = np.hstack([w, z])
+    want = ((rss(w) - rss(full)) / 2) / (rss(full) / (300 - 3 - 1))
+    assert math.isclose(E.iv(df, "y", "d", ["w"], ["z1", "z2"]).first_stage_f, want, rel_tol=1e-8)
+    one = np.hstack([np.ones((300, 1)), full])
+    want = ((rss(one[:, :2]) - rss(one)) / 2) / (rss(one) / (300 - 4))
+    got = E.iv(df.withColumn("one", F.lit(1.0)), "y", "d", ["one", "w"], ["z1", "z2"])
+    assert math.isclose(got.first_stage_f, want, rel_tol=1e-8)
+
+
+def test_sweep_and_kappas(spark, data):
+    """56 fits, each as NumPy finds it on the panel."""
+    from psephos.plans import models
+
+    rows = {(r["sample"], r.dim, r.spec, r.method): r for r in models.spec_sweep(spark, data).collect()}
+    assert len(rows) == 56
+    panel = models.supply(spark, data, "x2").toPandas().dropna(subset=["x", "d", "lagx", "z1", "z2", "z3"]).reset_index(drop=True)
+    dm = lambda c: (panel[c] - panel.groupby("party")[c].transform("mean")).to_numpy()
+    x = np.column_stack([dm("lagx"), dm("d")])
+    b = np.linalg.lstsq(x, dm("x"), rcond=None)[0]
+    r = rows["all", "cult", "ideal_lag", "OLS"]
+    assert r.n == len(panel) and math.isclose(r.beta_d, b[1], rel_tol=1e-6, abs_tol=1e-9)
+    k = E.kappas("ideal_lag", b[1], b[0])
+    assert all(math.isclose(r[n], k[n], rel_tol=1e-5) for n in k if math.isfinite(k[n]))
+    u = dm("x") - x @ b
+    inverse = np.linalg.inv(x.T @ x)
+    cov = inverse @ (x.T * u**2) @ x @ inverse * len(u) / (len(u) - 2)
+    grad = {"kappa": np.array([-1 / b[1], -(1 - b[0]) / b[1] ** 2]), "lag": np.array([1 / b[1], -b[0] / b[1] ** 2])}
+    names = E.KAPPAS
+    assert math.isclose(r[f"se_{names[0]}"], math.sqrt(grad["kappa"] @ cov @ grad["kappa"]), rel_tol=1e-4)
+    assert math.isclose(r[f"se_{names[1]}"], math.sqrt(grad["lag"] @ cov @ grad["lag"]), rel_tol=1e-4)

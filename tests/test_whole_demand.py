@@ -22,7 +22,8 @@ def test_fit_on_simulated_markets(spark):
     products = spark.createDataFrame(made, "market string, product long, share double, one double, x double, xx double, rival double, z double").cache()
     agents = spark.createDataFrame([], "market string, agent int")
     model = E.Demand(["one", "x"], ["x"], [], ["one", "x", "xx", "rival"], nodes=30)
-    fit = model.fit(products, agents, np.array([0.5]), iterations=14)
+    fit = model.fit(products, agents, np.array([0.5]), tolerance=0.02)
+    assert fit["converged"] and fit["unsolved"] == 0
     assert abs(abs(fit["sigma"][0]) - sigma) < 0.1 and np.allclose(fit["beta"], beta, atol=0.1)
     assert fit["objective"] < model.moments(products, agents, np.array([0.5]), np.zeros((1, 0)))[0]
 
@@ -34,9 +35,9 @@ def test_query_fits_all_years(spark, data, monkeypatch):
     def fit(self, products, agents, start, **more):
         seen.update(years={r.y for r in products.selectExpr("substring_index(market, '|', -1) AS y").distinct().collect()}, nodes=self.nodes)
         seen.update(draws={r["count"] for r in agents.groupBy("market").count().collect()})
-        return {"sigma": np.array([1.0]), "pi": np.array([[2.0]]), "beta": np.array([3.0, 4.0]), "objective": 5.0}
+        return {"sigma": np.array([1.0]), "pi": np.array([[2.0]]), "beta": np.array([3.0, 4.0]), "objective": 5.0, "converged": True, "unsolved": 0}
 
     monkeypatch.setattr(E.Demand, "fit", fit)
     got = models.demand_random_coefficients(spark, data).collect()[0].asDict()
-    assert got == {"sigma": 1.0, "pi": 2.0, "constant": 3.0, "slope": 4.0, "objective": 5.0}
+    assert got == {"sigma": 1.0, "pi": 2.0, "constant": 3.0, "slope": 4.0, "objective": 5.0, "converged": True, "unsolved": 0}
     assert seen["years"] >= {"1996", "1997"} and seen["draws"] == {200} and seen["nodes"] == 200
