@@ -12,15 +12,17 @@ Documents are sets of distinct five-word shingles; two are linked if 100 * |both
    prior) tells the probability that the pair still reaches the threshold; below ``MISS`` it is dropped. Survivors are
    verified exactly on the full sets.
 4. Buckets that still hold different components after that are searched on: every member outside the component of the
-   bucket's smallest id is compared, chunk by chunk, with the members of other components until it is linked to them or all
-   have been tried, so that no link between different components is left out.
+   bucket's smallest id is compared, chunk by chunk, with the members of other components whose sets are of a size that allows
+   a link, until it is linked to them or all have been tried, so that no link between different components is left out.
+   Chunks are bounded in members and bytes.
 5. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 A pair at the threshold shares no band with probability below 1e-6: 24 bands of 5 positions at 85 per cent, 27 of 4 at 80.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text of fewer than five words has its whole
 sequence as its one shingle; rows of one id are one document, linked if any of its texts is; a null id is never linked, has a
-null component and stays; other columns are ignored.
+null component and stays; a very long text is one set like any other, and a chunk of its own in step 4 (it must fit a row of
+2 GB); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,8 +53,9 @@ MISS = 1e-7
 GROUP = 64
 #: Rounds of star pairs before the rest of each bucket is compared in full.
 TURNS = 3
-#: Members of a bucket that are compared at once with four times as many others.
+#: Members of a bucket that are compared at once with four times as many others, and most bytes of their texts.
 CHUNK = 64
+CHUNK_BYTES = 8 << 20
 
 _SEED = np.random.default_rng(977).integers(0, 1 << 63, (2, POSITIONS), dtype=np.uint64)
 _A, _B = _SEED[0] * np.uint64(2) + np.uint64(1), _SEED[1]
@@ -124,20 +127,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, and for sets that are not empty digest and signature."""
-    types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "sig": pa.binary()}
+    """Per document: doc_id, n_shingles, length of the text, and for sets that are not empty digest and signature."""
+    types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "bytes": pa.int64(), "digest": pa.binary(), "sig": pa.binary()}
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in b.column("text").to_pylist()]
+        texts = b.column("text").to_pylist()
+        sets = [shingles(t) for t in texts]
         return batch_of(
             {
-                "doc_id": b.column("doc_id"), "n_shingles": [len(s) for s in sets],
+                "doc_id": b.column("doc_id"), "n_shingles": [len(s) for s in sets], "bytes": [len(t or "") for t in texts],
                 "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "sig": [signature(s).tobytes() if len(s) else None for s in sets],
             }, types,
         )
 
-    return arrow_map(docs, fn, "doc_id bigint, n_shingles bigint, digest binary, sig binary")
+    return arrow_map(docs, fn, "doc_id bigint, n_shingles bigint, bytes bigint, digest binary, sig binary")
 
 
 def band_keys(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,7 +163,7 @@ def band_keys(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def plausible(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that the sequential comparison of their signatures lets through."""
-    rows = pairs.join(sigs.toDF("a", "sa").hint("merge"), "a").join(sigs.toDF("b", "sb").hint("merge"), "b").select("a", "b", "sa", "sb")
+    rows = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b").select("a", "b", "sa", "sb")
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u4").reshape(-1, POSITIONS) for k in ("sa", "sb"))
@@ -177,29 +181,34 @@ def linked_across(placed: DataFrame, outside: DataFrame, sigs: DataFrame, texts:
     is shuffled and emitted is chunks and links, never pairs.
     """
     own = texts.select(F.col("doc_id").alias("id"), "text")
+    step = -math.log(percent / 100)  # sets that are linked are of the same size class or of neighbouring ones
+    sized = sigs.select("id", F.floor(F.log("n") / step).cast("int").alias("level"), "bytes")
 
     def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-        parts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-        dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        full = dealt.join(sigs.hint("merge"), "id").join(own.hint("merge"), "id")
-        return full.groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "sig", "text")).alias(name)).drop("part")
+        full = F.greatest(F.count("*") / size, F.sum("bytes") / (size // CHUNK * CHUNK_BYTES))
+        levels = rows.join(sized.hint("merge"), "id")
+        parts = levels.groupBy("key", "level").agg(F.ceil(full).cast("int").alias("parts"))
+        dealt = levels.join(parts, ["key", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        whole = dealt.join(sigs.select("id", "n", "sig").hint("merge"), "id").join(own.hint("merge"), "id")
+        return whole.groupBy("key", "level", "part").agg(F.collect_list(F.struct("id", "comp", "n", "sig", "text")).alias(name)).drop("part")
 
     touched = placed.join(outside.select("key").distinct(), "key", "left_semi")
-    rows = packed(outside, CHUNK, "own").join(packed(touched, 4 * CHUNK, "other"), "key").select("own", "other")
+    near = packed(outside, CHUNK, "own").withColumnRenamed("level", "own_level")
+    rows = near.join(packed(touched, 4 * CHUNK, "other"), "key").where(F.abs(F.col("level") - F.col("own_level")) <= 1).select("own", "other")
     types = {"a": pa.int64(), "b": pa.int64()}
 
-    def unpacked(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    def unpacked(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         v = c.values
-        return v.field("id").to_numpy(), v.field("comp").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), dtype="<u4").reshape(-1, POSITIONS), v.field("text")
+        return v.field("id").to_numpy(), v.field("comp").to_numpy(), v.field("n").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), dtype="<u4").reshape(-1, POSITIONS), v.field("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[tuple[int, int]] = set()
             for k in range(b.num_rows):
-                (xi, xc, xs, xt), (yi, yc, ys, yt) = unpacked(b.column("own")[k]), unpacked(b.column("other")[k])
+                (xi, xc, xn, xs, xt), (yi, yc, yn, ys, yt) = unpacked(b.column("own")[k]), unpacked(b.column("other")[k])
                 sets: dict[int, np.ndarray] = {}
                 for i in range(len(xi)):
-                    at = np.flatnonzero(yc != xc[i])
+                    at = np.flatnonzero((yc != xc[i]) & (100 * np.minimum(yn, xn[i]) >= percent * np.maximum(yn, xn[i])))
                     at = at[survivors(np.broadcast_to(xs[i], (len(at), POSITIONS)), ys[at], percent)]
                     if not len(at):
                         continue
@@ -284,7 +293,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     buckets = saved(keys.join(full, "key"), "buckets")
     rows = buckets.count()  # what follows has no more rows than this
     members = buckets.select("id").distinct()
-    sigs = saved(classes.select("id", "sig").join(members.hint("merge"), "id", "left_semi"), "signatures")
+    sigs = saved(classes.select("id", "n", "bytes", "sig").join(members.hint("merge"), "id", "left_semi"), "signatures")
     texts = saved(docs.join(members.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
 
     found = None  # (id, component) so far
@@ -326,7 +335,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketched = saved(sketches(rows), "sketches")
     full = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.max("bytes").alias("bytes"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     found = links(rows.where("doc_id IS NOT NULL"), classes, percent)
     label = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
@@ -336,5 +345,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with their own columns, but those of documents that are not the smallest of their component."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+    name = next(n for n in (f"gone_{k}" for k in range(len(docs.columns) + 1)) if n not in map(str.lower, docs.columns))
+    gone = gone.withColumnRenamed("doc_id", name)
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone[name], "left_anti")
