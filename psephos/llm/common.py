@@ -29,12 +29,14 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder path in the cluster's shared checkpoint folder.
+    """A fresh folder path in the cluster's shared checkpoint folder, the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local use) is one made and set.
+    Where that is unset, one is made and set if all executors are in this process (local use, tests); a cluster has to name it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="psephos-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,11 +4,12 @@ The n-grams are taken of two readings of a text's words: the words themselves in
 lower case, digits and each mark, runs as one). Each n-gram hashes to one of ``DIMENSIONS`` weights; an n-gram's value is its
 share of the n-grams of its kind, and a score is the sigmoid of a sparse dot product.
 
-Training sees at most ``SAMPLE`` labelled rows (those with the smallest hashes of their ids, never a held-out one), in one
-task that streams them; the weights, of fixed size, are broadcast. Scoring is one pass over all texts.
+Training sees at most ``SAMPLE`` labelled rows (those with the smallest hashes of their ids, never a held-out one) and
+``SAMPLE_BYTES`` bytes of texts of at most ``LONGEST`` bytes, in one task; the weights, of fixed size, are broadcast. Scoring is one pass over all texts.
 
 Defined cases: a null or blank text has the bias alone as its score; rows without a label are not trained on; without any
-usable label all scores are 0.5; repeated rows get equal scores; other columns are ignored.
+usable label all scores are 0.5; a document with several labels has the largest, one with several texts is learnt by the
+smallest; repeated rows get equal scores; a very long text is scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.llm.common import arrow_map, batch_of, gram_hashes, hashed_words, held_out_column, small_batches
 
 #: Most labelled rows that training looks at.
 SAMPLE = 8_000
+#: Most bytes of text that are trained on, and of one text among them.
+SAMPLE_BYTES = 64 << 20
+LONGEST = 1 << 20
 #: Passes over the sample: at least so many, and as many as give so many updates.
 EPOCHS = 3
 UPDATES = 12_000
@@ -94,13 +98,21 @@ class FTRL:
         self.n[at] += g * g
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``sample`` labelled rows that are not held out, in one partition, in hash order."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, label, text) of labelled documents that are not held out, in one partition, in hash order: those with the
+    smallest hashes of their ids, at most ``sample`` of them and ``size`` bytes of text, without texts beyond LONGEST bytes.
+
+    A document with several labels has the largest, one with several texts the smallest. What is broadcast is the sample's ids.
+    """
+    key = F.col("doc_id").cast("bigint")
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out_column())
-    chosen = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)  # a bounded table, so it may be broadcast
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "text").select("doc_id", "label", "text")
+    chosen = known.groupBy(key.alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select(key.alias("doc_id"), "text")
+    sizes = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+    sizes = sizes.where(F.col("n") <= LONGEST).withColumn("total", F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))  # at most ``sample`` rows
+    kept = sizes.where(F.col("total") <= size).select("doc_id", "label")
+    texts = rows.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return texts.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label", "text")
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
