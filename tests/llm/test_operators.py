@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from psephos.llm import chat, contamination, encoding, line_quality, near_duplicates, pii, quality_classifier, sentencepiece_codec, substrings, token_shards, toxicity
-from psephos.llm.common import hashed_words
+from psephos.llm.common import gram_hashes, hashed_words
 from psephos.llm.queries import QUERIES, oracle_sql
 from tests.compare import rows, tables
 
@@ -119,6 +120,66 @@ def test_near_duplicates_group(spark):
     assert len({root(k) for k in range(150)}) > 1
 
 
+def brute_components(texts, percent):
+    """The smallest document that each reaches over links, from the exact sizes of all intersections."""
+    sets = {}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    having = defaultdict(list)
+    for k in sorted(sets):
+        for g in sets[k]:
+            having[g].append(k)
+    common = Counter((a, b) for ks in having.values() for i, a in enumerate(ks) for b in ks[i + 1 :])
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            links += 1
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {k: find(k) for k in sets}, links
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_recall(spark, percent):
+    """Nothing is lost between bands, posterior bounds and stars: components of all of sf0.01 as exact counting finds them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, links = brute_components({r.doc_id: r.text for r in docs.collect()}, percent)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs, percent).collect()}
+    assert links > 50 and got == want
+
+
+def test_near_duplicates_chain_in_one_bucket(spark, monkeypatch):
+    """Members of one bucket that hubs leave apart meet in chunks of few members and bytes, whatever their sizes."""
+    monkeypatch.setattr(near_duplicates, "CHUNK", 2)
+    monkeypatch.setattr(near_duplicates, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(near_duplicates, "TURNS", 1)
+    rng = np.random.default_rng(21)
+    made = {}
+    for k in range(60):
+        words = [f"w{j}" for j in range(60 + 4 * (k % 7))]
+        for j in rng.choice(len(words), int(rng.integers(0, 3)), replace=False):
+            words[j] = f"e{rng.integers(30)}"
+        made[k] = " ".join(words)
+    want, _ = brute_components(made, 85)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(list(made.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 1
+
+
+def test_one_of_each_group_keeps_any_columns(spark):
+    rows = [(1, "a b c d e f", 5, 7), (2, "a b c d e f", 6, 8), (None, "a b c d e f", 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _gone int, gone_0 int")
+    left = near_duplicates.one_of_each_group(df)
+    assert left.columns == df.columns and sorted(r._gone for r in left.collect()) == [5, 9]
+
+
 def test_posterior_bounds_rise():
     least = near_duplicates.least_matches()
     assert least == sorted(least) and least[-1] < near_duplicates.POSITIONS * 0.85
@@ -309,6 +370,74 @@ def test_quality_classifier(spark, docs, odd, none, labels, data):
     assert {r.score for r in quality_classifier.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_classifier_against_brute_force(spark, monkeypatch):
+    """Weights and scores by the definition: n-grams as tuples, updates one coordinate at a time."""
+    monkeypatch.setattr(quality_classifier, "UPDATES", 50)
+    rng = np.random.default_rng(12)
+    words = ["Alpha", "beta", "GAMMA", "d3lta", "x-y", "end.", "ÉT", "12"]
+    made = [(k, " ".join(rng.choice(words, int(rng.integers(0, 12))))) for k in range(40)] + [(40, None), (41, "alpha" * 30), (3, "another text of document 3")]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(42)] + [(1, 1), (0, 1)], "doc_id bigint, quality int")
+
+    def grams(text):
+        out = defaultdict(float)
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        shape = re.sub(r"([a-z\x80-\U0010ffff])+", "a", re.sub("[\t-\r]", " ", text or ""))
+        shape = re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", shape))
+        shape = re.sub(r"(.)\1+", r"\1", shape, flags=re.S)
+        for kind, (reading, sizes) in enumerate(((lower, (1, 2)), (shape, (1, 2, 3)))):
+            w = re.findall(r"[^\x20\x09-\x0D]+", reading)
+            for n in sizes:
+                found = [(kind, *w[i : i + n]) for i in range(len(w) - n + 1)]
+                for g in found:
+                    out[g] += 8.0 / len(found)
+        return out
+
+    def slot(gram):
+        kind, *w = gram
+        h = hashed_words(" ".join(w).encode()) + np.uint64(kind * 8 + len(w))
+        return int(gram_hashes(h, len(w))[0] >> np.uint64(64 - 18))
+
+    rows = quality_classifier.training_rows(docs, labels, "quality", 8000).collect()
+    assert sorted(r.doc_id for r in rows) == [k for k in range(42) if zlib.crc32(str(k).encode()) % 5] and {r.doc_id: r.label for r in rows}[1] == 1
+    z, n = defaultdict(float), defaultdict(float)
+    alpha, beta, l1, l2 = 0.5, 1.0, 1e-4, 1e-3
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    def vector(text):
+        out = defaultdict(float)
+        for g, v in grams(text).items():
+            out[slot(g)] += v
+        return out | {1 << 18: 1.0}
+
+    for _ in range(max(3, math.ceil(50 / len(rows)))):
+        for r in rows:
+            x = vector(r.text)
+            w = {i: weight(i) for i in x}
+            gap = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))) - r.label
+            for i, v in x.items():
+                g = gap * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    got = quality_classifier.trained(docs, labels)
+    want = np.zeros((1 << 18) + 1)
+    for i in list(z):
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=2e-5) and np.count_nonzero(want) > 50
+    for _, t in made:
+        assert abs(quality_classifier.score(t, got) - 1 / (1 + math.exp(-sum(want[i] * v for i, v in vector(t).items())))) < 1e-4
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(k, "x" * (k + 1)) for k in range(50)] + [(7, "x" * 8)] * 3, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(50)] * 2, "doc_id bigint, quality int")
+    rows = quality_classifier.training_rows(docs, labels, "quality", 20, 300).collect()
+    assert 0 < len(rows) <= 20 and sum(len(r.text) for r in rows) <= 300 and len({r.doc_id for r in rows}) == len(rows)
+
+
 def test_ftrl_learns():
     rng = np.random.default_rng(0)
     m = quality_classifier.FTRL()
@@ -319,21 +448,80 @@ def test_ftrl_learns():
     assert w[1] > 0.5 > -0.5 > w[0] and w[7] == 0
 
 
-def test_toxicity_neighbours_are_exact():
+def brute_toxicity(rows, texts):
+    """Scores and neighbours by the definition: dictionaries, all cosines, an isotonic fit by its min-max formula."""
+
+    def terms(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return Counter([*words, *(w[:k] + "*" for w in words for k in (4, 5) if len(w) > k)])
+
+    counts = [terms(t) for _, _, t in rows]
+    groups = toxicity.copy_groups([t for _, _, t in rows]).tolist()
+    share = [1 / groups.count(g) for g in groups]
+    n1, n0 = (sum(s for s, r in zip(share, rows, strict=True) if r[1] == y) for y in (1, 0))
+    weight = {}
+    for w in set().union(*counts):
+        df = sum(w in c for c in counts)
+        a, b = (sum(s for s, r, c in zip(share, rows, counts, strict=True) if r[1] == y and w in c) for y in (1, 0))
+        p = (a + b) / (n1 + n0)
+        z = (a / n1 - b / n0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+        weight[w] = math.log((1 + len(rows)) / (1 + df)) * (1 + max(z, 0))
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()} if length else v
+
+    examples = [vector(c) for c in counts]
+
+    def vote(v, without=None):
+        cos = [0 if g == without else sum(x * e.get(w, 0) for w, x in v.items()) for e, g in zip(examples, groups, strict=True)]
+        least = sorted(cos)[-15] if len(cos) >= 15 else 0
+        near = [k for k, c in enumerate(cos) if c > 1e-9 and c >= least - 1e-6]
+        w = [cos[k] / (1.05 - min(cos[k], 1)) for k in near]
+        return (sum(x * rows[k][1] for x, k in zip(w, near, strict=True)) / sum(w) if near else -1), {rows[k][0] for k in near}
+
+    out = sorted((round(v, 5), r[1]) for r, e, g in zip(rows, examples, groups, strict=True) if (v := vote(e, g)[0]) >= 0)
+    distinct = sorted({v for v, _ in out})
+    ys = [[y for v, y in out if v == d] for d in distinct]
+    fit = [max(min(sum(map(sum, ys[a : b + 1])) / sum(map(len, ys[a : b + 1])) for b in range(i, len(ys))) for a in range(i + 1)) for i in range(len(ys))]
+    at, rate = [], []
+    for value in sorted(set(fit)):
+        pool = [(v, y) for v, f, some in zip(distinct, fit, ys, strict=True) if f == value for y in some]
+        at.append(sum(v for v, _ in pool) / len(pool))
+        rate.append((sum(y for _, y in pool) + 0.5 * at[-1]) / (len(pool) + 0.5))
+    got = []
+    for t in texts:
+        v, near = vote(vector(terms(t)))
+        got.append((float(np.interp(v, [0, *at, 1], [rate[0], *rate, rate[-1]])), near) if v >= 0 else (None, near))
+    return got
+
+
+def test_toxicity_against_brute_force(monkeypatch):
+    """Whole scores and all neighbours, with few and with many terms as full rows, copies and ties among them."""
     rng = np.random.default_rng(2)
-    made = [(k, int(k % 3 == 0), " ".join((["bad", "worse", "vile"] if k % 3 == 0 else ["fine"])[: int(rng.integers(1, 4))] + [f"w{x}" for x in rng.integers(0, 400, 30)])) for k in range(300)]
-    index = toxicity.fitted(made)
-    assert {"bad"} <= set(index.vocabulary)
-    vectors = np.zeros((len(index.rows), len(index.vocabulary)))
-    for k, (_, _, c) in enumerate(index.rows):
-        t, w = index.vector(c)
-        vectors[k, t] = w
-    for k in range(0, len(index.rows), 7):
-        t, w = index.vector(index.rows[k][2])
-        cos = vectors[:, t] @ w
-        places, got = index.nearest(index.rows[k][2])
-        want = np.lexsort((np.arange(len(cos)), -cos))[: toxicity.NEIGHBOURS]
-        assert np.allclose(np.sort(got), np.sort(cos[want])) and np.allclose(cos[places], got)
+    words = [f"wordy{x}" for x in "abcdefghijklmnopqrstuvwxyz"] + [a + b + "xyz" for a in "abcdefghij" for b in "klmnopqrst"]
+    rare = (words * 2)[: len(words)]
+
+    def text(y):
+        own = list(rng.choice(["idiotic", "idiots", "vile", "trashy"], int(rng.integers(1, 4)))) if y else []
+        made = own + list(rng.choice(rare, int(rng.integers(3, 30)), p=1 / np.arange(1, len(rare) + 1) / (1 / np.arange(1, len(rare) + 1)).sum()))
+        rng.shuffle(made)
+        return " ".join(made)
+
+    rows = [(k, int(k % 4 == 0), text(k % 4 == 0)) for k in range(150)]
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(0, 12)] * 1 + [(300, 0, None), (301, 1, "123"), (302, 1, rows[1][2])]
+    queries = [r[2] for r in rows[::5]] + [text(k % 2) for k in range(30)] + ["", "idiotism", "unheard"]
+    want = brute_toxicity(rows, queries)
+    for common in (1, 16, 10_000):
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        monkeypatch.setattr(toxicity, "FIRST_TERMS", 4)
+        monkeypatch.setattr(toxicity, "BLOCK", 8)
+        index = toxicity.fitted(rows)
+        for (score, ids), (expected, near) in zip(index.scores(queries), want, strict=True):
+            assert set(ids) == near and abs(score - (index.none_rate if expected is None else expected)) < 1e-4
+    renamed = toxicity.fitted([(10_000 - d, y, t) for d, y, t in rows[::-1]])  # ids and order don't matter
+    assert np.allclose([s for s, _ in renamed.scores(queries)], [s for s, _ in toxicity.fitted(rows).scores(queries)], atol=1e-6)
 
 
 def test_toxicity(spark, odd, none, labels, data):
@@ -342,7 +530,7 @@ def test_toxicity(spark, odd, none, labels, data):
     got = toxicity.toxicity_scores(big, known).join(known, "doc_id").toPandas()
     held = got[got.held_out]
     assert (held.predicted == held.toxic).mean() >= 0.93 and got.score.between(0, 1).all()
-    assert all(len(e) for e in got[got.predicted == 1].evidence)
+    assert all(len(e) for e in got.evidence)  # no document without neighbours
     scores = by_id(toxicity.toxicity_scores(odd, labels))
     assert scores[3][0].score == scores[4][0].score == scores[5][0].score
     assert toxicity.toxicity_scores(none, labels).count() == 0 and {r.score for r in toxicity.toxicity_scores(odd, labels.limit(0)).collect()} == {0.0}
@@ -591,12 +779,15 @@ def test_pipeline(spark, data, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "decontamination", "personal_data", "sentencepiece"]
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, data).collect()}
-    known = spark.read.parquet(f"{data}/labels.parquet")
-    toxic = {r.doc_id for r in toxicity.toxicity_scores(docs, known).where("predicted = 1").collect()}
-    left = docs.where(~F.col("doc_id").isin(*toxic)) if toxic else docs
-    one = {r.doc_id for r in near_duplicates.near_duplicates(left).where("kept").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.toxic is not None}
+    rows = [(k, y, texts[k]) for k, y in known.items() if k in texts and zlib.crc32(str(k).encode()) % 5]
+    scores = brute_toxicity(rows, list(texts.values()))
+    left = {k: t for (k, t), (score, _) in zip(texts.items(), scores, strict=True) if score is None or score < 0.5}
+    first, _ = brute_components(left, corpus_pipeline.NEAR_PERCENT)
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    kept = {r.doc_id: r.text for r in left.collect() if r.doc_id in one and not brute_hits(r.text, items)[1]}
+    kept = {k: t for k, t in left.items() if first[k] == k and not brute_hits(t, items)[1]}
+    assert len(texts) > len(left) > sum(first[k] == k for k in left) > len(kept)
     assert set(got) == set(kept) and len(kept) < docs.count()
     c = sentencepiece_codec.codec(PIECE)
     for k, r in got.items():
