@@ -31,10 +31,13 @@ USAGE = (
 
 def json_object_text(x: Column | str) -> Column:
     """The JSON object in a model's answer: without code fences, else from the first brace to the last; NULL if there is none."""
-    text = clean_text(x)
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?is)^```(?:json)?\s*", ""), r"(?s)\s*```$", "")
-    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    return F.when(F.get_json_object(bare, "$").isNotNull() & bare.startswith("{"), bare).otherwise(F.nullif(inner, F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(clean_text(x), r"(?is)^```(?:json)?\s*", ""), r"(?s)\s*```$", "")
+
+    def inner(t: Column) -> Column:
+        braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+        return F.when(F.get_json_object(t, "$").isNotNull() & t.startswith("{"), t).otherwise(F.nullif(braces, F.lit("")))
+
+    return F.get(F.transform(F.array(bare), inner), F.lit(0))  # the text is bound to a variable, so that it is made once
 
 
 def parse_record(x: Column | str, schema: str) -> Column:

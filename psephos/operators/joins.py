@@ -12,6 +12,8 @@ from psephos.operators.aggregates import keep_first, unique_rows
 
 #: Thresholds of the fuzzy match: score, lead over the second, tolerated difference of shares, largest deduction.
 ACCEPT, MARGIN, TOLERANCE, MOST_DEDUCTED = 94.0, 5.0, 1.0, 5.0
+#: Parts that a block's targets are dealt out in.
+SALTS = 16
 
 
 class CardinalityError(ValueError):
@@ -72,21 +74,43 @@ def fuzzy_match(targets: DataFrame, pool: DataFrame, block: list[str], target_id
     if its best score reaches ACCEPT and leads the second by MARGIN. Both sides call their columns alike.
     """
     local, eng = names
-    other = pool.select(*block, F.col(pool_id).alias("_id"), F.col(local).alias("_local"), F.col(eng).alias("_eng"), F.col(share).alias("_share"))
-    pairs = targets.join(other, block).withColumn("_gap", F.abs(F.col(share) - F.col("_share")))
-    near = F.coalesce(F.col("_gap") <= TOLERANCE, F.lit(True))
-    pairs = pairs.withColumn("_near", near).withColumn("_any", F.max("_near").over(Window.partitionBy(target_id))).where("_near OR NOT _any")
+
+    def named(df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn(key, F.xxhash64(*(F.coalesce(F.col(n), F.lit("\0")) for n in names)))
+
+    def known_names(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(key).agg(F.min(local).alias(f"{key}_local"), F.min(eng).alias(f"{key}_eng"))
 
     def both(a: str, b: str) -> Column:
         return F.trim(F.concat_ws(" ", F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit(""))))
 
+    # names recur in many blocks, so each pair of names is compared once
+    left, right = named(targets, "_a"), named(pool, "_b")
+    # targets of a block are dealt out, each part with the whole pool of the block; the number of partitions is given, as few
+    # bytes become many pairs here
+    parts, keys = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*block, "_salt"]
+    own = left.select(*block, F.pmod(F.xxhash64(target_id), F.lit(SALTS)).cast("int").alias("_salt"), "_a", target_id, share)
+    other = right.select(*block, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "_b", F.col(pool_id).alias("_id"), F.col(share).alias("_share"))
+    pairs = own.repartition(parts, *keys).join(other.repartition(parts, *keys), keys).select(target_id, "_id", "_a", "_b", F.abs(F.col(share) - F.col("_share")).alias("_gap"))
+    compared = pairs.select("_a", "_b").distinct().join(known_names(left, "_a"), "_a").join(known_names(right, "_b"), "_b")
     score = name_score or similarity
-    best_name = F.greatest(score(F.col(local), F.col("_local")), score(F.col(eng), F.col("_eng")), score(both(local, eng), both("_local", "_eng")), score(F.col(local), F.col("_eng")), score(F.col(eng), F.col("_local")))
-    scored = pairs.withColumn("score", best_name * 100 - F.coalesce(F.least("_gap", F.lit(MOST_DEDUCTED)), F.lit(0.0)))
-    w = Window.partitionBy(target_id).orderBy(F.col("score").desc(), F.col("_id"))
-    top = scored.withColumn("_n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("_n = 1")
+    best_name = F.greatest(
+        score(F.col("_a_local"), F.col("_b_local")), score(F.col("_a_eng"), F.col("_b_eng")), score(both("_a_local", "_a_eng"), both("_b_local", "_b_eng")),
+        score(F.col("_a_local"), F.col("_b_eng")), score(F.col("_a_eng"), F.col("_b_local")),
+    )
+    scored = pairs.join(compared.select("_a", "_b", best_name.alias("_name")), ["_a", "_b"])
+    scored = scored.withColumn("score", F.col("_name") * 100 - F.coalesce(F.least("_gap", F.lit(MOST_DEDUCTED)), F.lit(0.0)))
+    scored = scored.withColumn("_near", F.coalesce(F.col("_gap") <= TOLERANCE, F.lit(True)))
+    w = Window.partitionBy(target_id).orderBy(F.col("_near").desc(), F.col("score").desc(), F.col("_id"))
+    first, second = F.col("_n") == 1, F.col("_n") == 2
+    top = scored.withColumn("_n", F.row_number().over(w)).where("_n <= 2").groupBy(target_id).agg(
+        *(F.max(F.when(first, F.col(c))).alias(n) for c, n in (("_id", "best_id"), ("score", "score"), ("_gap", "share_gap"), ("_near", "_near1"))),
+        F.max(F.when(second, F.struct("_near", "score"))).alias("_next"),
+    )
+    # where some candidates are near, the others are none
+    top = top.withColumn("second", F.when(F.col("_next._near") == F.col("_near1"), F.col("_next.score")))
     accepted = (F.col("score") >= ACCEPT) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= MARGIN))
-    return top.select(*targets.columns, F.col("_id").alias("best_id"), "score", "second", F.col("_gap").alias("share_gap"), accepted.alias("accepted"))
+    return targets.join(top, target_id).select(*targets.columns, "best_id", "score", "second", "share_gap", accepted.alias("accepted"))
 
 
 def ranked_candidates(pool: DataFrame, block: list[str], order: list[Column | str]) -> DataFrame:

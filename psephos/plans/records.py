@@ -321,7 +321,7 @@ def json_array_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaders(spark: SparkSession, d: str) -> DataFrame:
-    rows = answers(spark, d).withColumn("r", X.parse_record("answer", X.LEADER_RECORD)).where("r IS NOT NULL")
+    rows = answers(spark, d).withColumn("body", X.json_object_text("answer")).where("body IS NOT NULL").withColumn("r", F.from_json("body", X.LEADER_RECORD))
     return X.with_leaders(rows, "r", "day").select("event_id", *X.leader_metrics(F.col("r"), F.col("who")))
 
 
