@@ -59,10 +59,26 @@ def iv_just_identified(spark: SparkSession, d: str) -> DataFrame:
     return _row(spark, n=fit.n, beta=round(fit["d"], 5), se=round(math.sqrt(fit.cov[0, 0]), 5), first_stage_f=round(fit.first_stage_f, 5))
 
 
-@query()
+def _orthogonal(column: str, to: int | tuple[int, ...], name: str, table: str) -> str:
+    """A step of Gram and Schmidt: ``column`` without its projections on q1, q2, ..."""
+    places = range(1, to + 1) if isinstance(to, int) else to
+    return f"(SELECT *, {column}" + "".join(f" - q{k} * (sum({column} * q{k}) OVER () / sum(q{k} * q{k}) OVER ())" for k in places) + f" AS {name} FROM {table})"
+
+
+def _along(a: str, b: str, places: tuple[int, ...]) -> str:
+    return " + ".join(f"sum(q{k} * {a}) * sum(q{k} * {b}) / sum(q{k} * q{k})" for k in places)
+
+
+@query(f"""WITH {SUPPLY[5:]}, r AS (SELECT * FROM full_panel WHERE isfinite(x) AND isfinite(d) AND isfinite(lagx) AND isfinite(fam) AND isfinite(z1) AND isfinite(z2) AND isfinite(z3)),
+m AS (SELECT {', '.join(f'{c} - avg({c}) OVER p AS {n}' for c, n in (('x', 'y'), ('d', 'd'), ('lagx', 'q1'), ('fam', 'f'), ('z1', 'a'), ('z2', 'b'), ('z3', 'c')))} FROM r WINDOW p AS (PARTITION BY party)),
+g2 AS {_orthogonal('f', 1, 'q2', 'm')}, g3 AS {_orthogonal('a', 2, 'q3', 'g2')}, g4 AS {_orthogonal('b', 3, 'q4', 'g3')}, g5 AS {_orthogonal('c', 4, 'q5', 'g4')},
+e AS (SELECT count(*) AS n, ({_along('d', 'y', (3, 4, 5))}) / ({_along('d', 'd', (3, 4, 5))}) AS beta,
+  (({_along('d', 'd', (3, 4, 5))}) / 3) / ((sum(d * d) - ({_along('d', 'd', (1, 2, 3, 4, 5))})) / (count(*) - 6)) AS f FROM g5),
+w AS (SELECT any_value(n) AS n, any_value(beta) AS beta, any_value(e.f) AS first_f, sum(q2 * (y - beta * d)) / sum(q2 * q2) AS fam, sum(q1 * (y - beta * d)) / sum(q1 * q1) AS lag0, sum(g5.f * q1) / sum(q1 * q1) AS slope FROM g5, e)
+SELECT n, round(beta, 4) AS beta, round(lag0 - fam * slope, 4) AS lag, round(fam, 4) AS fam, round(first_f, 4) AS first_stage_f FROM w""")
 def iv_over_identified(spark: SparkSession, d: str) -> DataFrame:
     fit = E.fit_spec(supply(spark, d), "ideal_lag_family", "IV", Z)
-    return _row(spark, n=fit.n, beta=fit["d"], lag=fit["lag"], fam=fit["fam"], first_stage_f=fit.first_stage_f)
+    return _row(spark, n=fit.n, beta=round(fit["d"], 4), lag=round(fit["lag"], 4), fam=round(fit["fam"], 4), first_stage_f=round(fit.first_stage_f, 4))
 
 
 @query(f"""WITH {P.CHAIN[5:]}, o AS (SELECT *, round(1 - sum(share) OVER (PARTITION BY market, year), 9) AS outside FROM products),
@@ -95,14 +111,28 @@ def spec_sweep(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out)
 
 
-@query()
+@query(f"""WITH {SUPPLY[5:]}, r AS (SELECT * FROM full_panel WHERE isfinite(x) AND isfinite(d) AND isfinite(lagx) AND isfinite(z1) AND isfinite(z2) AND isfinite(z3)),
+m AS (SELECT x - avg(x) OVER p AS y, d - avg(d) OVER p AS d, lagx - avg(lagx) OVER p AS l FROM r WINDOW p AS (PARTITION BY party)),
+s AS (SELECT count(*) AS n, sum(l * l) AS ll, sum(l * d) AS ld, sum(d * d) AS dd, sum(l * y) AS ly, sum(d * y) AS dy, sum(l * l) * sum(d * d) - pow(sum(l * d), 2) AS det FROM m),
+b AS (SELECT *, (dd * ly - ld * dy) / det AS rho, (ll * dy - ld * ly) / det AS beta FROM s),
+u AS (SELECT (dd * l - ld * m.d) / det * (y - rho * l - beta * m.d) AS ul, (ll * m.d - ld * l) / det * (y - rho * l - beta * m.d) AS ud FROM m, b),
+v AS (SELECT any_value(n) / (any_value(n) - 2.0) * sum(ul * ul) AS vll, any_value(n) / (any_value(n) - 2.0) * sum(ul * ud) AS vld, any_value(n) / (any_value(n) - 2.0) * sum(ud * ud) AS vdd FROM u, b),
+g AS (SELECT *, -1 / beta AS i1, -(1 - rho) / (beta * beta) AS i2, 1 / beta AS l1, -rho / (beta * beta) AS l2 FROM b, v)
+SELECT n, round(beta, 5) AS beta, round(1 - rho, 5) AS rho_ideal, round(rho, 5) AS rho_lag, round((1 - rho) / beta, 4) AS kappa_ideal, round(rho / beta, 4) AS kappa_lag,
+  round(sqrt(i1 * i1 * vll + 2 * i1 * i2 * vld + i2 * i2 * vdd), 4) AS se_kappa_ideal, round(sqrt(l1 * l1 * vll + 2 * l1 * l2 * vld + l2 * l2 * vdd), 4) AS se_kappa_lag FROM g""")
 def kappa_delta(spark: SparkSession, d: str) -> DataFrame:
     """Costs and their delta-method errors for one specification."""
     fit = E.fit_spec(supply(spark, d), "ideal_lag", "OLS", Z)
-    return _row(spark, **E.kappas("ideal_lag", fit["d"], fit["lag"]), **E.delta_errors("ideal_lag", fit))
+    found = E.kappas("ideal_lag", fit["d"], fit["lag"]) | E.delta_errors("ideal_lag", fit)
+    shown = {k: round(found[k], 5 if k.startswith("rho") else 4) for k in ("rho_ideal", "rho_lag", "kappa_ideal", "kappa_lag", "se_kappa_ideal", "se_kappa_lag")}
+    return _row(spark, n=fit.n, beta=round(fit["d"], 5), **shown)
 
 
-@query()
+@query(f"""WITH {P.CHAIN[5:]}, z AS (SELECT 1.0::DOUBLE AS q1, share, 2 * share AS twice, x1, x2 FROM products WHERE isfinite(share) AND isfinite(x1) AND isfinite(x2)),
+g2 AS {_orthogonal('share', 1, 'q2', 'z')}, g3 AS {_orthogonal('twice', 2, 'q3', 'g2')}, g4 AS {_orthogonal('x1', 2, 'q4', 'g3')}, g5 AS {_orthogonal('x2', (1, 2, 4), 'q5', 'g4')},
+left_over AS (SELECT 1 AS k, 'one' AS name, 1.0 AS part FROM g5 UNION SELECT 2, 'share', sqrt(sum(q2 * q2) / sum(share * share)) FROM g5 UNION SELECT 3, 'twice', sqrt(sum(q3 * q3) / sum(twice * twice)) FROM g5
+  UNION SELECT 4, 'x1', sqrt(sum(q4 * q4) / sum(x1 * x1)) FROM g5 UNION SELECT 5, 'x2', sqrt(sum(q5 * q5) / sum(x2 * x2)) FROM g5)
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS place, name FROM left_over WHERE part > 1e-6""")
 def collinear_prune(spark: SparkSession, d: str) -> DataFrame:
     """Columns left after dropping combinations of earlier ones."""
     rows = P.products(spark, d).withColumn("twice", 2 * F.col("share")).withColumn("one", F.lit(1.0))
