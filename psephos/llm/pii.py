@@ -156,7 +156,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def pii_report(df: DataFrame) -> DataFrame:
     """Counts and digests of :func:`spans` for each document, made beside the spans so that they need not leave the worker."""
     small_batches(df.sparkSession)
-    types = {"doc_id": pa.int64(), "n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(), "base_sha256": pa.string(), "spans": pa.string()}
+    types = {"doc_id": pa.int64(), "n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "n_spans": pa.int64()}
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [spans(t) for t in texts_of(b)]
@@ -165,9 +165,10 @@ def pii_report(df: DataFrame) -> DataFrame:
             out[name] = [sum(x[1] == i for x in g) for g in got]
         out["base_sha256"] = [hashlib.sha256(written([x for x in g if x[1] < BASE]).encode()).hexdigest() for g in got]
         out["spans"] = [written(g) for g in got]
+        out["n_spans"] = [len(g) for g in got]
         return batch_of(out, types)
 
-    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
     return arrow_map(df.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text"), fn, schema)
 
 
