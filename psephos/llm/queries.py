@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import chat, contamination, line_quality, near_duplicates, pii, quality_classifier, sentencepiece_codec, substrings, token_shards, toxicity
+from psephos.llm import (
+    chat, contamination, embedding_duplicates, line_quality, merkle_manifest, near_duplicates, pii, quality_classifier, sentencepiece_codec, source_divergence, substrings, token_shards,
+    toxicity,
+)
 from psephos.llm.common import documents
 from psephos.llm.oracles import SQL
 
@@ -54,6 +57,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
 
+def op11_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_line_quality": op2_line_quality,
@@ -65,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_embedding_duplicates": op11_embedding_duplicates,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
