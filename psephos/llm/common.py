@@ -75,6 +75,13 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) ->
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, spelt as given or else as Spark resolves it."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch, null as the empty text."""
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
@@ -96,11 +103,6 @@ def stable_text_hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """Stable 64-bit hashes of the words in order."""
-    return np.fromiter(map(stable_hash, words), np.uint64, len(words))
-
-
 def multipliers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumprod(np.full(n, GOLDEN, dtype=np.uint64))
@@ -144,6 +146,8 @@ _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once.
 _SLICE = 1 << 18
+#: Longer words are hashed by XXH3: a polynomial modulo a power of two collides for certain words of a thousand bytes.
+_SHORT = 64
 
 _UP = np.ones(1, np.uint64)
 _DOWN = np.ones(1, np.uint64)
@@ -162,8 +166,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def hashed_words(data: bytes) -> np.ndarray:
     """Stable 64-bit hashes of the words (runs of other than ASCII white space) of UTF-8 bytes, without a Python step a word.
 
-    Each word's hash is a polynomial in its bytes modulo 2**64, read off a running sum and mixed; words longer than a slice
-    are hashed alone. Equal words hash equally wherever they are.
+    Each word's hash is a polynomial in its bytes modulo 2**64, read off a running sum and mixed; words of more than ``_SHORT``
+    bytes are hashed alone. Equal words hash equally wherever they are.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     up, down = powers(_SLICE)
@@ -186,6 +190,9 @@ def hashed_words(data: bytes) -> np.ndarray:
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[part] * up[: len(part)], dtype=np.uint64)])
-            out.append(mix((total[end] - total[start]) * down[start]))
+            found = mix((total[end] - total[start]) * down[start])
+        for k in np.flatnonzero(end - start > _SHORT):
+            found[k] = xxhash.xxh3_64_intdigest(data[at + start[k] : at + end[k]])
+        out.append(found)
         at += len(part)
     return np.concatenate(out) if out else np.empty(0, np.uint64)

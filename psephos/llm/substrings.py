@@ -18,8 +18,10 @@ gram, so a text is cut into runs of windows around one such gram, and runs with
    takes half of the open words, and after five a group is one window, so no group is too large. Runs that have become equal
    are one content again.
 
-Defined cases: a null or blank text has no words; a very long text is cut into runs like any other; texts of fewer than 20 words lose nothing; rows of one id are one document
-and must agree in their text; rows with a null id lose nothing; other columns are ignored.
+Defined cases: a null or blank text has no words; a very long text is cut into runs like any other; texts of fewer than 20 words
+lose nothing; rows of one id with the same words are one document; of an id's rows with different words, those whose words have
+the least digest are the document, and the others neither lose anything nor count as an occurrence; rows with a null id lose
+nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.common import arrow_map, batch_of, gram_hashes, hashed_words, mix, powers, saved, small_batches, stable_text_hash
@@ -342,19 +344,41 @@ def _covered(spans: list[dict], n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _words_digest(text: str | None) -> tuple[int, str]:
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+def _one_text_an_id(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """``rows`` without those that are not their id's document."""
+    several = base.where("doc_id IS NOT NULL AND n_words > 0").groupBy("doc_id").agg(F.min("kept_sha256").alias("own"), F.max("kept_sha256").alias("last")).where("own <> last").select("doc_id", "own")
+    several = saved(several, "several")
+    if several.isEmpty():
+        return rows
+    types = {"doc_id": pa.int64(), "text": pa.string()}
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = [_words_digest(t)[1] == d for t, d in zip(b.column("text").to_pylist(), b.column("own").to_pylist(), strict=True)]
+        return b.select(list(types)).filter(pa.array(own, pa.bool_()))
+
+    chosen = arrow_map(rows.join(several, "doc_id").select("doc_id", "text", "own"), fn, "doc_id bigint, text string")
+    return rows.join(several, "doc_id", "left_anti").unionByName(chosen)
+
+
 def substring_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    spans = repeated_intervals(known).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     types = {"doc_id": pa.int64(), "n_words": pa.int64(), "kept_sha256": pa.string()}
 
     def whole(b: pa.RecordBatch) -> pa.RecordBatch:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in b.column("text").to_pylist()]
-        return batch_of({"doc_id": b.column("doc_id"), "n_words": [len(w) for w in words], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]}, types)
+        found = [_words_digest(t) for t in b.column("text").to_pylist()]
+        return batch_of({"doc_id": b.column("doc_id"), "n_words": [n for n, _ in found], "kept_sha256": [d for _, d in found]}, types)
 
-    cut_types = {"doc_id": pa.int64(), "n_removed": pa.int64(), "cut_sha256": pa.string()}
+    base = saved(arrow_map(rows, whole, "doc_id bigint, n_words bigint, kept_sha256 string"), "base")
+    known = _one_text_an_id(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), base)
+    spans = repeated_intervals(known).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut_types = {"doc_id": pa.int64(), "kept_sha256": pa.string(), "n_removed": pa.int64(), "cut_sha256": pa.string()}
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {k: [] for k in cut_types}
@@ -362,12 +386,12 @@ def substring_report(docs: DataFrame) -> DataFrame:
             words = text.encode("utf-8", "surrogatepass").split()
             gone = _covered(spans, len(words))
             out["doc_id"].append(doc_id)
+            out["kept_sha256"].append(_words_digest(text)[1])
             out["n_removed"].append(int(gone.sum()))
             out["cut_sha256"].append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).hexdigest())
         return batch_of(out, cut_types)
 
-    base = arrow_map(rows, whole, "doc_id bigint, n_words bigint, kept_sha256 string")
-    touched = arrow_map(known.join(spans, "doc_id"), cut, "doc_id bigint, n_removed bigint, cut_sha256 string")
-    touched = touched.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("cut_sha256"))).where("_k = 1").drop("_k")
-    out = base.join(touched, "doc_id", "left")
+    touched = arrow_map(known.join(spans, "doc_id"), cut, "doc_id bigint, kept_sha256 string, n_removed bigint, cut_sha256 string")
+    touched = touched.groupBy("doc_id", "kept_sha256").agg(F.max("n_removed").alias("n_removed"), F.min("cut_sha256").alias("cut_sha256"))  # equal rows
+    out = base.join(touched, ["doc_id", "kept_sha256"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
