@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import arrow_map, batch_of, gram_hashes, saved, small_batches
+from psephos.llm.common import arrow_map, batch_of, gram_hashes, place_of, saved, small_batches
 
 #: Words as UTF-8 bytes after ASCII lower-casing: letters, digits and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -245,7 +245,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, block_bytes: int
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that no window of the benchmark occurs in, with their own columns (``text`` must be one of them)."""
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    at = docs.columns.index("text")
+    at = place_of(docs, "text")
     rows = docs.toDF(*names).withColumn("text", F.col(names[at]))
 
     def finish(kept: list[pa.Array], counts: list, found: list[list[str]]) -> pa.RecordBatch:

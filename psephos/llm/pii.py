@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from psephos.llm.common import arrow_map, batch_of, small_batches, texts_of
+from psephos.llm.common import arrow_map, batch_of, place_of, small_batches, texts_of
 
 #: In the order that breaks ties between spans of one start; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -198,7 +198,7 @@ def _merged(found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data in ``text_col`` masked (a null text stays null)."""
     small_batches(df.sparkSession)
-    at = df.columns.index(text_col)
+    at = place_of(df, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

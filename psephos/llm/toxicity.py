@@ -36,7 +36,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import batch_of, held_out_column, multipliers, small_batches, workspace
+from psephos.llm.common import batch_of, held_out_column, multipliers, place_of, small_batches, workspace
 from psephos.llm.near_duplicates import shingles
 from psephos.llm.quality_classifier import training_rows
 
@@ -357,7 +357,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 def keep_clean(docs: DataFrame, training: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose text scores below the threshold, with their own columns; ``training`` has the labelled texts."""
     file = toxicity_index(training, labels, sample)
-    at = docs.columns.index("text")
+    at = place_of(docs, "text")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
