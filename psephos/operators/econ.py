@@ -6,15 +6,17 @@ Products of regressors are summed in Spark, so that only small matrices reach th
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.functions.nulls import finite
+from psephos.operators import demand
+from psephos.operators.demand import halton, normal_quantiles  # noqa: F401  used with the models
 
 #: Names of costs and of specifications; fixed values.
 KAPPAS = ("kappa_ideal", "kappa_lag", "kappa_family")
@@ -247,38 +249,12 @@ def logit_own_derivative(coefficient: float, share: str):
     return F.lit(coefficient) * F.col(share) * (1 - F.col(share))
 
 
-def halton(n: int, dims: int) -> np.ndarray:
-    """The first n points (without the origin) of the Halton sequence over the first prime bases."""
-    primes = [p for p in range(2, 60) if all(p % q for q in range(2, p))][:dims]
-    out = np.empty((n, dims))
-    for j, base in enumerate(primes):
-        for i in range(n):
-            f, r, k = 1.0, 0.0, i + 1
-            while k:
-                f /= base
-                k, digit = divmod(k, base)
-                r += f * digit
-            out[i, j] = r
-    return out
-
-
-def normal_quantiles(u: np.ndarray) -> np.ndarray:
-    """Standard normal quantiles by bisection on the error function."""
-    low, high = np.full(u.shape, -9.0), np.full(u.shape, 9.0)
-    erf = np.vectorize(math.erf)
-    for _ in range(60):
-        mid = (low + high) / 2
-        below = 0.5 * (1 + erf(mid / math.sqrt(2))) < u
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
-
-
 @dataclass
 class Demand:
     """A random-coefficients logit: linear columns, columns with random coefficients, demographics and instruments.
 
-    Markets are independent given the parameters: delta is found for each by contraction in its own task
-    (``applyInPandas``), and only sums over products come back for the GMM step.
+    ``fixed`` linear coefficients are not estimated. The second step's weights are ``robust`` to unequal variances, or not.
+    Markets are independent given the parameters, and each is solved in its own task (:mod:`psephos.operators.demand`).
     """
 
     linear: list[str]
@@ -287,100 +263,58 @@ class Demand:
     instruments: list[str]
     nodes: int = 200
     tolerance: float = 1e-10
-
-    def deltas(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray) -> DataFrame:
-        """products (market, product, share, ...) with ``delta``, and whether its contraction has converged (after 5,000 steps at
-        most); agents (market, agent, demographics) may be missing."""
-        draws = normal_quantiles(halton(self.nodes, len(self.random)))
-        random, demographics, tolerance = self.random, self.demographics, self.tolerance
-        schema = "market string, product long, delta double, own double, solved boolean"
-
-        def solve(key, p: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-            x = p[random].to_numpy(float)
-            n = len(draws)
-            taste = draws * sigma
-            if len(a) and demographics:
-                demo = a.sort_values("agent")[demographics].to_numpy(float)
-                taste = taste + demo[np.arange(n) % len(demo)] @ pi.T
-            mu = x @ taste.T
-            s = np.clip(p["share"].to_numpy(float), 1e-12, 1)
-            delta = np.log(s) - math.log(max(1 - s.sum(), 1e-12))
-            for _ in range(5000):
-                u = delta[:, None] + mu
-                top = np.maximum(u.max(axis=0), 0)
-                e = np.exp(u - top)
-                q = e / (np.exp(-top) + e.sum(axis=0))
-                step = np.log(s) - np.log(q.mean(axis=1))
-                delta = delta + step
-                if np.abs(step).max() < tolerance:
-                    break
-            own = (q * (1 - q)).mean(axis=1)
-            return pd.DataFrame({"market": p["market"], "product": p["product"], "delta": delta, "own": own, "solved": bool(np.abs(step).max() < tolerance)})
-
-        return products.groupBy("market").cogroup(agents.groupBy("market")).applyInPandas(solve, schema)
+    fixed: dict[str, float] = field(default_factory=dict)
+    robust: bool = True
+
+    def problem(self, products: DataFrame, agents: DataFrame) -> demand.Problem:
+        names = list(dict.fromkeys(["market", "product", "share", *self.linear, *self.random, *self.instruments]))
+        rows = demand.packed(products.select(*names), agents.select("market", "agent", *self.demographics), self.linear, self.random, self.demographics, self.instruments, self.nodes)
+        return demand.Problem(self.linear, self.random, self.demographics, self.instruments, self.nodes, self.tolerance, self.fixed, rows)
+
+    def _theta(self, sigma: np.ndarray, pi: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.ravel(sigma), np.ravel(pi)]).astype(float)
+
+    def deltas(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray, beta: np.ndarray | None = None) -> DataFrame:
+        """(market, product, delta, own, solved): mean utilities at given parameters, mean of q * (1 - q) over agents, and whether
+        the market's contraction has ended. With ``beta``, ``by_<column>`` for each random column: the derivative of the product's
+        share by its own value of the column, agents' tastes included."""
+        problem, theta = self.problem(products, agents), self._theta(sigma, pi)
+        rows, problem.rows = problem.rows, None
+        mean = dict(zip(self.linear, np.ravel(beta), strict=True)) if beta is not None else {}
+        by = [n for n in self.random if n in mean]
+        draws = demand.normal_quantiles(demand.halton(self.nodes, len(self.random)))
+
+        def run(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    a = problem.arrays(row)
+                    taste = demand.Market(a["x"], draws, a["demo"]).taste(theta)
+                    mu = a["x"] @ taste.T
+                    delta, done = demand.contraction(np.log(a["share"]), mu, a["delta"], self.tolerance)
+                    q = demand.probabilities(delta, mu)
+                    slope = q * (1 - q)
+                    out = {"market": [row["market"]] * len(q), "product": row["product"], "delta": delta, "own": slope.mean(axis=1), "solved": [done] * len(q)}
+                    out |= {f"by_{n}": (slope * (mean[n] + taste[:, self.random.index(n)])).mean(axis=1) for n in by}
+                    yield pa.RecordBatch.from_pydict(out)
+
+        return rows.mapInArrow(run, "market string, product bigint, delta double, own double, solved boolean" + "".join(f", by_{n} double" for n in by))
 
     def moments(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """The GMM objective, the concentrated linear parameters and the weight matrix of the next step."""
-        rows = self._with_deltas(products, agents, sigma, pi).cache()  # read twice
-        value, beta = self._objective(rows, weight)
-        next_weight = np.linalg.pinv(gram(rows, self.instruments, (F.col("delta") - linear(self.linear, beta)) ** 2))
-        rows.unpersist()
-        return value, beta, next_weight
-
-    def _with_deltas(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray) -> DataFrame:
-        return products.join(self.deltas(products, agents, sigma, pi).select("market", "product", "delta", "solved"), ["market", "product"])
-
-    def _objective(self, rows: DataFrame, weight: np.ndarray | None) -> tuple[float, np.ndarray]:
-        g = gram(rows, [*self.linear, *self.instruments, "delta"])
-        k, m = len(self.linear), len(self.instruments)
-        zx, zd, zz = g[k : k + m, :k], g[k : k + m, -1], g[k : k + m, k : k + m]
-        w = np.linalg.pinv(zz) if weight is None else weight
-        beta = np.linalg.pinv(zx.T @ w @ zx) @ (zx.T @ w @ zd)
-        gap = zd - zx @ beta
-        return float(gap @ w @ gap), beta
+        problem = self.problem(products, agents)
+        problem.rows = problem.rows.persist()  # read three times
+        search = demand.Search(problem)
+        problem.zx, problem.zz, _, problem.n, _ = demand.crossed(problem, problem.rows, None)
+        rows, (found,) = search.moments([self._theta(sigma, pi)])
+        search.at(rows, 0)
+        value, beta, _ = search.value(found, np.linalg.pinv(problem.zz) if weight is None else weight)
+        _, _, meat, _, ss = demand.crossed(problem, search.rows, beta)
+        search.close()
+        problem.rows.unpersist()
+        return value, beta, np.linalg.pinv(meat if self.robust else problem.zz * ss / max(problem.n, 1))
 
     def fit(self, products: DataFrame, agents: DataFrame, start: np.ndarray, steps: int = 2, iterations: int = 200, tolerance: float = 1e-4) -> dict[str, object]:
-        """Two-step GMM; the few nonlinear parameters are found by a simplex search on the driver, until they differ by less than
-        ``tolerance`` (``converged``) or the iterations are used up. ``unsolved`` counts products whose contraction has not ended."""
-        r, d = len(self.random), len(self.demographics)
-        weight, theta, converged = None, np.asarray(start, float), True
-
-        def value(x: np.ndarray) -> float:
-            return self._objective(self._with_deltas(products, agents, x[:r], x[r:].reshape(r, d)), weight)[0]
-
-        for _ in range(steps):
-            theta, done = simplex(value, theta, iterations, tolerance=tolerance)
-            converged &= done
-            best, beta, weight_next = self.moments(products, agents, theta[:r], theta[r:].reshape(r, d), weight)
-            weight = weight_next
-        unsolved = self._with_deltas(products, agents, theta[:r], theta[r:].reshape(r, d)).where("NOT solved").count()
-        return {"sigma": theta[:r], "pi": theta[r:].reshape(r, d), "beta": beta, "objective": best, "converged": converged, "unsolved": unsolved}
-
-
-def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, iterations: int, size: float = 0.25, tolerance: float = 1e-4) -> tuple[np.ndarray, bool]:
-    """Nelder-Mead minimisation of few parameters: the best point, and whether the simplex has become smaller than ``tolerance``."""
-    points = [start, *(start + size * e for e in np.eye(len(start)))]
-    values = [f(p) for p in points]
-    for _ in range(iterations):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if max(np.abs(p - points[0]).max() for p in points[1:]) < tolerance:
-            return points[0], True
-        centre = np.mean(points[:-1], axis=0)
-        out = centre + (centre - points[-1])
-        v = f(out)
-        if v < values[0]:
-            far = centre + 2 * (centre - points[-1])
-            w = f(far)
-            points[-1], values[-1] = (far, w) if w < v else (out, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = out, v
-        else:
-            near = centre + 0.5 * (points[-1] - centre)
-            w = f(near)
-            if w < values[-1]:
-                points[-1], values[-1] = near, w
-            else:
-                points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
-                values = [values[0], *(f(p) for p in points[1:])]
-    return points[int(np.argmin(values))], False
+        """Two-step GMM from the parameters ``start`` (sigma, then pi row by row). A step ends when the undamped quasi-Newton step
+        moves no parameter by ``tolerance``, or no step gains (``converged``), or the iterations are used up. ``unsolved`` counts
+        products whose contraction has not ended; standard errors are robust; ``passes`` counts jobs over the markets."""
+        return demand.estimated(self.problem(products, agents), np.asarray(start, float), steps, iterations, tolerance, self.robust)

@@ -14,6 +14,7 @@ from psephos.functions.numeric import p_value, stars
 from psephos.operators import econ as E
 from psephos.operators import source_lists as S
 from psephos.operators import windows as W
+from psephos.operators.aggregates import wmean
 from psephos.operators.resample import PARTS, weighted_resample
 from psephos.plans import shares as P
 from psephos.plans.base import RESPONDENTS, respondents, table
@@ -172,6 +173,44 @@ def demand_random_coefficients(spark: SparkSession, d: str) -> DataFrame:
     return _row(spark, sigma=round(sigma[0], 4), pi=round(pi[0], 4), constant=round(beta[0], 4), slope=round(beta[1], 4), objective=round(fit["objective"], 4), converged=fit["converged"], unsolved=fit["unsolved"])
 
 
+def demand_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Products with positions, their leaders' age and gender and instruments; agents with three demographics; the instruments."""
+    building = (F.col("segment") == "BUILDING").cast("double")
+    rows = P.voters(spark, d).withColumns({"_age": F.col("balance") / 1000, "_gender": building})
+    rows = rows.groupBy("market", "year", "country", "party").agg(
+        F.sum("w").alias("w"), *(wmean(c, "w").alias(n) for c, n in (("x1", "x1"), ("x2", "x2"), ("_age", "age"), ("_gender", "gender"))), F.max("family").alias("family")
+    )
+    rows = rows.withColumn("share", W.share("w", ["market", "year"], "party")).dropna(subset=["party", "x1", "x2"])
+    for c, n in (("x1", "econ"), ("x2", "cult")):
+        rows = W.standardised(rows, c, n)
+    families = rows.groupBy("family", "year", "country").agg(*(wmean(n, "share").alias(f"m_{n}") for n in ("econ", "cult")))
+    families = families.select("family", "year", "country", *(W.leave_one_out(f"m_{n}", ["family", "year"]).alias(f"lo_{n}") for n in ("econ", "cult")))
+    families = families.withColumns({f"lo_{n}2": F.col(f"lo_{n}") ** 2 / 100 for n in ("econ", "cult")})
+    base = ["lo_econ", "lo_econ2", "lo_cult", "lo_cult2"]
+    rows = rows.join(families, ["family", "year", "country"]).dropna(subset=base)
+    rows = rows.withColumn("id", F.concat_ws("|", "market", F.col("year").cast("string")))
+    rows = rows.select(F.col("id").alias("market"), F.col("party").alias("product"), W.rescaled("share", ["id"], 0.95).alias("share"), F.lit(1.0).alias("one"), F.lit(0.0).alias("prices"), "age", "gender", "econ", "cult", *base)
+    rows, kept = E.demand_instruments(rows, base, "age", "gender")
+    people = respondents(spark, d).withColumn("market", F.concat_ws("|", "market", F.col("year").cast("string")))
+    groups = {"college": F.col("segment").isin("BUILDING", "MACHINERY"), "young": F.col("balance") < 1000, "old": F.col("balance") > 7000}
+    people = people.select("market", "rid", "w", *(c.cast("double").alias(n) for n, c in groups.items()))
+    agents = weighted_resample(people, "market", "rid", "w", 200).select("market", F.col("agent_ids").alias("agent"), *groups)
+    return rows, agents, [f"demand_instruments{k}" for k in range(len(kept))]
+
+
+@query()
+def demand_full_model(spark: SparkSession, d: str) -> DataFrame:
+    """Demand with two random positions and three demographics, prices fixed at 0: a row for each parameter."""
+    rows, agents, instruments = demand_inputs(spark, d)
+    linear, random, people = ["one", "prices", "age", "gender", "econ", "cult"], ["econ", "cult"], ["college", "young", "old"]
+    model = E.Demand(linear, random, people, instruments, nodes=200, tolerance=1e-10, fixed={"prices": 0.0}, robust=False)
+    fit = model.fit(rows, agents, np.concatenate([np.full(2, 0.5), np.full(6, 1e-4)]))
+    names = [f"sigma_{r}" for r in random] + [f"pi_{r}_{c}" for r in random for c in people] + [f"beta_{n}" for n in linear]
+    values = [np.concatenate([np.ravel(fit[k]) for k in keys]) for keys in (("sigma", "pi", "beta"), ("sigma_se", "pi_se", "beta_se"))]
+    out = [(n, round(float(x), 3), round(float(se), 3) if np.isfinite(se) else None, E.stars(E.normal_p(x / se)) if se > 0 else "", bool(fit["converged"]), int(fit["unsolved"]), int(fit["n"])) for n, x, se in zip(names, *values, strict=True)]
+    return spark.createDataFrame(out, "parameter string, estimate double, error double, stars string, converged boolean, unsolved long, n long")
+
+
 @query(f"""WITH {RESPONDENTS}, s AS (SELECT country, year, avg(w) AS m, stddev_pop(w) / sqrt(count(*)) AS se FROM respondents GROUP BY 1, 2)
 SELECT country, year, round(m / se, 4) AS t, CASE WHEN m / se > 2.5758293 THEN '***' WHEN m / se > 1.959964 THEN '**' WHEN m / se > 1.6448536 THEN '*' ELSE '' END AS stars FROM s""")
 def significance_stars(spark: SparkSession, d: str) -> DataFrame:
