@@ -7,13 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psephos.functions.text import similarity
 from psephos.operators.aggregates import keep_first, unique_rows
+from psephos.operators.similarity import kept_two, top_two
 
 #: Thresholds of the fuzzy match: score, lead over the second, tolerated difference of shares, largest deduction.
 ACCEPT, MARGIN, TOLERANCE, MOST_DEDUCTED = 94.0, 5.0, 1.0, 5.0
-#: Parts that a block's targets are dealt out in.
-SALTS = 16
 
 
 class CardinalityError(ValueError):
@@ -66,51 +64,32 @@ def cascade_match(targets: DataFrame, pool: DataFrame, passes: list[tuple[str, l
     return out.select(*targets.columns, method.alias("match_method"), score.alias("match_score"), *picked)
 
 
-def fuzzy_match(targets: DataFrame, pool: DataFrame, block: list[str], target_id: str, pool_id: str, names: tuple[str, str], share: str, name_score=None) -> DataFrame:
+def fuzzy_match(targets: DataFrame, pool: DataFrame, block: list[str], target_id: str, pool_id: str, names: tuple[str, str], share: str, kind: str = "ratio") -> DataFrame:
     """The best candidate of each target within its block, with the verdict of the margin rule.
 
     Candidates are those whose share is within TOLERANCE or unknown, or the whole block where there are none. The score is the
-    largest of five name similarities times 100, less the difference of shares (MOST_DEDUCTED at most). A target is ``accepted``
-    if its best score reaches ACCEPT and leads the second by MARGIN. Both sides call their columns alike.
+    largest of five name similarities ("ratio" of matching runs, or "edit" distance) times 100, less the difference of shares
+    (MOST_DEDUCTED at most). A target is ``accepted`` if its best score reaches ACCEPT and leads the second by MARGIN. Both sides
+    call their columns alike. Shares are cut into bands of TOLERANCE, and a target meets its own and the neighbouring bands first.
     """
-    local, eng = names
-
-    def named(df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn(key, F.xxhash64(*(F.coalesce(F.col(n), F.lit("\0")) for n in names)))
-
-    def known_names(df: DataFrame, key: str) -> DataFrame:
-        return df.groupBy(key).agg(F.min(local).alias(f"{key}_local"), F.min(eng).alias(f"{key}_eng"))
-
-    def both(a: str, b: str) -> Column:
-        return F.trim(F.concat_ws(" ", F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit(""))))
-
-    # names recur in many blocks, so each pair of names is compared once
-    left, right = named(targets, "_a"), named(pool, "_b")
-    # targets of a block are dealt out, each part with the whole pool of the block; the number of partitions is given, as few
-    # bytes become many pairs here
-    parts, keys = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*block, "_salt"]
-    own = left.select(*block, F.pmod(F.xxhash64(target_id), F.lit(SALTS)).cast("int").alias("_salt"), "_a", target_id, share)
-    other = right.select(*block, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "_b", F.col(pool_id).alias("_id"), F.col(share).alias("_share"))
-    pairs = own.repartition(parts, *keys).join(other.repartition(parts, *keys), keys).select(target_id, "_id", "_a", "_b", F.abs(F.col(share) - F.col("_share")).alias("_gap"))
-    compared = pairs.select("_a", "_b").distinct().join(known_names(left, "_a"), "_a").join(known_names(right, "_b"), "_b")
-    score = name_score or similarity
-    best_name = F.greatest(
-        score(F.col("_a_local"), F.col("_b_local")), score(F.col("_a_eng"), F.col("_b_eng")), score(both("_a_local", "_a_eng"), both("_b_local", "_b_eng")),
-        score(F.col("_a_local"), F.col("_b_eng")), score(F.col("_a_eng"), F.col("_b_local")),
-    )
-    scored = pairs.join(compared.select("_a", "_b", best_name.alias("_name")), ["_a", "_b"])
-    scored = scored.withColumn("score", F.col("_name") * 100 - F.coalesce(F.least("_gap", F.lit(MOST_DEDUCTED)), F.lit(0.0)))
-    scored = scored.withColumn("_near", F.coalesce(F.col("_gap") <= TOLERANCE, F.lit(True)))
-    w = Window.partitionBy(target_id).orderBy(F.col("_near").desc(), F.col("score").desc(), F.col("_id"))
-    first, second = F.col("_n") == 1, F.col("_n") == 2
-    top = scored.withColumn("_n", F.row_number().over(w)).where("_n <= 2").groupBy(target_id).agg(
-        *(F.max(F.when(first, F.col(c))).alias(n) for c, n in (("_id", "best_id"), ("score", "score"), ("_gap", "share_gap"), ("_near", "_near1"))),
-        F.max(F.when(second, F.struct("_near", "score"))).alias("_next"),
-    )
-    # where some candidates are near, the others are none
-    top = top.withColumn("second", F.when(F.col("_next._near") == F.col("_near1"), F.col("_next.score")))
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        columns = [F.col(key).alias(name), *(F.col(n).alias(m) for n, m in zip(names, ("_local", "_eng"), strict=True)), F.col(share).cast("double").alias("_share")]
+        return df.select(*(F.col(b).alias(f"_k{k}") for k, b in enumerate(block)), *columns)
+
+    own, other = side(targets, target_id, "_t"), side(pool, pool_id, "_id")
+    keys = [f"_k{k}" for k in range(len(block))]
+    band = F.floor(F.col("_share") / TOLERANCE)
+    known, unknown = own.where("_share IS NOT NULL"), other.where("_share IS NULL")
+    banded = other.where("_share IS NOT NULL").withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
+    near = top_two(known.withColumn("_band", band), banded, [*keys, "_band"], TOLERANCE, MOST_DEDUCTED, kind)
+    near = kept_two(near.unionByName(top_two(known, unknown, keys, TOLERANCE, MOST_DEDUCTED, kind)))
+    alone = own.join(near.select("_t").distinct(), "_t", "left_anti")
+    found = near.unionByName(top_two(alone, other, keys, None, MOST_DEDUCTED, kind))
+    items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "_id", "score", "_gap")))  # two at most
+    first, second = F.get("_top", F.lit(0)), F.get("_top", F.lit(1))
+    top = found.groupBy("_t").agg(items.alias("_top")).select(F.col("_t").alias("_t"), first["_id"].alias("best_id"), first["score"].alias("score"), second["score"].alias("second"), first["_gap"].alias("share_gap"))
     accepted = (F.col("score") >= ACCEPT) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= MARGIN))
-    return targets.join(top, target_id).select(*targets.columns, "best_id", "score", "second", "share_gap", accepted.alias("accepted"))
+    return targets.join(top, F.col(target_id) == F.col("_t")).select(*targets.columns, "best_id", "score", "second", "share_gap", accepted.alias("accepted"))
 
 
 def ranked_candidates(pool: DataFrame, block: list[str], order: list[Column | str]) -> DataFrame:
@@ -119,14 +98,22 @@ def ranked_candidates(pool: DataFrame, block: list[str], order: list[Column | st
 
 
 def candidate_lists(ranked: DataFrame, block: list[str], fields: list[str], id_col: str, top: int = 5) -> DataFrame:
-    """For each block its candidates as an array of structs in rank order, and the first ids joined by bars. A block is an
-    election's list of parties, which is short."""
+    """For each block its candidates as an array of structs in rank order, and the first ids joined by bars. The whole list is
+    one row; where the first candidates are enough, :func:`top_candidates` keeps no more than those."""
     items = F.array_sort(F.collect_list(F.struct("rank_by_share", *fields)))
     out = ranked.groupBy(*block).agg(items.alias("candidates"))
     ids = F.transform(F.slice("candidates", 1, top), lambda c: c[id_col].cast("string"))
     return out.withColumn("top_ids", F.array_join(ids, "|")).withColumn("cand_json", F.to_json("candidates", {"ignoreNullFields": "false"}))
 
 
+def top_candidates(pool: DataFrame, block: list[str], order: list[Column | str], fields: list[str], id_col: str, top: int = 5) -> DataFrame:
+    """For each block how many candidates it has (``n``), the first ``top`` of them as :func:`candidate_lists` has them, and their
+    ids joined by bars. Each task keeps the first ones of its own rows, and these alone are shuffled and ranked."""
+    counts = pool.groupBy(*block).agg(F.count("*").alias("n"))
+    best = ranked_candidates(pool, block, order).where(F.col("rank_by_share") <= top)
+    return null_safe_join(counts, candidate_lists(best, block, fields, id_col, top), block)
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is still to be done."""
     return todo.join(done.select(key), key, "left_anti")
@@ -152,4 +139,4 @@ def point_patch(df: DataFrame, patch: DataFrame, key: str, fallback: list[str],
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns), (hit | hit2).alias("patched"))
 
 
-__all__ = ["CardinalityError", "assert_unique", "candidate_lists", "cascade_match", "checked_join", "fuzzy_match", "null_safe_join", "point_patch", "ranked_candidates", "resume", "unique_rows", "upsert"]
+__all__ = ["CardinalityError", "assert_unique", "candidate_lists", "cascade_match", "checked_join", "fuzzy_match", "null_safe_join", "point_patch", "ranked_candidates", "resume", "top_candidates", "unique_rows", "upsert"]

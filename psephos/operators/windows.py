@@ -63,27 +63,40 @@ def standardised(df: DataFrame, value: str, name: str, params: DataFrame | None
     return df.crossJoin(F.broadcast(row)).withColumn(name, z).drop("mu", "sd")  # a single row
 
 
-#: Ranges that rows are numbered in, and rows up to which one is enough.
-RANGES, FEW = 256, 100_000
+#: Bounds of the ranges that rows are numbered in, at most, and how many of these are compared first.
+RANGES, FEW = 1024, 32
+
+
+def ranged(df: DataFrame, keys: list[Column | str], name: str) -> DataFrame:
+    """The rows with the number of the range of ``keys`` (all ascending, missing values first) that they lie in.
+
+    The bounds are whole keys, those with the least hashes: a sample that each task takes of its own rows and that is the same
+    wherever rows lie. They are one row beside the table; a row compares its key with a few of them and then with those between.
+    """
+    key = F.struct(*(col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    sample = df.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(RANGES)
+    bounds = sample.agg(F.array_sort(F.collect_set("_key")).alias("_all"))
+    step = F.greatest(F.ceil(F.size("_all") / FEW).cast("int"), F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(FEW - 1)), lambda k: F.slice("_all", k * F.col("_step") + 1, F.col("_step")))
+    bounds = bounds.withColumn("_step", step).select("_step", F.filter(cut, lambda part: F.size(part) > 0).alias("_fine"))
+    rows = df.withColumn("_key", key).crossJoin(F.broadcast(bounds.withColumn("_coarse", F.transform("_fine", lambda part: F.get(part, F.lit(0))))))  # a single row
+    rows = rows.withColumn("_c", F.size(F.filter("_coarse", lambda b: b <= F.col("_key"))))
+    near = F.size(F.filter(F.get("_fine", F.col("_c") - 1), lambda b: b <= F.col("_key")))
+    place = F.when(F.col("_c") > 0, (F.col("_c") - 1) * F.col("_step") + near).otherwise(0)
+    return rows.withColumn(name, place).drop("_key", "_step", "_fine", "_coarse", "_c")
 
 
 def row_numbers(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
-    """Consecutive numbers from 1 in the given order, whose first column is a name and ascends.
+    """Consecutive numbers from 1 in the order of the given columns or expressions, all ascending, missing values first.
 
-    A large table is numbered in ranges of that column, so that no task has all rows: the bounds are a bounded sample of its
-    distinct values, and each range begins where the counts of those before it end.
+    Rows are numbered within ranges of the whole sort key, and each range begins where the counts of those before it end, so
+    that no task has all rows, however few values the first column has.
     """
-    first = order[0]
-    bounds = [] if df.limit(FEW + 1).count() <= FEW else [r[0] for r in df.select(first).dropna().distinct().orderBy(F.xxhash64(first), first).limit(RANGES).collect()]
-    if not bounds:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-    kind = df.schema[first].dataType
-    place = F.when(F.col(first).isNotNull(), F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in bounds)), lambda b: b <= F.col(first))) + 1).otherwise(0)
-    rows = df.withColumn("_range", place)
+    rows = ranged(df, order, "_range")
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return rows.withColumn(name, own).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+    return rows.withColumn(name, own).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")  # RANGES + 1 rows at most
 
 
 def with_rank_ids(df: DataFrame, key: str, name: str) -> DataFrame:

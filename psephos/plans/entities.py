@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from psephos.functions.nulls import truthy
@@ -47,7 +47,7 @@ def entity_rollup(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.sum("w"), 2).alias("weight"), F.countDistinct("market").alias("n_markets"), F.min("day").cast("string").alias("first_day"),
         A.first_known("name", "rid").alias("first_name"), F.bool_or(F.col("vote") == "A").alias("any_a"), F.count("x1").alias("n_x1"),
     )
-    return W.numbered(g, ["country", "year", F.col("party").asc_nulls_last()], "entity_id", "pe%06d")
+    return W.numbered(g, ["country", "year", F.col("party").isNull(), "party"], "entity_id", "pe%06d")
 
 
 @query(f"""WITH {RESPONDENTS}, k AS (SELECT DISTINCT lower(substring(replace(market, ' ', ''), 1, 4)) || CAST(year AS VARCHAR) AS election, country || '|' || CAST(day AS VARCHAR) || '|' || coalesce(CAST(party AS VARCHAR), '') AS stable_key FROM respondents)
@@ -154,23 +154,27 @@ def set_difference_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{NAMED}, g AS (SELECT country, year, suppkey, sum(w) AS w, any_value(s_name) AS name FROM named JOIN supplier ON suppkey = s_suppkey GROUP BY 1, 2, 3)
 SELECT country, year, suppkey, row_number() OVER (PARTITION BY country, year ORDER BY w DESC NULLS LAST, suppkey) AS rank_by_share, 'S' || CAST(suppkey AS VARCHAR) || ', ' || name AS label FROM g""")
 def candidate_rank_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d).select("country", "year", "suppkey", F.col("rank_by_share").cast("bigint").alias("rank_by_share"), "label")
+    ranked = J.ranked_candidates(_candidates(spark, d), ["country", "year"], _by_weight())
+    return ranked.select("country", "year", "suppkey", F.col("rank_by_share").cast("bigint").alias("rank_by_share"), "label")
+
+
+def _by_weight() -> list[Column]:
+    return [F.col("w").desc_nulls_last(), F.col("suppkey")]
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_name").alias("name"))
     g = respondents(spark, d).groupBy("country", "year", "suppkey").agg(F.sum("w").alias("w")).join(names, "suppkey")
-    ranked = J.ranked_candidates(g, ["country", "year"], [F.col("w").desc_nulls_last(), "suppkey"])
-    return ranked.withColumn("label", party_label(F.concat(F.lit("S"), F.col("suppkey").cast("string")), "name"))
+    return g.withColumn("label", party_label(F.concat(F.lit("S"), F.col("suppkey").cast("string")), "name"))
 
 
 @query(f"""WITH {RESPONDENTS}, g AS (SELECT country, year, suppkey, sum(w) AS w FROM respondents GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY country, year ORDER BY w DESC NULLS LAST, suppkey) AS k FROM g)
 SELECT country, year, count(*) AS n, string_agg(CAST(suppkey AS VARCHAR), '|' ORDER BY k) FILTER (k <= 5) AS top_ids FROM r GROUP BY 1, 2""")
 def candidate_json(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates as a list in rank order (also as JSON), and the first five ids."""
-    out = J.candidate_lists(_candidates(spark, d), ["country", "year"], ["suppkey", "w"], "suppkey")
-    return out.select("country", "year", F.size("candidates").cast("bigint").alias("n"), "top_ids")
+    """The first five candidates as a list in rank order (also as JSON), their ids, and how many candidates there are."""
+    out = J.top_candidates(_candidates(spark, d), ["country", "year"], _by_weight(), ["suppkey", "w"], "suppkey")
+    return out.select("country", "year", "n", "top_ids")
 
 
 #: Targets and an old list of entities with differing spellings, shares and some repeated keys.
@@ -218,21 +222,15 @@ def cascade_exact_match(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_block_match(spark: SparkSession, d: str) -> DataFrame:
     """The best fuzzy candidate in each block, by sequence similarity, with the margin rule."""
     t, old = match_sides(spark, d)
-    return _fuzzy(t, old, None)
+    return _fuzzy(t, old, "ratio")
 
 
-def _fuzzy(t: DataFrame, old: DataFrame, score) -> DataFrame:
+def _fuzzy(t: DataFrame, old: DataFrame, kind: str) -> DataFrame:
     t = t.withColumn("target", joined_key("country", "year", "id"))
-    out = J.fuzzy_match(t, old, ["country", "year"], "target", "old_id", ("loc", "eng"), "share", score)
+    out = J.fuzzy_match(t, old, ["country", "year"], "target", "old_id", ("loc", "eng"), "share", kind)
     return out.select("country", "year", "id", "best_id", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"), "accepted")
 
 
-def edit_similarity(a, b):
-    """1 - edit distance over the longer length; 0 if either side is empty."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), 1 - F.levenshtein(a, b) / longest).otherwise(0.0)
-
-
 def _edit_sql(a: str, b: str) -> str:
     return f"CASE WHEN length({a}) > 0 AND length({b}) > 0 THEN 1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) ELSE 0.0 END"
 
@@ -250,7 +248,7 @@ SELECT country, year, id, old_id AS best_id, round(score, 6) AS score, round(sec
 def fuzzy_block_match_edit(spark: SparkSession, d: str) -> DataFrame:
     """The same with edit distance, which SQL has too."""
     t, old = match_sides(spark, d)
-    return _fuzzy(t, old, edit_similarity)
+    return _fuzzy(t, old, "edit")
 
 
 PATCHES = [("1-URGENT", 10.0, 5), ("2-HIGH", 20.0, 77)]
