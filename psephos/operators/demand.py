@@ -28,10 +28,11 @@ STEPS = 5000
 DAMPINGS = (0.0, 1e-3, 1e-1, 1e1)
 #: Most that a step moves a parameter p, in units of 1 + |p|; linear moments say little beyond.
 FARTHEST = 1.0
-#: Passes after which the chain of deltas begins anew from the packed rows.
-CHAIN = 8
+#: Passes after which the chain of deltas begins anew from the packed rows: plans of cached tables over cached tables get long,
+#: and a lost executor repeats no more than these.
+CHAIN = 3
 #: Relative gain of the objective below which a search has settled.
-SETTLED = 1e-10
+SETTLED = 1e-5
 FLOOR = 1e-12
 
 _ARRAYS = ("x", "share", "lin", "z", "demo", "delta")
@@ -181,8 +182,9 @@ def packed(products: DataFrame, agents: DataFrame, linear: list[str], random: li
         out |= {"share": s.tobytes(), "demo": np.ascontiguousarray(demo).tobytes(), "delta": (np.log(s) - math.log(max(1 - s.sum(), FLOOR))).tobytes()}
         return pd.DataFrame([{"market": p["market"].iloc[0], "product": p["product"].to_numpy(np.int64)} | out])
 
-    # one column for each name and use, whatever they are called
-    return products.groupBy("market").cogroup(agents.groupBy("market")).applyInPandas(pack, schema)
+    # few bytes, but much work in each: the number of partitions is given, so that they are not taken together
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return products.groupBy("market").cogroup(agents.groupBy("market")).applyInPandas(pack, schema).repartition(parts, "market")
 
 
 def passed(problem: Problem, rows: DataFrame, points: list[np.ndarray]) -> DataFrame:
