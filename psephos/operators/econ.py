@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.functions.nulls import finite
@@ -78,37 +79,52 @@ def linear(names: list[str], b: np.ndarray):
     return out
 
 
+def least_squares(total: Sums, at: dict[str, int], y: str, x: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of y on x and the inverse of the products of x, from sums whose columns are ``at`` these places."""
+    xi = [at[c] for c in x]
+    inverse = np.linalg.pinv(total.products[np.ix_(xi, xi)])
+    return inverse @ total.products[xi, at[y]], inverse
+
+
 def ols(df: DataFrame, y: str, x: list[str]) -> Fit:
     """Least squares without a constant, HC1 covariance."""
     rows = usable(df, [y, *x]).persist()  # read twice
     total = sums(rows, [*x, y])
-    g, n, k = total.products, total.n, len(x)
-    inverse = np.linalg.pinv(g[:k, :k])
-    b = inverse @ g[:k, k]
+    b, inverse = least_squares(total, {c: i for i, c in enumerate([*x, y])}, y, x)
     meat = gram(rows, x, (F.col(y) - linear(x, b)) ** 2)
     rows.unpersist()
-    return Fit(x, b, inverse @ meat @ inverse * n / max(n - k, 1), n)
+    return hc1(x, b, inverse, meat, total.n)
 
 
-def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
-    """Two-stage least squares with one endogenous regressor ``d``, controls ``w`` and excluded instruments ``z``; robust
-    covariance without a small-sample factor, and the first stage's F of the instruments."""
-    rows = usable(df, [y, d, *w, *z]).persist()  # read twice
+def hc1(x: list[str], b: np.ndarray, inverse: np.ndarray, meat: np.ndarray, n: int) -> Fit:
+    return Fit(x, b, inverse @ meat @ inverse * n / max(n - len(x), 1), n)
+
+
+@dataclass
+class TwoStage:
+    """What two-stage least squares takes from sums of products: coefficients, the bread of their covariance, first stage's F."""
+
+    names: list[str]
+    b: np.ndarray
+    bread: np.ndarray
+    first_stage_f: float
+    n: int
+
+    def fit(self, meat: np.ndarray) -> Fit:
+        return Fit(self.names, self.b, self.bread @ meat @ self.bread.T, self.n, self.first_stage_f)
+
+
+def two_stage(total: Sums, at: dict[str, int], y: str, d: str, w: list[str], z: list[str]) -> TwoStage:
+    """One endogenous regressor ``d``, controls ``w`` and excluded instruments ``z``."""
     names, q = [*w, d], [*w, *z]
-    total = sums(rows, [*w, *z, d, y])
     g, n = total.products, total.n
     if n <= len(names) + 2:
-        rows.unpersist()
         raise ValueError("too few usable observations")
-    at = {c: i for i, c in enumerate([*w, *z, d, y])}
     xi, qi = [at[c] for c in names], [at[c] for c in q]
     qq = np.linalg.pinv(g[np.ix_(qi, qi)])
     xq = g[np.ix_(xi, qi)]
     a = np.linalg.pinv(xq @ qq @ xq.T)
     b = a @ (xq @ qq @ g[qi, at[y]])
-    meat = gram(rows, q, (F.col(y) - linear(names, b)) ** 2)
-    rows.unpersist()
-    cov = a @ (xq @ qq @ meat @ qq @ xq.T) @ a
 
     def rss(cols: list[str]) -> float:
         i = [at[c] for c in cols]
@@ -116,11 +132,22 @@ def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
 
     restricted = rss(w) if w else g[at[d], at[d]] - total.sums[at[d]] ** 2 / n
     full = rss(q)
-    at_q = [at[c] for c in q]
-    constant = n - total.sums[at_q] @ qq @ total.sums[at_q] < 1e-9 * n  # one is a combination of the columns
+    constant = n - total.sums[qi] @ qq @ total.sums[qi] < 1e-9 * n  # one is a combination of the columns
     df2 = max(n - len(q) - (0 if constant else 1), 1)
     f = ((restricted - full) / len(z)) / max(full / df2, 1e-18) if z else math.nan
-    return Fit(names, b, cov, n, f)
+    return TwoStage(names, b, a @ xq @ qq, f, n)
+
+
+def iv(df: DataFrame, y: str, d: str, w: list[str], z: list[str]) -> Fit:
+    """Two-stage least squares with one endogenous regressor ``d``, controls ``w`` and excluded instruments ``z``; robust
+    covariance without a small-sample factor, and the first stage's F of the instruments."""
+    rows = usable(df, [y, d, *w, *z]).persist()  # read twice
+    try:
+        columns = [*w, *z, d, y]
+        found = two_stage(sums(rows, columns), {c: i for i, c in enumerate(columns)}, y, d, w, z)
+        return found.fit(gram(rows, [*w, *z], (F.col(y) - linear(found.names, found.b)) ** 2))
+    finally:
+        rows.unpersist()
 
 
 def keep_independent(df: DataFrame, names: list[str], atol: float = 1e-10) -> list[str]:
@@ -219,16 +246,90 @@ def fit_spec(panel: DataFrame, spec: str, method: str, z: list[str]) -> Fit:
     return fit
 
 
+#: Controls of the specifications; the columns of a sweep that hold them are called c1 and c2.
+CONTROLS = {"ideal_lag": ["lag"], "ideal_family": ["fam"], "lag_family": ["lag_f"], "ideal_lag_family": ["lag", "fam"]}
+
+
+def sweep_rows(panels: dict[str, dict[str, DataFrame]], z: list[str], specs: tuple[str, ...]) -> DataFrame:
+    """The usable rows of every sample, dimension and specification in one table: sample, dim, spec, y, d, c1, c2 and ``z``;
+    those of specifications with an ideal point are demeaned by party, unused controls are 0."""
+    x, lag, fam, zero = F.col("x"), F.col("lagx"), F.col("fam"), F.lit(0.0)
+    moved = {"lag_only": (x - lag, zero, zero), "family_only": (x - fam, zero, zero), "lag_family": (x - fam, lag - fam, zero), "ideal_only": (x, zero, zero), "ideal_lag": (x, lag, zero), "ideal_family": (x, fam, zero), "ideal_lag_family": (x, lag, fam)}
+    each = F.array(*(F.struct(F.lit(spec).alias("spec"), *(c.alias(n) for n, c in zip(("y", "c1", "c2"), moved[spec], strict=True))) for spec in specs))
+    parts = [p.select(F.lit(sample).alias("sample"), F.lit(dim).alias("dim"), "party", "d", *z, F.inline(each)) for sample, by_dim in panels.items() for dim, p in by_dim.items()]
+    used = ["y", "d", "c1", "c2", *z]
+    rows = usable(reduce(DataFrame.unionByName, parts), used).where(F.col("party").isNotNull())
+    own = Window.partitionBy("sample", "dim", "spec", "party")
+    return rows.select("sample", "dim", "spec", *(F.when(F.col("spec").startswith("ideal"), F.col(c) - F.avg(c).over(own)).otherwise(F.col(c)).alias(c) for c in used))
+
+
+def grouped_sums(rows: DataFrame, keys: list[str], names: list[str], weights: dict[str, object]) -> dict[tuple, dict[str, Sums]]:
+    """For each group and weight the sums of products of the columns; one pass, a row for each group."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    made = [F.count("*").alias("n")]
+    for k, w in weights.items():
+        made += [F.sum(F.col(names[i]) * F.col(names[j]) * w).alias(f"{k}_{i}_{j}") for i, j in pairs]
+        made += [F.sum(F.col(n) * w).alias(f"{k}_{i}") for i, n in enumerate(names)]
+    out = {}
+    for row in rows.groupBy(*keys).agg(*made).collect():
+        out[tuple(row[k] for k in keys)] = own = {}
+        for k in weights:
+            g = np.zeros((len(names), len(names)))
+            for i, j in pairs:
+                g[i, j] = g[j, i] = row[f"{k}_{i}_{j}"]
+            own[k] = Sums(g, np.array([row[f"{k}_{i}"] for i in range(len(names))]), row["n"])
+    return out
+
+
 def sweep(panels: dict[str, dict[str, DataFrame]], z: list[str], specs: tuple[str, ...] = SPECS) -> pd.DataFrame:
-    """All specifications by both methods over samples and dimensions (a few dozen fits); failures are rows with a warning."""
+    """All specifications by both methods over samples and dimensions (a few dozen fits); failures are rows with a warning.
+
+    One pass sums the products of all fits at once, a second one those weighted by each fit's squared residuals, whose
+    coefficients come with the rows as a map from a few dozen keys.
+    """
+    keys, columns = ["sample", "dim", "spec"], ["c1", "c2", "d", *z, "y"]
+    at = {c: i for i, c in enumerate(columns)}
+    rows = sweep_rows(panels, z, specs).persist()  # read twice
+    total = {k: v["all"] for k, v in grouped_sums(rows, keys, columns, {"all": F.lit(1.0)}).items()}
+    found: dict[tuple, object] = {}
+    for key, t in total.items():
+        w = ["c1", "c2"][: len(CONTROLS.get(key[2], []))]
+        for method in ("OLS", "IV"):
+            try:
+                found[*key, method] = least_squares(t, at, "y", [*w, "d"]) if method == "OLS" else two_stage(t, at, "y", "d", w, z)
+            except (ValueError, np.linalg.LinAlgError) as e:
+                found[*key, method] = e
+    weights = {}
+    for method in ("OLS", "IV"):
+        b = {key: f[0] if method == "OLS" else f.b for (*key, m), f in ((k, v) for k, v in found.items()) if m == method and not isinstance(f, Exception) for key in [tuple(key)]}
+        made = {"|".join(k): [float(x) for x in (*v[:-1], *[0.0] * (3 - len(v)), v[-1])] for k, v in b.items()}
+        table = F.create_map(*(x for k, v in made.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if made else F.create_map(F.lit(""), F.array(F.lit(0.0)))
+        own = F.try_element_at(table, F.concat_ws("|", *keys))
+        weights[method] = (F.col("y") - F.get(own, F.lit(0)) * F.col("c1") - F.get(own, F.lit(1)) * F.col("c2") - F.get(own, F.lit(2)) * F.col("d")) ** 2
+    marked = rows.select(*keys, *columns, *(w.alias(m) for m, w in weights.items()))
+    meat = grouped_sums(marked.fillna(0.0, list(weights)), keys, ["c1", "c2", "d", *z], {m: F.col(m) for m in weights})
+    rows.unpersist()
+
+    def fitted(key: tuple, method: str) -> Fit:
+        f = found.get((*key, method), ValueError("too few usable observations"))
+        if isinstance(f, Exception):
+            raise f
+        controls = CONTROLS.get(key[2], [])
+        w = ["c1", "c2"][: len(controls)]
+        used = [at[c] for c in ([*w, "d"] if method == "OLS" else [*w, *z])]
+        own = meat[key][method].products[np.ix_(used, used)]
+        fit = hc1([*w, "d"], *f, own, total[key].n) if method == "OLS" else f.fit(own)
+        fit.names = [*controls, "d"]
+        return fit
+
     out = []
     for sample, by_dim in panels.items():
-        for dim, panel in by_dim.items():
+        for dim in by_dim:
             for spec in specs:
                 for method in ("OLS", "IV"):
                     row: dict[str, object] = {"sample": sample, "dim": dim, "spec": spec, "method": method, "warning": ""}
                     try:
-                        fit = fit_spec(panel, spec, method, z)
+                        fit = fitted((sample, dim, spec), method)
                         se = math.sqrt(max(fit.cov[-1, -1], 0.0))
                         t = fit["d"] / se if se > 0 else math.nan
                         k = kappas(spec, fit["d"], fit["lag"] if "lag" in fit.names else fit["lag_f"] if "lag_f" in fit.names else 0.0, fit["fam"] if "fam" in fit.names else 0.0)

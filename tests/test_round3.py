@@ -176,3 +176,72 @@ def test_queries_estimate(spark, data):
     full = models.demand_full_model(spark, data).collect()
     assert len(full) == 2 + 6 + 6 and {r.converged for r in full} == {True} and {r.unsolved for r in full} == {0}
     assert {r.parameter: r.estimate for r in full}["beta_prices"] == 0
+
+
+def numpy_fit(rows, spec, method, z):
+    """(names, b, cov, n, first-stage F) by matrices, or None where there are too few rows."""
+    moved = {
+        "ideal_only": ("x", {}), "lag_only": ("x-lagx", {}), "family_only": ("x-fam", {}), "ideal_lag": ("x", {"lag": "lagx"}), "ideal_family": ("x", {"fam": "fam"}), "lag_family": ("x-fam", {"lag_f": "lagx-fam"}),
+        "ideal_lag_family": ("x", {"lag": "lagx", "fam": "fam"}),
+    }
+    y, controls = moved[spec]
+    m = np.column_stack([rows.eval(c).to_numpy(float) for c in (y, *controls.values(), "d", *z)])
+    ok = np.isfinite(m).all(axis=1)
+    m, party = m[ok], rows["party"][ok]
+    if spec.startswith("ideal"):
+        for p in party.unique():
+            m[party == p] -= m[party == p].mean(axis=0)
+    k, n = len(controls), len(m)
+    y, w, d, zz = m[:, 0], m[:, 1 : 1 + k], m[:, 1 + k], m[:, 2 + k :]
+    x, q = np.column_stack([w, d]), np.hstack([w, zz])
+    if method == "OLS":
+        inverse = np.linalg.pinv(x.T @ x)
+        b = inverse @ x.T @ y
+        u = y - x @ b
+        return [*controls, "d"], b, inverse @ (x.T * u**2) @ x @ inverse * n / (n - k - 1), n, math.nan
+    if n <= k + 3:
+        return None
+    hat = q @ np.linalg.pinv(q.T @ q) @ q.T @ x
+    inverse = np.linalg.pinv(hat.T @ hat)
+    b = inverse @ hat.T @ y
+    u = y - x @ b
+    rss = lambda a: float(((d - a @ np.linalg.lstsq(a, d, rcond=None)[0]) ** 2).sum()) if a.shape[1] else float((d**2).sum())
+    full, restricted = rss(q), rss(w) if k else float(((d - d.mean()) ** 2).sum())
+    return [*controls, "d"], b, inverse @ (hat.T * u**2) @ hat @ inverse, n, ((restricted - full) / len(z)) / (full / (n - q.shape[1] - 1))
+
+
+def test_all_fits_of_the_sweep(spark, data):
+    """56 fits against matrices, and few passes over the rows."""
+    from psephos.plans import models
+
+    passes = []
+    collect = type(spark.range(1)).collect
+    kind = type(spark.range(1))
+    kind.collect = lambda self: passes.append(1) or collect(self)
+    try:
+        got = {(r["sample"], r["dim"], r["spec"], r["method"]): r for r in models.spec_sweep(spark, data).toPandas().to_dict("records")}
+    finally:
+        kind.collect = collect
+    assert len(got) == 56 and len(passes) <= 4
+    panels = {dim: models.supply(spark, data, c).toPandas() for dim, c in (("econ", "x"), ("cult", "x2"))}
+    fits = 0
+    for (sample, dim, spec, method), r in got.items():
+        rows = panels[dim]
+        if sample == "ever_large":
+            rows = rows[rows.groupby("party")["d"].transform("max") >= 0.12]
+        want = numpy_fit(rows, spec, method, models.Z)
+        assert want is not None and not r["warning"]
+        names, b, cov, n, f = want
+        assert r["n"] == n and math.isclose(r["beta_d"], b[-1], rel_tol=1e-5, abs_tol=1e-9)
+        assert math.isclose(r["se_d"], math.sqrt(cov[-1, -1]), rel_tol=1e-4, abs_tol=1e-9)
+        assert (math.isnan(f) and math.isnan(r["first_stage_f"])) or math.isclose(r["first_stage_f"], f, rel_tol=1e-4)
+        if abs(b[-1]) < 1e-12:  # nothing is left of d after demeaning
+            continue
+        fits += 1
+        named = dict(zip(names, b, strict=True))
+        k = E.kappas(spec, named["d"], named.get("lag", named.get("lag_f", 0.0)), named.get("fam", 0.0))
+        errors = E.delta_errors(spec, E.Fit(names, b, cov, n))
+        for name, v in (k | errors).items():
+            assert (math.isnan(v) and math.isnan(r[name])) or math.isclose(r[name], v, rel_tol=1e-3, abs_tol=1e-6)
+        assert r["negative"] == sum(k[x] < 0 for x in E.KAPPAS) and r["stars"] == E.stars(E.normal_p(b[-1] / math.sqrt(cov[-1, -1])))
+    assert fits >= 50
