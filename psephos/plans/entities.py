@@ -63,6 +63,14 @@ def chunked_first_nonnull(spark: SparkSession, d: str) -> DataFrame:
     return named(spark, d).groupBy("suppkey", "year").agg(A.first_known("name", "rid").alias("first_name"), A.first_known("x1", "rid").alias("first_x1"), F.max("w").alias("top"), F.sum("w").alias("total"))
 
 
+@query(f"""{NAMED}, b AS (SELECT *, CASE WHEN partkey % 17 = 0 THEN '  ' ELSE name END AS label FROM named)
+SELECT suppkey, year, coalesce(arg_min(trim(label), rid) FILTER (trim(label) <> ''), '') AS first_label FROM b GROUP BY 1, 2""")
+def first_nonempty_label(spark: SparkSession, d: str) -> DataFrame:
+    """The first text in row order that is not blank."""
+    rows = named(spark, d).withColumn("label", F.when(F.col("partkey") % 17 == 0, "  ").otherwise(F.col("name")))
+    return rows.groupBy("suppkey", "year").agg(A.first_nonempty("label", "rid").alias("first_label"))
+
+
 @query(f"""{NAMED}, c AS (SELECT country, year, day, count(*) AS n FROM named GROUP BY 1, 2, 3), m AS (SELECT country, year, arg_max(day, (n, day)) AS mode_day FROM c GROUP BY 1, 2)
 SELECT country, year, CAST(mode_day AS VARCHAR) AS mode_day FROM m""")
 def latest_mode_fill(spark: SparkSession, d: str) -> DataFrame:

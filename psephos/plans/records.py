@@ -11,7 +11,7 @@ from psephos.functions import jsonx as X
 from psephos.functions import numeric as N
 from psephos.functions import text as T
 from psephos.functions import urls as U
-from psephos.functions.nulls import clean_text, complete, first_text, to_num, truthy
+from psephos.functions.nulls import clean_text, complete, first_number, first_text, to_num, truthy
 from psephos.operators import rules as R
 from psephos.plans.base import RESPONDENTS, respondents, table
 from psephos.plans.registry import query
@@ -427,6 +427,19 @@ def repairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""SELECT c_custkey AS custkey, CAST(round_even(c_acctbal, 0) AS BIGINT) AS whole, CASE WHEN c_custkey % 9 <> 0 THEN round(c_acctbal / 7, 3) END AS share,
+  CASE WHEN c_custkey % 4 = 0 THEN CAST(c_nationkey AS DOUBLE) ELSE c_acctbal END AS known FROM customer""")
+def rounded_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest integers, shares to three digits where they are finite, and the first of several columns that is a number."""
+    k = F.col("c_custkey")
+    endless = F.when(k % 9 == 0, F.lit(float("inf"))).otherwise(F.col("c_acctbal") / 7)
+    told = F.when(k % 4 == 0, F.lit("n/a")).when(k % 4 == 1, F.col("c_acctbal").cast("string"))
+    return table(spark, d, "customer").select(
+        k.alias("custkey"), N.round_int("c_acctbal").alias("whole"), N.round_share(endless).alias("share"),
+        first_number(told, F.when(k % 4 != 0, F.col("c_acctbal")), F.col("c_nationkey")).alias("known"),
+    )
+
+
 @query(f"""WITH {REPAIR}, n AS (SELECT *, status <> 'ok' AS n1, coalesce(lower(resolved), '') <> 'true' AS n2, age IS NULL AS n3, male IS NULL AS n4, coalesce(confidence < 0.85, false) AS n5 FROM r)
 SELECT id, concat_ws('|', CASE WHEN n1 THEN 'status' END, CASE WHEN n2 THEN 'unresolved' END, CASE WHEN n3 THEN 'missing_age' END, CASE WHEN n4 THEN 'missing_gender' END, CASE WHEN n5 THEN 'low_conf' END) AS reason,
   CASE WHEN n2 THEN 'full_resolution' WHEN multiple OR leaders > 1 THEN 'repair_leaders_array' WHEN name <> '' THEN 'repair_fixed_single_leader' ELSE 'full_resolution' END AS mode
