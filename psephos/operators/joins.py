@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.operators.aggregates import keep_first, unique_rows
-from psephos.operators.similarity import kept_two, top_two
+from psephos.operators.similarity import kept_two, once, top_two
 
 #: Thresholds of the fuzzy match: score, lead over the second, tolerated difference of shares, largest deduction.
 ACCEPT, MARGIN, TOLERANCE, MOST_DEDUCTED = 94.0, 5.0, 1.0, 5.0
@@ -76,13 +76,13 @@ def fuzzy_match(targets: DataFrame, pool: DataFrame, block: list[str], target_id
         columns = [F.col(key).alias(name), *(F.col(n).alias(m) for n, m in zip(names, ("_local", "_eng"), strict=True)), F.col(share).cast("double").alias("_share")]
         return df.select(*(F.col(b).alias(f"_k{k}") for k, b in enumerate(block)), *columns)
 
-    own, other = side(targets, target_id, "_t"), side(pool, pool_id, "_id")
+    own, other = once(side(targets, target_id, "_t")), once(side(pool, pool_id, "_id"))  # names and shares, read several times
     keys = [f"_k{k}" for k in range(len(block))]
     band = F.floor(F.col("_share") / TOLERANCE)
     known, unknown = own.where("_share IS NOT NULL"), other.where("_share IS NULL")
     banded = other.where("_share IS NOT NULL").withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
     near = top_two(known.withColumn("_band", band), banded, [*keys, "_band"], TOLERANCE, MOST_DEDUCTED, kind)
-    near = kept_two(near.unionByName(top_two(known, unknown, keys, TOLERANCE, MOST_DEDUCTED, kind)))
+    near = once(kept_two(near.unionByName(top_two(known, unknown, keys, TOLERANCE, MOST_DEDUCTED, kind))))
     alone = own.join(near.select("_t").distinct(), "_t", "left_anti")
     found = near.unionByName(top_two(alone, other, keys, None, MOST_DEDUCTED, kind))
     items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "_id", "score", "_gap")))  # two at most

@@ -8,6 +8,7 @@ block is dealt into parts of targets and of candidates, and each pair of parts m
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -21,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Targets and candidates that meet at once.
 TARGETS, POOL = 512, 2048
 #: Candidates of a target that are compared in one round, and numbers in an array of edit distances.
-ROUND, CELLS = 6, 1 << 22
+ROUND, CELLS = 12, 1 << 22
 
 KINDS = ("ratio", "edit")
 
@@ -167,25 +168,30 @@ def best_two(pairs: Pairs, deduction: np.ndarray, allowed: np.ndarray) -> tuple[
     return i[np.isfinite(s)], j[np.isfinite(s)], s[np.isfinite(s)]
 
 
-def _dealt(rows: DataFrame, keys: list[str], size: int, name: str, by: str) -> DataFrame:
-    """Rows with ``name``, their part of the group, and ``name_n``, how many parts the group has."""
-    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_n"))
-    cond = None
-    renamed = parts.withColumnsRenamed({k: f"_d_{k}" for k in keys})
-    for k in keys:
-        c = rows[k].eqNullSafe(renamed[f"_d_{k}"])
-        cond = c if cond is None else cond & c
-    return rows.join(renamed, cond).drop(*(f"_d_{k}" for k in keys)).withColumn(name, F.pmod(F.xxhash64(by), F.col(f"{name}_n")).cast("int"))
+def once(df: DataFrame) -> DataFrame:
+    """A table that is worked out once: written to the folder that the session names in spark.checkpoint.dir, or cached where it
+    names none."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/names-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _parts(rows: DataFrame, keys: list[str], size: int, name: str) -> DataFrame:
+    """How many parts each group of rows is dealt to."""
+    return rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
 
 def top_two(targets: DataFrame, pool: DataFrame, keys: list[str], tolerance: float | None, most: float, kind: str) -> DataFrame:
     """(_t, _id, score, _gap): of each target the two best candidates with equal (known) ``keys``, by score and then id. Both sides
     have ``_local``, ``_eng`` and ``_share``; with a tolerance only candidates whose share is as near as that, or unknown, count."""
-    own, other = _dealt(targets, keys, TARGETS, "_a", "_t"), _dealt(pool, keys, POOL, "_b", "_id")
-    sizes = {n: d.select(*keys, f"{n}_n").distinct() for n, d in (("_a", own), ("_b", other))}
+    parts = _parts(targets, keys, TARGETS, "_a_n").join(_parts(pool, keys, POOL, "_b_n"), keys)  # groups that have both
     # each part of one side goes to all parts of the other
-    own = own.join(sizes["_b"], keys).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_b_n") - 1)))
-    other = other.join(sizes["_a"], keys).withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_a_n") - 1)))
+    own = targets.join(parts, keys).withColumns({"_a": F.pmod(F.xxhash64("_t"), F.col("_a_n")).cast("int"), "_b": F.explode(F.sequence(F.lit(0), F.col("_b_n") - 1))})
+    other = pool.join(parts, keys).withColumns({"_b": F.pmod(F.xxhash64("_id"), F.col("_b_n")).cast("int"), "_a": F.explode(F.sequence(F.lit(0), F.col("_a_n") - 1))})
     kinds = {"_t": own.schema["_t"].dataType, "_id": other.schema["_id"].dataType}
     schema = f"_t {kinds['_t'].simpleString()}, _id {kinds['_id'].simpleString()}, score double, _gap double"
     arrow = pa.schema([*((n, to_arrow_type(k)) for n, k in kinds.items()), ("score", pa.float64()), ("_gap", pa.float64())])
@@ -204,7 +210,10 @@ def top_two(targets: DataFrame, pool: DataFrame, keys: list[str], tolerance: flo
 
     group = [*keys, "_a", "_b"]
     fields = ["_local", "_eng", "_share"]
-    found = own.select(*group, "_t", *fields).groupBy(*group).cogroup(other.select(*group, "_id", *fields).groupBy(*group)).applyInArrow(run, schema)
+    # few bytes become much work here: the number of partitions is given, so that they are not taken together
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, other = own.select(*group, "_t", *fields).repartition(parts, *group), other.select(*group, "_id", *fields).repartition(parts, *group)
+    found = own.groupBy(*group).cogroup(other.groupBy(*group)).applyInArrow(run, schema)
     return kept_two(found)
 
 
