@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "market_party_share"
 #: Modules whose queries are registered.
-MODULES = ("shares", "entities", "records", "models")
+MODULES = ("shares", "entities", "records", "models", "streams")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -92,3 +94,14 @@ def first_path(candidates: Iterable[str | Path], label: str = "input") -> Path:
         if p.exists():
             return p
     raise FileNotFoundError(f"{label}: none of {', '.join(map(str, tried))}")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder, not made yet, below the one that the session names in spark.checkpoint.dir. Where it names none, a session
+    whose tasks all run in this process gets a temporary one; a cluster has to name it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='psephos-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -11,11 +11,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from psephos.sources.resolve import exists
+from psephos.streaming.first_seen import watch
 
 ANSWER = "target_id string, status string, raw string, tries int"
 MOST_TRIES, MOST_WAIT = 5, 20.0
@@ -89,19 +89,4 @@ def collect_in_rounds(targets: DataFrame, ask: Callable[[dict], str], out: str,
     return spark.read.schema(f"{ANSWER}, round int").json(out).drop("round")
 
 
-def watch(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Follow a folder of JSON lines; each target's first good answer is kept in ``out`` once.
-
-    A batch has a folder of its own, which it overwrites if it is run again after a failure. What earlier batches hold is left
-    out by a join with them, so the stream itself keeps no state.
-    """
-    rows = spark.readStream.schema(schema).json(folder).where("status = 'ok'")
-
-    def put(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["target_id"])
-        if number and exists(spark, out, marker=""):
-            earlier = spark.read.schema("target_id string, batch bigint").parquet(out).where(F.col("batch") < number)
-            new = new.join(earlier.select("target_id"), "target_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+__all__ = ["attempt", "collect", "collect_in_rounds", "first_that_works", "recorded", "replay", "watch"]
