@@ -35,6 +35,28 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return null_safe_join(left, right, keys, how)
 
 
+def unique_side(df: DataFrame, keys: list[str], side: str = "right") -> DataFrame:
+    """The table with a check inside the plan: a job that meets a key twice fails with an error that names side and key.
+
+    Nothing runs here. A count goes beside the key in one aggregation by the key, and the key itself raises where the count is not
+    one, so no projection can drop the check. Columns keep their order and types.
+    """
+    shown = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)), {"ignoreNullFields": "false"})
+    rest = [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.any_value(c).alias(c) for c in rest))
+    message = F.concat(F.lit(f"{side} side has several rows for "), shown)
+    first = F.when(F.col("_n") > 1, F.raise_error(message).cast(df.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))
+    return counted.withColumn(keys[0], first).select(*df.columns)
+
+
+def guarded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", validate: str = "m:1", null_safe: bool = True) -> DataFrame:
+    """:func:`checked_join` without a job of its own: the check is part of the plan, and a key that is there twice fails the job
+    that reads the join (CardinalityError cannot be raised from there; the message is the same)."""
+    right = unique_side(right, keys, "right") if validate.endswith(":1") else right
+    left = unique_side(left, keys, "left") if validate.startswith("1:") else left
+    return null_safe_join(left, right, keys, how) if null_safe else left.join(right, keys, how)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """A join in which missing keys match each other."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -139,4 +161,4 @@ def point_patch(df: DataFrame, patch: DataFrame, key: str, fallback: list[str],
     return out.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns), (hit | hit2).alias("patched"))
 
 
-__all__ = ["CardinalityError", "assert_unique", "candidate_lists", "cascade_match", "checked_join", "fuzzy_match", "null_safe_join", "point_patch", "ranked_candidates", "resume", "top_candidates", "unique_rows", "upsert"]
+__all__ = ["CardinalityError", "assert_unique", "candidate_lists", "cascade_match", "checked_join", "fuzzy_match", "guarded_join", "null_safe_join", "point_patch", "ranked_candidates", "resume", "top_candidates", "unique_rows", "unique_side", "upsert"]

@@ -106,7 +106,7 @@ def join_validate_m1(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("key"))
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("nation"))
-    out = J.checked_join(J.checked_join(orders, customers, ["key"], null_safe=False), nations, ["n"], null_safe=False)
+    out = J.guarded_join(J.guarded_join(orders, customers, ["key"], null_safe=False), nations, ["n"], null_safe=False)
     return out.select("orderkey", "name", "nation")
 
 
@@ -117,7 +117,7 @@ def join_nullsafe_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = respondents(spark, d)
     left = rows.groupBy("party", "year").agg(F.round(F.sum("w"), 2).alias("w"))
     right = rows.where("party IS NULL OR party < 4").groupBy("party").agg(F.count("*").alias("n"))
-    return J.checked_join(left, right, ["party"])
+    return J.guarded_join(left, right, ["party"])
 
 
 @query("""SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0)""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from psephos.operators import windows as W
 from psephos.operators.aggregates import total, wmean
-from psephos.operators.joins import checked_join
+from psephos.operators.joins import guarded_join
 from psephos.plans.base import RESPONDENTS, respondents, table
 from psephos.plans.registry import query
 
@@ -90,7 +90,7 @@ def product_ids(spark: SparkSession, d: str) -> DataFrame:
 SELECT market, year, party, round(market_weight, 4) AS market_weight FROM products JOIN mw USING (market, year)""")
 def market_weight_join(spark: SparkSession, d: str) -> DataFrame:
     weights = voters(spark, d).groupBy("market", "year").agg(total("w").alias("market_weight"))
-    rows = checked_join(products(spark, d), weights, ["market", "year"])
+    rows = guarded_join(products(spark, d), weights, ["market", "year"])
     return rows.select("market", "year", "party", F.round("market_weight", 4).alias("market_weight"))
 
 
@@ -99,7 +99,7 @@ SELECT market, year, party, round(x2_bar, 10) AS x2_bar, round(building_bar, 10)
 def market_demographic_means(spark: SparkSession, d: str) -> DataFrame:
     people = respondents(spark, d).withColumn("building", (F.col("segment") == "BUILDING").cast("double"))
     means = people.groupBy("market", "year").agg(F.avg("x2").alias("x2_bar"), F.avg("building").alias("building_bar"))
-    rows = checked_join(products(spark, d), means, ["market", "year"])
+    rows = guarded_join(products(spark, d), means, ["market", "year"])
     return rows.select("market", "year", "party", F.round("x2_bar", 10).alias("x2_bar"), F.round("building_bar", 10).alias("building_bar"))
 
 
@@ -160,7 +160,7 @@ def leaveout_semi_scope(spark: SparkSession, d: str) -> DataFrame:
     """Instruments joined to products, in the markets of a restricted sample."""
     rows = indexed(spark, d)
     scope = rows.where("share > 0.2").select("country", "year").distinct()
-    out = checked_join(rows, leave_out(spark, d).select("country", "family", "year", "lo"), ["country", "family", "year"])
+    out = guarded_join(rows, leave_out(spark, d).select("country", "family", "year", "lo"), ["country", "family", "year"])
     return out.join(scope, ["country", "year"], "left_semi").select("market", "year", "party", F.round("lo", 10).alias("lo"))
 
 

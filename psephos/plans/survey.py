@@ -112,16 +112,16 @@ def run_apply(spark: SparkSession, s: Settings, tables: str) -> Tables:
     leader = spark.read.parquet(prefer(spark, s, ["leader_patched", "leader_repaired", "leader"]))
     approved = R.may_apply(F.col("approve_apply"), F.col("bucket"), F.col("trust"), manual=bool(s.parameters("apply").get("manual")))
     ids = review.where(approved).select("entity_id", F.col("old_id").alias("proposed"))
-    rows = J.checked_join(entity, leader.select("entity_id", "name", "age", "male"), ["entity_id"])
-    rows = J.checked_join(rows, ids, ["entity_id"])
+    rows = J.guarded_join(entity, leader.select("entity_id", "name", "age", "male"), ["entity_id"])
+    rows = J.guarded_join(rows, ids, ["entity_id"])
     return {"applied": rows.select("entity_id", "country", "year", "party", clean_text("name").alias("leader"), "age", "male", *R.never_overwrite(F.lit(None).cast(ids.schema["proposed"].dataType), F.col("proposed")))}
 
 
 def run_products(spark: SparkSession, s: Settings, tables: str) -> Tables:
     share, applied = s.read(spark, "share"), s.read(spark, "applied").where("party IS NOT NULL").select("country", "year", "party", "age", "male", "final_id")
     index = shares.indexed(spark, tables).select("market", "year", "country", "party", "idx", "x2", "family")
-    product = J.checked_join(share, index, ["market", "year", "party"])
-    product = J.checked_join(product, applied, ["country", "year", "party"]).withColumnRenamed("idx", "econ").withColumnRenamed("x2", "cult")
+    product = J.guarded_join(share, index, ["market", "year", "party"])
+    product = J.guarded_join(product, applied, ["country", "year", "party"]).withColumnRenamed("idx", "econ").withColumnRenamed("x2", "cult")
     people = respondents(spark, tables).join(share.select("market").distinct(), "market", "left_semi")
     agent = weighted_resample(people.select("market", "rid", "w", "x2"), "market", "rid", "w")
     z = product.groupBy("country", "year").agg(F.avg("age").alias("z1"), F.avg("male").alias("z2"))
