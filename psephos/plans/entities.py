@@ -99,11 +99,10 @@ def value_counts_nulls(spark: SparkSession, d: str) -> DataFrame:
     return named(spark, d).groupBy("party").agg(F.count("*").alias("n"), F.round(F.avg("x1"), 10).alias("mean_x1"), F.median("w").alias("median_w")).orderBy(F.desc("n"))
 
 
-@query("""SELECT o_orderkey AS orderkey, c_name AS name, n_name AS nation FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
-WHERE o_orderpriority = '1-URGENT'""")
+@query("""SELECT o_orderkey AS orderkey, c_name AS name, n_name AS nation FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def join_validate_m1(spark: SparkSession, d: str) -> DataFrame:
-    """A left join whose right side is first shown to be unique."""
-    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("key"))
+    """A left join whose right side is shown to be unique, inside the plan."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("key"))
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("nation"))
     out = J.guarded_join(J.guarded_join(orders, customers, ["key"], null_safe=False), nations, ["n"], null_safe=False)
@@ -134,26 +133,26 @@ def join_anti_resume(spark: SparkSession, d: str) -> DataFrame:
     return J.resume(table(spark, d, "customer").select(F.col("c_custkey").alias("custkey")), done, "custkey")
 
 
-@query("""WITH old AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT c_custkey AS id, c_acctbal + 1 AS v, 'patched' AS note FROM customer WHERE c_custkey % 6 = 0)
+@query("""WITH old AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer), new AS (SELECT c_custkey AS id, c_acctbal + 1 AS v, 'patched' AS note FROM customer WHERE c_acctbal < 0)
 SELECT id, v, CAST(NULL AS VARCHAR) AS note FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, v, note FROM new""")
 def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    new = rows.where("id % 6 = 0").select("id", (F.col("v") + 1).alias("v"), F.lit("patched").alias("note"))
-    return J.upsert(rows.where("id % 2 = 0"), new, "id")
+    new = rows.where("v < 0").select("id", (F.col("v") + 1).alias("v"), F.lit("patched").alias("note"))
+    return J.upsert(rows, new, "id")
 
 
-@query("""SELECT c_custkey AS id, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS name FROM customer WHERE c_acctbal < 0
+@query("""SELECT c_custkey AS id, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS name FROM customer
 UNION ALL SELECT s_suppkey, CAST(NULL AS DOUBLE), s_name FROM supplier""")
 def union_widen(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
     return a.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), allowMissingColumns=True)
 
 
-@query(f"""WITH {RESPONDENTS}, a AS (SELECT DISTINCT market, year FROM respondents WHERE suppkey = 1), b AS (SELECT DISTINCT market, year FROM respondents WHERE suppkey = 2)
+@query(f"""WITH {RESPONDENTS}, a AS (SELECT DISTINCT market, year, suppkey FROM respondents WHERE vote = 'N'), b AS (SELECT DISTINCT market, year, suppkey FROM respondents WHERE vote <> 'N')
 SELECT 'first_only' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second_only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def set_difference_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = respondents(spark, d)
-    a, b = (rows.where(F.col("suppkey") == k).select("market", "year") for k in (1, 2))
+    a, b = (rows.where(test).select("market", "year", "suppkey") for test in ("vote = 'N'", "vote <> 'N'"))
     sides = (("first_only", a, b), ("second_only", b, a))
     out = [x.subtract(y).agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n") for name, x, y in sides]
     return out[0].unionByName(out[1])

@@ -11,82 +11,17 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import StringType, StructField, StructType
 
-#: Rows of a Stata file that one task reads.
-STATA_ROWS = 50_000
+from psephos.sources.stata import Rows as _Rows
+from psephos.sources.stata import StataReader, StataSource
 
-
-class _Rows(InputPartition):
-    def __init__(self, start: int, stop: int) -> None:
-        super().__init__(start)
-        self.start, self.stop = start, stop
-
-
-class StataSource(DataSource):
-    """``spark.read.format("stata").load(path)``: a partition for every 50,000 rows, only the columns of the schema."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "stata"
-
-    def _open(self):
-        import pandas as pd
-
-        return pd.read_stata(self.options["path"], iterator=True, convert_categoricals=False)
-
-    def schema(self) -> StructType:
-        with self._open() as r:
-            labels = r.variable_labels()
-            head = r.read(200)
-        out = StructType()
-        for c, kind in head.dtypes.items():
-            t = {"f": DoubleType(), "i": LongType(), "u": LongType(), "M": TimestampType()}.get(kind.kind, StringType())
-            out.add(StructField(c, t, True, {"comment": labels.get(c, "")}))
-        return out
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _StataReader(self.options["path"], schema)
-
-
-class _StataReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType) -> None:
-        self.path, self.names = path, schema.names
-        self.kinds = {f.name: f.dataType for f in schema}
-
-    def partitions(self) -> list[InputPartition]:
-        import pandas as pd
-
-        with pd.read_stata(self.path, iterator=True, convert_categoricals=False) as r:
-            _ = r.data_label  # reads the header
-            n = r._nobs
-        return [_Rows(k, min(k + STATA_ROWS, n)) for k in range(0, max(n, 1), STATA_ROWS)]
+class _StataReader(StataReader):
+    """Rows as tuples, for use without Spark."""
 
     def read(self, partition: _Rows) -> Iterator[tuple]:
-        import pandas as pd
-
-        with pd.read_stata(self.path, iterator=True, columns=self.names, convert_categoricals=False) as r:
-            _skip(r, partition.start)
-            rows = r.read(partition.stop - partition.start) if partition.stop > partition.start else pd.DataFrame(columns=self.names)
-        for row in rows[self.names].itertuples(index=False):
-            yield tuple(None if pd.isna(v) else self._plain(v, k) for v, k in zip(row, self.names, strict=True))
-
-    def _plain(self, v: object, name: str) -> object:
-        kind = self.kinds[name]
-        if isinstance(kind, TimestampType):
-            return v.to_pydatetime()
-        return float(v) if isinstance(kind, DoubleType) else int(v) if isinstance(kind, LongType) else str(v)
-
-
-def _skip(reader, rows: int) -> None:
-    """Set a Stata reader to a row: rows are of one size, so it seeks; a reader that counts otherwise reads what it skips."""
-    _ = reader.data_label  # reads the header
-    if hasattr(reader, "_lines_read"):
-        reader._lines_read = rows
-        return
-    skipped = 0
-    while skipped < rows:
-        skipped += len(reader.read(min(STATA_ROWS, rows - skipped)))
+        for b in self.batches(partition.start, partition.stop):
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
 class WorkbookSource(DataSource):
@@ -117,24 +52,57 @@ class _WorkbookReader(DataSourceReader):
             yield tuple((r + [None] * self.width)[: self.width])
 
 
+MAIN, LINKS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def first_sheet(z: zipfile.ZipFile) -> str:
+    """The member that holds the first sheet as the workbook lists them (chart sheets have no cells and are passed over); where
+    there is no list, the sheet file with the least number."""
+    have = set(z.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= have:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
+            target = targets.get(sheet.get(f"{LINKS}id"), "")
+            member = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if member in have and "chartsheets/" not in member:
+                return member
+    return min((n for n in have if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+
+
+def _elements(z: zipfile.ZipFile, member: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag one after the other; what has been read is let go."""
+    with z.open(member) as f:
+        root = None
+        for event, e in ElementTree.iterparse(f, ("start", "end")):
+            if root is None:
+                root = e
+            if event == "end" and e.tag == tag:
+                yield e
+                e.clear()
+                for parent in (root, *root):  # rows lie below the root or below one of its children
+                    if len(parent) and parent[-1] is e:
+                        parent.remove(e)
+
+
+def _said(e: ElementTree.Element) -> str:
+    """The text of a cell or shared string, without its phonetic readings."""
+    return "".join(t.text or "" for part in ([e] if e.find(f"{MAIN}r") is None else e.findall(f"{MAIN}r")) for t in part.findall(f"{MAIN}t"))
+
+
 def sheet_rows(path: str) -> Iterator[list[str | None]]:
-    """The rows of a workbook's first sheet as texts."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    """The rows of a workbook's first sheet as texts; rows that the file leaves out are not made up."""
     with zipfile.ZipFile(path) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{ns}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        sheet = min(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{ns}row"):
+        shared = [_said(s) for s in _elements(z, "xl/sharedStrings.xml", f"{MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        for row in _elements(z, first_sheet(z), f"{MAIN}row"):
             out: list[str | None] = []
-            for cell in row.iter(f"{ns}c"):
+            for cell in row.iter(f"{MAIN}c"):
                 at = 0
                 for c in re.match(r"[A-Z]*", cell.get("r", ""))[0]:
                     at = at * 26 + ord(c) - 64
                 out += [None] * ((at or len(out) + 1) - 1 - len(out))
-                value = cell.find(f"{ns}v")
+                value, inner = cell.find(f"{MAIN}v"), cell.find(f"{MAIN}is")
                 if cell.get("t") == "inlineStr":
-                    out.append("".join(t.text or "" for t in cell.iter(f"{ns}t")))
+                    out.append(None if inner is None else _said(inner))
                 elif value is None or value.text is None:
                     out.append(None)
                 else:
@@ -143,6 +111,7 @@ def sheet_rows(path: str) -> Iterator[list[str | None]]:
 
 
 def register(spark: SparkSession) -> None:
+    """Make both formats known to a session."""
     spark.dataSource.register(StataSource)
     spark.dataSource.register(WorkbookSource)
 

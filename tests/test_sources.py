@@ -32,6 +32,28 @@ def test_workbook(spark, tmp_path):
     assert resolve.pick_code_column(df) == "code" and resolve.pick_sign_column(df, "econ") == "sign econ"
 
 
+def test_workbook_order(spark, tmp_path):
+    """The first sheet is the first that the workbook lists, whatever its file is called; runs and phonetic readings, empty rows."""
+    path, ns = str(tmp_path / "a.xlsx"), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = "".join(f'<row r="{k}"><c r="A{k}"><v>{k}</v></c></row>' for k in range(2, 500))
+    links = {"rId1": "worksheets/sheet1.xml", "rId2": "/xl/worksheets/sheet10.xml", "rId3": "chartsheets/sheet1.xml"}
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{r}"><sheets><sheet name="c" r:id="rId3"/><sheet name="x" r:id="rId2"/><sheet name="y" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in links.items()) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><r><t>na</t></r><r><t>me</t></r><rPh><t>no</t></rPh></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>wrong</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet10.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row>{rows}</sheetData></worksheet>')
+        z.writestr("xl/chartsheets/sheet1.xml", f"<chartsheet {ns}/>")
+    df = formats.load(spark, path)
+    assert df.columns == ["name"] and [r.name for r in df.collect()] == [str(k) for k in range(2, 500)]
+    bare = str(tmp_path / "b.xlsx")
+    with zipfile.ZipFile(bare, "w") as z:
+        for k in (10, 2):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>s{k}</v></c></row></sheetData></worksheet>')
+    assert formats.load(spark, bare).columns == ["s2"] and formats.load(spark, bare).count() == 0
+
+
 def test_csv_and_json(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,d\n"x ""y""\nz",2001-01-01\n')
     row = formats.load(spark, str(tmp_path / "a.csv"), dates=("d", "none")).first()
