@@ -13,8 +13,8 @@ several passes over the documents, never a larger broadcast. Repeated items are
 that overlap by a window less one word, so that no block depends on the size of one item.
 
 Defined cases: null texts have no words; an empty or null item has no window; a null item id is written as the empty string;
-repeated rows give repeated results, and items of one id count once; a very long text is searched whole; other columns are
-ignored (or passed on by ``clean``).
+repeated rows give repeated results, and items of one id count once; a very long text is searched whole; an empty table gives no
+rows, and an empty benchmark leaves every document clean; other columns are ignored (or passed on by ``clean``).
 """
 
 from __future__ import annotations

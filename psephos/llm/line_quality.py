@@ -10,8 +10,8 @@ common ones is on (host, line) and streams; a line of so many rows that its part
 adaptive execution.
 
 Defined cases: a null text has no words and fails the base; a null host is a host of its own, apart from the empty one; rows of
-one id are one document, and so are all rows without an id; repeated rows are judged alike; a very long text is measured whole;
-other columns are ignored.
+one id are one document, and so are all rows without an id; repeated rows are judged alike; a very long text is measured whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ A pair at the threshold shares no band with probability below 1e-6: 24 bands of
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text of fewer than five words has its whole
 sequence as its one shingle; rows of one id are one document, linked if any of its texts is; a null id is never linked, has a
 null component and stays; a very long text is one set like any other, and a chunk of its own in step 4 (it must fit a row of
-2 GB); other columns are ignored.
+2 GB); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ and identifier cues. From an anchor, a local parser expands to the left and righ
 it found (octet range, Luhn, digit count, mod-97). No parser looks further than the run of characters its own kind allows,
 so the work is linear in the text. Offsets are code points, ends exclusive.
 
-Defined cases: a null text is the empty text and has no spans; repeated rows give repeated results; other columns of the
-input, whatever their names, are ignored by :func:`find_pii` and passed through by :func:`redact`.
+Defined cases: a null text is the empty text and has no spans; repeated rows give repeated results; a very long text is
+walked whole; an empty table gives no rows; other columns of the input, whatever their names, are ignored by :func:`find_pii` and passed through by :func:`redact`.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Training sees at most ``SAMPLE`` labelled rows (those with the smallest hashes o
 
 Defined cases: a null or blank text has the bias alone as its score; rows without a label are not trained on; without any
 usable label all scores are 0.5; a document with several labels has the largest, one with several texts is learnt by the
-smallest; repeated rows get equal scores; a very long text is scored whole; other columns are ignored.
+smallest; repeated rows get equal scores; a very long text is scored whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

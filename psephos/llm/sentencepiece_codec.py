@@ -6,7 +6,8 @@ The library's segmentation then runs on the normalised text, with a copy of the
 and each piece is projected through the recorded alignment to its span in the original bytes.
 
 Defined cases: a null text is the empty text and has no ids; other columns of the input are ignored by
-:func:`encode_documents`, which returns one row per input row, repeated rows included.
+:func:`encode_documents`, which returns one row per input row, repeated rows included; a very long text is encoded
+whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

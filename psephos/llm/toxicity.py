@@ -18,7 +18,7 @@ The index is fitted in one task on a sample of the labelled rows, never a held-o
 Defined cases: a text without any known term (null and empty ones too) has no neighbour and gets the rate of toxic examples
 among those without neighbours; without labels all scores are 0; a document with several labels counts as toxic if any says
 so, one with several texts has the smallest; repeated rows get equal scores, ids and order never change one; a very long text
-is one vector like any other; other columns are ignored.
+is one vector like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
