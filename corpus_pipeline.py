@@ -1,6 +1,13 @@
 """The training-data pipeline: toxicity, near-duplicates, decontamination, personal data, encoding, each on what is left.
 
 Part of the subpackage ``psephos.llm`` (removed together with it).
+
+Defined cases, in all stages: an empty table stays empty; a very long text is worked on whole; columns that a stage does not use,
+whatever their names, are passed on by all stages but the last, which returns its own. Null and blank texts pass: they have
+no near-duplicate, no benchmark window and no personal data (a null text stays null), and no ids at the end; only in the first stage
+may they go, with all texts that know no term, if most labelled texts of that kind are toxic. Repeated rows are judged alike and all stay or
+all go; rows of one id are one document for near-duplicates, and rows without an id are never one. Labels or a benchmark without
+rows reject nothing.
 """
 
 from __future__ import annotations
