@@ -180,10 +180,10 @@ def panel_rollup(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).select("party_key", "year", F.round("x", 10).alias("x"), F.round("share", 10).alias("share"), "n_markets")
 
 
-@query(f"{PANEL} SELECT party_key, year, round(lag(x) OVER (PARTITION BY party_key ORDER BY year), 10) AS lagx FROM panel WHERE year <> 1997")
+@query(f"{PANEL} SELECT party_key, year, round(lag(x) OVER (PARTITION BY party_key ORDER BY year), 10) AS lagx FROM panel")
 def panel_lag(spark: SparkSession, d: str) -> DataFrame:
     """The previous observed row, not the previous year."""
-    rows = panel(spark, d).where("year <> 1997")
+    rows = panel(spark, d)
     return rows.select("party_key", "year", F.round(W.previous("x", "party_key", ["year"]), 10).alias("lagx"))
 
 

@@ -114,6 +114,13 @@ def test_latest_mode(spark):
     assert A.latest_mode(df, ["k"], "v", "m").first().m == 2
 
 
+def test_previous_row_over_a_gap(spark):
+    """The previous observed row counts, whatever years lie between."""
+    df = spark.createDataFrame([("a", 1996, 1.0), ("a", 1999, 2.0), ("a", 2000, None), ("a", 2003, 4.0), ("b", 1999, 9.0)], "k string, y int, x double")
+    got = {(r.k, r.y): r.p for r in df.withColumn("p", W.previous("x", "k", ["y"])).collect()}
+    assert got == {("a", 1996): None, ("a", 1999): 1.0, ("a", 2000): 2.0, ("a", 2003): None, ("b", 1999): None}
+
+
 def test_cardinality(spark):
     left, right = spark.createDataFrame([(None,), (1,)], "k int"), spark.createDataFrame([(None, "x"), (1, "y")], "k int, v string")
     assert {(r.k, r.v) for r in J.checked_join(left, right, ["k"]).collect()} == {(None, "x"), (1, "y")}
