@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from psephos.functions.nulls import clean_text
-from psephos.functions.text import contains_any
+from psephos.functions.nulls import clean_text, truthy
 
 #: Query parameters that only track visitors; fixed values.
 TRACKING = ("utm_", "fbclid=", "gclid=")
@@ -86,7 +85,11 @@ def domain_of(url: Column | str) -> Column:
 
 def normalize_url(url: Column | str) -> Column:
     """Scheme (https if none), lower-case authority without 'www.', single slashes, no trailing one, no tracking, no fragment."""
-    text = clean_text(url)
+    return normal_address(clean_text(url))
+
+
+def normal_address(text: Column) -> Column:
+    """:func:`normalize_url` of a clean text."""
     scheme, host, path, query = _parts(text)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~reduce(lambda a, b: a | b, (F.lower(p).startswith(t) for t in TRACKING))), "&")
     out = F.concat(
@@ -98,7 +101,11 @@ def normalize_url(url: Column | str) -> Column:
 
 def source_key(url: Column | str, title: Column | str) -> Column:
     """What two records of one source have in common."""
-    u, t = normalize_url(url), F.lower(clean_text(title))
+    return key_of(normalize_url(url), F.lower(clean_text(title)))
+
+
+def key_of(u: Column, t: Column) -> Column:
+    """The key of a normalised address and a clean title in lower case."""
     return F.when(u != "", F.concat(F.lit("url::"), u)).when(t != "", F.concat(F.lit("title::"), t)).otherwise("")
 
 
@@ -108,27 +115,47 @@ def domain_in(domain: Column, names: tuple[str, ...]) -> Column:
 
 
 def publisher_of(domain: Column | str) -> Column:
-    d = F.replace(F.lower(clean_text(domain)), F.lit("www."), F.lit(""))
+    return publisher_named(bare_domain(domain))
+
+
+def bare_domain(domain: Column | str) -> Column:
+    return F.replace(F.lower(clean_text(domain)), F.lit("www."), F.lit(""))
+
+
+def publisher_named(d: Column) -> Column:
+    """:func:`publisher_of` of a bare domain."""
     out = d
     for name in reversed(PUBLISHERS):
         out = F.when(domain_in(d, (name,)), PUBLISHERS[name]).otherwise(out)
     return out
 
 
+def _holds(x: Column, parts: tuple[str, ...]) -> Column:
+    """Whether the text holds one of the parts, each searched for by bytes: an alternation is tried at every place of the text."""
+    return truthy(reduce(lambda a, b: a | b, (x.contains(part) for part in parts)))
+
+
 def source_quality(domain: Column | str, publisher: Column | str, title: Column | str, why: Column | str) -> Column:
     """struct(tag, score) of a source; the first class that fits."""
-    d = F.replace(F.lower(clean_text(domain)), F.lit("www."), F.lit(""))
     p, t, w = (F.lower(clean_text(x)) for x in (publisher, title, why))
-    text = F.concat_ws(" | ", p, t, w)
-    public = domain_in(d, PUBLIC) | domain_in(d, PUBLIC_SUFFIXES) | contains_any(d, PUBLIC_PARTS) | ((d == "") & (contains_any(text, PUBLIC_PUBLISHER_WORDS) | contains_any(text, PUBLIC_TITLE_WORDS)))
-    party = contains_any(text, PARTY_WORDS) | (text.contains("official") & contains_any(text, PARTY_KINDS))
+    return quality_of(bare_domain(domain), p, t, w, F.concat_ws(" | ", p, t, w))
+
+
+def quality_of(d: Column, p: Column, t: Column, w: Column, text: Column) -> Column:
+    """:func:`source_quality` of a bare domain, of clean texts in lower case, and of these joined."""
+    public = domain_in(d, PUBLIC) | domain_in(d, PUBLIC_SUFFIXES) | _holds(d, PUBLIC_PARTS) | ((d == "") & (_holds(text, PUBLIC_PUBLISHER_WORDS) | _holds(text, PUBLIC_TITLE_WORDS)))
+    party = _holds(text, PARTY_WORDS) | (text.contains("official") & _holds(text, PARTY_KINDS))
     classes = (
-        ("encyclopedia", domain_in(d, ENCYCLOPEDIA) | ((d == "") & contains_any(p, ENCYCLOPEDIA_WORDS))),
-        ("intergovernmental_reference", domain_in(d, INTERGOVERNMENTAL) | contains_any(text, INTERGOVERNMENTAL_WORDS)),
-        ("institutional_reference", domain_in(d, INSTITUTIONAL) | contains_any(text, INSTITUTIONAL_WORDS)),
-        ("news_media", contains_any(d, NEWS_PARTS)), ("official_public_source", public), ("official_party_source", party),
+        ("encyclopedia", domain_in(d, ENCYCLOPEDIA) | ((d == "") & _holds(p, ENCYCLOPEDIA_WORDS))),
+        ("intergovernmental_reference", domain_in(d, INTERGOVERNMENTAL) | _holds(text, INTERGOVERNMENTAL_WORDS)),
+        ("institutional_reference", domain_in(d, INSTITUTIONAL) | _holds(text, INSTITUTIONAL_WORDS)),
+        ("news_media", _holds(d, NEWS_PARTS)), ("official_public_source", public), ("official_party_source", party),
     )
-    tag, score = F.lit("other_web"), F.when((p != "") | (t != "") | (w != ""), 55).otherwise(40)
-    for name, cond in reversed(classes):
-        tag, score = F.when(cond, name).otherwise(tag), F.when(cond, SCORES[name]).otherwise(score)
-    return F.struct(tag.alias("tag"), score.alias("score"))
+    verdict = _verdict("other_web", F.when((p != "") | (t != "") | (w != ""), 55).otherwise(40))
+    for name, cond in reversed(classes):  # tag and score together, so that no condition is tried for each
+        verdict = F.when(cond, _verdict(name, F.lit(SCORES[name]))).otherwise(verdict)
+    return verdict
+
+
+def _verdict(tag: str, score: Column) -> Column:
+    return F.struct(F.lit(tag).alias("tag"), score.alias("score"))

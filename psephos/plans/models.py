@@ -253,7 +253,9 @@ def raw_answers(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("Party page").alias("title"), F.format_string("https://party%d.example/?utm_source=a", k % 4).alias("url"), F.lit("").alias("publisher"), F.lit("official website").alias("why_relevant")),
         F.struct(F.lit("").alias("title"), F.format_string("http://en.wikipedia.org/wiki/P%d", k % 2).alias("url"), F.lit("").alias("publisher"), F.lit("context").alias("why_relevant")),
     )
-    return table(spark, d, "events").select("event_id", raw.alias("raw"), model.alias("model"))
+    # few bytes become much work here: the rows are dealt out, so that a file of one row group is not one task's
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, d, "events").select("event_id").repartition(parts).select("event_id", raw.alias("raw"), model.alias("model"))
 
 
 @query("SELECT event_id, event_id AS usage_input_tokens, CAST(5 AS BIGINT) AS usage_output_tokens, CAST(9 AS BIGINT) AS usage_total_tokens, CAST(1 AS INT) AS web_search_calls FROM events")
