@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.operators.aggregates import keep_first, unique_rows
-from psephos.operators.similarity import kept_two, once, top_two
+from psephos.operators.similarity import kept_two, once, top_two, top_two_close
 
 #: Thresholds of the fuzzy match: score, lead over the second, tolerated difference of shares, largest deduction.
 ACCEPT, MARGIN, TOLERANCE, MOST_DEDUCTED = 94.0, 5.0, 1.0, 5.0
@@ -86,6 +86,17 @@ def cascade_match(targets: DataFrame, pool: DataFrame, passes: list[tuple[str, l
     return out.select(*targets.columns, method.alias("match_method"), score.alias("match_score"), *picked)
 
 
+def _best_two(own: DataFrame, other: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Of targets that close names do not decide: near shares first, then the whole block."""
+    band = F.floor(F.col("_share") / TOLERANCE)
+    known, unknown = own.where("_share IS NOT NULL"), other.where("_share IS NULL")
+    banded = other.where("_share IS NOT NULL").withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
+    near = top_two(known.withColumn("_band", band), banded, [*keys, "_band"], TOLERANCE, MOST_DEDUCTED, kind)
+    near = once(kept_two(near.unionByName(top_two(known, unknown, keys, TOLERANCE, MOST_DEDUCTED, kind))))
+    alone = own.join(near.select("_t").distinct(), "_t", "left_anti")
+    return near.unionByName(top_two(alone, other, keys, None, MOST_DEDUCTED, kind))
+
+
 def fuzzy_match(targets: DataFrame, pool: DataFrame, block: list[str], target_id: str, pool_id: str, names: tuple[str, str], share: str, kind: str = "ratio") -> DataFrame:
     """The best candidate of each target within its block, with the verdict of the margin rule.
 
@@ -100,13 +111,9 @@ def fuzzy_match(targets: DataFrame, pool: DataFrame, block: list[str], target_id
 
     own, other = once(side(targets, target_id, "_t")), once(side(pool, pool_id, "_id"))  # names and shares, read several times
     keys = [f"_k{k}" for k in range(len(block))]
-    band = F.floor(F.col("_share") / TOLERANCE)
-    known, unknown = own.where("_share IS NOT NULL"), other.where("_share IS NULL")
-    banded = other.where("_share IS NOT NULL").withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
-    near = top_two(known.withColumn("_band", band), banded, [*keys, "_band"], TOLERANCE, MOST_DEDUCTED, kind)
-    near = once(kept_two(near.unionByName(top_two(known, unknown, keys, TOLERANCE, MOST_DEDUCTED, kind))))
-    alone = own.join(near.select("_t").distinct(), "_t", "left_anti")
-    found = near.unionByName(top_two(alone, other, keys, None, MOST_DEDUCTED, kind))
+    close = once(top_two_close(own, other, keys, TOLERANCE, MOST_DEDUCTED, kind))
+    own = once(own.join(close.select("_t").distinct(), "_t", "left_anti"))
+    found = close if own.isEmpty() else close.unionByName(_best_two(own, other, keys, kind))
     items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "_id", "score", "_gap")))  # two at most
     first, second = F.get("_top", F.lit(0)), F.get("_top", F.lit(1))
     top = found.groupBy("_t").agg(items.alias("_top")).select(F.col("_t").alias("_t"), first["_id"].alias("best_id"), first["score"].alias("score"), second["score"].alias("second"), first["_gap"].alias("share_gap"))

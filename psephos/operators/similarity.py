@@ -4,6 +4,10 @@ The bound of a pair of names comes from their lengths and letter counts. Of each
 pair is compared only while its bound, less the deduction for the difference of shares, reaches the second best score found. A
 block is dealt into parts of targets and of candidates, and each pair of parts meets in one group, so that the largest array is
 ``TARGETS`` by ``POOL`` numbers, and what leaves a group is two rows for each target.
+
+Most targets need none of this. Distinct names meet first where they are equal after one or two characters are left out of
+either (:func:`close_pairs`), which takes work in proportion to the names and their close neighbours. A target is done where
+both of its best scores exceed what any name can have that it has not met; the rest goes through the comparison by bounds.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,12 @@ TARGETS, POOL = 512, 2048
 #: Candidates of a target that are compared in one round, and numbers in an array of edit distances.
 ROUND, CELLS = 12, 1 << 22
 
+#: Letters of the longest name that is indexed, and of the longest with one character left out instead of two.
+LONGEST, SHORT = 64, 20
+#: Pool names that meet in a shortened text at most; kinds of letters told apart; names of a kind that far names still meet, if
+#: they may be as similar as that.
+BUCKET, SIGNS, FEW, WORTH = 4096, 256, 512, 0.92
+
 KINDS = ("ratio", "edit")
 
 
@@ -217,6 +229,137 @@ def top_two(targets: DataFrame, pool: DataFrame, keys: list[str], tolerance: flo
     return kept_two(found)
 
 
+def reach(n: int) -> int:
+    """How many characters are left out of a name of ``n``; less than none if it is not indexed."""
+    return -1 if n > LONGEST else 1 if n <= SHORT else 2
+
+
+def shortened(text: str) -> set[str]:
+    """The text without any characters that may be left out."""
+    return {"".join(text[a:b] for a, b in zip((0, *(k + 1 for k in at)), (*at, len(text)), strict=True)) for n in range(reach(len(text)) + 1) for at in combinations(range(len(text)), n)}
+
+
+def sign(text: str) -> str:
+    """The letters of a text in order, digits being one kind."""
+    return "".join(sorted("0" if c in "123456789" else c for c in text))
+
+
+def views(local: str, eng: str) -> set[str]:
+    return {x for x in (local, eng, joined(local, eng)) if x}
+
+
+def far_bound(a: int, b: int, common: int, kind: str) -> float:
+    """The most that the similarity of names of these lengths can be if they have not met: two that have more letters in order in
+    common than this have a shortened text in common."""
+    most = min(common, a, b)
+    if reach(a) >= 0 and reach(b) >= 0:
+        most = min(most, max(a - reach(a), b - reach(b)) - 1)
+    return max(most, 0) * 2 / (a + b) if kind == "ratio" else max(most, 0) / max(a, b)
+
+
+def _listed(names: DataFrame, field: str, of) -> DataFrame:
+    """The names (_l, _e) with each text of ``of`` their views."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                rows = [(x, y, list(set().union(*map(of, views(x, y))))) for x, y in zip(b.column("_l").to_pylist(), b.column("_e").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["_l", "_e", field])
+
+    return names.mapInArrow(run, f"_l string, _e string, {field} array<string>").withColumn(field, F.explode(field))
+
+
+def _bounded(names: DataFrame, kinds: list[tuple[int, str | None, int]], kind: str) -> DataFrame:
+    """Names (_l, _e) with ``_open``, what names that they do not meet may reach, and ``_cross``, the few kinds they meet whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = [(n, letters, Counter(letters) if letters is not None else None, count) for n, letters, count in kinds]
+
+        @lru_cache(4096)
+        def of(own: str) -> tuple[float, tuple[str, ...]]:
+            most, cross, mine = 0.0, [], Counter(own)
+            for n, letters, counts, count in parsed:
+                value = far_bound(len(own), n, min(len(own), n) if counts is None else (mine & counts).total(), kind)
+                if value > WORTH and counts is not None and count <= FEW:
+                    cross.append(letters)
+                else:
+                    most = max(most, value)
+            return most, tuple(cross)
+
+        for b in batches:
+            found = [[of(sign(v)) for v in views(x, y)] for x, y in zip(b.column("_l").to_pylist(), b.column("_e").to_pylist(), strict=True)]
+            most = pa.array([max((m for m, _ in f), default=0.0) for f in found], pa.float64())
+            cross = pa.array([list({c for _, cs in f for c in cs}) for f in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("_l"), b.column("_e"), most, cross], names=["_l", "_e", "_open", "_cross"])
+
+    return names.mapInArrow(run, "_l string, _e string, _open double, _cross array<string>")
+
+
+_ORDER = (("_l", "_pl"), ("_e", "_pe"), ("_j", "_pj"), ("_l", "_pe"), ("_e", "_pl"))
+
+
+def _measured(pairs: DataFrame, kind: str) -> DataFrame:
+    """The pairs of names whose similarity ``_sim`` exceeds ``_open``."""
+    if kind == "edit":
+        both = lambda x, y: F.trim(F.concat_ws(" ", F.nullif(F.col(x), F.lit("")), F.nullif(F.col(y), F.lit(""))))
+        full = pairs.withColumns({"_j": both("_l", "_e"), "_pj": both("_pl", "_pe")})
+        each = [F.when((F.length(x) > 0) & (F.length(y) > 0), 1 - F.levenshtein(F.col(x), F.col(y)) / F.greatest(F.length(x), F.length(y))).otherwise(0.0) for x, y in _ORDER]
+        return full.withColumn("_sim", F.greatest(*each)).drop("_j", "_pj").where("_sim > _open")
+    schema = pa.schema([*((n, pa.string()) for n in ("_l", "_e", "_pl", "_pe")), ("_open", pa.float64()), ("_sim", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = {n: b.column(n).to_pylist() for n in ("_l", "_e", "_pl", "_pe")}
+            names |= {j: [joined(x, y) for x, y in zip(names[x_], names[y_], strict=True)] for j, x_, y_ in (("_j", "_l", "_e"), ("_pj", "_pl", "_pe"))}
+            sim, open_ = np.zeros(b.num_rows), b.column("_open").to_numpy()
+            for x, y in _ORDER:
+                p, q = names[x], names[y]
+                la, lb = (np.array([len(s) for s in side], float) for side in (p, q))
+                todo = np.flatnonzero((la > 0) & (lb > 0) & (2 * np.minimum(la, lb) / np.maximum(la + lb, 1) > np.maximum(sim, open_)))
+                sim[todo] = np.maximum(sim[todo], similarities([p[k] for k in todo], [q[k] for k in todo], kind))
+            hit = pa.array(sim > open_)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("_l", "_e", "_pl", "_pe", "_open")), pa.array(sim)], schema=schema).filter(hit)
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("_l", "_e", "_pl", "_pe", "_open").repartition(parts).mapInArrow(run, "_l string, _e string, _pl string, _pe string, _open double, _sim double")
+
+
+def close_pairs(names: DataFrame, others: DataFrame, kind: str) -> DataFrame:
+    """(_l, _e, _pl, _pe, _open, _sim): pairs of distinct names of targets and pool with a similarity above ``_open``, without
+    loss; a name that meets a crowded shortened text has no pairs at all here."""
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, others = names.distinct().repartition(parts), once(others.distinct().repartition(parts))
+    signs = _listed(others, "_s", lambda v: {sign(v)})
+    found = signs.groupBy("_s").count().limit(SIGNS + 1).collect()
+    kinds = [(len(r["_s"]), r["_s"], r["count"]) for r in found]
+    if len(kinds) > SIGNS:
+        kinds = [(r[0], None, 0) for r in signs.select(F.length("_s")).distinct().collect()]
+    names = once(_bounded(names, kinds, kind))
+    own, pool = _listed(names.select("_l", "_e"), "_v", shortened), _listed(others, "_v", shortened).withColumnsRenamed({"_l": "_pl", "_e": "_pe"})
+    own, pool = once(own), once(pool)
+    crowded = pool.groupBy("_v").count().where(F.col("count") > BUCKET).select("_v")
+    stuck = own.join(crowded, "_v", "left_semi").select("_l", "_e").distinct()
+    met = own.join(pool.join(crowded, "_v", "left_anti"), "_v").select("_l", "_e", "_pl", "_pe")
+    whole = names.select("_l", "_e", F.explode("_cross").alias("_s")).join(signs.withColumnsRenamed({"_l": "_pl", "_e": "_pe"}), "_s").select("_l", "_e", "_pl", "_pe")
+    pairs = met.unionByName(whole).distinct().join(names.select("_l", "_e", "_open"), ["_l", "_e"]).join(stuck, ["_l", "_e"], "left_anti")
+    return _measured(pairs, kind)
+
+
+def top_two_close(targets: DataFrame, pool: DataFrame, keys: list[str], tolerance: float, most: float, kind: str) -> DataFrame:
+    """:func:`top_two` of the targets that close names decide: both best scores exceed all that other names can have."""
+    name = lambda l, e: {l: F.coalesce("_local", F.lit("")), e: F.coalesce("_eng", F.lit(""))}
+    left, right = targets.withColumns(name("_l", "_e")), pool.withColumns(name("_pl", "_pe")).withColumnRenamed("_share", "_p_share")
+    pairs = once(close_pairs(left.select("_l", "_e"), right.select(F.col("_pl").alias("_l"), F.col("_pe").alias("_e")), kind))
+    gap = F.abs(F.col("_share") - F.col("_p_share"))
+    met = left.select(*keys, "_t", "_share", "_l", "_e").join(pairs, ["_l", "_e"]).drop("_l", "_e").join(right.select(*keys, "_id", "_p_share", "_pl", "_pe"), [*keys, "_pl", "_pe"])
+    met = met.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") <= tolerance))
+    met = met.select("_t", "_id", (F.col("_sim") * 100 - F.when(F.col("_gap").isNull(), 0.0).otherwise(F.least("_gap", F.lit(most)))).alias("score"), "_gap", "_open")
+    w = Window.partitionBy("_t")
+    done = kept_two(met).withColumns({"_n": F.count("*").over(w), "_least": F.min("score").over(w)})
+    return done.where((F.col("_n") == 2) & (F.col("_least") > F.col("_open") * 100 + 1e-9)).select("_t", "_id", "score", "_gap")
+
+
 def kept_two(found: DataFrame) -> DataFrame:
     """The two best rows of each target; tasks drop the others before they meet."""
     w = Window.partitionBy("_t").orderBy(F.desc("score"), "_id")
