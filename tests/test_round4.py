@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from psephos.functions import urls as U
 from psephos.operators import joins as J
+from psephos.operators import resample as R
 from psephos.operators import similarity as N
 from psephos.operators import source_lists as S
 from psephos.plans import models
@@ -65,3 +66,18 @@ def test_names_that_have_not_met_stay_below_the_bound():
             if not kept[a] & kept[b]:
                 for kind in N.KINDS:
                     assert N.similarities([a], [b], kind)[0] <= N.far_bound(len(a), len(b), common, kind) + 1e-12
+
+
+def test_resampling_sorts_the_ranges_that_hold_a_draw(spark, monkeypatch):
+    seen = []
+    held = R._held
+    monkeypatch.setattr(R, "_held", lambda rows, *more: (seen.append(rows.count()), held(rows, *more))[1])
+    df = spark.range(20000).select(F.lit("m").alias("m"), F.col("id").alias("r"), F.lit(1.0).alias("w"))
+    assert R.weighted_resample(df, "m", "r", "w", draws=5).count() == 5
+    assert seen[-1] < 1000
+
+
+def test_full_model_reads_products_from_a_table(spark, data):
+    rows, _, _ = models.demand_inputs(spark, data)
+    plan = rows._jdf.queryExecution().withCachedData().toString()
+    assert "l_quantity" not in plan.split("InMemoryRelation")[0]
