@@ -16,6 +16,7 @@ from psephos.operators import source_lists as S
 from psephos.operators import windows as W
 from psephos.operators.aggregates import wmean
 from psephos.operators.resample import PARTS, weighted_resample
+from psephos.operators.similarity import once
 from psephos.plans import shares as P
 from psephos.plans.base import RESPONDENTS, respondents, table
 from psephos.plans.registry import query
@@ -180,6 +181,7 @@ def demand_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, li
     rows = rows.groupBy("market", "year", "country", "party").agg(
         F.sum("w").alias("w"), *(wmean(c, "w").alias(n) for c, n in (("x1", "x1"), ("x2", "x2"), ("_age", "age"), ("_gender", "gender"))), F.max("family").alias("family")
     )
+    rows = once(rows)  # a row for each party and market: all that follows reads these, several times
     rows = rows.withColumn("share", W.share("w", ["market", "year"], "party")).dropna(subset=["party", "x1", "x2"])
     for c, n in (("x1", "econ"), ("x2", "cult")):
         rows = W.standardised(rows, c, n)
