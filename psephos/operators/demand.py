@@ -1,13 +1,13 @@
 """Random-coefficients logit demand by two-step GMM.
 
 A market's utilities are delta_j + sum over r of x_jr * (sigma_r * draw_r + pi_r . demographics) over its agents. Given the
-nonlinear parameters, each market's deltas come from a contraction in its own task, squared by extrapolation and started from
-those of the last point. Their derivatives follow from the implicit function theorem, so that one pass over the markets gives
-the objective's moments and their Jacobian at several points. The search is a quasi-Newton one: the moments are nearly linear in
-the parameters, and the Jacobian stands in for second derivatives, damped as needed. All trial steps of a search are one job.
+nonlinear parameters, each market's deltas come from a contraction, squared by extrapolation. Their derivatives follow from the
+implicit function theorem, so that one pass over the markets gives the objective's moments and their Jacobian at several points.
+The search is a quasi-Newton one: the moments are nearly linear in the parameters, and the Jacobian stands in for second
+derivatives, damped as needed. All trial steps of a search are one job.
 
-Markets are packed once into a row each. A pass returns the same rows with their deltas, which the next pass starts from, and
-sums over each partition, which alone reach the driver: some hundred numbers, however many markets there are.
+Markets are packed once into a row each, whose arrays are kept; every pass reads these and writes nothing. A task takes its markets of like
+size together, and hands on its sums alone: some hundred numbers reach the driver, however many markets there are.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Steps of a contraction at most.
 STEPS = 5000
@@ -28,12 +28,11 @@ STEPS = 5000
 DAMPINGS = (0.0, 1e-3, 1e-1, 1e1)
 #: Most that a step moves a parameter p, in units of 1 + |p|; linear moments say little beyond.
 FARTHEST = 1.0
-#: Passes after which the chain of deltas begins anew from the packed rows: plans of cached tables over cached tables get long,
-#: and a lost executor repeats no more than these.
-CHAIN = 3
 #: Relative gain of the objective below which a search has settled.
 SETTLED = 1e-5
 FLOOR = 1e-12
+#: Numbers in an array of utilities; tasks of a pass for each core at most.
+CELLS, TASKS = 1 << 19, 2
 
 _ARRAYS = ("x", "share", "lin", "z", "demo", "delta")
 
@@ -65,43 +64,57 @@ def normal_quantiles(u: np.ndarray) -> np.ndarray:
 
 
 def probabilities(delta: np.ndarray, mu: np.ndarray) -> np.ndarray:
-    """Of each product and agent."""
-    u = delta[:, None] + mu
-    top = np.maximum(u.max(axis=0), 0)
+    """Of each product and agent; markets of as many products may be stacked in front."""
+    u = delta[..., None] + mu
+    top = np.maximum(u.max(axis=-2, keepdims=True), 0)
     e = np.exp(u - top)
-    return e / (np.exp(-top) + e.sum(axis=0))
+    return e / (np.exp(-top) + e.sum(axis=-2, keepdims=True))
 
 
-def contraction(log_share: np.ndarray, mu: np.ndarray, delta: np.ndarray, tolerance: float) -> tuple[np.ndarray, bool]:
-    """The deltas that give the shares, and whether the steps have ended; pairs of plain steps are extrapolated by their squared
-    ratio (SQUAREM), and plain steps go on where an extrapolation does not come closer."""
+def contractions(log_share: np.ndarray, mu: np.ndarray, delta: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The deltas of stacked markets that give the shares, and whether the steps of each have ended; pairs of plain steps are
+    extrapolated by their squared ratio (SQUAREM), and plain steps go on where an extrapolation does not come closer. A market
+    that has ended leaves the stack."""
+    out, done = delta.copy(), np.zeros(len(delta), bool)
+    at, kept, before = np.arange(len(delta)), delta.copy(), np.full(len(delta), math.inf)
 
-    def step(d: np.ndarray) -> np.ndarray:
-        return log_share - np.log(np.maximum(probabilities(d, mu).mean(axis=1), 1e-300))
+    def step(d: np.ndarray, s: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return s - np.log(np.maximum(probabilities(d, m).mean(axis=-1), 1e-300))
 
-    before = math.inf
     for _ in range(STEPS // 3):
-        r = step(delta)
-        gap = np.abs(r).max()
-        if gap < tolerance:
-            return delta + r, True
-        if not gap < 1e3 * before:  # an extrapolation went astray
-            delta, r = kept, step(kept)
-        before = min(before, gap)
+        r = step(delta, log_share, mu)
+        gap = np.abs(r).max(axis=1)
+        ended = gap < tolerance
+        if ended.any():
+            out[at[ended]], done[at[ended]] = (delta + r)[ended], True
+            at, kept, before, log_share, mu, delta, r, gap = (x[~ended] for x in (at, kept, before, log_share, mu, delta, r, gap))
+        if not len(at):
+            return out, done
+        astray = ~(gap < 1e3 * before)
+        if astray.any():
+            delta, r = np.where(astray[:, None], kept, delta), r.copy()
+            r[astray] = step(kept[astray], log_share[astray], mu[astray])
+        before = np.fmin(before, gap)
         one = delta + r
-        r2 = step(one)
+        r2 = step(one, log_share, mu)
         two, v = one + r2, r2 - r
         kept = two
-        length = math.sqrt(float(r @ r) / max(float(v @ v), 1e-300))
-        delta = two if not length > 1 else delta + 2 * length * r + length * length * v
-        if not np.isfinite(delta).all():
-            delta = two
-    return delta, False
+        length = np.sqrt((r * r).sum(axis=1) / np.maximum((v * v).sum(axis=1), 1e-300))[:, None]
+        delta = np.where(length > 1, delta + 2 * length * r + length * length * v, two)
+        delta = np.where(np.isfinite(delta).all(axis=1, keepdims=True), delta, two)
+    out[at] = delta
+    return out, done
+
+
+def contraction(log_share: np.ndarray, mu: np.ndarray, delta: np.ndarray, tolerance: float) -> tuple[np.ndarray, bool]:
+    """:func:`contractions` of one market."""
+    out, done = contractions(log_share[None], mu[None], delta[None], tolerance)
+    return out[0], bool(done[0])
 
 
 @dataclass
 class Market:
-    """Arrays of a market and what the parameters make of them."""
+    """Arrays of a market, or of stacked ones of as many products, and what the parameters make of them."""
 
     x: np.ndarray
     draws: np.ndarray
@@ -109,18 +122,19 @@ class Market:
 
     def taste(self, theta: np.ndarray) -> np.ndarray:
         """Agents' deviations from the mean taste: agent by column."""
-        r = self.x.shape[1]
-        return self.draws * theta[:r] + self.demo @ theta[r:].reshape(r, self.demo.shape[1]).T
+        r = self.x.shape[-1]
+        return self.draws * theta[:r] + self.demo @ theta[r:].reshape(r, self.demo.shape[-1]).T
 
     def slopes(self, q: np.ndarray) -> np.ndarray:
         """Derivatives of delta by the parameters, from those of the shares by delta and by the parameters."""
-        n, r, d = q.shape[1], self.x.shape[1], self.demo.shape[1]
-        by_delta = np.diag(q.mean(axis=1)) - q @ q.T / n
-        by_theta = np.empty((len(q), r + r * d))
+        n, r, d = q.shape[-1], self.x.shape[-1], self.demo.shape[-1]
+        by_delta = q.mean(axis=-1)[..., None] * np.eye(q.shape[-2]) - q @ q.swapaxes(-1, -2) / n
+        by_theta = np.empty((*q.shape[:-1], r + r * d))
         for k in range(r):
-            b = q * (self.x[:, k][:, None] - self.x[:, k] @ q) / n
-            by_theta[:, k] = b @ self.draws[:, k]
-            by_theta[:, r + k * d : r + (k + 1) * d] = b @ self.demo
+            x = self.x[..., k]
+            b = q * (x[..., None] - x[..., None, :] @ q) / n
+            by_theta[..., k] = b @ self.draws[:, k]
+            by_theta[..., r + k * d : r + (k + 1) * d] = b @ self.demo
         return -np.linalg.solve(by_delta, by_theta)
 
 
@@ -133,6 +147,17 @@ class Moments:
     unsolved: int
 
 
+@dataclass
+class Crossed:
+    """Sums over all products: z'x, z'z, z'z weighted by squared residuals, the sum of these squares, and the number of products."""
+
+    zx: np.ndarray
+    zz: np.ndarray
+    meat: np.ndarray
+    ss: float
+    n: int
+
+
 @dataclass
 class Problem:
     """Markets packed into rows, and what does not depend on the nonlinear parameters."""
@@ -182,107 +207,68 @@ def packed(products: DataFrame, agents: DataFrame, linear: list[str], random: li
         out |= {"share": s.tobytes(), "demo": np.ascontiguousarray(demo).tobytes(), "delta": (np.log(s) - math.log(max(1 - s.sum(), FLOOR))).tobytes()}
         return pd.DataFrame([{"market": p["market"].iloc[0], "product": p["product"].to_numpy(np.int64)} | out])
 
-    # few bytes, but much work in each: the number of partitions is given, so that they are not taken together
-    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return products.groupBy("market").cogroup(agents.groupBy("market")).applyInPandas(pack, schema).repartition(parts, "market")
-
-
-def passed(problem: Problem, rows: DataFrame, points: list[np.ndarray]) -> DataFrame:
-    """The rows with ``found``, the deltas at each point, ``sums``, their moments, and ``solved``."""
-    draws = normal_quantiles(halton(problem.nodes, len(problem.random)))
-    names = rows.drop("found", "sums", "solved").columns
-    kinds = {"market": pa.string(), "product": pa.list_(pa.int64())} | {n: pa.binary() for n in _ARRAYS}
-    kinds |= {"found": pa.list_(pa.binary()), "sums": pa.list_(pa.binary()), "solved": pa.list_(pa.bool_())}
-    schema = "market string, product array<bigint>, " + ", ".join(f"{n} binary" for n in _ARRAYS) + ", found array<binary>, sums array<binary>, solved array<boolean>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {"found": [], "sums": [], "solved": []}
-            for row in b.to_pylist():
-                a = problem.arrays(row)
-                market = Market(a["x"], draws, a["demo"])
-                each = {n: [] for n in out}
-                for theta in points:
-                    mu = a["x"] @ market.taste(theta).T
-                    delta, done = contraction(np.log(a["share"]), mu, a["delta"], problem.tolerance)
-                    q = probabilities(delta, mu)
-                    sums = a["z"].T @ np.column_stack([delta, market.slopes(q)])
-                    each["found"].append(delta.tobytes())
-                    each["sums"].append(np.ascontiguousarray(sums).tobytes())
-                    each["solved"].append(done)
-                for n, values in each.items():
-                    out[n].append(values)
-            columns = {n: b.column(n) for n in names} | out
-            yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[n], pa.Array) else pa.array(c, kinds[n]) for n in kinds], names=list(kinds))
-
-    free = Problem(**{k: v for k, v in vars(problem).items() if k != "rows"}, rows=None)
-    problem = free  # what tasks need, without the DataFrame
-    return rows.select(*(n for n in kinds if n in names)).mapInArrow(run, schema)
-
-
-def summed(problem: Problem, rows: DataFrame, n_points: int) -> list[Moments]:
-    """The sums of each point over all markets; each partition hands on its own."""
-    m, width = len(problem.instruments), problem.width + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, unsolved = np.zeros((n_points, m, width)), np.zeros(n_points, np.int64)
-        for b in batches:
-            for row in b.to_pylist():
-                total += [np.frombuffer(s).reshape(m, width) for s in row["sums"]]
-                unsolved += [0 if done else len(row["product"]) for done in row["solved"]]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([unsolved.tobytes()])], names=["total", "unsolved"])
-
-    parts = rows.select("product", "sums", "solved").mapInArrow(run, "total binary, unsolved binary").collect()
-    total = sum((np.frombuffer(r.total).reshape(n_points, m, width) for r in parts), np.zeros((n_points, m, width)))
-    unsolved = sum((np.frombuffer(r.unsolved, np.int64) for r in parts), np.zeros(n_points, np.int64))
-    return [Moments(t[:, 0], t[:, 1:], int(u)) for t, u in zip(total, unsolved, strict=True)]
-
-
-def crossed(problem: Problem, rows: DataFrame, beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
-    """Sums over products of z'x, z'z, z'z weighted by squared residuals (of the row's ``delta`` and ``beta``), their number and
-    the sum of squared residuals."""
-    m, k = len(problem.instruments), len(problem.linear)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zx, zz, meat, n, ss = np.zeros((m, k)), np.zeros((m, m)), np.zeros((m, m)), 0, 0.0
-        for b in batches:
-            for row in b.to_pylist():
-                a = bare.arrays(row)
-                zx, zz, n = zx + a["z"].T @ a["lin"], zz + a["z"].T @ a["z"], n + len(a["delta"])
-                if beta is not None:
-                    xi = a["delta"] - a["lin"] @ beta
-                    meat, ss = meat + (a["z"].T * xi**2) @ a["z"], ss + float(xi @ xi)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([zx.ravel(), zz.ravel(), meat.ravel(), [n, ss]]).tobytes()])], names=["total"])
-
-    bare = Problem(**{k: v for k, v in vars(problem).items() if k != "rows"}, rows=None)
-    parts = [np.frombuffer(r.total) for r in rows.select("market", "product", *_ARRAYS).mapInArrow(run, "total binary").collect()]
-    total = np.sum(parts, axis=0) if parts else np.zeros(m * k + 2 * m * m + 2)
-    return total[: m * k].reshape(m, k), total[m * k : m * k + m * m].reshape(m, m), total[m * k + m * m : -2].reshape(m, m), int(total[-2]), float(total[-1])
+    # few bytes, but much work in each: the number of partitions is given, so that they are not taken together; and no more than
+    # the cores can use, since each pass starts a task for each
+    spark = products.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS * spark.sparkContext.defaultParallelism))
+    products, agents = products.repartition(parts, "market"), agents.repartition(parts, "market")
+    return products.groupBy("market").cogroup(agents.groupBy("market")).applyInPandas(pack, schema)
+
+
+def stacked(markets: Iterator[dict[str, np.ndarray]], nodes: int) -> Iterator[dict[str, np.ndarray]]:
+    """Arrays of markets of as many products, taken from some hundred markets at a time; of CELLS utilities, or of one market."""
+    while some := list(islice(markets, 512)):
+        alike: dict[int, list[dict[str, np.ndarray]]] = {}
+        for a in some:
+            alike.setdefault(len(a["share"]), []).append(a)
+        for j, all_ in alike.items():
+            few = max(1, CELLS // (j * nodes))
+            for at in range(0, len(all_), few):
+                yield {name: np.stack([a[name] for a in all_[at : at + few]]) for name in _ARRAYS}
 
 
 class Search:
-    """Minimises the objective, pass by pass; holds the rows with the deltas of the best point."""
+    """Minimises the objective, pass by pass. The markets' arrays are kept as an RDD: a pass is a job of a few dozen milliseconds
+    of work, less than a DataFrame's planning takes."""
 
     def __init__(self, problem: Problem):
-        self.problem, self.rows, self.chain, self.passes = problem, problem.rows, 0, 0
+        bare = Problem(**{k: v for k, v in vars(problem).items() if k != "rows"}, rows=None)  # what tasks need
+        self.problem, self.bare, self.passes = problem, bare, 0
+        self.markets = problem.rows.select("product", *_ARRAYS).rdd.map(bare.arrays).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def passed(self, points: list[np.ndarray], beta: np.ndarray | None = None) -> tuple[list[Moments], Crossed]:
+        """One job over all markets: the moments of each point, and the crossed sums, with the residuals of the first point's
+        deltas and the linear parameters ``beta`` where they are given. Each partition hands on its own sums."""
+        p = self.bare
+        m, k, width, n_points = len(p.instruments), len(p.linear), p.width + 1, len(points)
+        draws, nodes, tolerance = normal_quantiles(halton(p.nodes, len(p.random))), p.nodes, p.tolerance
+        sizes = [n_points * m * width, n_points, m * k, m * m, m * m, 2]
+
+        def run(markets: Iterator[dict[str, np.ndarray]]) -> Iterator[np.ndarray]:
+            total, unsolved = np.zeros((n_points, m, width)), np.zeros(n_points)
+            zx, zz, meat, ss, n = np.zeros((m, k)), np.zeros((m, m)), np.zeros((m, m)), 0.0, 0
+            for a in stacked(markets, nodes):
+                market, zt = Market(a["x"], draws, a["demo"]), a["z"].swapaxes(-1, -2)
+                zx, zz, n = zx + (zt @ a["lin"]).sum(axis=0), zz + (zt @ a["z"]).sum(axis=0), n + a["share"].size
+                for at, theta in enumerate(points):
+                    mu = a["x"] @ market.taste(theta).swapaxes(-1, -2)
+                    delta, done = contractions(np.log(a["share"]), mu, a["delta"], tolerance)
+                    slopes = market.slopes(probabilities(delta, mu))
+                    total[at] += (zt @ np.concatenate([delta[..., None], slopes], axis=-1)).sum(axis=0)
+                    unsolved[at] += a["share"].shape[1] * int((~done).sum())
+                    if beta is not None and not at:
+                        xi = delta - a["lin"] @ beta
+                        meat, ss = meat + ((zt * xi[:, None, :] ** 2) @ a["z"]).sum(axis=0), ss + float((xi * xi).sum())
+            yield np.concatenate([x.ravel() for x in (total, unsolved, zx, zz, meat, np.array([ss, n]))])
 
-    def moments(self, points: list[np.ndarray]) -> tuple[DataFrame, list[Moments]]:
-        """One job for all points, started from the deltas of the best one so far."""
-        if self.chain >= CHAIN:
-            self.at(None, 0)
-        out = passed(self.problem, self.rows, points).persist()
         self.passes += 1
-        return out, summed(self.problem, out, len(points))
-
-    def at(self, rows: DataFrame | None, k: int) -> None:
-        """Go on from the deltas of a point of the pass ``rows``."""
-        if self.held is not None and self.held is not rows:
-            self.held.unpersist()
-        self.held = rows
-        self.chain = self.chain + 1 if rows is not None else 0
-        self.rows = self.problem.rows if rows is None else rows.withColumn("delta", F.get("found", F.lit(k))).select("market", "product", *_ARRAYS)
+        found = np.sum([np.zeros(sum(sizes)), *self.markets.mapPartitions(run).collect()], axis=0)
+        total, unsolved, zx, zz, meat, rest = np.split(found, np.cumsum(sizes)[:-1])
+        moments = [Moments(t[:, 0], t[:, 1:], int(u)) for t, u in zip(total.reshape(n_points, m, width), unsolved, strict=True)]
+        return moments, Crossed(zx.reshape(m, k), zz.reshape(m, m), meat.reshape(m, m), float(rest[0]), int(rest[1]))
 
-    held: DataFrame | None = None
+    def close(self) -> None:
+        self.markets.unpersist()
 
     def value(self, m: Moments, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """The objective, the linear parameters that are best with it, and z'xi."""
@@ -293,12 +279,10 @@ class Search:
         gap = m.zd - p.zx @ beta
         return float(gap @ weight @ gap), beta, gap
 
-    def minimise(self, theta: np.ndarray, weight: np.ndarray, iterations: int, tolerance: float) -> tuple[np.ndarray, Moments, bool]:
-        """The best point found, its moments, and whether the search has settled: the undamped step moves no parameter by
+    def minimise(self, theta: np.ndarray, now: Moments, weight: np.ndarray, iterations: int, tolerance: float) -> tuple[np.ndarray, Moments, bool]:
+        """From a point and its moments: the best point found, its moments, and whether the search has settled: the undamped step moves no parameter by
         ``tolerance`` or more, or no step gains. Standard deviations are kept from going below 0."""
         p = self.problem
-        rows, (now,) = self.moments([theta])
-        self.at(rows, 0)
         for _ in range(iterations):
             value, _, gap = self.value(now, weight)
             zx = p.zx[:, p.free]
@@ -318,42 +302,37 @@ class Search:
             if np.abs(points[0] - theta).max() < tolerance:
                 return theta, now, True
             points += [theta + 0.25 * (points[0] - theta)]
-            rows, found = self.moments(points)
+            found, _ = self.passed(points)
             values = [self.value(m, weight)[0] if not m.unsolved else math.inf for m in found]
             best = int(np.argmin(values))
             if not values[best] < value * (1 - SETTLED):
-                rows.unpersist()
                 return theta, now, True
             theta, now = points[best], found[best]
-            self.at(rows, best)
         return theta, now, False
 
-    def close(self) -> None:
-        self.at(None, 0)
-
 
 def estimated(problem: Problem, start: np.ndarray, steps: int, iterations: int, tolerance: float, robust: bool) -> dict[str, object]:
     """Two-step estimates with robust standard errors; see :class:`psephos.operators.econ.Demand`."""
-    problem.rows = problem.rows.persist()
     search = Search(problem)
     try:
-        problem.zx, problem.zz, _, problem.n, _ = crossed(problem, problem.rows, None)
-        weight, theta, converged = np.linalg.pinv(problem.zz), np.asarray(start, float), True
+        theta, converged = np.asarray(start, float), True
+        (now,), sums = search.passed([theta])
+        problem.zx, problem.zz, problem.n = sums.zx, sums.zz, sums.n
+        weight = np.linalg.pinv(problem.zz)
         for step in range(steps):
             if step:
-                _, _, meat, _, ss = crossed(problem, search.rows, beta)
-                weight = np.linalg.pinv(meat if robust else problem.zz * ss / problem.n)
-            theta, now, done = search.minimise(theta, weight, iterations, tolerance)
+                sums = search.passed([theta], beta)[1]
+                weight = np.linalg.pinv(sums.meat if robust else problem.zz * sums.ss / problem.n)
+            theta, now, done = search.minimise(theta, now, weight, iterations, tolerance)
             value, beta, _ = search.value(now, weight)
             converged &= done
-        _, _, meat, _, _ = crossed(problem, search.rows, beta)
+        meat = search.passed([theta], beta)[1].meat
         slopes = np.column_stack([now.slope, -problem.zx[:, problem.free]])
         bread = np.linalg.pinv(slopes.T @ weight @ slopes)
         cov = bread @ slopes.T @ weight @ meat @ weight @ slopes @ bread
         errors = np.sqrt(np.maximum(np.diag(cov), 0))
     finally:
         search.close()
-        problem.rows.unpersist()
     r, d = len(problem.random), len(problem.demographics)
     beta_error = np.full(len(problem.linear), math.nan)
     beta_error[problem.free] = errors[problem.width :]

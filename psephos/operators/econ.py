@@ -403,16 +403,13 @@ class Demand:
     def moments(self, products: DataFrame, agents: DataFrame, sigma: np.ndarray, pi: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """The GMM objective, the concentrated linear parameters and the weight matrix of the next step."""
         problem = self.problem(products, agents)
-        problem.rows = problem.rows.persist()  # read three times
-        search = demand.Search(problem)
-        problem.zx, problem.zz, _, problem.n, _ = demand.crossed(problem, problem.rows, None)
-        rows, (found,) = search.moments([self._theta(sigma, pi)])
-        search.at(rows, 0)
+        search, theta = demand.Search(problem), self._theta(sigma, pi)
+        (found,), sums = search.passed([theta])
+        problem.zx, problem.zz, problem.n = sums.zx, sums.zz, sums.n
         value, beta, _ = search.value(found, np.linalg.pinv(problem.zz) if weight is None else weight)
-        _, _, meat, _, ss = demand.crossed(problem, search.rows, beta)
+        sums = search.passed([theta], beta)[1]
         search.close()
-        problem.rows.unpersist()
-        return value, beta, np.linalg.pinv(meat if self.robust else problem.zz * ss / max(problem.n, 1))
+        return value, beta, np.linalg.pinv(sums.meat if self.robust else problem.zz * sums.ss / max(problem.n, 1))
 
     def fit(self, products: DataFrame, agents: DataFrame, start: np.ndarray, steps: int = 2, iterations: int = 200, tolerance: float = 1e-4) -> dict[str, object]:
         """Two-step GMM from the parameters ``start`` (sigma, then pi row by row). A step ends when the undamped quasi-Newton step

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -176,6 +177,13 @@ def demand_random_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 def demand_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Products with positions, their leaders' age and gender and instruments; agents with three demographics; the instruments."""
+    with ThreadPoolExecutor(1) as beside:  # neither side waits for the other's jobs
+        agents = beside.submit(_demand_agents, spark, d)
+        rows, instruments = _demand_products(spark, d)
+        return rows, agents.result(), instruments
+
+
+def _demand_products(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     building = (F.col("segment") == "BUILDING").cast("double")
     rows = P.voters(spark, d).withColumns({"_age": F.col("balance") / 1000, "_gender": building})
     rows = rows.groupBy("market", "year", "country", "party").agg(
@@ -193,11 +201,14 @@ def demand_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, li
     rows = rows.withColumn("id", F.concat_ws("|", "market", F.col("year").cast("string")))
     rows = rows.select(F.col("id").alias("market"), F.col("party").alias("product"), W.rescaled("share", ["id"], 0.95).alias("share"), F.lit(1.0).alias("one"), F.lit(0.0).alias("prices"), "age", "gender", "econ", "cult", *base)
     rows, kept = E.demand_instruments(rows, base, "age", "gender")
+    return rows, [f"demand_instruments{k}" for k in range(len(kept))]
+
+
+def _demand_agents(spark: SparkSession, d: str) -> DataFrame:
     people = respondents(spark, d).withColumn("market", F.concat_ws("|", "market", F.col("year").cast("string")))
     groups = {"college": F.col("segment").isin("BUILDING", "MACHINERY"), "young": F.col("balance") < 1000, "old": F.col("balance") > 7000}
     people = people.select("market", "rid", "w", *(c.cast("double").alias(n) for n, c in groups.items()))
-    agents = weighted_resample(people, "market", "rid", "w", 200).select("market", F.col("agent_ids").alias("agent"), *groups)
-    return rows, agents, [f"demand_instruments{k}" for k in range(len(kept))]
+    return weighted_resample(people, "market", "rid", "w", 200).select("market", F.col("agent_ids").alias("agent"), *groups)
 
 
 @query()
