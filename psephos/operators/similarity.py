@@ -7,7 +7,8 @@ block is dealt into parts of targets and of candidates, and each pair of parts m
 
 Most targets need none of this. Distinct names meet first where they are equal after one or two characters are left out of
 either (:func:`close_pairs`), which takes work in proportion to the names and their close neighbours. A target is done where
-both of its best scores exceed what any name can have that it has not met; the rest goes through the comparison by bounds.
+both of its best scores exceed what any name can have that it has not met; the rest goes through the comparison by bounds. Pairs
+of names travel as two numbers, once for all blocks; pairs of rows are formed in the task that has a slice of the targets' names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -29,6 +31,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 TARGETS, POOL = 512, 2048
 #: Candidates of a target that are compared in one round, and numbers in an array of edit distances.
 ROUND, CELLS = 12, 1 << 22
+#: Letters from which a text is compared by itself, and pairs of shorter texts that are compared together.
+LONG, TOGETHER = 100, 1 << 14
+#: Distinct names of targets that meet their close names in one task; parts that the rows of a pool name are dealt to at most.
+SLICE, PIECES = 4096, 64
+#: Pairs of rows in a task's arrays.
+SPREAD = 1 << 18
 
 #: Letters of the longest name that is indexed, and of the longest with one character left out instead of two.
 LONGEST, SHORT = 64, 20
@@ -103,10 +111,60 @@ def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def _longest_runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of rows the length of the longest run of equal letters and where it begins in either: of equal ones the first."""
+    size, i0, j0 = (np.zeros(len(x), np.int16) for _ in range(3))
+    run, places = np.zeros((len(x), y.shape[1] + 1), np.int16), np.arange(len(x))
+    for i in range(x.shape[1]):
+        run[:, 1:] = np.where(y == x[:, i : i + 1], run[:, :-1] + 1, 0)
+        j = run.argmax(axis=1)
+        top = run[places, j]
+        more = top > size
+        size[more], i0[more], j0[more] = top[more], i + 1 - top[more], j[more] - top[more]
+    return size, i0, j0
+
+
+def matched(a: list[str], b: list[str]) -> np.ndarray:
+    """Letters in matching runs of each pair, as ``SequenceMatcher`` finds them in texts of under 200 letters: the longest run, then
+    those on either side of it. All pairs are taken a level at a time."""
+    x, y = (_codes(s, fill) for s, fill in ((a, -1), (b, -2)))
+    row = np.arange(len(a))
+    a0, a1, b0, b1 = np.zeros(len(a), int), np.array([len(s) for s in a], int), np.zeros(len(b), int), np.array([len(s) for s in b], int)
+    out = np.zeros(len(a), np.int64)
+    while len(row):
+        m, n = np.arange((a1 - a0).max(initial=0)), np.arange((b1 - b0).max(initial=0))
+        xs = np.where(m < (a1 - a0)[:, None], x[row[:, None], np.minimum(a0[:, None] + m, x.shape[1] - 1)], -1)
+        ys = np.where(n < (b1 - b0)[:, None], y[row[:, None], np.minimum(b0[:, None] + n, y.shape[1] - 1)], -2)
+        size, i, j = (v.astype(int) for v in _longest_runs(xs, ys))
+        np.add.at(out, row, size)
+        i, j = a0 + i, b0 + j
+        sides = ((row, a0, i, b0, j), (row, i + size, a1, j + size, b1))
+        row, a0, a1, b0, b1 = (np.concatenate(v) for v in zip(*([v[(size > 0) & (s[1] < s[2]) & (s[3] < s[4])] for v in s] for s in sides), strict=True))
+    return out
+
+
+def _codes(texts: list[str], fill: int) -> np.ndarray:
+    """A row of code points for each text."""
+    lengths = np.array([len(t) for t in texts], int)
+    out = np.full((len(texts), max(1, lengths.max(initial=0))), fill, np.int32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
+
+
 def similarities(a: list[str], b: list[str], kind: str) -> np.ndarray:
     """Of each pair; 0 if either side is empty."""
     if kind == "ratio":
-        return np.array([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], float)
+        long = np.array([max(len(x), len(y)) >= LONG for x, y in zip(a, b, strict=True)], bool)
+        out = np.zeros(len(a))
+        for k in np.flatnonzero(long):
+            out[k] = SequenceMatcher(None, a[k], b[k]).ratio() if a[k] and b[k] else 0.0
+        short = np.flatnonzero(~long)
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
+            p, q = [a[k] for k in some], [b[k] for k in some]
+            whole = np.array([len(u) + len(v) if u and v else 0 for u, v in zip(p, q, strict=True)], float)
+            out[some] = np.where(whole > 0, 2.0 * matched(p, q) / np.maximum(whole, 1), 0.0)
+        return out
     longest = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], float)
     some = np.array([bool(x and y) for x, y in zip(a, b, strict=True)], bool)
     return np.where(some, 1 - edit_distances(a, b) / np.maximum(longest, 1), 0.0)
@@ -257,21 +315,21 @@ def far_bound(a: int, b: int, common: int, kind: str) -> float:
     return max(most, 0) * 2 / (a + b) if kind == "ratio" else max(most, 0) / max(a, b)
 
 
-def _listed(names: DataFrame, field: str, of) -> DataFrame:
-    """The names (_l, _e) with each text of ``of`` their views."""
+def _listed(names: DataFrame, key: str, field: str, of) -> DataFrame:
+    """The names' ``key`` with each text of ``of`` their views."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                rows = [(x, y, list(set().union(*map(of, views(x, y))))) for x, y in zip(b.column("_l").to_pylist(), b.column("_e").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["_l", "_e", field])
+                texts = [list(set().union(*map(of, views(x, y)))) for x, y in zip(b.column("_l").to_pylist(), b.column("_e").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(texts, pa.list_(pa.string()))], names=[key, field])
 
-    return names.mapInArrow(run, f"_l string, _e string, {field} array<string>").withColumn(field, F.explode(field))
+    return names.select(key, "_l", "_e").mapInArrow(run, f"{key} long, {field} array<string>").withColumn(field, F.explode(field))
 
 
 def _bounded(names: DataFrame, kinds: list[tuple[int, str | None, int]], kind: str) -> DataFrame:
-    """Names (_l, _e) with ``_open``, what names that they do not meet may reach, and ``_cross``, the few kinds they meet whole."""
+    """Names (_a, _h, _l, _e) with ``_open``, what names that they do not meet may reach, and ``_cross``, the few kinds they meet whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = [(n, letters, Counter(letters) if letters is not None else None, count) for n, letters, count in kinds]
@@ -291,73 +349,171 @@ def _bounded(names: DataFrame, kinds: list[tuple[int, str | None, int]], kind: s
             found = [[of(sign(v)) for v in views(x, y)] for x, y in zip(b.column("_l").to_pylist(), b.column("_e").to_pylist(), strict=True)]
             most = pa.array([max((m for m, _ in f), default=0.0) for f in found], pa.float64())
             cross = pa.array([list({c for _, cs in f for c in cs}) for f in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column("_l"), b.column("_e"), most, cross], names=["_l", "_e", "_open", "_cross"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("_a", "_h", "_l", "_e")), most, cross], names=["_a", "_h", "_l", "_e", "_open", "_cross"])
 
-    return names.mapInArrow(run, "_l string, _e string, _open double, _cross array<string>")
+    return names.select("_a", "_h", "_l", "_e").mapInArrow(run, "_a long, _h int, _l string, _e string, _open double, _cross array<string>")
 
 
-_ORDER = (("_l", "_pl"), ("_e", "_pe"), ("_j", "_pj"), ("_l", "_pe"), ("_e", "_pl"))
+#: Kinds of names of targets and candidates that are compared: local, English, both.
+_ORDER = ((1, 1), (2, 2), (0, 0), (0, 1), (1, 0))
 
 
-def _measured(pairs: DataFrame, kind: str) -> DataFrame:
-    """The pairs of names whose similarity ``_sim`` exceeds ``_open``."""
-    if kind == "edit":
-        both = lambda x, y: F.trim(F.concat_ws(" ", F.nullif(F.col(x), F.lit("")), F.nullif(F.col(y), F.lit(""))))
-        full = pairs.withColumns({"_j": both("_l", "_e"), "_pj": both("_pl", "_pe")})
-        each = [F.when((F.length(x) > 0) & (F.length(y) > 0), 1 - F.levenshtein(F.col(x), F.col(y)) / F.greatest(F.length(x), F.length(y))).otherwise(0.0) for x, y in _ORDER]
-        return full.withColumn("_sim", F.greatest(*each)).drop("_j", "_pj").where("_sim > _open")
-    schema = pa.schema([*((n, pa.string()) for n in ("_l", "_e", "_pl", "_pe")), ("_open", pa.float64()), ("_sim", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = {n: b.column(n).to_pylist() for n in ("_l", "_e", "_pl", "_pe")}
-            names |= {j: [joined(x, y) for x, y in zip(names[x_], names[y_], strict=True)] for j, x_, y_ in (("_j", "_l", "_e"), ("_pj", "_pl", "_pe"))}
-            sim, open_ = np.zeros(b.num_rows), b.column("_open").to_numpy()
-            for x, y in _ORDER:
-                p, q = names[x], names[y]
-                la, lb = (np.array([len(s) for s in side], float) for side in (p, q))
-                todo = np.flatnonzero((la > 0) & (lb > 0) & (2 * np.minimum(la, lb) / np.maximum(la + lb, 1) > np.maximum(sim, open_)))
-                sim[todo] = np.maximum(sim[todo], similarities([p[k] for k in todo], [q[k] for k in todo], kind))
-            hit = pa.array(sim > open_)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("_l", "_e", "_pl", "_pe", "_open")), pa.array(sim)], schema=schema).filter(hit)
-
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("_l", "_e", "_pl", "_pe", "_open").repartition(parts).mapInArrow(run, "_l string, _e string, _pl string, _pe string, _open double, _sim double")
-
-
-def close_pairs(names: DataFrame, others: DataFrame, kind: str) -> DataFrame:
-    """(_l, _e, _pl, _pe, _open, _sim): pairs of distinct names of targets and pool with a similarity above ``_open``, without
-    loss; a name that meets a crowded shortened text has no pairs at all here."""
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names, others = names.distinct().repartition(parts), once(others.distinct().repartition(parts))
-    signs = _listed(others, "_s", lambda v: {sign(v)})
+def close_pairs(names: DataFrame, others: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Distinct names of targets (_a, _h, _l, _e, _open) and of the pool (_b, _l, _e), and the pairs (_a, _b) that may have a
+    similarity above ``_open``, without loss; a name that meets a crowded shortened text has no pairs at all. ``_h`` numbers slices
+    of the targets' names in their order, so that names in a slice have many close names in common; the last value is how many.
+    Texts meet as hashes: a chance meeting makes a pair more, which the comparison drops."""
+    spark = names.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = once(names.distinct())
+    slices = max(min(parts, 4 * spark.sparkContext.defaultParallelism), -(-names.count() // SLICE))
+    names = names.repartitionByRange(slices, "_e", "_l").withColumns({"_h": F.spark_partition_id(), "_a": F.monotonically_increasing_id()})
+    others = once(others.distinct().repartition(parts).withColumn("_b", F.monotonically_increasing_id()))
+    signs = _listed(others, "_b", "_s", lambda v: {sign(v)})
     found = signs.groupBy("_s").count().limit(SIGNS + 1).collect()
     kinds = [(len(r["_s"]), r["_s"], r["count"]) for r in found]
     if len(kinds) > SIGNS:
         kinds = [(r[0], None, 0) for r in signs.select(F.length("_s")).distinct().collect()]
     names = once(_bounded(names, kinds, kind))
-    own, pool = _listed(names.select("_l", "_e"), "_v", shortened), _listed(others, "_v", shortened).withColumnsRenamed({"_l": "_pl", "_e": "_pe"})
-    own, pool = once(own), once(pool)
+    own, pool = (once(_listed(side.repartition(parts), key, "_v", shortened).select(key, F.xxhash64("_v").alias("_v"))) for side, key in ((names, "_a"), (others, "_b")))
     crowded = pool.groupBy("_v").count().where(F.col("count") > BUCKET).select("_v")
-    stuck = own.join(crowded, "_v", "left_semi").select("_l", "_e").distinct()
-    met = own.join(pool.join(crowded, "_v", "left_anti"), "_v").select("_l", "_e", "_pl", "_pe")
-    whole = names.select("_l", "_e", F.explode("_cross").alias("_s")).join(signs.withColumnsRenamed({"_l": "_pl", "_e": "_pe"}), "_s").select("_l", "_e", "_pl", "_pe")
-    pairs = met.unionByName(whole).distinct().join(names.select("_l", "_e", "_open"), ["_l", "_e"]).join(stuck, ["_l", "_e"], "left_anti")
-    return _measured(pairs, kind)
+    stuck = own.join(crowded, "_v", "left_semi").select("_a").distinct()
+    met = own.join(pool.join(crowded, "_v", "left_anti"), "_v").select("_a", "_b")
+    whole = names.select("_a", F.explode("_cross").alias("_s")).join(signs, "_s").select("_a", "_b")
+    pairs = once(met.unionByName(whole).distinct().join(stuck, "_a", "left_anti"))
+    return names.drop("_cross"), others, pairs, slices
+
+
+def _spread(counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each place as often as its count says, and the number of the time; about ``most`` at once, or those of one place."""
+    upto, at = np.cumsum(counts), 0
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        n = counts[at:end]
+        yield np.repeat(np.arange(at, end), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = end
+
+
+def _close_similarities(own: pa.Table, pool: pa.Table, a: np.ndarray, b: np.ndarray, open_: np.ndarray, kind: str) -> np.ndarray:
+    """Of the pairs of names ``a`` and ``b``, the best of the kinds of names, or 0 where it does not exceed ``open_``. A kind is
+    compared only where its bound from lengths and letter counts exceeds that and the others' value."""
+    sides = []
+    for t in (own, pool):
+        local, eng = t.column("_l").to_pylist(), t.column("_e").to_pylist()
+        sides.append([local, eng, [joined(x, y) for x, y in zip(local, eng, strict=True)]])
+    letters = {c: k for k, (c, _) in enumerate(Counter("".join(x for side in sides for x in (*side[0], *side[1]))).most_common(63))}
+    counts = [[letter_counts(s, letters).astype(np.uint8 if max(map(len, s), default=0) < 256 else np.int32) for s in side] for side in sides]
+    sizes = [[np.array([len(x) for x in s], float) for s in side] for side in sides]
+    alone = [np.array([x == y for x, y in zip(side[1], side[2], strict=True)], bool) for side in sides]  # the English name is all there is
+    out = np.zeros(len(a))
+    for at in range(0, len(a), TOGETHER):
+        p, q = a[at : at + TOGETHER], b[at : at + TOGETHER]
+        sim, least = np.zeros(len(p)), open_[at : at + TOGETHER]
+        for x, y in _ORDER:
+            la, lb = sizes[0][x][p], sizes[1][y][q]
+            common = np.minimum(counts[0][x][p], counts[1][y][q]).sum(axis=1)
+            most = 2 * common / np.maximum(la + lb, 1) if kind == "ratio" else 1 - (np.maximum(la, lb) - common) / np.maximum(np.maximum(la, lb), 1)
+            fresh = ~(alone[0][p] & alone[1][q]) if (x, y) == (2, 2) else True
+            todo = np.flatnonzero((la > 0) & (lb > 0) & fresh & (most > np.maximum(sim, least)))
+            if len(todo):
+                sim[todo] = np.maximum(sim[todo], similarities([sides[0][x][k] for k in p[todo]], [sides[1][y][k] for k in q[todo]], kind))
+        out[at : at + TOGETHER] = np.where(sim > least, sim, 0.0)
+    return out
+
+
+def _first_two(t: np.ndarray, row: np.ndarray, score: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of the two best of each target, by score and then the candidate's rank."""
+    order = np.lexsort((rank[row], -score, t))
+    own = t[order]
+    third = np.zeros(len(own), bool)
+    third[2:] = own[2:] == own[:-2]
+    return order[~third]
 
 
 def top_two_close(targets: DataFrame, pool: DataFrame, keys: list[str], tolerance: float, most: float, kind: str) -> DataFrame:
-    """:func:`top_two` of the targets that close names decide: both best scores exceed all that other names can have."""
-    name = lambda l, e: {l: F.coalesce("_local", F.lit("")), e: F.coalesce("_eng", F.lit(""))}
-    left, right = targets.withColumns(name("_l", "_e")), pool.withColumns(name("_pl", "_pe")).withColumnRenamed("_share", "_p_share")
-    pairs = once(close_pairs(left.select("_l", "_e"), right.select(F.col("_pl").alias("_l"), F.col("_pe").alias("_e")), kind))
-    gap = F.abs(F.col("_share") - F.col("_p_share"))
-    met = left.select(*keys, "_t", "_share", "_l", "_e").join(pairs, ["_l", "_e"]).drop("_l", "_e").join(right.select(*keys, "_id", "_p_share", "_pl", "_pe"), [*keys, "_pl", "_pe"])
-    met = met.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") <= tolerance))
-    met = met.select("_t", "_id", (F.col("_sim") * 100 - F.when(F.col("_gap").isNull(), 0.0).otherwise(F.least("_gap", F.lit(most)))).alias("score"), "_gap", "_open")
-    w = Window.partitionBy("_t")
-    done = kept_two(met).withColumns({"_n": F.count("*").over(w), "_least": F.min("score").over(w)})
-    return done.where((F.col("_n") == 2) & (F.col("_least") > F.col("_open") * 100 + 1e-9)).select("_t", "_id", "score", "_gap")
+    """:func:`top_two` of the targets that close names decide: both best scores exceed all that other names can have.
+
+    A slice of the targets' names is one group: its targets, its pairs of names, and once each the pool names that any of them
+    meets, with their rows. Pairs of rows exist only in the task's arrays, CELLS at a time; two for each target leave it."""
+    spark = targets.sparkSession
+    name = {"_l": F.coalesce("_local", F.lit("")), "_e": F.coalesce("_eng", F.lit(""))}
+    left, right = targets.withColumns(name), pool.withColumns(name)
+    names, others, pairs, slices = close_pairs(left.select("_l", "_e"), right.select("_l", "_e"), kind)
+    blocks = once(left.select(*keys).distinct().withColumn("_k", F.monotonically_increasing_id()))
+    own = left.join(blocks, keys).join(names.select("_a", "_h", "_l", "_e"), ["_l", "_e"]).select(F.col("_h").alias("_h"), "_a", "_k", "_t", "_share")
+    rows = right.join(blocks, keys).join(others, ["_l", "_e"]).groupBy("_b", F.pmod(F.xxhash64("_id"), F.lit(PIECES)).alias("_piece"))
+    rows = rows.agg(F.collect_list("_k").alias("_ks"), F.collect_list("_id").alias("_ids"), F.collect_list(F.coalesce("_share", F.lit(float("nan")))).alias("_shares"))
+    rows = rows.join(others, "_b").select("_b", "_l", "_e", "_ks", "_ids", "_shares")
+    needed = pairs.join(names.select("_a", "_h"), "_a").select("_h", "_b").distinct()
+    met = needed.join(rows, "_b").select("_h", F.col("_b").alias("_n"), "_l", "_e", F.lit(None).cast("double").alias("_open"), F.lit(None).cast("array<long>").alias("_bs"), "_ks", "_ids", "_shares")
+    each = pairs.groupBy("_a").agg(F.collect_list("_b").alias("_bs")).join(names, "_a")
+    each = each.select("_h", F.col("_a").alias("_n"), "_l", "_e", "_open", "_bs", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("_ks", "_ids", "_shares")))
+    kinds = {"_t": own.schema["_t"].dataType, "_id": pool.schema["_id"].dataType}
+    schema = f"_t {kinds['_t'].simpleString()}, _id {kinds['_id'].simpleString()}, score double, _gap double"
+    arrow = pa.schema([*((n, to_arrow_type(k)) for n, k in kinds.items()), ("score", pa.float64()), ("_gap", pa.float64())])
+
+    def run(target: pa.Table, other: pa.Table) -> pa.Table:
+        is_pool = pc.is_null(other.column("_open"))
+        mine, met = other.filter(pc.invert(is_pool)).combine_chunks(), other.filter(is_pool).combine_chunks()
+        if not target.num_rows or not mine.num_rows or not met.num_rows:
+            return arrow.empty_table()
+        flat = lambda t, c: t.column(c).combine_chunks().flatten()
+        spread = lambda t, c: pc.list_value_length(t.column(c)).to_numpy()
+        number = lambda t, c: t.column(c).to_numpy()
+        # the pool's rows, by name and block
+        b, first, piece = np.unique(number(met, "_n"), return_index=True, return_inverse=True)
+        block = np.unique(np.concatenate([number(target, "_k"), flat(met, "_ks").to_numpy()]))
+        code = np.repeat(piece, spread(met, "_ks")) * len(block) + np.searchsorted(block, flat(met, "_ks").to_numpy())
+        order = np.argsort(code, kind="stable")
+        code, ids, p_share = code[order], flat(met, "_ids").take(pa.array(order)), flat(met, "_shares").to_numpy()[order]
+        rank = pc.rank(ids, tiebreaker="min").to_numpy()
+        # the targets, by name
+        a = number(mine, "_n")
+        by_name = np.argsort(a)
+        t_a = np.searchsorted(a, number(target, "_a"), sorter=by_name)
+        known = (t_a < len(a)) & (a[by_name[np.minimum(t_a, len(a) - 1)]] == number(target, "_a"))
+        t_row = np.flatnonzero(known)
+        t_name = by_name[t_a[t_row]]
+        t_order = np.argsort(t_name, kind="stable")
+        t_row, t_name = t_row[t_order], t_name[t_order]
+        begin, n_own = np.searchsorted(t_name, np.arange(len(a))), np.bincount(t_name, minlength=len(a))
+        t_block = np.searchsorted(block, number(target, "_k")[t_row])
+        t_share = target.column("_share").to_numpy().astype(float)[t_row]
+        # the pairs of names
+        u, v = np.repeat(np.arange(len(a)), spread(mine, "_bs")), np.searchsorted(b, flat(mine, "_bs").to_numpy())
+        open_ = number(mine, "_open")
+        sim = _close_similarities(mine, met.take(pa.array(first)), u, v, open_[u], kind)
+        u, v, sim = u[sim > 0], v[sim > 0], sim[sim > 0]
+        held = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))]
+
+        def two(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            found = [np.concatenate(x) for x in zip(*rows, strict=True)]
+            kept = _first_two(found[0], found[1], found[2], rank)
+            return tuple(x[kept] for x in found)
+
+        begins, sizes = np.unique(code, return_index=True, return_counts=True)[1:]
+        codes = code[begins]
+        for pair, k in _spread(n_own[u], SPREAD):
+            t = begin[u[pair]] + k
+            at = v[pair] * len(block) + t_block[t]
+            low = np.minimum(np.searchsorted(codes, at), len(codes) - 1)
+            for place, more in _spread(np.where(codes[low] == at, sizes[low], 0), SPREAD):
+                row, own_ = begins[low[place]] + more, t[place]
+                gap = np.abs(t_share[own_] - p_share[row])
+                near = np.isnan(gap) | (gap <= tolerance)
+                own_, row, gap = own_[near], row[near], gap[near]
+                score = sim[pair[place[near]]] * 100 - np.nan_to_num(np.minimum(gap, most), nan=0.0)
+                held.append(two([(own_, row, score, gap)]))
+                if sum(len(x[0]) for x in held[1:]) > 8 * SPREAD:
+                    held = [two(held)]
+        t, row, score, gap = two(held)  # in the order of targets, the better first
+        second = 1 + np.flatnonzero((t[1:] == t[:-1]) & (score[1:] > open_[t_name[t[1:]]] * 100 + 1e-9))
+        decided = np.sort(np.concatenate([second - 1, second]))
+        t, row, score, gap = t[decided], row[decided], score[decided], gap[decided]
+        return pa.Table.from_arrays([target.column("_t").take(pa.array(t_row[t])).combine_chunks(), ids.take(pa.array(row)), pa.array(score), pa.array(gap, from_pandas=True)], schema=arrow)
+
+    own, other = own.repartition(slices, "_h"), met.unionByName(each).repartition(slices, "_h")
+    return own.groupBy("_h").cogroup(other.groupBy("_h")).applyInArrow(run, schema)
 
 
 def kept_two(found: DataFrame) -> DataFrame:

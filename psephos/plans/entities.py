@@ -10,6 +10,7 @@ from psephos.functions.text import election_key, joined_key, norm_name, party_la
 from psephos.operators import aggregates as A
 from psephos.operators import joins as J
 from psephos.operators import windows as W
+from psephos.operators.similarity import once
 from psephos.plans.base import RESPONDENTS, respondents, table
 from psephos.plans.registry import query
 
@@ -199,14 +200,21 @@ PASSES = [
 
 
 def match_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = _match_targets(spark, d)
+    return t, _old_list(t)
+
+
+def _match_targets(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), "s_name")
     t = respondents(spark, d).join(names, "suppkey").groupBy("country", "year", F.col("suppkey").alias("id"), "s_name").agg(F.round(F.sum("w") / 1000, 3).alias("share"))
-    t = t.withColumn("eng", norm_name("s_name")).withColumn("loc", F.when(F.col("id") % 3 == 0, F.concat(F.lit("local "), F.col("id").cast("string"))).otherwise("")).drop("s_name")
-    old = t.where("id % 7 <> 3").select(
+    return t.withColumn("eng", norm_name("s_name")).withColumn("loc", F.when(F.col("id") % 3 == 0, F.concat(F.lit("local "), F.col("id").cast("string"))).otherwise("")).drop("s_name")
+
+
+def _old_list(t: DataFrame) -> DataFrame:
+    return t.where("id % 7 <> 3").select(
         "country", "year", F.col("id").alias("old_id"), F.when(F.col("id") % 5 == 0, "other name").otherwise(F.col("eng")).alias("eng"), "loc",
         F.when(F.col("id") % 4 == 0, F.col("share") + 1).otherwise(F.col("share")).alias("share"),
     )
-    return t, old
 
 
 def _pass_sql(k: int, keys: list[str]) -> str:
@@ -228,11 +236,12 @@ def cascade_exact_match(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_block_match(spark: SparkSession, d: str) -> DataFrame:
     """The best fuzzy candidate in each block, by sequence similarity, with the margin rule."""
-    t, old = match_sides(spark, d)
-    return _fuzzy(t, old, "ratio")
+    return _fuzzy(spark, d, "ratio")
 
 
-def _fuzzy(t: DataFrame, old: DataFrame, kind: str) -> DataFrame:
+def _fuzzy(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    t = once(_match_targets(spark, d))  # a row for each block and supplier; line items are read once
+    old = _old_list(t)
     t = t.withColumn("target", joined_key("country", "year", "id"))
     out = J.fuzzy_match(t, old, ["country", "year"], "target", "old_id", ("loc", "eng"), "share", kind)
     return out.select("country", "year", "id", "best_id", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"), "accepted")
@@ -254,8 +263,7 @@ k AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM s WI
 SELECT country, year, id, old_id AS best_id, round(score, 6) AS score, round(second, 6) AS second, score >= 94 AND (second IS NULL OR score - second >= 5) AS accepted FROM k WHERE k = 1""")
 def fuzzy_block_match_edit(spark: SparkSession, d: str) -> DataFrame:
     """The same with edit distance, which SQL has too."""
-    t, old = match_sides(spark, d)
-    return _fuzzy(t, old, "edit")
+    return _fuzzy(spark, d, "edit")
 
 
 PATCHES = [("1-URGENT", 10.0, 5), ("2-HIGH", 20.0, 77)]

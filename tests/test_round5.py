@@ -1,11 +1,16 @@
-"""Demand's passes are single jobs, and its errors are those of its own deltas."""
+"""Demand's passes are single jobs, and its errors are those of its own deltas; pairs of rows of close names stay in their tasks."""
 
 from __future__ import annotations
 
+import random
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 
 from psephos.operators import econ as E
+from psephos.operators import joins as J
+from psephos.operators import similarity as N
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +50,41 @@ def test_errors_are_of_the_deltas_at_the_estimates(markets):
         bread = np.linalg.pinv(g.T @ w @ g)
         want = np.sqrt(np.diag(bread @ g.T @ w @ (z.T * xi**2) @ z @ w @ g @ bread))
         assert np.allclose(np.concatenate([fit["sigma_se"], fit["beta_se"]]), want, rtol=1e-3)
+
+
+def test_runs_of_many_pairs_are_those_of_one():
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("ab 01é😀") for _ in range(rng.choice((0, 1, 4, 12, 30, 99, 130))))
+    a = [text() for _ in range(600)]
+    b = [x[:5] + rng.choice("a1") + x[6:] if k % 2 else text() for k, x in enumerate(a)]
+    assert N.similarities(a, b, "ratio").tolist() == [SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)]
+
+
+def _moved(spark, group: str) -> int:
+    """Rows that the stages of a job group have written for others."""
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+@pytest.mark.parametrize("kind", N.KINDS)
+def test_pairs_of_rows_are_not_shuffled(spark, kind):
+    """Each of 60 names occurs in 40 blocks and has some fifteen close ones; in half of the blocks a candidate's share is unknown."""
+    t = [(b, f"{b}|{k}", "", f"supplier {k:09d}", (k * 7 + b) % 11 / 20) for b in range(40) for k in range(60)]
+    p = [(b, int(i.split("|")[1]), loc, eng, None if b % 2 and i.endswith("5") else s + 0.1) for b, i, loc, eng, s in t]
+    made = [spark.createDataFrame(rows, f"b int, {key}, loc string, eng string, share double") for rows, key in ((t, "id string"), (p, "oid int"))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup(f"close-{kind}", "names")
+    try:
+        got = {r.id: (r.best_id, r.score, r.second) for r in J.fuzzy_match(*made, ["b"], "id", "oid", ("loc", "eng"), "share", kind).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setJobGroup("none", "none")
+    names, pairs = [f"supplier {k:09d}" for k in range(60)], 0
+    sim = {a: N.similarities([a] * 60, names, kind) for a in names}
+    pool = {b: [r for r in p if r[0] == b] for b in range(40)}
+    for b, i, _, eng, s in t:
+        scored = sorted((-(sim[eng][o[1]] * 100 - (abs(s - o[4]) if o[4] is not None else 0)), o[1]) for o in pool[b])
+        pairs += sum(sim[eng] > 0.9)
+        assert got[i] == (scored[0][1], pytest.approx(-scored[0][0]), pytest.approx(-scored[1][0]))
+    assert len(got) == 2400 and _moved(spark, f"close-{kind}") < pairs
