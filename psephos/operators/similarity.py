@@ -480,7 +480,10 @@ def top_two_close(targets: DataFrame, pool: DataFrame, keys: list[str], toleranc
         t_block = np.searchsorted(block, number(target, "_k")[t_row])
         t_share = target.column("_share").to_numpy().astype(float)[t_row]
         # the pairs of names
-        u, v = np.repeat(np.arange(len(a)), spread(mine, "_bs")), np.searchsorted(b, flat(mine, "_bs").to_numpy())
+        u, other_name = np.repeat(np.arange(len(a)), spread(mine, "_bs")), flat(mine, "_bs").to_numpy()
+        v = np.minimum(np.searchsorted(b, other_name), len(b) - 1)
+        here = b[v] == other_name  # others have rows in blocks without targets alone
+        u, v = u[here], v[here]
         open_ = number(mine, "_open")
         sim = _close_similarities(mine, met.take(pa.array(first)), u, v, open_[u], kind)
         u, v, sim = u[sim > 0], v[sim > 0], sim[sim > 0]

@@ -88,3 +88,14 @@ def test_pairs_of_rows_are_not_shuffled(spark, kind):
         pairs += sum(sim[eng] > 0.9)
         assert got[i] == (scored[0][1], pytest.approx(-scored[0][0]), pytest.approx(-scored[1][0]))
     assert len(got) == 2400 and _moved(spark, f"close-{kind}") < pairs
+
+
+def test_pool_names_of_other_blocks_alone(spark):
+    """Names that occur in no block of the targets take part in no pair."""
+    t = [("x", k, "", f"supplier {k:09d}", 0.1) for k in range(12)]
+    p = [("x" if k % 3 else "y", k, "", f"supplier {k:09d}", 0.1 + k / 100) for k in range(15)]
+    made = [spark.createDataFrame(rows, f"b string, {key} int, loc string, eng string, share double") for rows, key in ((t, "id"), (p, "oid"))]
+    got = {r.id: (r.best_id, r.score, r.second) for r in J.fuzzy_match(*made, ["b"], "id", "oid", ("loc", "eng"), "share").collect()}
+    for _, k, _, eng, s in t:
+        scored = sorted((-(SequenceMatcher(None, eng, o[3]).ratio() * 100 - abs(s - o[4])), o[1]) for o in p if o[0] == "x")
+        assert got[k] == (scored[0][1], pytest.approx(-scored[0][0]), pytest.approx(-scored[1][0]))
